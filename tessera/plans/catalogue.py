@@ -1,0 +1,6 @@
+"""The registered queries of the engine and the SQL they are held against."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+SQL: dict = {}
