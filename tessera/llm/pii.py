@@ -127,7 +127,7 @@ def replaced(kind: Kind, text: Column) -> Column:
     """A text with the confirmed spans of a kind replaced by its name; ``proposed`` was applied before."""
 
     def put(p: Column) -> Column:
-        goes = confirmed(kind, p["match"]) & (F.lit(kind.base) | (score_of(kind, F.right(p["gap"], F.lit(NEAR))) >= LEAST))
+        goes = p["match"].isNotNull() & confirmed(kind, p["match"]) & (F.lit(kind.base) | (score_of(kind, F.right(p["gap"], F.lit(NEAR))) >= LEAST))
         return F.concat(p["gap"], F.when(F.coalesce(goes, F.lit(False)), F.lit(f"[{kind.name.upper()}]")).otherwise(F.coalesce(p["match"], F.lit(""))))
 
     return F.array_join(F.transform(pieces(kind, text), put), "")
