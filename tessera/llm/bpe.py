@@ -9,15 +9,17 @@ just merged. No shuffle, and no state beyond a bounded cache of words.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import id_and_text, per_row
+from tessera.llm.common import id_and_text, per_group, per_row
 
 #: The word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -65,11 +67,15 @@ class ByteBPE:
         self.piece_bytes = np.frombuffer(b"".join(pieces.get(i, b"") for i in range(self.size)), np.uint8)
         self.words = regex.compile(PATTERN)
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the cache: word -> row, and by row where its ids start in ``flat`` and how many they are."""
         self.cache: dict[str, int] = {}
-        self.known: list[np.ndarray] = []
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word; one round of numpy calls merges one pair kind in each word."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one word after the other, and how many each has; one round of numpy calls merges one pair kind in each word."""
         lengths = np.array([len(w) for w in words], np.int64)
         symbols = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -108,47 +114,71 @@ class ByteBPE:
         done_owner.append(owner)
         ids, owners = np.concatenate(done_ids), np.concatenate(done_owner)
         order = np.argsort(owners, kind="stable")
-        ids = ids[order]
-        ends = np.cumsum(np.bincount(owners, minlength=len(words)))
-        return np.split(ids, ends[:-1])
+        return ids[order].astype(np.uint32), np.bincount(owners, minlength=len(words))
 
     def learn(self, new: list[str]) -> None:
         """Encode the words that aren't in the cache yet."""
-        part: list[str] = []
+        part: list[bytes] = []
         size = 0
+        flat, length = [self.flat], [self.length]
         for i, word in enumerate(new):
-            part.append(word)
-            size += len(word) * 2
+            self.cache[word] = len(self.cache)
+            part.append(word.encode())
+            size += len(part[-1])
             if size >= GROUP_SYMBOLS or i == len(new) - 1:
-                for w, ids in zip(part, self.merge([w.encode() for w in part]), strict=True):
-                    self.cache[w] = len(self.known)
-                    self.known.append(ids.astype(np.uint32))
+                for out, x in zip((flat, length), self.merge(part), strict=True):
+                    out.append(x)
                 part, size = [], 0
+        self.flat, self.length = np.concatenate(flat), np.concatenate(length)
+        self.start = np.cumsum(self.length) - self.length
 
-    def plain(self, text: str) -> Iterator[np.ndarray]:
-        """Ids of a text without added tokens, in slices."""
-        found = self.words.finditer(text) if len(text) > SLICE_WORDS * 8 else None
-        while True:
-            words = self.words.findall(text) if found is None else [m.group() for _, m in zip(range(SLICE_WORDS), found, strict=False)]
-            if words:
-                if len(self.cache) > CACHE_WORDS:
-                    self.cache, self.known = {}, []
-                cache = self.cache
-                if new := [w for w in dict.fromkeys(words) if w not in cache]:
-                    self.learn(new)
-                known = self.known
-                yield np.concatenate([known[i] for i in map(cache.__getitem__, words)])
-            if found is None or not words:
-                return
+    def words_ids(self, words: list[str]) -> np.ndarray:
+        """Ids of words that are all in the cache, one word after the other."""
+        rows = np.fromiter(map(self.cache.__getitem__, words), np.int64, len(words))
+        lengths = self.length[rows]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.start[rows] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
-    def encode(self, text: str) -> np.ndarray:
-        parts: list[np.ndarray] = []
+    def pieces(self, text: str) -> Iterator[list[str] | int]:
+        """A text as lists of words, a long one in several, and the ids of added tokens between them."""
         for piece in self.split.split(text) if self.split and any(t in text for t in self.added) else [text]:
             if piece in self.added:
-                parts.append(np.array([self.added[piece]], np.uint32))
-            elif piece:
-                parts.extend(self.plain(piece))
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+                yield self.added[piece]
+            elif len(piece) <= SLICE_WORDS * 4:
+                yield self.words.findall(piece)
+            else:
+                found = self.words.finditer(piece)
+                while words := [m.group() for m in itertools.islice(found, SLICE_WORDS)]:
+                    yield words
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Short texts are encoded together, so that their new words share the merge rounds."""
+        out = []
+        for group in bounded(texts, SLICE_WORDS * 4):
+            if len(group) == 1:
+                out.append(self.encode(group[0]))
+                continue
+            parts = [list(self.pieces(text)) for text in group]
+            self.learn_from(w for part in parts for words in part if isinstance(words, list) for w in words)
+            out.extend(joined([np.array([p], np.uint32) if isinstance(p, int) else self.words_ids(p) for p in part]) for part in parts)
+        return out
+
+    def learn_from(self, words: Iterable[str]) -> None:
+        words = dict.fromkeys(words)
+        if len(self.cache) > CACHE_WORDS:
+            self.forget()
+        if new := [w for w in words if w not in self.cache]:
+            self.learn(new)
+
+    def encode(self, text: str) -> np.ndarray:
+        parts: list[np.ndarray] = []
+        for piece in self.pieces(text):
+            if isinstance(piece, int):
+                parts.append(np.array([piece], np.uint32))
+            else:
+                self.learn_from(piece)
+                parts.append(self.words_ids(piece))
+        return joined(parts)
 
     def decode(self, ids: np.ndarray) -> str:
         ids = ids.astype(np.int64)
@@ -159,6 +189,24 @@ class ByteBPE:
         return self.piece_bytes[from_].tobytes().decode("utf-8", "replace")
 
 
+def joined(parts: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+
+
+def bounded(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """The texts in groups of at most ``chars`` characters, or one that is longer."""
+    part: list[str] = []
+    size = 0
+    for text in texts:
+        if part and size + len(text) > chars:
+            yield part
+            part, size = [], 0
+        part.append(text)
+        size += len(text)
+    if part:
+        yield part
+
+
 def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (the tokens as little-endian unsigned 32-bit integers), n_tokens.
 
@@ -169,13 +217,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def make():
         bpe = ByteBPE(vocabulary)
 
-        def of(text: str | None) -> tuple:
-            ids = bpe.encode(text or "")
-            return ids.astype("<u4").tobytes(), len(ids)
-
-        return of
+        return lambda texts: [(ids.astype("<u4").tobytes(), len(ids)) for ids in bpe.encode_all([t or "" for t in texts])]
 
-    return per_row(id_and_text(docs, id_col, text_col), make, [("ids", T.BinaryType()), ("n_tokens", T.LongType())])
+    return per_group(id_and_text(docs, id_col, text_col), make, [("ids", T.BinaryType()), ("n_tokens", T.LongType())])
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFrame:
@@ -185,8 +229,6 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> Dat
         bpe = ByteBPE(vocabulary)
         return lambda ids: (bpe.decode(np.frombuffer(ids or b"", "<u4")),)
 
-    from pyspark.sql import functions as F
-
     return per_row(encoded.select("doc_id", F.col(ids_col).alias("text")), make, [("decoded", T.StringType())]).withColumnRenamed("decoded", "text")
 
 
@@ -196,10 +238,9 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
     def make():
         bpe = ByteBPE(vocabulary)
 
-        def of(text: str | None) -> tuple:
-            ids = bpe.encode(text or "")
-            return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode("utf-8", "replace")).hexdigest()
+        def of(texts: list[str | None]) -> list[tuple]:
+            return [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) for ids in bpe.encode_all([t or "" for t in texts])]
 
         return of
 
-    return per_row(id_and_text(docs), make, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
+    return per_group(id_and_text(docs), make, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])

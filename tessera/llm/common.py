@@ -93,6 +93,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
 
 def per_row(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]], fields: list[tuple[str, T.DataType]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs``' columns ``keep`` and, for each row, the values that ``make()(text)`` returns; ``make`` runs once a task."""
+
+    def make_group():
+        of = make()
+        return lambda texts: [of(text) for text in texts]
+
+    return per_group(docs, make_group, fields, keep, chars=0)
+
+
+def per_group(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], fields: list[tuple[str, T.DataType]], keep: tuple[str, ...] = ("doc_id",), chars: int = 1 << 20) -> DataFrame:
+    """As ``per_row``, but ``make()(texts)`` takes neighbouring texts of about ``chars`` characters in all, or one that is longer."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in fields])
     kinds = [pa_type(t) for _, t in fields]
     names = [*keep, *(n for n, _ in fields)]
@@ -101,9 +111,16 @@ def per_row(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]],
         of = make()
         for batch in batches:
             columns: list[list] = [[] for _ in kinds]
-            for text in texts_of(batch):
-                for column, value in zip(columns, of(text), strict=True):
-                    column.append(value)
+            part: list[str | None] = []
+            size = 0
+            for i, text in enumerate(texts_of(batch)):
+                part.append(text)
+                size += len(text or "")
+                if size >= chars or i == batch.num_rows - 1:
+                    for values in of(part):
+                        for column, value in zip(columns, values, strict=True):
+                            column.append(value)
+                    part, size = [], 0
             kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
 
