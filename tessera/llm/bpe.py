@@ -232,15 +232,19 @@ def bpe_decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids") -> Dat
     return per_row(encoded.select("doc_id", F.col(ids_col).alias("text")), make, [("decoded", T.StringType())]).withColumnRenamed("decoded", "text")
 
 
-def bpe_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, keeping digests only."""
+def bpe_round_trip(docs: DataFrame, vocabulary: str, ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids: encodes and decodes each text in one pass."""
 
     def make():
         bpe = ByteBPE(vocabulary)
 
         def of(texts: list[str | None]) -> list[tuple]:
-            return [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode()).hexdigest()) for ids in bpe.encode_all([t or "" for t in texts])]
+            out = []
+            for found in bpe.encode_all([t or "" for t in texts]):
+                data = found.astype("<u4").tobytes()
+                out.append((len(found), hashlib.sha256(data).hexdigest(), hashlib.sha256(bpe.decode(found).encode()).hexdigest(), *([data] if ids else [])))
+            return out
 
         return of
 
-    return per_group(id_and_text(docs), make, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())])
+    return per_group(id_and_text(docs), make, [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), *([("ids", T.BinaryType())] if ids else [])])
