@@ -1,6 +1,443 @@
-"""The registered queries of the engine and the SQL they are held against."""
+"""The registered queries of the engine and the SQL they are held against, both over the driver's tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import paths, text
+from tessera.operators import bm25, context, freshness, graph, lookup, measure, references, rollups, search, telemetry
+from tessera.plans import oracle
+from tessera.sources import adapters as a
+from tessera.sources import extract as x
+from tessera.sources import resolve
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = oracle.SQL
+
+#: What is looked for, in queries and oracle alike.
+SYMBOL_QUERIES = [(1, "red_widget_7"), (2, "small_ring"), (3, "Brand17."), (4, "red_w"), (5, "GEAR"), (6, "Red Widget")]
+FILE_QUERIES = [(1, "doc_17"), (2, "./m3/doc_5.txt"), (3, "tests"), (4, "doc 1"), (5, "../"), (6, "SRC/m1/doc_8.TXT")]
+TEXT_QUERIES = [(1, "the "), (2, "license"), (3, "zz"), (4, "Th_"), (5, "@mail"), (6, "nothing of the kind")]
+WORD_QUERIES = [(1, "the"), (2, "was"), (3, "idiot"), (4, "token")]
+TERM_QUERIES = [(1, "where are red widgets of economy kind made"), (2, "blue bolts promo"), (3, "load saved JSON snapshot from disk"), (4, "widget"), (5, "atomically publishes snapshots")]
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def catalog_counts(s, d):
+    return rollups.catalog_counts(a.files(s, d), a.symbols(s, d), a.dependencies(s, d), a.text_lines(s, d))
+
+
+@query
+def file_rows(s, d):
+    return a.files(s, d)
+
+
+@query
+def redacted_lines(s, d):
+    return a.text_lines(s, d).where(F.col("content").contains("[REDACTED_SECRET]"))
+
+
+@query
+def text_line_stats(s, d):
+    return a.text_lines(s, d).groupBy("repo").agg(F.count("*").alias("n"), F.sum("line").cast("long").alias("line_sum"), F.sum(F.length("content")).cast("long").alias("chars"))
+
+
+@query
+def language_summary(s, d):
+    return rollups.language_summary(a.files(s, d))
+
+
+@query
+def directory_rollup(s, d):
+    return rollups.directories(a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True), a.symbols(s, d), 2)
+
+
+@query
+def directory_prefix(s, d):
+    return rollups.directories(a.files(s, d), a.symbols(s, d), 1, "src").drop("symbols")
+
+
+@query
+def source_tree(s, d):
+    return rollups.tree(a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True), a.symbols(s, d), 2, entries=60)
+
+
+@query
+def top_files(s, d):
+    return rollups.top_files(a.symbol_files(s, d), a.symbols(s, d), 7)
+
+
+@query
+def workspace_top_files(s, d):
+    return search.ranked(rollups.top_files(a.symbol_files(s, d), a.symbols(s, d), 15).drop("position"), [F.desc("symbols"), F.desc("lines"), "repo", "path"], 15, by=())
+
+
+@query
+def workspace_outline(s, d):
+    return rollups.workspace_outline(a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True), a.symbols(s, d))
+
+
+@query
+def symbols_by_file(s, d):
+    return rollups.symbols_by_file(a.symbols(s, d))
+
+
+@query
+def file_outline(s, d):
+    rows = a.symbols(s, d).where("path LIKE 'src/economy/%'")
+    return search.ranked(rows, ["line", "name", "symbol_id"], 1_000_000, by=("repo", "path")).select("repo", "path", "position", "name", "kind", "line", "end_line")
+
+
+@query
+def file_token_summary(s, d):
+    files = a.files(s, d)
+    return rollups.file_token_summary(files, files.where("language = 'en'"))
+
+
+@query
+def saved_tokens_paths(s, d):
+    files = a.files(s, d)
+    return rollups.saved_by_paths(files, files.where("language = 'fr'"))
+
+
+@query
+def dependency_rows(s, d):
+    return a.dependencies(s, d)
+
+
+@query
+def dependency_summary(s, d):
+    return rollups.dependency_summary(a.dependencies(s, d))
+
+
+@query
+def dependency_examples(s, d):
+    return rollups.dependency_examples(a.dependencies(s, d), 5)
+
+
+@query
+def usage_by_tool(s, d):
+    return telemetry.usage_summary(a.usage_events(s, d))
+
+
+@query
+def usage_recent(s, d):
+    return telemetry.recent(a.usage_events(s, d), 10).select("event_id", "tool", "provider", "estimated_saved_tokens")
+
+
+@query
+def symbol_exact_prefix(s, d):
+    return search.symbol_search(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 8, fuzzy=False).select("query_id", "repo", "symbol_id", "rank", "position")
+
+
+@query
+def symbol_fuzzy(s, d):
+    return search.symbol_search(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 12).select("query_id", "repo", "symbol_id", "stage", "rank", "position")
+
+
+@query
+def symbol_variants(s, d):
+    return search.symbol_prefixes(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 9).select("query_id", "repo", "symbol_id", F.col("rank").cast("long").alias("rank"), "position")
+
+
+@query
+def representative_symbols(s, d):
+    return search.representative_symbols(a.symbols(s, d), 25).select("repo", "symbol_id", "name", "rank", "position")
+
+
+@query
+def query_variants(s, d):
+    return search.variants(a.queries(s, [*SYMBOL_QUERIES, (7, "Hardware Capacity Planner"), (8, "x")])).select("query_id", "variant", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query
+def query_terms(s, d):
+    return a.queries(s, TERM_QUERIES).select("query_id", F.array_join(text.query_terms(F.col("query")), ",").alias("terms"))
+
+
+@query
+def identifier_words(s, d):
+    return a.read(s, d, "customer").select("c_custkey", text.identifier_words(F.concat("c_name", F.lit("_getHTTPValue"), "c_mktsegment")).alias("words"))
+
+
+@query
+def test_paths(s, d):
+    return a.symbols(s, d).select("repo", "path").distinct().select("repo", "path", *(paths.is_test(F.col("path"), f).alias(f) for f in [*paths.TEST_RULES, "documents"]))
+
+
+@query
+def file_search(s, d):
+    return search.file_search(a.files(s, d), a.queries(s, FILE_QUERIES), 6).select("query_id", "repo", "path", F.col("rank").cast("long").alias("rank"), "position")
+
+
+@query
+def path_resolve(s, d):
+    return search.resolve_path(a.files(s, d), a.queries(s, [(1, "doc_17.txt"), (2, "src/m3/doc_5.txt"), (3, ".txt"), (4, "./tests/m3/doc_10.txt")]))
+
+
+@query
+def text_search_ranked(s, d):
+    return search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10)
+
+
+@query
+def text_context(s, d):
+    found = search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10)
+    return search.with_context(found, a.text_lines(s, d), 2)
+
+
+@query
+def references_exact(s, d):
+    return references.references(a.text_lines(s, d), a.symbols(s, d), a.queries(s, WORD_QUERIES), 20)
+
+
+@query
+def reference_files(s, d):
+    return references.by_file(references.references(a.text_lines(s, d), a.symbols(s, d), a.queries(s, WORD_QUERIES), 20))
+
+
+def repo_list(s):
+    return s.createDataFrame([(f"r{i}", f"label{i}", i) for i in range(4)], "repo string, label string, repo_index long")
+
+
+@query
+def workspace_references(s, d):
+    return references.workspace_references(a.text_lines(s, d), a.symbols(s, d), a.queries(s, WORD_QUERIES), repo_list(s), 15, 10)
+
+
+@query
+def internal_edges(s, d):
+    return graph.internal_edges(a.dependencies(s, d), a.files(s, d))
+
+
+@query
+def unresolved_sources(s, d):
+    return graph.unresolved_sources(a.dependencies(s, d))
+
+
+def some_targets(s, d):
+    return a.files(s, d).where("path RLIKE 'doc_[0-9]{1,2}[.]txt$'").select("repo", F.col("path").alias("target"))
+
+
+@query
+def direct_dependents(s, d):
+    return graph.direct_dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), some_targets(s, d))
+
+
+@query
+def transitive_closure(s, d):
+    return graph.dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), some_targets(s, d))
+
+
+@query
+def blast_risk_topk(s, d):
+    return graph.risk(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), 10)
+
+
+@query
+def related_tests(s, d):
+    return graph.related_tests(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), some_targets(s, d))
+
+
+@query
+def bm25_topk(s, d):
+    index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)), stemmed=False)
+    terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
+    out = bm25.search_documents(index, terms, 15, include_tests=False)
+    return out.select("query_id", "repo", "symbol_id", F.round("bm25", 6).alias("bm25"), "covered", "position")
+
+
+@query
+def bm25_porter(s, d):
+    index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)))
+    terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms")).withColumn("terms", F.transform("terms", lambda t: F.regexp_replace(t, "made", "make")))
+    return bm25.search_documents(index, terms, 15)
+
+
+@query
+def keyword_rank(s, d):
+    terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
+    return bm25.keyword_rank(a.symbols(s, d), terms).where("position <= 20")
+
+
+@query
+def innermost_symbol(s, d):
+    places = a.symbols(s, d).select("repo", "path", (F.col("line") + 3).alias("at")).distinct()
+    return bm25.innermost(a.symbols(s, d), places)
+
+
+@query
+def lookup_blend(s, d):
+    files = a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True)
+    index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)))
+    return lookup.lookup(a.symbols(s, d), files, a.text_lines(s, d), a.queries(s, [*SYMBOL_QUERIES[:4], (7, "doc_17"), (8, "license"), (9, "red things widgets")]), lookup.Limits(limit=12), index)
+
+
+@query
+def workspace_lookup(s, d):
+    repos = repo_list(s).withColumnRenamed("label", "label_of_repo")
+    return lookup.workspace_lookup(a.symbols(s, d), a.files(s, d), a.text_lines(s, d), a.queries(s, [*SYMBOL_QUERIES[:3], (8, "license")]), repos, lookup.Limits(limit=12, text_limit=0, fallback_text_limit=5), 8)
+
+
+@query
+def window_merge(s, d):
+    return context.merged(a.symbols(s, d).selectExpr("repo", "path", "line AS start_line", "coalesce(end_line, line + 9) AS end_line"), ("repo", "path"))
+
+
+@query
+def window_budget(s, d):
+    bounds = context.merged(a.symbols(s, d).selectExpr("repo", "path", "line AS start_line", "coalesce(end_line, line + 5) AS end_line"), ("repo", "path"))
+    return context.budgeted(bounds, 60, ("repo", "path"))
+
+
+def text_hits(s, d):
+    found = search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10)
+    return found.select("query_id", "repo", "path", "line", F.lit("text").alias("kind"), F.lit(None).cast("long").alias("end_line"), "position")
+
+
+@query
+def snippet_pack(s, d):
+    pack = context.context_pack(text_hits(s, d), a.files(s, d), a.symbols(s, d), a.text_lines(s, d), limit=10, max_files=4, around=2, most=20)
+    return pack.withColumn("hit_lines", F.array_join(F.transform("hit_lines", lambda i: i.cast("string")), ","))
+
+
+@query
+def snippet_totals(s, d):
+    return context.totals(context.context_pack(text_hits(s, d), a.files(s, d), a.symbols(s, d), a.text_lines(s, d), limit=10, max_files=4, around=2, most=20))
+
+
+@query
+def symbol_context(s, d):
+    hits = lookup.lookup(a.symbols(s, d), a.symbol_files(s, d), a.text_lines(s, d), a.queries(s, SYMBOL_QUERIES[:3]), lookup.Limits(limit=8))
+    return context.context_pack(hits, a.symbol_files(s, d), a.symbols(s, d), a.text_lines(s, d))
+
+
+@query
+def shared_snippets(s, d):
+    shared = context.shared_snippets(context.context_pack(text_hits(s, d), a.files(s, d), a.symbols(s, d), a.text_lines(s, d), limit=10, max_files=4, around=2, most=20))
+    each = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
+    return shared.withColumns({"hit_lines": each("hit_lines"), "queries": each("queries")})
+
+
+def snapshots(s, d):
+    files = a.files(s, d)
+    old = files.where("modified_ns % 7 <> 0")
+    new = files.where("modified_ns % 11 <> 0").withColumns({"content_hash": F.when(F.col("modified_ns") % 5 == 0, F.concat("content_hash", F.lit("x"))).otherwise(F.col("content_hash")), "size_bytes": F.col("size_bytes") + F.when(F.col("modified_ns") % 3 == 0, 1).otherwise(0)})
+    return old, new
+
+
+@query
+def snapshot_diff(s, d):
+    return freshness.diff(*snapshots(s, d))
+
+
+@query
+def incremental_upsert(s, d):
+    old, new = snapshots(s, d)
+    changes = freshness.diff(old, new)
+    fresh = new.join(changes.where("status IN ('added', 'changed')"), ["repo", "path"], "left_semi")
+    return freshness.upsert(old, fresh, changes.where("status IN ('added', 'changed', 'removed')")).select("repo", "path", "content_hash", "size_bytes")
+
+
+@query
+def health_reasons(s, d):
+    meta = s.createDataFrame([("r0", "h1", "5", True, True), ("r1", "h2", "4", True, True), ("r2", "", "5", False, True)], "repo string, git_head string, analyzer_version string, fingerprints boolean, text_index boolean")
+    state = s.createDataFrame([(f"r{i}", "h1", "5", i == 1) for i in range(4)], "repo string, git_head string, analyzer_version string, dirty boolean")
+    out = freshness.health(freshness.diff(*snapshots(s, d)), meta, state)
+    return out.select("repo", "status", F.array_join("reasons", ",").alias("reasons"), "added_count", "removed_count", "changed_count", F.array_join("added_paths", ",").alias("added_paths"))
+
+
+@query
+def reanalysis_set(s, d):
+    changes = freshness.diff(*snapshots(s, d))
+    return graph.to_reanalyse(a.dependencies(s, d), changes.where("status = 'removed'"), changes.where("status = 'added'"), changes.where("status <> 'removed'"))
+
+
+def results(s, d):
+    return a.symbols(s, d).selectExpr("concat('q', cast(symbol_id % 20 AS string)) AS query", "concat('p', cast(symbol_id % 3 AS string)) AS provider", "path", "symbol_id AS position").where("position % 7 < 5")
+
+
+@query
+def provider_overlap(s, d):
+    return measure.provider_overlap(results(s, d), "p0")
+
+
+@query
+def quality_metrics(s, d):
+    return measure.quality_metrics(results(s, d))
+
+
+@query
+def timing_stats(s, d):
+    runs = a.read(s, d, "events").selectExpr("event_type AS provider", "concat('q', cast(user_id % 10 AS string)) AS query", "value AS elapsed_ms")
+    return measure.timing_stats(runs)
+
+
+@query
+def provider_scorecard(s, d):
+    runs = a.read(s, d, "events").selectExpr("event_type AS provider", "user_id AS results", "value AS avg_ms", "event_id % 4 = 0 AS first_is_test")
+    return measure.scorecard(runs, "click")
+
+
+@query
+def scorecard_delta(s, d):
+    days = a.read(s, d, "events").groupBy(F.col("event_type").alias("suite_name"), F.to_date("ts").alias("day")).agg(F.count("*").alias("runs"), F.sum("user_id").cast("long").alias("total"))
+    return measure.deltas(days, ("runs", "total"), order="day").withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def usage_normalise(s, d):
+    usage = F.create_map(F.lit("input_tokens"), F.col("event_id") % 900, F.lit("output_tokens"), F.col("event_id") % 90, F.lit("cached_input_tokens"), F.lit(0).cast("long"), F.lit("cache_read_input_tokens"), F.when(F.col("event_id") % 5 != 0, F.col("event_id") % 40), F.lit("cache_creation_input_tokens"), F.col("event_id") % 30)
+    provider = F.element_at(F.array(F.lit("openai"), F.lit("anthropic"), F.lit("normalized")), (F.col("event_id") % 3 + 1).cast("int"))
+    return a.read(s, d, "events").select("event_id", provider.alias("provider"), measure.normalised(provider, usage).alias("u")).select("event_id", "provider", "u.*")
+
+
+@query
+def paired_report(s, d):
+    return measure.paired_report(complete_pairs(s, d))
+
+
+def complete_pairs(s, d):
+    records = a.task_records(s, d)
+    whole = records.groupBy("pair_id").agg(F.count("*").alias("n")).where("n = 2").select("pair_id")
+    return records.join(whole, "pair_id", "left_semi")
+
+
+@query
+def paired_tasks(s, d):
+    return measure.pairs(measure.task_measures(complete_pairs(s, d))).select("pair_id", *(f"{arm}_{m}" for arm in measure.ARMS for m in ("input_tokens", "output_tokens", "elapsed_ms", "success")))
+
+
+def made_sources(s, d):
+    """A Python, a script and a style file for each region of parts, so that extractors have something to read."""
+    rows = a.read(s, d, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') AS n", "p_partkey % 3 AS k", "p_size").where("p_partkey < 600")
+    py = "concat('import os\\nfrom .part_', cast(p_partkey div 2 * 3 % 600 AS string), ' import x\\n', upper(n), ' = 1\\n\\nclass C', cast(p_partkey AS string), ':\\n    def run(self):\\n        return 1\\n\\ndef ', n, '(a,\\n        b):\\n    \"\"\"Does ', n, '.\"\"\"\\n    return a\\n')"
+    js = "concat('import a from \"./part_', cast(p_partkey div 4 * 3 + 1 AS string), '\";\\nimport b from \"@scope/pkg/x\";\\nexport const ', n, ' = (a) => a;\\nfunction use', initcap(n), '() {}\\n')"
+    css = "concat('.', n, ' { color: red }\\n@keyframes k', cast(p_partkey AS string), ' {}\\n')"
+    return rows.selectExpr("'r' AS repo", "concat('pkg/part_', cast(p_partkey AS string), element_at(array('.py', '.js', '.css'), cast(k + 1 AS int))) AS path", f"CASE k WHEN 0 THEN {py} WHEN 1 THEN {js} ELSE {css} END AS content")
+
+
+@query
+def extracted_symbols(s, d):
+    return x.symbols_of(x.extract(made_sources(s, d))).drop("symbol_id")
+
+
+@query
+def import_resolve(s, d):
+    sources = made_sources(s, d)
+    return resolve.resolve(x.imports_of(x.extract(sources)), sources.select("repo", "path"))
+
+
+class _Literals:
+    SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES
+
+
+oracle.build(_Literals)
