@@ -61,7 +61,7 @@ def pairs(tasks: DataFrame) -> DataFrame:
     )
     wrong = (F.col("_n") != 2) | (F.col("_baseline") != 1) | (F.col("_code_intel") != 1)
     checked = F.when(wrong, F.raise_error(F.lit("incomplete or repeated task pair")).cast("string")).when((F.col("_same") != 1) | ~F.col("_set"), F.raise_error(F.lit("mismatched or missing experimental controls")).cast("string")).otherwise(F.col("pair_id"))
-    return rows.withColumn("pair_id", checked).drop("_n", "_same", "_set", "_baseline", "_code_intel")
+    return rows.where(checked.isNotNull()).drop("_n", "_same", "_set", "_baseline", "_code_intel")
 
 
 def reduction(before: Column, after: Column) -> Column:

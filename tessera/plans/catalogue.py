@@ -251,14 +251,14 @@ def related_tests(s, d):
 def bm25_topk(s, d):
     index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)), stemmed=False)
     terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
-    out = bm25.search_documents(index, terms, 15, include_tests=False)
+    out = bm25.search_documents(index, terms, 15, include_tests=False, stemmed=False)
     return out.select("query_id", "repo", "symbol_id", F.round("bm25", 6).alias("bm25"), "covered", "position")
 
 
 @query
 def bm25_porter(s, d):
     index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)))
-    terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms")).withColumn("terms", F.transform("terms", lambda t: F.regexp_replace(t, "made", "make")))
+    terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
     return bm25.search_documents(index, terms, 15)
 
 

@@ -63,21 +63,33 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def small_file(spark: SparkSession, path: str) -> str:
+    """The text of one small file in any store that Spark reaches, hidden ones too; empty if there is none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return ""
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8", "replace")
+    finally:
+        stream.close()
+
+
 def walk(spark: SparkSession, repo: str, root: str, suffixes: list[str] | None = None) -> DataFrame:
-    """repo, path, content, size_bytes, modified_ns of the sources below a folder, less what its ``.gitignore`` names."""
+    """repo, path, content, size_bytes, modified_ns of the sources below a folder, less what its ``.gitignore`` names.
+
+    Spark's readers skip names that start with a dot or an underscore, and so does this walk.
+    """
     root = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     marker = re.sub(r"^[a-z]+:/*", "/", root) + "/"
     rel = F.substring_index(F.regexp_replace("path", "^[a-z]+:/*", "/"), marker, -1)
     rows = files.select(F.lit(repo).alias("repo"), rel.alias("path"), "content", F.col("length").alias("size_bytes"), (F.unix_micros("modificationTime") * 1000).alias("modified_ns"))
-    try:
-        patterns = [r[0] for r in spark.read.text(f"{root}/.gitignore").collect()]  # one file
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        patterns = []
+    patterns = small_file(spark, f"{root}/.gitignore").splitlines()
     kept = rows.where(wanted(F.col("path"), suffixes) & ~ignored(F.col("path"), patterns))
-    return kept.withColumn("content", F.decode(F.col("content"), F.lit("UTF-8")))
+    return kept.withColumn("content", F.decode(F.col("content"), "UTF-8"))
 
 
 def listed(spark: SparkSession, root: str) -> DataFrame | None:
