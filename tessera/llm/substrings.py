@@ -10,7 +10,7 @@ not every block. Which windows are worth dealing is found first from a sparse in
 window the one of least hash is the window's anchor, which equal windows share; one place in 15 is an anchor. Windows
 whose anchor occurs once in the corpus can't repeat. Texts that are equal word by word count as one text that is known
 to repeat. Anchors that occur at most ``LIGHT`` times give bounded groups, which one task looks through; windows of the
-others are counted before they are dealt, and the join that follows may be split.
+others are salted, and what the salted parts found is put together in a second step of bounded groups.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from tessera.llm.common import WordHash, id_and_text, rolling, signed, stored, t
 WINDOW, RUN = 35, 8
 #: Occurrences of an anchor up to which its windows are looked through in one task, and windows in a task.
 LIGHT, TASK_ROWS = 2_000, 1_500_000
+#: Parts into which the windows of other anchors are dealt.
+SALTS = 64
 
 
 def window_anchors(words: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -112,26 +114,40 @@ def windows(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFra
 
 
 def placed(found: DataFrame, kind: str) -> DataFrame:
-    """print, cls, at, copies: one row a window."""
+    """print, cls, at, copies, salt: one row a window; windows of light anchors have salt 0, others one of ``SALTS`` by text."""
+    salt = F.lit(0) if kind == "light" else 1 + F.pmod(F.xxhash64("cls"), F.lit(SALTS))
     zipped = found.select("cls", "copies", F.explode(F.arrays_zip(F.col(f"{kind}_at").alias("at"), F.col(kind).alias("print"))).alias("w"))
-    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").cast("int").alias("at"), F.col("copies"))
+    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").cast("int").alias("at"), "copies", salt.cast("int").alias("salt"))
 
 
-def met_light(rows: DataFrame) -> DataFrame:
-    """cls and at of the windows, dealt by fingerprint, that another row has too."""
+def met(rows: DataFrame, tasks: int) -> DataFrame:
+    """cls and at of the windows of rows (print, cls, at, copies, salt) that another row has too, or a copy of its text.
+
+    Windows of heavy anchors are dealt by fingerprint and salt, so that no group is read by one task. Each such part of a
+    group then sends on one row: its only window, which may still find its like in another part, or a witness that there
+    are several. Those meet by fingerprint, at most ``SALTS`` of them for each.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy() for i in range(4)] for b in batches]
+        parts = [[b.column(i).to_numpy() for i in range(5)] for b in batches]
         if not parts:
             return
-        print_, cls, at, copies = (np.concatenate(x) for x in zip(*parts, strict=True))
-        _, inverse, count = np.unique(print_, return_inverse=True, return_counts=True)
-        twice = np.flatnonzero((count[inverse] > 1) & (copies == 1))  # texts with copies go as a whole
-        for i in range(0, len(twice), 100_000):
-            some = twice[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(at[some])], ["cls", "at"])
-
-    return rows.mapInArrow(run, "cls long, at int")
+        print_, cls, at, copies, salt = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((salt, print_))
+        print_, cls, at, copies, salt = (x[order] for x in (print_, cls, at, copies, salt))
+        start = np.flatnonzero(np.concatenate([[True], (print_[1:] != print_[:-1]) | (salt[1:] != salt[:-1])]))
+        size = np.diff(np.concatenate([start, [len(print_)]]))
+        several = np.add.reduceat(copies, start) > 1
+        found = np.repeat(several, size) & (copies == 1)  # texts with copies go as a whole
+        sent = start[salt[start] > 0]
+        alone = ~several[salt[start] > 0]
+        out = [(cls[found], at[found], np.zeros(int(found.sum()), np.int64), np.zeros(int(found.sum()), np.int8)), (cls[sent], at[sent], print_[sent], np.where(alone, 2, 1).astype(np.int8))]
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        for i in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["cls", "at", "print", "state"])
+
+    # state: 0 found, 1 a witness, 2 alone in its part
+    return rows.repartition(tasks, "print", "salt").mapInArrow(run, "cls long, at int, print long, state byte")
 
 
 def factored(texts: DataFrame, window: int) -> DataFrame:
@@ -220,11 +236,9 @@ def _duplicates(docs: DataFrame, window: int, run: int) -> tuple[DataFrame, Data
     """The index of all texts, and (cls, text, starts) of the texts without copies of which windows occur elsewhere."""
     index = stored(indexed(docs, window, run), "index")
     found = stored(windows(docs, repeated_anchors(index, window), window, run), "windows")
-    total = found.agg(F.sum(F.size("light"))).first()[0] or 0
-    light = placed(found, "light")
-    few = met_light(light.repartition(max(1, -(-total // TASK_ROWS)), "print"))
-    heavy = placed(found, "heavy")
-    often = heavy.groupBy("print").agg(F.sum("copies").alias("times")).where("times > 1")
-    many = heavy.where("copies = 1").join(often, "print").select("cls", "at")
-    starts = few.unionByName(many).groupBy("cls").agg(F.collect_list("at").alias("starts"))  # at most a text's words
+    total = found.agg(F.sum(F.size("light") + F.size("heavy"))).first()[0] or 0
+    hits = stored(met(placed(found, "light").unionByName(placed(found, "heavy")), max(1, -(-total // TASK_ROWS))), "hits")
+    parts = hits.where("state > 0").groupBy("print").agg(F.count("*").alias("parts"), F.collect_list(F.when(F.col("state") == 2, F.struct("cls", "at"))).alias("alone")).where("parts > 1")  # at most SALTS rows
+    late = parts.select(F.explode("alone").alias("w")).select("w.cls", "w.at")
+    starts = hits.where("state = 0").select("cls", "at").unionByName(late).groupBy("cls").agg(F.collect_list("at").alias("starts"))  # at most a text's words
     return index, found.select("cls", "text").join(starts, "cls")
