@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 LOCAL = "A-Za-z0-9._%+-"
 #: How many characters before a span may hold a word that adjusts its score, and the least score of a span the method adds.
-NEAR, LEAST = 48, 0.5
+NEAR, LEAST = 48, 0.3
 #: Words before a span that lower any score, as in a version, a size or an example.
 AGAINST = r"(^|[^a-z])(version|ver|build|release|isbn|sku|example|order|invoice)([^a-z]|$)"
 
@@ -38,7 +38,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", ".", 0.6, "ip|host|server|address|addr|login|client"),
     Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++", "", 0.8, "card|visa|mastercard|amex|credit|debit|pay|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|telephone|call|mobile|fax|sms|whatsapp"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?+[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto|compte|cuenta|transfer", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", "", 0.8, "iban|account|bank|konto|compte|cuenta|transfer", base=False),
 )
 
 

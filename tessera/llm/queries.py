@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, classifier, licenses, mixing, ngram_join, pii, quality, substrings, topk
 from tessera.llm.common import table
+from tessera.llm.sql import SQL
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.span_digests(table(spark, sf_dir, "documents"))
+    return pii.span_digests(table(spark, sf_dir, "documents")).drop("top_score")
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +53,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii, op4_exact_top_k, op5_bpe, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_quality_classifier)}
 
-#: Where SQL can say what a query returns.
-SQL: dict[str, str] = {
-    "op4_exact_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-                   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-        s AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_sum(list_transform(list_zip(q.e, r.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-              FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 100 = 0),
-        k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-        SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
-}
+__all__ = ["QUERIES", "SQL"]
