@@ -253,22 +253,24 @@ def tree_join(sets: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls, grams (8 bytes each): the whole set of each class in ``wanted`` (cls, rep), from the document of id rep."""
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
+    """cls, n, groups, grams (8 bytes each): the whole set of each class in ``wanted`` (cls, n, groups, rep), from a document of id rep."""
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "n", "groups", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out = []
-                for cls, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
+                take, out = [], []
+                for i, (cls, text) in enumerate(zip(part.column(0).to_pylist(), texts_of(part), strict=True)):
                     grams = shingles(hashes, text, n)
                     if len(grams) and int(xxhash.xxh3_64_intdigest(grams.tobytes())) - (1 << 63) == cls:  # rows may repeat an id
-                        out.append((cls, grams.tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in out], pa.int64()), pa.array([g for _, g in out], pa.binary())], ["cls", "grams"])
+                        take.append(i)
+                        out.append(grams.tobytes())
+                kept = part.take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(3)), pa.array(out, pa.binary())], ["cls", "n", "groups", "grams"])
 
-    return texts.mapInArrow(run, "cls long, grams binary").dropDuplicates(["cls"])
+    return texts.mapInArrow(run, "cls long, n int, groups array<string>, grams binary")
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -282,16 +284,15 @@ def links_of(docs: DataFrame, prefix: DataFrame, n: int, family: int) -> DataFra
     found = stored(candidates(shared(prefix)), "candidates")
     edges = found.select(F.col("cls").alias("a"), F.explode("leads").alias("b"))
     fams = labelled(found.select("cls", "n"), edges).withColumnRenamed("comp", "fam")
-    reps = prefix.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    sets = stored(full_sets(docs, found.select("cls").join(reps, "cls"), n), "sets")
     many = fams.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(fams.join(many, "fam"), "members")
     parts = F.ceil(F.col("m") / family).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
     pivot = (F.col("m") > family) & (F.pmod(F.xxhash64(F.lit("pivot"), "cls"), F.ceil(F.col("m") / PIVOTS)) == 0)
-    dealt = members.withColumn("part", F.explode(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own))))
-    group = dealt.select("cls", F.col("cls").alias("comp"), "n", F.concat_ws(":", F.col("fam").cast("string"), "part").alias("grp"))
-    links = stored(tree_join(group.join(sets, "cls")), "links")
+    named = F.transform(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)), lambda p: F.concat_ws(":", F.col("fam").cast("string"), p.cast("string")))
+    reps = prefix.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
+    sets = stored(full_sets(docs, members.select("cls", "n", named.alias("groups")).join(reps, "cls"), n), "sets")
+    links = stored(tree_join(sets.select("cls", F.col("cls").alias("comp"), "n", F.explode("groups").alias("grp"), "grams")), "links")
     large = stored(labelled(members.where(F.col("m") > family).select("cls", "n"), links), "large")
     if large.isEmpty():
         return links
@@ -305,7 +306,7 @@ def links_of(docs: DataFrame, prefix: DataFrame, n: int, family: int) -> DataFra
     left = left.join(left.groupBy("fam").agg(F.count("*").alias("m")), "fam").withColumns({"part": own, "parts": parts})
     pair = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = pair.select("cls", F.col("was").alias("comp"), "n", F.concat_ws(":", F.col("fam").cast("string"), F.least("part", "with").cast("string"), F.greatest("part", "with").cast("string")).alias("grp"))
-    return links.unionByName(stored(tree_join(pair.join(sets, "cls")), "links"))
+    return links.unionByName(stored(tree_join(pair.join(sets.select("cls", "grams"), "cls")), "links"))
 
 
 def ngram_join(docs: DataFrame, n: int = N, family: int = FAMILY) -> DataFrame:
