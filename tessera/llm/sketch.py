@@ -56,5 +56,9 @@ def bucket_of(items: np.ndarray) -> np.ndarray:
 
 
 def heavy_above(counts: np.ndarray) -> int:
-    """Items in buckets of more than this count as heavy; all others occur at most so often."""
-    return 64 + 4 * int(counts.sum() // BUCKETS)
+    """Items in buckets of more than this count as heavy; all others occur at most so often.
+
+    A bucket of rare items only holds about the mean; six standard deviations above it are left for chance.
+    """
+    mean = float(counts.sum()) / BUCKETS
+    return 16 + int(mean + 6 * mean**0.5)
