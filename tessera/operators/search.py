@@ -108,9 +108,11 @@ def file_search(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     return ranked(best, ["rank", F.length("path"), "path"], clamp(limit, 1, 500))
 
 
-def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets: DataFrame | None = None) -> DataFrame:
     """query_id, query, repo, path, line, content, line_score, position: lines that contain the query.
 
+    ``budgets`` (query_id, repo, budget) sets a limit of its own, at most ``limit``, for each query and repository.
+
     Queries of three characters and more are ranked twice: BM25 over the repository's lines, with the query as the one
     term and trigrams as length, keeps five times the limit; then the kind of line decides. Shorter ones go by path and
     line, and their wildcards are live. An empty query is an error.
@@ -129,9 +131,14 @@ def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     found = found.withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
     found = found.withColumn("bm25", F.when(short, F.lit(0.0)).otherwise(bm25_of_one(F.col("tf"), grams, F.col("all_lines"), F.col("with_it"), F.col("mean_length"))))
     kept = ranked(found, ["bm25", "path", "line"], wide)
+    most = F.lit(limit)
+    if budgets is not None:
+        kept = kept.join(F.broadcast(budgets), [*GROUP])  # a row a repository and query
+        most = F.least(F.col("budget"), F.lit(limit))
+        kept = kept.where((most > 0) & (F.col("position") <= F.greatest(most, F.least(most * 5, F.lit(500)))))
     score = F.when(short, F.lit(0)).otherwise(text.text_line_score(F.col("content"), F.col("query"), test))
     kept = kept.drop("position").withColumn("line_score", score.cast("long"))
-    return ranked(kept, ["line_score", "path", "line"], limit).select("query_id", "query", "repo", "path", "line", "content", "line_score", "position")
+    return ranked(kept, ["line_score", "path", "line"], limit).where(F.col("position") <= most).select("query_id", "query", "repo", "path", "line", "content", "line_score", "position")
 
 
 def idf(rows: Column, with_it: Column) -> Column:

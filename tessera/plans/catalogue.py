@@ -274,11 +274,22 @@ def innermost_symbol(s, d):
     return bm25.innermost(a.symbols(s, d), places)
 
 
+LOOKUPS = [*SYMBOL_QUERIES[:4], (7, "doc_17"), (8, "license"), (9, "zz q"), (10, "unit_3.py")]
+
+
+def all_files(s, d):
+    return a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True)
+
+
 @query
 def lookup_blend(s, d):
-    files = a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True)
+    return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, LOOKUPS), lookup.Limits(limit=12, recover=False))
+
+
+@query
+def lookup_recovery(s, d):
     index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)))
-    return lookup.lookup(a.symbols(s, d), files, a.text_lines(s, d), a.queries(s, [*SYMBOL_QUERIES[:4], (7, "doc_17"), (8, "license"), (9, "red things widgets")]), lookup.Limits(limit=12), index)
+    return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, [*LOOKUPS, (11, "red things widgets")]), lookup.Limits(limit=12), index)
 
 
 @query
@@ -437,7 +448,7 @@ def import_resolve(s, d):
 
 
 class _Literals:
-    SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES
+    SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS
 
 
 oracle.build(_Literals)

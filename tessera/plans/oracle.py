@@ -214,6 +214,35 @@ def build(c) -> None:
     sql("reference_files", "text_lines symbols", "SELECT query_id, repo, path, count(*) AS match_count, count(*) FILTER (kind = 'definition') AS definition_count, count(*) FILTER (kind = 'reference') AS reference_count, min(line) AS first_line, max(line) AS last_line, arg_min(content, line) AS sample_content FROM rf GROUP BY query_id, repo, path", wq, *refs(20))
     sql("workspace_references", "text_lines symbols", "SELECT * FROM (SELECT repo, query_id, path, line, content, kind, symbol_kind, score + CAST(repo[2:] AS BIGINT) AS score, 'label' || repo[2:] AS label, row_number() OVER (PARTITION BY query_id ORDER BY score + CAST(repo[2:] AS BIGINT), repo, path, line) AS position FROM rf) WHERE position <= 15", wq, *refs(10))
 
+    lq = values("q", c.LOOKUPS)
+    key = lambda e: f"lower(regexp_replace({e}, '[^A-Za-z0-9]+', '', 'g'))"
+    qn, lb, ls = "regexp_replace(lower(query), '^[./]+', '')", "regexp_extract(lower(path), '([^/]*)$', 1)", "regexp_replace(regexp_extract(lower(path), '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1')"
+    tier = lambda rules, last: "CASE " + " ".join(f"WHEN {w} THEN {t}" for w, t in rules) + f" ELSE {last} END"
+    keyed = f"{key('query')} <> ''"
+    sym_tier = tier([("lower(name) = lower(query)", 0), ("lower(qualified_name) = lower(query)", 100), (f"{keyed} AND {key('name')} = {key('query')}", 50), (f"{keyed} AND {key('qualified_name')} = {key('query')}", 150), ("starts_with(lower(name), lower(query))", 200), ("starts_with(lower(qualified_name), lower(query))", 300), (f"{keyed} AND starts_with({key('name')}, {key('query')})", 250), (f"{keyed} AND starts_with({key('qualified_name')}, {key('query')})", 350)], 1000)
+    fil_tier = tier([(f"lower(path) = {qn}", 400), (f"{lb} = {qn} OR {ls} = {qn}", 500), (f"{keyed} AND ({key(lb)} = {key('query')} OR {key(ls)} = {key('query')})", 520), (f"starts_with({lb}, {qn}) OR starts_with({ls}, {qn})", 600), (f"{keyed} AND (starts_with({key(lb)}, {key('query')}) OR starts_with({key(ls)}, {key('query')}))", 620), (f"{keyed} AND starts_with({key('path')}, {key('query')})", 640), (f"{keyed} AND contains({key('path')}, {key('query')})", 650)], 700)
+    marks = lambda e, m: "(" + " OR ".join(f"contains({e}, '{x}')" for x in m) + ")"
+    less = f"CASE WHEN contains(lower(content), lower(query)) THEN CASE WHEN {marks('lower(content)', ('label', 'title', 'shortlabel', 'description'))} THEN 90 ELSE 20 END ELSE 0 END + CASE WHEN {marks('lower(path)', ('config/navigation', 'config/routes', 'router', 'routes'))} THEN 180 WHEN {marks('lower(path)', ('/pages/', 'pages/'))} THEN 130 WHEN contains(lower(path), '/config/') OR starts_with(lower(path), 'config/') THEN 80 ELSE 0 END"
+    sql("lookup_blend", "symbols all_files text_lines", "SELECT query_id, repo, position, kind, path, line, label, detail, score, end_line FROM ranked WHERE position <= 12", lq, *var,
+        f"m AS (SELECT v.query_id, s.repo, s.symbol_id, s.path, s.line, min(v.ordinal * 4 + CASE WHEN {vs('name')} THEN 0 WHEN {vs('qualified_name')} THEN 1 WHEN {vl('name')} THEN 2 ELSE 3 END) AS rank FROM symbols s, v WHERE {vl('name')} OR {vl('qualified_name')} GROUP BY ALL)",
+        f"p AS (SELECT query_id, repo, symbol_id, {rn('query_id, repo', 'rank, path, line, symbol_id')} AS position FROM m)",
+        first(12), f"second AS (SELECT * FROM (SELECT q.query_id, s.*, 1 AS stage, {rank(3)} AS rank, {rn('q.query_id, s.repo', f'{rank(3)}, path, line, symbol_id')} AS position FROM symbols s, q WHERE {holds('name')} OR {holds('qualified_name')} OR {holds('signature')} OR {holds('doc')}) WHERE position <= 24)",
+        "both_ AS (SELECT * FROM first UNION ALL SELECT * FROM second)", f"once AS (SELECT * EXCLUDE (position) FROM both_ QUALIFY {rn('query_id, repo, symbol_id', 'stage')} = 1)",
+        f"cut AS (SELECT query_id, repo, symbol_id, {rn('query_id, repo', 'stage, rank, path, line, symbol_id')} AS position FROM once)",
+        "fz AS (SELECT cut.* FROM cut JOIN qw USING (query_id) WHERE position <= 12 AND (len(w) < 2 OR regexp_matches(query, '^[A-Za-z_][A-Za-z0-9_:.]*$')) AND (query_id, repo) NOT IN (SELECT (query_id, repo) FROM p))",
+        "sy AS (SELECT x.query_id, q.query, x.position - 1 AS index, s.* FROM (SELECT * FROM p WHERE position <= 12 UNION ALL SELECT * FROM fz) x JOIN symbols s USING (repo, symbol_id) JOIN q USING (query_id))",
+        f"fx AS (SELECT v.query_id, f.repo, f.path, f.language, f.line_count, v.ordinal, CASE WHEN lower(path) = {n} THEN 0 WHEN {base} = {n} OR {stem} = {n} THEN 1 WHEN ends_with(lower(path), '/' || regexp_extract({n}, '([^/]*)/*$', 1)) THEN 2 WHEN contains(lower(path), {n}) THEN 3 END AS level FROM all_files f, v WHERE regexp_replace(trim(variant), '^[./]+', '') <> '')",
+        "fm AS (SELECT query_id, repo, path, language, line_count, min(ordinal * 4 + level) AS rank FROM fx WHERE level IS NOT NULL GROUP BY ALL)",
+        f"fi AS (SELECT f.*, q.query, {rn('query_id, repo', 'rank, length(path), path')} - 1 AS index FROM fm f JOIN q USING (query_id))", "fs AS (SELECT * FROM fi WHERE index < 12)",
+        f"ex AS (SELECT query_id, repo FROM sy WHERE lower(name) = lower(query) OR lower(qualified_name) = lower(query) UNION SELECT query_id, repo FROM fs WHERE lower(path) = {qn} OR {lb} = {qn} OR {ls} = {qn})",
+        *text(100)[:-2], f"wb2 AS (SELECT query_id, query, repo, path, line, content, bm25, CASE WHEN (query_id, repo) IN (SELECT (query_id, repo) FROM ex) THEN 3 ELSE 12 END AS budget, {rn('query_id, repo', 'bm25, path, line')} AS place FROM bm)",
+        f"ws AS (SELECT *, CAST(CASE WHEN length(query) < 3 THEN 0 ELSE {score} END AS BIGINT) AS line_score FROM wb2 WHERE place <= greatest(budget, least(5 * budget, 500)))",
+        f"tx AS (SELECT *, {rn('query_id, repo', 'line_score, path, line')} - 1 AS index FROM ws)",
+        f"""hits AS (SELECT query_id, repo, 0 AS branch, index, 'symbol' AS kind, path, line, kind || ' ' || qualified_name AS label, signature AS detail, {sym_tier} + index + CASE WHEN {sym_tier} + index >= 1000 AND {test('path', 'lookup')} THEN 1500 ELSE 0 END AS score, end_line FROM sy
+            UNION ALL SELECT query_id, repo, 1, index, 'file', path, 1, path, language || ', ' || line_count || ' lines', {fil_tier} + index, NULL FROM fs
+            UNION ALL SELECT t.query_id, t.repo, 2, index, 'text', t.path, t.line, trim(content), content, greatest(1500, 2000 + index - ({less}) + CASE WHEN {test('t.path', 'lookup')} THEN 300 ELSE 0 END), NULL FROM tx t ANTI JOIN sy ON sy.query_id = t.query_id AND sy.repo = t.repo AND sy.path = t.path AND sy.line = t.line WHERE index < budget)""",
+        f"dedup AS (SELECT * FROM hits QUALIFY {rn('query_id, repo, path, line, kind', 'branch, index')} = 1)", f"ranked AS (SELECT *, {rn('query_id, repo', 'score, path, line, kind')} AS position FROM dedup)")
+
     sql("internal_edges", "internal", "SELECT * FROM internal")
     sql("unresolved_sources", "dependencies", "SELECT DISTINCT repo, source_path AS path FROM dependencies WHERE NOT resolved AND category = 'unresolved'")
     sql("direct_dependents", "internal targets", "SELECT i.repo, target, source_path AS path FROM internal i JOIN targets t ON i.repo = t.repo AND i.target_path = t.target")
@@ -289,6 +318,22 @@ def build(c) -> None:
     sql("paired_report", "", " UNION ALL ".join([row("input_tokens", "bi", "ti", True), row("output_tokens", "bo", '"to"', True), row("elapsed_ms", "be", "te", True), row("success", "bs", "ts", False), row("cached_input_tokens", "0", "0", False), row("cache_write_tokens", none, none, False), row("model_calls", "1", "1", False)]), *pairs)
 
 
+    made = "mp AS (SELECT p_partkey AS p, replace(p_name, ' ', '_') AS n, p_partkey % 3 AS k FROM part WHERE p_partkey < 600)"
+    target = lambda x, end: f"im AS (SELECT p, k, {x} AS x, EXISTS (SELECT 1 FROM mp o WHERE o.p = {x}) AS known FROM mp WHERE k = {end})"
+    sql("import_resolve", "", """SELECT 'r' AS repo, 'pkg/part_' || p || '.py' AS source_path, 'os' AS target_path, 'os' AS import_name, 'import' AS kind, false AS resolved, 'stdlib' AS category FROM mp WHERE k = 0
+        UNION ALL SELECT 'r', 'pkg/part_' || p || '.js', '@scope/pkg', '@scope/pkg/x', 'import', false, 'external' FROM mp WHERE k = 1
+        UNION ALL SELECT 'r', 'pkg/part_' || p || '.py', CASE WHEN known THEN 'pkg/part_' || x || '.py' ELSE 'part_' || x END, '.part_' || x, 'import', known, CASE WHEN known THEN 'code' ELSE 'unresolved' END FROM im
+        UNION ALL SELECT 'r', 'pkg/part_' || p || '.js', CASE WHEN known THEN 'pkg/part_' || x || '.js' ELSE './part_' || x END, './part_' || x, 'import', known, CASE WHEN known THEN 'code' ELSE 'unresolved' END FROM jm""",
+        made, target("p // 2 * 3 % 600", 0), target("p // 4 * 3 + 1", 1).replace("im AS", "jm AS"))
+    sym = lambda path, name, qualified, kind, line, end, signature, doc, k: f"SELECT 'r' AS repo, 'pkg/part_' || p || '{path}' AS path, {name} AS name, {qualified} AS qualified_name, '{kind}' AS kind, CAST({line} AS BIGINT) AS line, CAST({end} AS BIGINT) AS end_line, {signature} AS signature, {doc} AS doc, {doc} AS full_doc, true AS exported FROM mp WHERE k = {k}"
+    hook = "'use' || upper(n[1]) || n[2:]"
+    sql("extracted_symbols", "", " UNION ALL ".join([
+        sym(".py", "upper(n)", "upper(n)", "constant", 3, 3, "upper(n) || ' = 1'", "''", 0), sym(".py", "'C' || p", "'C' || p", "class", 5, 7, "'class C' || p || ':'", "''", 0), sym(".py", "'run'", "'C' || p || '.run'", "method", 6, 7, "'def run(self):'", "''", 0),
+        sym(".py", "n", "n", "function", 9, 12, "'def ' || n || '(a,' || chr(10) || '        b):'", "'Does ' || n || '.'", 0), sym(".js", "n", "n", "function", 3, "NULL", "'export const ' || n || ' = (a) =>'", "''", 1), sym(".js", hook, hook, "hook", 4, "NULL", f"'function ' || {hook}", "''", 1),
+        sym(".css", "'.' || n", "'.' || n", "selector", 1, "NULL", "'.' || n", "''", 2), sym(".css", "'@keyframes k' || p", "'@keyframes k' || p", "keyframes", 2, "NULL", "'@keyframes k' || p", "''", 2),
+    ]), made)
+
+
 def _stop() -> list[str]:
     from tessera.functions.text import STOP_WORDS
 
