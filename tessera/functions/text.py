@@ -37,9 +37,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def like(c: Column, query: Column, before: str = "", after: str = "%") -> Column:
-    """LIKE with ASCII case folding in which ``%`` and ``_`` of the query are wildcards and a backslash is itself."""
-    pattern = F.concat(F.lit(before), F.replace(ascii_lower(query), F.lit("\\"), F.lit("\\\\")), F.lit(after))
-    return F.like(ascii_lower(c), pattern)
+    """LIKE with ASCII case folding in which ``%`` and ``_`` of the query are wildcards and a backslash is itself.
+
+    What stands before the query's first wildcard is looked for first, so that few rows come to the pattern.
+    """
+    folded, q = ascii_lower(c), ascii_lower(query)
+    plain = F.regexp_extract(q, "^[^%_]*", 0)
+    pattern = F.concat(F.lit(before), F.replace(q, F.lit("\\"), F.lit("\\\\")), F.lit(after))
+    return (folded.contains(plain) if before else folded.startswith(plain)) & F.like(folded, pattern)
 
 
 def strip_leading_dots(c: Column) -> Column:
@@ -86,8 +91,14 @@ def text_line_score(content: Column, query: Column, test: Column) -> Column:
 
 
 def occurrences(content: Column, query: Column) -> Column:
-    """How often the query occurs in the content, overlapping ones counted, whatever the case."""
-    return F.regexp_count(F.lower(content), F.concat(F.lit("(?="), literal_pattern(F.lower(query)), F.lit(")")))  # empty matches, one a place
+    """How often the query occurs in the content, overlapping ones counted, whatever the case.
+
+    Only a query that ends as it starts can overlap itself and needs a search from every place.
+    """
+    text, q = F.lower(content), F.lower(query)
+    border = F.exists(F.when(F.length(q) > 1, F.sequence(F.lit(1), F.length(q) - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.right(q, i) == F.left(q, i))
+    apart = (F.length(text) - F.length(F.replace(text, q, F.lit("")))) / F.greatest(F.length(q), F.lit(1))
+    return F.when(border, F.regexp_count(text, F.concat(F.lit("(?="), literal_pattern(q), F.lit(")")))).otherwise(apart.cast("int"))
 
 
 def words_of_query(query: Column) -> Column:

@@ -125,7 +125,8 @@ def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets:
     stats = lines.groupBy("repo").agg(F.count("*").alias("all_lines"), (F.sum(grams) / F.count("*")).alias("mean_length"))
     short = F.length("query") < 3
     test = paths.is_test(F.col("path"), "catalog")
-    found = lines.join(sent(queries), F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(F.lower("content").contains(F.lower("query"))))
+    asked, folded = sent(queries.withColumn("_q", F.lower("query"))), lines.withColumn("_low", F.lower("content"))
+    found = folded.join(asked, F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(F.col("_low").contains(F.col("_q")))).drop("_low", "_q")
     counts = found.groupBy(*GROUP).agg(F.count("*").alias("with_it"))
     found = found.join(F.broadcast(counts), [*GROUP]).join(F.broadcast(stats), "repo")  # a row a repository and query
     found = found.withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
