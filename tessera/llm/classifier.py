@@ -86,7 +86,10 @@ def sigmoid(x: float) -> float:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> np.ndarray:
     """The weights, bias last; both labels weigh the same in all. Without any labelled document all weights are 0."""
     rows = labelled(labels, label_col, sample)
-    found = {r["doc_id"]: (np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32).astype(float)) for r in sample_vectors(docs, [i for i, _ in rows], dimensions).collect()} if rows else {}
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    vectors = sample_vectors(docs, [i for i, _ in rows], dimensions).groupBy("doc_id").agg(F.min(F.struct("at", "value")).alias("v")) if rows else None
+    for r in vectors.collect() if rows else []:  # at most twice the sample's bound; of rows that repeat an id, one
+        found[r["doc_id"]] = np.frombuffer(r["v"]["at"], np.int32), np.frombuffer(r["v"]["value"], np.float32).astype(float)
     rows = [(i, y) for i, y in rows if i in found]
     share = [max(1, sum(y == k for _, y in rows)) for k in (0, 1)]
     model = FTRL(dimensions)
