@@ -53,11 +53,11 @@ def least_overlap(n: np.ndarray | int) -> np.ndarray | int:
 
 def least_common(n: int) -> int:
     """How many n-grams at least the prefixes of a set of n and of a similar set have in common."""
-    return max(1, least_overlap(n) // 16)
+    return max(1, least_overlap(n) // 8)
 
 
 def prefix_length(n: int) -> int:
-    return n - least_overlap(n) + max(1, n // 16)
+    return n - least_overlap(n) + max(1, n // 8)
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
@@ -129,7 +129,7 @@ def shared(prefix: DataFrame) -> DataFrame:
 
 def candidates(shared_grams: DataFrame) -> DataFrame:
     """cls, n, grams, leads of the sets that share enough: of what they share the rarest, which a similar set has one of."""
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 3 / 4) / 16)).cast("int")
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 3 / 4) / 8)).cast("int")
     by_set = shared_grams.groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram", "lead"))).alias("s"))  # at most a set's prefix
     first = F.slice("s", F.lit(1), F.size("s") - least + 1)
     return by_set.where(F.size("s") >= least).withColumn("s", first).select("cls", "n", F.col("s.gram").alias("grams"), F.array_distinct(F.col("s.lead")).alias("leads"))
