@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,6 +20,8 @@ SECRETS = (
     (r"(?i)(bearer\s+)[A-Za-z0-9._~+/-]{12,}=*", "$1" + MARK),
     (r"(?i)([A-Za-z0-9_]*(?:secret|token|password|passwd|api_?key)[A-Za-z0-9_]*[\"']?\s*[:=]\s*)([\"'])[^\"'\n]+([\"'])", "$1$2" + MARK + "$3"),
 )
+#: What any match of each holds.
+SIGNS = ("-----BEGIN ", "sk-|gh[pousr]_|xox[abprs]-|AKIA|AIza", "(?i)bearer", "(?i)secret|token|passw|api_?key")
 #: What ends a line where lines are indexed; line counts know \n only.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 #: Words that a query's terms leave out.
@@ -47,6 +49,13 @@ def like(c: Column, query: Column, before: str = "", after: str = "%") -> Column
     return (folded.contains(plain) if before else folded.startswith(plain)) & F.like(folded, pattern)
 
 
+def with_patterns(queries: DataFrame, column: str) -> DataFrame:
+    """``queries`` with _q (folded), _plain (what is before the first wildcard), _starts and _holds (patterns) of a column."""
+    q = ascii_lower(F.col(column))
+    safe = F.replace(q, F.lit("\\"), F.lit("\\\\"))
+    return queries.withColumns({"_q": q, "_plain": F.regexp_extract(q, "^[^%_]*", 0), "_starts": F.concat(safe, F.lit("%")), "_holds": F.concat(F.lit("%"), safe, F.lit("%"))})
+
+
 def strip_leading_dots(c: Column) -> Column:
     """Drops every leading ``.`` and ``/``, so ``.github/x`` becomes ``github/x``."""
     return F.regexp_replace(c, r"^[./]+", "")
@@ -150,8 +159,9 @@ def identifier_words(c: Column, keep: bool = True) -> Column:
 
 
 def redact(c: Column) -> Column:
-    for pattern, mark in SECRETS:
-        c = F.regexp_replace(c, pattern, mark)
+    """The text without secrets; a pattern is only run over texts that hold what any match of it holds."""
+    for (pattern, mark), sign in zip(SECRETS, SIGNS, strict=True):
+        c = F.when(c.rlike(sign), F.regexp_replace(c, pattern, mark)).otherwise(c)
     return c
 
 

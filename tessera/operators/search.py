@@ -48,32 +48,34 @@ def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy
     ``limit`` results though more match.
     """
     limit = clamp(limit, 1, 500)
-    q = F.trim("query")
-    name, qualified = F.col("name"), F.col("qualified_name")
-    same = lambda c: text.ascii_lower(c) == text.ascii_lower(q)
-    starts = lambda c: text.like(c, q)
-    holds = lambda c: text.like(c, q, before="%")
-    pairs = symbols.join(sent(queries), F.lit(True))
+    folded = symbols.withColumns({f"_{c}": text.ascii_lower(F.col(c)) for c in ("name", "qualified_name", "signature", "doc")})
+    pairs = folded.join(sent(text.with_patterns(queries.select("query_id", F.trim("query").alias("query")), "query")), F.lit(True))
+    name, qualified = F.col("_name"), F.col("_qualified_name")
+    same = lambda c: c == F.col("_q")
+    starts = lambda c: c.startswith(F.col("_plain")) & F.like(c, F.col("_starts"))
+    holds = lambda c: c.contains(F.col("_plain")) & F.like(c, F.col("_holds"))
+    kept = [*symbols.columns, "query_id", "stage", "rank"]
     first = pairs.where(same(name) | same(qualified) | starts(name) | starts(qualified))
-    first = first.withColumns({"stage": F.lit(0), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(5)})
+    first = first.withColumns({"stage": F.lit(0), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(5)}).select(*kept)
     order = ["rank", "path", "line", "symbol_id"]
     first = ranked(first, order, limit)
     if not fuzzy:
-        return first.drop("query")
-    second = pairs.where(holds(name) | holds(qualified) | holds(F.col("signature")) | holds(F.col("doc")))
-    second = second.withColumns({"stage": F.lit(1), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(3)})
+        return first
+    second = pairs.where(holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc")))
+    second = second.withColumns({"stage": F.lit(1), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(3)}).select(*kept)
     both = first.unionByName(ranked(second, order, 2 * limit))
     seen = Window.partitionBy(*GROUP, "symbol_id").orderBy("stage")
-    both = both.withColumn("_", F.row_number().over(seen)).where("_ = 1").drop("_", "position", "query")
+    both = both.withColumn("_", F.row_number().over(seen)).where("_ = 1").drop("_", "position")
     return ranked(both, ["stage", *order], limit)
 
 
 def symbol_prefixes(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """As the first stage of ``symbol_search`` for every variant of each query; earlier variants go first."""
-    name, qualified, v = F.col("name"), F.col("qualified_name"), F.col("variant")
-    same = lambda c: text.ascii_lower(c) == text.ascii_lower(v)
-    level = F.when(same(name), 0).when(same(qualified), 1).when(text.like(name, v), 2).when(text.like(qualified, v), 3)
-    pairs = symbols.join(sent(variants(queries)), F.lit(True)).withColumn("level", level).where("level IS NOT NULL")
+    folded = symbols.withColumns({"_name": text.ascii_lower(F.col("name")), "_qualified": text.ascii_lower(F.col("qualified_name"))})
+    starts = lambda c: F.col(c).startswith(F.col("_plain")) & F.like(F.col(c), F.col("_starts"))
+    level = F.when(F.col("_name") == F.col("_q"), 0).when(F.col("_qualified") == F.col("_q"), 1).when(starts("_name"), 2).when(starts("_qualified"), 3)
+    near = F.col("_name").startswith(F.col("_plain")) | F.col("_qualified").startswith(F.col("_plain"))
+    pairs = folded.join(sent(text.with_patterns(variants(queries), "variant")), near).withColumn("level", level).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in symbols.columns if c != "repo"]).agg(F.min(F.col("ordinal") * 4 + F.col("level")).alias("rank"))
     return ranked(best, ["rank", "path", "line", "symbol_id"], clamp(limit, 1, 500))
 
