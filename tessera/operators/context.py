@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
 from tessera.operators import search
+from tessera.sources.shared import stored
 
 FILE = ("query_id", "repo", "path")
 
@@ -65,7 +66,7 @@ def context_pack(hits: DataFrame, files: DataFrame, symbols: DataFrame, lines: D
     around, most = search.clamp(around, 0, 20), search.clamp(most, 1, 500)
     if not include_tests:
         hits = hits.where(~paths.is_test(F.col("path"), "context"))
-    hits = search.ranked(hits.withColumnRenamed("position", "_at"), ["_at"], search.clamp(limit, 1, 100))
+    hits = stored(search.ranked(hits.withColumnRenamed("position", "_at"), ["_at"], search.clamp(limit, 1, 100)), "hits")  # a short list, read several times
     first = hits.groupBy(*FILE).agg(F.min("position").alias("_first"))
     kept = search.ranked(first, ["_first"], search.clamp(max_files, 1, 20), "file_rank")
     hits = hits.join(kept.select(*FILE, "file_rank"), [*FILE])
