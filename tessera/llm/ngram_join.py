@@ -327,7 +327,8 @@ def ngram_join(docs: DataFrame, n: int = N, family: int = FAMILY) -> DataFrame:
     linked_classes = comps.join(classes, comps["node"] == classes["cls"]).select("cls", "comp", "rep")
     least = linked_classes.groupBy("comp").agg(F.min("rep").alias("least"))
     joined = linked_classes.join(least, "comp").select(F.col("cls").alias("of"), "least")
-    classes = classes.join(joined, classes["cls"] == joined["of"], "left").select("cls", F.coalesce("least", "rep").alias("component_id"))
+    # Written first, so that the rows of a class of many copies may be split over tasks where they are joined to it.
+    classes = stored(classes.join(joined, classes["cls"] == joined["of"], "left").select("cls", F.coalesce("least", "rep").alias("component_id")), "classes")
     rows = prefix.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles"))
     out = rows.join(classes, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -194,7 +194,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
     index, dup = _duplicates(docs, window, run)
     copies = index.where(F.col("n") >= window).groupBy("cls").agg(F.count("*").alias("copies")).where("copies > 1").select("cls", F.lit(True).alias("whole"))
     left = stored(factored(dup, window), "factored").select("cls", "n_removed", F.col("kept").alias("left"))
-    per_class = copies.join(left, "cls", "full")
+    # Written first, so that the rows of a class of many copies may be split over tasks where they are joined to it.
+    per_class = stored(copies.join(left, "cls", "full"), "removed")
     out = index.select("doc_id", "cls", "n", "kept").join(per_class, "cls", "left")
     nothing = F.lit(sha([]))
     return out.select(
