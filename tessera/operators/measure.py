@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import paths
 
 COUNTS = ("input_tokens", "output_tokens", "cached_input_tokens", "cache_write_tokens")
-ARMS = ("baseline", "code_intel")
+ARMS = ("baseline", "treatment")
 
 
 def count_of(usage: Column, *names: str) -> Column:
@@ -50,8 +50,9 @@ def task_measures(records: DataFrame) -> DataFrame:
     return each.groupBy(*[k for k in keys if k in each.columns]).agg(*(known_sum(F.col(f"u.{c}")).alias(c) for c in COUNTS), known_sum(F.col("n")).alias("model_calls"))
 
 
-def pairs(tasks: DataFrame) -> DataFrame:
+def pairs(tasks: DataFrame, treatment: str = "treatment") -> DataFrame:
     """pair_id with the measures of both arms as <arm>_<measure>; pairs that lack an arm, repeat one or differ in a control are errors."""
+    tasks = tasks.withColumn("arm", F.when(F.col("arm") == treatment, "treatment").otherwise(F.col("arm")))  # the other arm by its name in the records
     measures = (*COUNTS, "elapsed_ms", "model_calls", "success")
     pick = lambda arm, m: F.max(F.when(F.col("arm") == arm, F.col(m))).alias(f"{arm}_{m}")
     controls = F.struct("model", "revision", "prompt_id", "config_id")
@@ -59,9 +60,9 @@ def pairs(tasks: DataFrame) -> DataFrame:
         *(pick(a, m) for a in ARMS for m in measures), F.count("*").alias("_n"), *(F.count_if(F.col("arm") == a).alias(f"_{a}") for a in ARMS), F.count_distinct(controls).alias("_same"),
         F.bool_and(F.forall(F.array("model", "revision", "prompt_id", "config_id"), lambda c: F.coalesce(c != "", F.lit(False)))).alias("_set"),
     )
-    wrong = (F.col("_n") != 2) | (F.col("_baseline") != 1) | (F.col("_code_intel") != 1)
+    wrong = (F.col("_n") != 2) | (F.col("_baseline") != 1) | (F.col("_treatment") != 1)
     checked = F.when(wrong, F.raise_error(F.lit("incomplete or repeated task pair")).cast("string")).when((F.col("_same") != 1) | ~F.col("_set"), F.raise_error(F.lit("mismatched or missing experimental controls")).cast("string")).otherwise(F.col("pair_id"))
-    return rows.where(checked.isNotNull()).drop("_n", "_same", "_set", "_baseline", "_code_intel")
+    return rows.where(checked.isNotNull()).drop("_n", "_same", "_set", "_baseline", "_treatment")
 
 
 def reduction(before: Column, after: Column) -> Column:
@@ -69,11 +70,11 @@ def reduction(before: Column, after: Column) -> Column:
     return F.when((before != 0) & after.isNotNull(), 100.0 * (before - after) / before)
 
 
-def paired_report(records: DataFrame) -> DataFrame:
+def paired_report(records: DataFrame, treatment: str = "treatment") -> DataFrame:
     """measure, baseline_total, baseline_tasks, treatment_total, treatment_tasks, median_reduction, reduction_pairs."""
-    p = pairs(task_measures(records))
+    p = pairs(task_measures(records), treatment)
     names = (*COUNTS, "elapsed_ms", "model_calls", "success")
-    each = p.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"baseline_{m}").cast("long").alias("b"), F.col(f"code_intel_{m}").cast("long").alias("t")) for m in names])).alias("x")).select("x.*")
+    each = p.select(F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"baseline_{m}").cast("long").alias("b"), F.col(f"treatment_{m}").cast("long").alias("t")) for m in names])).alias("x")).select("x.*")
     less = F.when(F.col("measure").isin("input_tokens", "output_tokens", "elapsed_ms"), reduction(F.col("b"), F.col("t")))
     return each.groupBy("measure").agg(known_sum(F.col("b")).alias("baseline_total"), F.count("b").alias("baseline_tasks"), known_sum(F.col("t")).alias("treatment_total"), F.count("t").alias("treatment_tasks"), F.median(less).alias("median_reduction"), F.count(less).alias("reduction_pairs"))
 

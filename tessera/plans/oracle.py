@@ -312,7 +312,7 @@ def build(c) -> None:
         FROM (SELECT event_id, ['openai', 'anthropic', 'normalized'][event_id % 3 + 1] AS provider, event_id % 900 AS i, event_id % 90 AS o, CASE WHEN event_id % 5 <> 0 THEN event_id % 40 END AS r, event_id % 30 AS w FROM events)""")
     pairs = ["t2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)", "tk AS (SELECT user_id, n, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS i, event_id % 97 AS o, event_id * 7 % 5000 AS e, CAST(event_id % 3 <> 0 AS BIGINT) AS s FROM t2 WHERE n <= 2)",
              "tp AS (SELECT b.user_id, b.i AS bi, b.o AS bo, b.e AS be, b.s AS bs, t.i AS ti, t.o AS \"to\", t.e AS te, t.s AS ts FROM tk b JOIN tk t ON b.user_id = t.user_id AND b.n = 1 AND t.n = 2)"]
-    sql("paired_tasks", "", "SELECT 'u' || user_id AS pair_id, bi AS baseline_input_tokens, bo AS baseline_output_tokens, be AS baseline_elapsed_ms, bs AS baseline_success, ti AS code_intel_input_tokens, \"to\" AS code_intel_output_tokens, te AS code_intel_elapsed_ms, ts AS code_intel_success FROM tp", *pairs)
+    sql("paired_tasks", "", "SELECT 'u' || user_id AS pair_id, bi AS baseline_input_tokens, bo AS baseline_output_tokens, be AS baseline_elapsed_ms, bs AS baseline_success, ti AS treatment_input_tokens, \"to\" AS treatment_output_tokens, te AS treatment_elapsed_ms, ts AS treatment_success FROM tp", *pairs)
     row = lambda m, b, t, less: f"SELECT '{m}' AS measure, CASE WHEN count(*) = count({b}) THEN CAST(sum({b}) AS BIGINT) END AS baseline_total, count({b}) AS baseline_tasks, CASE WHEN count(*) = count({t}) THEN CAST(sum({t}) AS BIGINT) END AS treatment_total, count({t}) AS treatment_tasks, {f'median(CASE WHEN {b} <> 0 AND {t} IS NOT NULL THEN 100.0::DOUBLE * ({b} - {t}) / {b} END)' if less else 'CAST(NULL AS DOUBLE)'} AS median_reduction, {f'count(CASE WHEN {b} <> 0 AND {t} IS NOT NULL THEN 1 END)' if less else '0'} AS reduction_pairs FROM tp"
     none = "CAST(NULL AS BIGINT)"
     sql("paired_report", "", " UNION ALL ".join([row("input_tokens", "bi", "ti", True), row("output_tokens", "bo", '"to"', True), row("elapsed_ms", "be", "te", True), row("success", "bs", "ts", False), row("cached_input_tokens", "0", "0", False), row("cache_write_tokens", none, none, False), row("model_calls", "1", "1", False)]), *pairs)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Folders that are skipped wherever they are.
 SKIPPED = (
-    ".code-intel .git .hg .mypy_cache .pytest_cache .ruff_cache .tox .venv .agents .claude __pycache__ build coverage dist node_modules target venv .worktree .worktrees"
+    ".tessera .git .hg .mypy_cache .pytest_cache .ruff_cache .tox .venv .agents .claude __pycache__ build coverage dist node_modules target venv .worktree .worktrees"
 ).split()
 #: Languages by suffix.
 LANGUAGES = {".py": "python", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "jsx", ".ts": "typescript", ".tsx": "tsx", ".css": "css"}

@@ -85,24 +85,24 @@ def report(spark, *records):
 
 
 def test_paired_report(spark):
-    got = report(spark, task("1", "baseline", {"input_tokens": 100, "output_tokens": 4, "input_tokens_details": {"cached_tokens": 60}}), task("1", "code_intel", {"input_tokens": 50, "output_tokens": 4}))
+    got = report(spark, task("1", "baseline", {"input_tokens": 100, "output_tokens": 4, "input_tokens_details": {"cached_tokens": 60}}), task("1", "treatment", {"input_tokens": 50, "output_tokens": 4}))
     assert got["input_tokens"]["median_reduction"] == 50 and got["output_tokens"]["median_reduction"] == 0 and got["cached_input_tokens"]["baseline_total"] == 60
-    got = report(spark, task("1", "baseline", {"input_tokens": 100}), task("1", "code_intel", {}))
+    got = report(spark, task("1", "baseline", {"input_tokens": 100}), task("1", "treatment", {}))
     assert got["input_tokens"]["treatment_total"] is None and got["input_tokens"]["treatment_tasks"] == 0 and got["input_tokens"]["reduction_pairs"] == 0
     anthropic = {"input_tokens": 5, "cache_read_input_tokens": 3, "cache_creation_input_tokens": 2, "output_tokens": 1}
-    got = report(spark, task("1", "baseline", anthropic, "anthropic"), task("1", "code_intel", {"input_tokens": 5}, "anthropic"))
+    got = report(spark, task("1", "baseline", anthropic, "anthropic"), task("1", "treatment", {"input_tokens": 5}, "anthropic"))
     assert got["input_tokens"]["baseline_total"] == 10 and got["input_tokens"]["treatment_total"] is None
 
 
 @pytest.mark.parametrize("usage", [{"input_tokens": -1}, {"input_tokens": True}, {"input_tokens": 1.5}, {"input_tokens": "x"}, {"input_tokens": 1, "input_tokens_details": {"cached_tokens": 2}}])
 def test_wrong_counts_are_errors(spark, usage):
     with pytest.raises(PySparkException):
-        report(spark, task("1", "baseline", usage), task("1", "code_intel", {}))
+        report(spark, task("1", "baseline", usage), task("1", "treatment", {}))
 
 
 def test_wrong_pairs_are_errors(spark):
     base = task("1", "baseline", {})
-    for other in (task("1", "baseline", {}), task("1", "code_intel", {}, model="n"), task("2", "code_intel", {})):
+    for other in (task("1", "baseline", {}), task("1", "treatment", {}, model="n"), task("2", "treatment", {})):
         with pytest.raises(PySparkException):
             report(spark, base, other)
 
@@ -134,7 +134,7 @@ def test_overlap_and_deltas(spark):
     assert (got["shared"], got["jaccard"], got["baseline_only"], got["provider_only"]) == (1, 0.333, "a", "c")
     h = spark.createDataFrame([("s", 1, 5, None), ("s", 2, 7, 3.5)], "suite_name string, recorded_at int, n long, m double")
     assert [(r["n_delta"], r["m_delta"]) for r in measure.deltas(h, ("n", "m")).orderBy("recorded_at").collect()] == [(None, None), (2.0, 3.5)]
-    assert measure.arm_order(3, 2) == [["baseline", "code_intel", "baseline"], ["code_intel", "baseline", "code_intel"]]
+    assert measure.arm_order(3, 2) == [["baseline", "treatment", "baseline"], ["treatment", "baseline", "treatment"]]
 
 
 def test_foreign_index(spark):
