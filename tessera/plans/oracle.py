@@ -319,12 +319,12 @@ def build(c) -> None:
 
 
     made = "mp AS (SELECT p_partkey AS p, replace(p_name, ' ', '_') AS n, p_partkey % 3 AS k FROM part WHERE p_partkey < 600)"
-    target = lambda x, end: f"im AS (SELECT p, k, {x} AS x, EXISTS (SELECT 1 FROM mp o WHERE o.p = {x}) AS known FROM mp WHERE k = {end})"
+    target = lambda x, end: f"im AS (SELECT u.p, u.k, {x} AS x, EXISTS (SELECT 1 FROM mp o WHERE o.p = {x}) AS known FROM mp u WHERE u.k = {end})"
     sql("import_resolve", "", """SELECT 'r' AS repo, 'pkg/part_' || p || '.py' AS source_path, 'os' AS target_path, 'os' AS import_name, 'import' AS kind, false AS resolved, 'stdlib' AS category FROM mp WHERE k = 0
         UNION ALL SELECT 'r', 'pkg/part_' || p || '.js', '@scope/pkg', '@scope/pkg/x', 'import', false, 'external' FROM mp WHERE k = 1
         UNION ALL SELECT 'r', 'pkg/part_' || p || '.py', CASE WHEN known THEN 'pkg/part_' || x || '.py' ELSE 'part_' || x END, '.part_' || x, 'import', known, CASE WHEN known THEN 'code' ELSE 'unresolved' END FROM im
         UNION ALL SELECT 'r', 'pkg/part_' || p || '.js', CASE WHEN known THEN 'pkg/part_' || x || '.js' ELSE './part_' || x END, './part_' || x, 'import', known, CASE WHEN known THEN 'code' ELSE 'unresolved' END FROM jm""",
-        made, target("p // 2 * 3 % 600", 0), target("p // 4 * 3 + 1", 1).replace("im AS", "jm AS"))
+        made, target("u.p // 2 * 3 % 600", 0), target("u.p // 4 * 3 + 1", 1).replace("im AS", "jm AS"))
     sym = lambda path, name, qualified, kind, line, end, signature, doc, k: f"SELECT 'r' AS repo, 'pkg/part_' || p || '{path}' AS path, {name} AS name, {qualified} AS qualified_name, '{kind}' AS kind, CAST({line} AS BIGINT) AS line, CAST({end} AS BIGINT) AS end_line, {signature} AS signature, {doc} AS doc, {doc} AS full_doc, true AS exported FROM mp WHERE k = {k}"
     hook = "'use' || upper(n[1]) || n[2:]"
     sql("extracted_symbols", "", " UNION ALL ".join([
