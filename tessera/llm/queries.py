@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, classifier, licenses, mixing, ngram_join, pii, quality, substrings, topk
+from tessera.llm import bpe, classifier, licenses, lm, mixing, ngram_join, pii, quality, substrings, topk
 from tessera.llm.common import table
 from tessera.llm.sql import SQL
 
@@ -34,6 +34,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -51,6 +55,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii, op4_exact_top_k, op5_bpe, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii, op4_exact_top_k, op5_bpe, op6_lm_scores, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_quality_classifier)}
 
 __all__ = ["QUERIES", "SQL"]
