@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Rows that the quality rules keep; null and short texts go."""
     names = docs.columns
     plain = docs.toDF(*("text" if c == "text" else "doc_id" if c == "doc_id" else f"c{i}" for i, c in enumerate(names)))
-    counts = quality.gram_counts(plain, quality.trusted_ids(table(spark, sf_dir, "labels")))
+    counts = quality.gram_counts(plain, quality.all_trusted(table(spark, sf_dir, "labels")))
     judged = quality.judge(plain, quality.log_ratios(counts), keep=tuple(plain.columns))
     return judged.where("kept").select(*(F.col(c).alias(n) for c, n in zip(plain.columns, names, strict=True)))
 

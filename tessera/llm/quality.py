@@ -1,9 +1,10 @@
 """Quality rules: text statistics, and a log-likelihood ratio between two multinomials of hashed n-grams.
 
-Every document adds its n-gram counts to the raw corpus' multinomial, and those of a trusted sample add theirs to the
-target's. Tasks sum the counts in one array each; Spark adds the arrays by bucket, so the driver gets one row for each of
-a fixed number of buckets, however large the corpus. In a second pass each document's score is the mean, over its
-n-grams, of log p_target - log p_raw, and a fixed threshold decides. Neither pass shuffles documents.
+Every document adds its n-gram counts to the raw corpus' multinomial, and every trusted one adds its to the target's.
+Trusted ids are joined to the documents, which is the one shuffle of texts. Tasks sum the counts in one array each; Spark
+adds the arrays by bucket, so the driver gets one row for each of a fixed number of buckets, however large the corpus. In
+a second pass, without a shuffle, each document's score is the mean, over its n-grams, of log p_target - log p_raw, and a
+fixed threshold decides.
 """
 
 from __future__ import annotations
@@ -21,32 +22,46 @@ from tessera.llm.grams import WordTable
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
-#: At most so many trusted documents make the target's multinomial: those of least hash.
+#: Most ids that ``trusted_ids`` brings to the driver.
 TRUSTED = 20_000
+#: Rows of one id are dealt over so many keys.
+SALTS = 8
 #: Mean log-likelihood ratio below which a document goes.
 THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 
 
+def all_trusted(labels: DataFrame) -> DataFrame:
+    """doc_id: each id of a document marked as of quality 1, once."""
+    return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
 def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> list[int]:
-    """Ids of documents marked as of quality 1: all, or the ``bound`` ones whose id has the least hash."""
-    good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
+    """A sample on the driver of ``all_trusted``: at most ``bound`` ids, of least hash. No query uses it."""
+    return [r[0] for r in all_trusted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
+
+
+def marked(docs: DataFrame, trusted: DataFrame | Iterable[int]) -> DataFrame:
+    """trusted (true or null) and text of every row of ``docs`` (doc_id, text); rows of no id match none and are dealt one by one."""
+    if not isinstance(trusted, DataFrame):
+        trusted = docs.sparkSession.createDataFrame([(i,) for i in trusted], "doc_id long").distinct()
+    row = F.monotonically_increasing_id()
+    salted = docs.withColumn("salt", F.when(F.col("doc_id").isNull(), row).otherwise(row % SALTS))
+    every = trusted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("trusted"))
+    return salted.join(every.hint("shuffle_hash"), ["doc_id", "salt"], "left").select("trusted", "text")
 
 
-def gram_counts(docs: DataFrame, trusted: Iterable[int], buckets: int = BUCKETS) -> DataFrame:
-    """bucket, raw, target: how many n-grams of all documents and of the trusted ones hash to each bucket met."""
-    sent = docs.sparkSession.sparkContext.broadcast(frozenset(trusted))
+def gram_counts(docs: DataFrame, trusted: DataFrame | Iterable[int], buckets: int = BUCKETS) -> DataFrame:
+    """bucket, raw, target: how many n-grams of all documents and of the trusted ones (distinct ids) hash to each bucket met."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, words = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64), WordTable()
-        ids = sent.value
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), texts_of(batch), strict=True):
+            for good, text in zip(batch.column(0), texts_of(batch), strict=True):
                 at = (words.features(words.rows((text or "").encode("utf-8", "replace").split())) % np.uint64(buckets)).astype(np.int64)
                 count = np.bincount(at, minlength=buckets) if len(at) > buckets // 8 else None
-                for sums, wanted in ((raw, True), (target, doc_id.as_py() in ids)):
+                for sums, wanted in ((raw, True), (target, good.as_py())):
                     if wanted and count is not None:
                         sums += count
                     elif wanted:
@@ -54,7 +69,7 @@ def gram_counts(docs: DataFrame, trusted: Iterable[int], buckets: int = BUCKETS)
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (met, raw[met], target[met])], ["bucket", "raw", "target"])
 
-    return id_and_text(docs).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    return marked(id_and_text(docs), trusted).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:
@@ -116,7 +131,7 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, kee
     return per_row(docs, make, FIELDS, keep)
 
 
-def quality_rules(docs: DataFrame, trusted: Iterable[int], threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame | Iterable[int], threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, the statistics, base_failed, kept and llr of every row of ``docs`` (doc_id, text; others are ignored).
 
     A null or empty text has no words, llr 0 and fails the base rules; repeated rows count and return as often as they

@@ -14,7 +14,7 @@ from tessera.llm.sql import SQL
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents"), quality.trusted_ids(table(spark, sf_dir, "labels")))
+    return quality.quality_rules(table(spark, sf_dir, "documents"), quality.all_trusted(table(spark, sf_dir, "labels")))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

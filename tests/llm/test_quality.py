@@ -64,3 +64,24 @@ def test_trusted_rows_are_bounded(spark):
 
 def test_empty(spark):
     assert quality.quality_rules(spark.createDataFrame([], "doc_id long, text string"), []).count() == 0
+
+
+def test_every_trusted_document_counts(spark):
+    n = quality.TRUSTED + 500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id, ' of it') AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'a b c'"))
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality").union(spark.sql("SELECT 7, 1")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
+    raw, target = quality.gram_counts(docs, quality.all_trusted(labels), 512).selectExpr("sum(raw)", "sum(target)").first()
+    assert (raw, target) == (10 * (n + 1), 10 * n)  # 4 n-grams a word but 2, of three words
+
+
+def test_query_and_pipeline_take_all_labels(spark, monkeypatch):
+    import corpus_pipeline
+    from tessera.llm import queries
+
+    seen = []
+    monkeypatch.setattr(quality, "gram_counts", lambda docs, trusted, *a: seen.append(trusted) or spark.createDataFrame([], "bucket long, raw long, target long"))
+    sf = "/root/testdata/sf0.001"
+    queries.op1_quality_rules(spark, sf)
+    corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    want = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id").distinct().count()
+    assert [t.count() for t in seen] == [want, want]
