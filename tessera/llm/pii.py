@@ -5,6 +5,10 @@ Spark has no function that returns the offsets of matches, so they come from the
 gives the gaps between its matches, and a running sum of the lengths of gaps and matches gives every start and end. The
 patterns start only where a run of their first characters starts or the last match ended, and their loops never give
 back, so that a long run without a match costs one pass.
+
+An account number may be followed, or preceded, by groups that look like more of it. So its pattern finds every place
+where one may start and looks ahead for the longest run of groups; the longest part of these groups that mod-97 confirms
+is the span, from left to right and without overlaps.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 LOCAL = "A-Za-z0-9._%+-"
 #: How many characters before a span may hold a word that adjusts its score, and the least score of a span the method adds.
 NEAR, LEAST = 48, 0.3
+#: Characters at the start of an account number that its pattern takes, and the fewest it has without spaces.
+HEAD, SHORTEST = 4, 15
 #: Words before a span that lower any score, as in a version, a size or an example.
 AGAINST = r"(^|[^a-z])(version|ver|build|release|isbn|sku|example|order|invoice)([^a-z]|$)"
 
@@ -31,6 +37,7 @@ class Kind:
     score: float
     words: str
     base: bool = True
+    group: int = 0
 
 
 KINDS = (
@@ -38,7 +45,7 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", ".", 0.6, "ip|host|server|address|addr|login|client"),
     Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++", "", 0.8, "card|visa|mastercard|amex|credit|debit|pay|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|telephone|call|mobile|fax|sms|whatsapp"),
-    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])", "", 0.8, "iban|account|bank|konto|compte|cuenta|transfer", base=False),
+    Kind("iban", r"(?<![A-Za-z0-9_])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])))[A-Z]{2}[0-9]{2}", "", 0.8, "iban|account|bank|konto|compte|cuenta|transfer", base=False, group=1),
 )
 
 
@@ -63,8 +70,6 @@ def confirmed(kind: Kind, match: Column) -> Column:
         return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
     if kind.name == "phone":
         return F.length(digits_of(match)).between(8, 15)
-    if kind.name == "iban":
-        return mod_97(match)
     return F.lit(True)
 
 
@@ -78,7 +83,7 @@ def score_of(kind: Kind, before: Column) -> Column:
 def proposed(docs: DataFrame, text: Column, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with a column _m_<kind> of what each pattern matches, left to right; a null text has no match."""
     none = F.array().cast("array<string>")
-    found = {f"_m_{k.name}": F.when(text.contains(k.sign) if k.sign else text.isNotNull(), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0))).otherwise(none) for k in kinds}
+    found = {f"_m_{k.name}": F.when(text.contains(k.sign) if k.sign else text.isNotNull(), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))).otherwise(none) for k in kinds}
     return docs.withColumns(found)
 
 
@@ -90,8 +95,35 @@ def pieces(kind: Kind, text: Column) -> Column:
 SPAN = "array<struct<kind:string,start:long,end:long,match:string,score:double>>"
 
 
+def longest(match: Column) -> Column:
+    """The most of a match's groups, from its first, that mod-97 confirms; null: none."""
+    groups = F.split(match, " ")
+    parts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+    return F.try_element_at(F.filter(parts, lambda p: (F.length(F.replace(p, F.lit(" "), F.lit(""))) >= SHORTEST) & mod_97(p)), F.lit(-1))
+
+
+def account_spans(kind: Kind, text: Column) -> Column:
+    """As ``spans_of``, of a kind whose pattern takes only the start of what it looks ahead for."""
+    heads = F.transform(F.filter(pieces(kind, text), lambda p: p["match"].isNotNull()), lambda p: F.struct(F.length(p["gap"]).alias("gap"), longest(p["match"]).alias("match")))
+    state = f"struct<at:int,end:int,spans:{SPAN}>"
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["gap"]
+        end = start + F.length(p["match"])
+        near = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), p["match"].alias("match"), score_of(kind, near).cast("double").alias("score"))
+        taken = p["match"].isNotNull() & (start >= acc["end"])
+        return F.struct((start + HEAD).alias("at"), F.when(taken, end).otherwise(acc["end"]).alias("end"), F.when(taken, F.concat(acc["spans"], F.array(span).cast(SPAN))).otherwise(acc["spans"]).alias("spans")).cast(state)
+
+    none = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.array().cast(SPAN).alias("spans")).cast(state)
+    found = F.aggregate(heads, none, step, lambda acc: acc["spans"])
+    return F.when(F.size(f"_m_{kind.name}") > 0, F.filter(found, lambda s: F.lit(kind.base) | (s["score"] >= LEAST))).otherwise(F.array().cast(SPAN))
+
+
 def spans_of(kind: Kind, text: Column) -> Column:
     """The confirmed spans of a kind in code points; ``proposed`` was applied before."""
+    if kind.group:
+        return account_spans(kind, text)
     start = lambda acc, p: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0).cast("long")) + F.length(p["gap"])
 
     def step(acc: Column, p: Column) -> Column:
@@ -125,10 +157,15 @@ def span_digests(docs: DataFrame) -> DataFrame:
 
 def replaced(kind: Kind, text: Column) -> Column:
     """A text with the confirmed spans of a kind replaced by its name; ``proposed`` was applied before."""
+    tag = F.lit(f"[{kind.name.upper()}]")
+    if kind.group:
+        state = "struct<at:int,out:string>"
+        put_span = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"].cast("int") - acc["at"]), tag).alias("out")).cast(state)
+        return F.aggregate(spans_of(kind, text), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state), put_span, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
     def put(p: Column) -> Column:
         goes = p["match"].isNotNull() & confirmed(kind, p["match"]) & (F.lit(kind.base) | (score_of(kind, F.right(p["gap"], F.lit(NEAR))) >= LEAST))
-        return F.concat(p["gap"], F.when(F.coalesce(goes, F.lit(False)), F.lit(f"[{kind.name.upper()}]")).otherwise(F.coalesce(p["match"], F.lit(""))))
+        return F.concat(p["gap"], F.when(F.coalesce(goes, F.lit(False)), tag).otherwise(F.coalesce(p["match"], F.lit(""))))
 
     return F.array_join(F.transform(pieces(kind, text), put), "")
 

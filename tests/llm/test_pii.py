@@ -72,3 +72,25 @@ def test_mod_97(spark, iban, good):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(pii.mod_97(F.lit(iban))).first()[0] is good
+
+
+ACCOUNTS = [
+    ("DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "[IBAN] BIC COBADEFFXXX"),
+    ("é😀 to DE89 3704 0044 0532 0130 00 12 days", "é😀 to [IBAN] 12 days"),
+    ("DE89 3704 0044 0532 0130 00 I paid", "[IBAN] I paid"),
+    ("DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", "[IBAN] [IBAN]"),
+    ("REF AB12 DE89 3704 0044 0532 0130 00 and DE89370400440532013000.", "REF AB12 [IBAN] and [IBAN]."),
+    ("DE89 3704 0044 0532 0130 01 BIC, xDE89370400440532013000, DE89370400440532013000_", None),
+    ("no number", None),
+    (None, None),
+]
+
+
+def test_account_numbers_between_other_groups(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(ACCOUNTS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()}
+    assert got == {i: want or text for i, (text, want) in enumerate(ACCOUNTS)}
+    spans = {r["doc_id"]: [(s["start"], s["end"], s["match"]) for s in r["iban"]] for r in pii.find_spans(docs).collect()}
+    number, other = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert spans[0] == [(0, 27, number)] and spans[1] == [(6, 33, number)] and spans[3] == [(0, 27, number), (28, 55, other)]
+    assert [a for a, *_ in spans[4]] == [9, 41] and not spans[5] and not spans[6] and not spans[7]
