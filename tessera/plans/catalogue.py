@@ -427,24 +427,46 @@ def paired_tasks(s, d):
     return measure.pairs(measure.task_measures(complete_pairs(s, d))).select("pair_id", *(f"{arm}_{m}" for arm in measure.ARMS for m in ("input_tokens", "output_tokens", "elapsed_ms", "success")))
 
 
-def made_sources(s, d):
-    """A Python, a script and a style file for each region of parts, so that extractors have something to read."""
-    rows = a.read(s, d, "part").selectExpr("p_partkey", "replace(p_name, ' ', '_') AS n", "p_partkey % 3 AS k", "p_size").where("p_partkey < 600")
-    py = "concat('import os\\nfrom .part_', cast(p_partkey div 2 * 3 % 600 AS string), ' import x\\n', upper(n), ' = 1\\n\\nclass C', cast(p_partkey AS string), ':\\n    def run(self):\\n        return 1\\n\\ndef ', n, '(a,\\n        b):\\n    \"\"\"Does ', n, '.\"\"\"\\n    return a\\n')"
+def made_sources(s, d, below: int | None = 600):
+    """A Python, a script or a style file for each part whose key is less than ``below`` (None: each part), so that extractors have something to read."""
+    parts = a.read(s, d, "part")
+    turn = below or max(parts.count() // 3 * 3, 3)  # Python files are those of keys that 3 divides
+    rows = parts.selectExpr("p_partkey", "replace(p_name, ' ', '_') AS n", "p_partkey % 3 AS k", "p_size")
+    rows = rows.where(F.col("p_partkey") < below) if below else rows
+    py = f"concat('import os\\nfrom .part_', cast(p_partkey div 2 * 3 % {turn} AS string), ' import x\\n', upper(n), ' = 1\\n\\nclass C', cast(p_partkey AS string), ':\\n    def run(self):\\n        return 1\\n\\ndef ', n, '(a,\\n        b):\\n    \"\"\"Does ', n, '.\"\"\"\\n    return a\\n')"
     js = "concat('import a from \"./part_', cast(p_partkey div 4 * 3 + 1 AS string), '\";\\nimport b from \"@scope/pkg/x\";\\nexport const ', n, ' = (a) => a;\\nfunction use', initcap(n), '() {}\\n')"
     css = "concat('.', n, ' { color: red }\\n@keyframes k', cast(p_partkey AS string), ' {}\\n')"
     return rows.selectExpr("'r' AS repo", "concat('pkg/part_', cast(p_partkey AS string), element_at(array('.py', '.js', '.css'), cast(k + 1 AS int))) AS path", f"CASE k WHEN 0 THEN {py} WHEN 1 THEN {js} ELSE {css} END AS content")
 
 
+def symbols_in(sources):
+    return x.symbols_of(x.extract(sources)).drop("symbol_id")
+
+
+def imports_in(sources):
+    return resolve.resolve(x.imports_of(x.extract(sources)), sources.select("repo", "path"))
+
+
 @query
 def extracted_symbols(s, d):
-    return x.symbols_of(x.extract(made_sources(s, d))).drop("symbol_id")
+    """Of the 599 parts that its SQL takes; ``extracted_symbols_all`` has every part."""
+    return symbols_in(made_sources(s, d))
+
+
+@query
+def extracted_symbols_all(s, d):
+    return symbols_in(made_sources(s, d, None))
 
 
 @query
 def import_resolve(s, d):
-    sources = made_sources(s, d)
-    return resolve.resolve(x.imports_of(x.extract(sources)), sources.select("repo", "path"))
+    """Of the 599 parts that its SQL takes; ``import_resolve_all`` has every part."""
+    return imports_in(made_sources(s, d))
+
+
+@query
+def import_resolve_all(s, d):
+    return imports_in(made_sources(s, d, None))
 
 
 class _Literals:

@@ -1,0 +1,32 @@
+"""Queries over whole tables against the SQL of those over a part of them, with its filter taken off."""
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+from tests.test_oracle import plain
+
+QUERIES, SQL = entry.queries(), entry.oracle_sql()
+
+
+def same(spark, sf, name, statement):
+    con = duckdb.connect()
+    for t in ("part", "documents"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = QUERIES[name](spark, sf)
+    columns = sorted(df.columns)
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
+    result = con.execute(statement)
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert got == sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall()), key=repr)
+    return got
+
+
+@pytest.mark.parametrize("name, files", [("extracted_symbols", 2000), ("import_resolve", 1334)])
+def test_every_part(spark, name, files):
+    sf = "/root/testdata/sf0.01"
+    assert SQL[name].count(" WHERE p_partkey < 600") == 1
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    rows = same(spark, sf, f"{name}_all", SQL[name].replace(" WHERE p_partkey < 600", "").replace("% 600", f"% {n // 3 * 3}"))
+    assert len({v for r in rows for v in r if str(v).startswith("pkg/part_")}) >= files
