@@ -224,19 +224,34 @@ def unresolved_sources(s, d):
 
 
 def some_targets(s, d):
+    """Files of the documents 0 to 99, as in the SQL: a fixed set, which doesn't grow with the table."""
     return a.files(s, d).where("path RLIKE 'doc_[0-9]{1,2}[.]txt$'").select("repo", F.col("path").alias("target"))
 
 
+def every_target(s, d):
+    return a.files(s, d).select("repo", F.col("path").alias("target"))
+
+
 @query
 def direct_dependents(s, d):
     return graph.direct_dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), some_targets(s, d))
 
 
+@query
+def direct_dependents_all(s, d):
+    return graph.direct_dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), every_target(s, d))
+
+
 @query
 def transitive_closure(s, d):
     return graph.dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), some_targets(s, d))
 
 
+@query
+def transitive_closure_all(s, d):
+    return graph.dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), every_target(s, d))
+
+
 @query
 def blast_risk_topk(s, d):
     return graph.risk(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), 10)
@@ -247,6 +262,11 @@ def related_tests(s, d):
     return graph.related_tests(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), some_targets(s, d))
 
 
+@query
+def related_tests_all(s, d):
+    return graph.related_tests(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), every_target(s, d))
+
+
 @query
 def bm25_topk(s, d):
     index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)), stemmed=False)

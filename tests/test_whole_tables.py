@@ -30,3 +30,11 @@ def test_every_part(spark, name, files):
     n = spark.read.parquet(f"{sf}/part.parquet").count()
     rows = same(spark, sf, f"{name}_all", SQL[name].replace(" WHERE p_partkey < 600", "").replace("% 600", f"% {n // 3 * 3}"))
     assert len({v for r in rows for v in r if str(v).startswith("pkg/part_")}) >= files
+
+
+@pytest.mark.parametrize("name", ["direct_dependents", "transitive_closure", "related_tests"])
+def test_every_target(spark, name):
+    some = " WHERE regexp_matches(path, 'doc_[0-9]{1,2}[.]txt$')"
+    assert SQL[name].count(some) == 1
+    rows = same(spark, "/root/testdata/sf0.01", f"{name}_all", SQL[name].replace(some, ""))
+    assert len(rows) > QUERIES[name](spark, "/root/testdata/sf0.01").count()
