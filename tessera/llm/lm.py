@@ -37,20 +37,20 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, score (mean log score of a word; null without words) of each distinct (doc_id, text).
+    """doc_id, n_words, score (mean log score of a word; null without words) of every row of ``docs``.
 
     An n-gram counts as seen from ``SEEN`` occurrences on. Null and empty texts have no words; rows that repeat an id and
-    text count in the corpus each time and return once; an empty table gives an empty one. Other columns are ignored.
+    text count in the corpus and return as often as they stand; an empty table gives an empty one. Other columns are ignored.
     """
     docs = id_and_text(docs)
     all_ = exploded(docs)
     counts = all_.where("kind < 10").groupBy("gram").agg(F.count("*").alias("c"))
     total = all_.where("kind = 1").agg(F.count("*").alias("total"))  # one row
-    rows = all_.distinct().join(counts, "gram")
+    rows = all_.groupBy(*all_.columns).agg(F.count("*").alias("rows")).join(counts, "gram")
     of = lambda k: F.max(F.when(F.col("kind") == k, F.col("c")))
-    words = rows.groupBy("doc_id", "tag", "pos").agg(*(of(k).alias(f"c{k}") for k in (3, 12, 2, 11, 1))).join(F.broadcast(total), F.lit(True))
+    words = rows.groupBy("doc_id", "tag", "pos").agg(*(of(k).alias(f"c{k}") for k in (3, 12, 2, 11, 1)), F.max("rows").alias("rows")).join(F.broadcast(total), F.lit(True))
     s = F.when(F.col("c3") >= SEEN, F.ln(F.col("c3") / F.col("c12"))).when(F.col("c2") >= SEEN, F.ln(BACKOFF * F.col("c2") / F.col("c11"))).otherwise(F.ln(BACKOFF * BACKOFF * F.col("c1") / F.col("total")))
-    sums = words.groupBy("doc_id", "tag").agg(F.count("*").alias("n_words"), F.avg(s).alias("score"))
-    keys = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc_id").distinct()
+    sums = words.groupBy("doc_id", "tag").agg(F.count("*").alias("n_words"), F.avg(s).alias("score"), F.max("rows").alias("rows")).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    keys = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc_id")
     empty = keys.select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("double").alias("score"))
     return sums.select("doc_id", "n_words", "score").unionByName(empty)

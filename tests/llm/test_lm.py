@@ -26,3 +26,10 @@ def test_equals_brute_force(spark):
         assert got[i][0] == len(w)
         assert got[i][1] is None if not w else abs(got[i][1] - sum(score(w, j) for j in range(len(w))) / len(w)) < 1e-9
     assert lm.lm_scores(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_return_as_often_as_they_stand(spark):
+    texts = [(1, "a b a b")] * 3 + [(1, "a c"), (1, ""), (1, ""), (None, "a b"), (None, "a b"), (None, None), (None, " ")]
+    got = lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in got) == Counter((i, len((t or "").split())) for i, t in texts)
+    assert len({r["score"] for r in got if r["n_words"] == 4}) == 1
