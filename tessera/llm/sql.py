@@ -11,6 +11,16 @@ SQL: dict[str, str] = {
               FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.e) = len(r.e) WHERE q.vec_id % 100 = 0),
         k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10""",
+    "op6_lm_scores": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        t AS (SELECT doc_id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        one AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+        two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+        three AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c),
+        s AS (SELECT t.doc_id, CASE WHEN three.n >= 2 THEN ln(three.n / context.n) WHEN two.n >= 2 THEN ln(0.4 * two.n / word.n) ELSE ln(0.16 * one.n / (SELECT count(*) FROM t)) END AS s
+              FROM t JOIN one ON one.c = t.c LEFT JOIN two ON two.b = t.b AND two.c = t.c LEFT JOIN three ON three.a = t.a AND three.b = t.b AND three.c = t.c
+              LEFT JOIN two context ON context.b = t.a AND context.c = t.b LEFT JOIN one word ON word.c = t.b)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, (SELECT round(avg(s.s), 6) FROM s WHERE s.doc_id = d.doc_id) AS score FROM d""",
     "op8_substring_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),

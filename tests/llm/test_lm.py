@@ -1,13 +1,16 @@
 """Stupid backoff against dictionaries."""
 
 import math
+import random
 from collections import Counter
 
+import pytest
+
 from tessera.llm import lm
 
 
-def test_equals_brute_force(spark):
-    texts = ["a b c a b c a", "a b d", "x", "", None, " \n", "b c a b"]
+def expected(texts):
+    """(n_words, score) of each text."""
     words = [(t or "").split() for t in texts]
     c = Counter(tuple(w[i : i + n]) for w in words for n in (1, 2, 3) for i in range(len(w) - n + 1))
     total = sum(map(len, words))
@@ -19,17 +22,47 @@ def test_equals_brute_force(spark):
             return math.log(0.4 * c[tuple(w[i - 1 : i + 1])] / c[(w[i - 1],)])
         return math.log(0.16 * c[(w[i],)] / total)
 
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm.lm_scores(docs).collect()}
-    assert len(got) == len(texts)
-    for i, w in enumerate(words):
-        assert got[i][0] == len(w)
-        assert got[i][1] is None if not w else abs(got[i][1] - sum(score(w, j) for j in range(len(w))) / len(w)) < 1e-9
+    return [(len(w), sum(score(w, i) for i in range(len(w))) / len(w) if w else None) for w in words]
+
+
+def same(got, ids, texts):
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] is None, r[2] or 0)
+    got = sorted(((r["doc_id"], r["n_words"], r["score"]) for r in got), key=key)
+    want = sorted(((i, *e) for i, e in zip(ids, expected(texts), strict=True)), key=key)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[2] is None if w[2] is None else abs(g[2] - w[2]) < 1e-6
+
+
+TEXTS = ["a b c a b c a", "a b d", "x", "", None, " \n", "b c a b", "é ü é ü"]
+
+
+def test_equals_brute_force(spark):
+    docs = spark.createDataFrame([*enumerate(TEXTS)], "doc_id long, text string")
+    same(lm.lm_scores(docs).collect(), range(len(TEXTS)), TEXTS)
     assert lm.lm_scores(docs.limit(0)).count() == 0
 
 
-def test_repeated_rows_return_as_often_as_they_stand(spark):
-    texts = [(1, "a b a b")] * 3 + [(1, "a c"), (1, ""), (1, ""), (None, "a b"), (None, "a b"), (None, None), (None, " ")]
-    got = lm.lm_scores(spark.createDataFrame(texts, "doc_id long, text string")).collect()
-    assert Counter((r["doc_id"], r["n_words"]) for r in got) == Counter((i, len((t or "").split())) for i, t in texts)
-    assert len({r["score"] for r in got if r["n_words"] == 4}) == 1
+@pytest.mark.parametrize("block_chars, part_grams", [(200, 200), (2_000, 100_000)])
+def test_several_blocks_and_parts(spark, block_chars, part_grams):
+    rng = random.Random(block_chars)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 2, 3, 20, 60]))) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    same(lm.lm_scores(docs, block_chars, part_grams).collect(), range(len(texts)), texts)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    rows = [(1, "a b a b")] * 3 + [(1, "a c"), (1, ""), (1, ""), (None, "a b"), (None, "a b"), (None, None), (None, " ")]
+    same(lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect(), [i for i, _ in rows], [t for _, t in rows])
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    texts = ["w" + " x y" * 200_000, "x y x", "z"]
+    docs = spark.createDataFrame([(i, t, 5, 6, "b") for i, t in enumerate(texts)], "doc_id long, text string, n_words int, score int, block string")
+    same(lm.lm_scores(docs, 200_000).collect(), range(3), texts)
+
+
+def test_one_word_everywhere_and_copies(spark):
+    texts = ["the the the the"] * 300 + ["the end"]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    same(lm.lm_scores(docs, 2_000, 500).collect(), range(len(texts)), texts)
