@@ -14,15 +14,30 @@ from tessera.streaming import usage
 from tests.repos import SERVICE, catalog
 
 
-def test_walk_and_git(spark, tmp_path):
-    tree = {"src/app.py": "x = 1\n", ".ssh/id_rsa.py": "k", ".env.py": "k", "node_modules/a.js": "1", "gen/b.py": "1", "note.txt": "t", "c.gen.py": "1", ".gitignore": "gen/\n*.gen.py\n# no\n"}
+def put(folder, tree):
     for p, c in tree.items():
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_text(c)
-    rows = discovery.walk(spark, "r", str(tmp_path)).collect()
-    assert [(r["path"], r["content"], r["size_bytes"]) for r in rows] == [("src/app.py", "x = 1\n", 6)]
+        (folder / p).parent.mkdir(parents=True, exist_ok=True)
+        (folder / p).write_text(c)
+
+
+def test_walk_and_git(spark, tmp_path):
+    put(tmp_path, {"src/app.py": "x = 1\n", "src/__init__.py": "", "src/_priv.py": "y = 2\n", "_gen/.hid.py": "", ".ssh/id_rsa.py": "k", ".env.py": "k", "node_modules/a.js": "1", "gen/b.py": "1", "note.txt": "t", "c.gen.py": "1", ".gitignore": "gen/\n*.gen.py\n# no\n"})
+    found = ["_gen/.hid.py", "src/__init__.py", "src/_priv.py", "src/app.py"]
+    rows = {r["path"]: r for r in discovery.walk(spark, "r", str(tmp_path)).collect()}
+    assert sorted(rows) == found and (rows["src/app.py"]["content"], rows["src/app.py"]["size_bytes"]) == ("x = 1\n", 6)
+    assert rows["src/app.py"]["modified_ns"] == (tmp_path / "src/app.py").stat().st_mtime_ns
+    assert sorted(r["path"] for r in discovery.walk(spark, "r", f"file://{tmp_path}").collect()) == found
     subprocess.run(["git", "init", "-q"], cwd=tmp_path, check=True)
-    assert [r["path"] for r in discovery.discover(spark, "r", str(tmp_path)).collect()] == ["src/app.py"]
+    assert sorted(r["path"] for r in discovery.discover(spark, "r", str(tmp_path)).collect()) == found
+
+
+def test_repositories_that_cannot_be_listed_are_rows(spark, tmp_path):
+    put(tmp_path, {"a/x.py": "x = 1\n"})
+    repos = discovery.repositories(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "none")})
+    rows = {r["repo"]: r for r in discovery.listing(repos).collect()}
+    assert rows["a"]["path"] == "x.py" and rows["a"]["error"] is None
+    assert rows["b"]["path"] is None and "none" in rows["b"]["error"]
+    assert [(r["repo"], r["content"]) for r in discovery.sources(repos).collect()] == [("a", "x = 1\n")]
 
 
 def tables(c):
