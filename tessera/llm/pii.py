@@ -9,6 +9,9 @@ back, so that a long run without a match costs one pass.
 An account number may be followed, or preceded, by groups that look like more of it. So its pattern finds every place
 where one may start and looks ahead for the longest run of groups; the longest part of these groups that mod-97 confirms
 is the span, from left to right and without overlaps.
+
+Words on either side raise or lower a span's score. The kinds of the contract don't depend on it; the kinds added here
+do, and a run of letters and digits is a secret, or three groups of digits a social security number, only by such a word.
 """
 
 from __future__ import annotations
@@ -19,33 +22,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LOCAL = "A-Za-z0-9._%+-"
-#: How many characters before a span may hold a word that adjusts its score, and the least score of a span the method adds.
-NEAR, LEAST = 48, 0.3
+#: How many characters on either side of a span may hold a word that adjusts its score; what such a word adds or takes;
+#: and the least score of a span of the kinds that the method adds.
+NEAR, RAISED, LOWERED, LEAST = 48, 30, 30, 40
 #: Characters at the start of an account number that its pattern takes, and the fewest it has without spaces.
 HEAD, SHORTEST = 4, 15
-#: Words before a span that lower any score, as in a version, a size or an example.
-AGAINST = r"(^|[^a-z])(version|ver|build|release|isbn|sku|example|order|invoice)([^a-z]|$)"
+#: Words near a span that lower any score, as in a version, a digest or an example.
+AGAINST = "version|ver|build|release|isbn|sku|example|order|invoice|commit|checksum|digest|sha1|sha256|md5"
+#: Forms of access keys that say themselves what they are.
+KEY_FORMS = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|AIza[A-Za-z0-9_-]{35}|xox[abprs]-[A-Za-z0-9-]{10,}"
+
+
+#: Words before or after a run of letters and digits that make it a secret.
+SECRET_WORDS = "password|passwd|pwd|passphrase|secret|token|api_key|api-key|apikey|api key|bearer|credential|credentials"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What is looked for, the characters that any match holds, how a match is confirmed, its score and words for it."""
+    """What is looked for, what any text with a match holds, the score of a match in per cent and words for it.
+
+    Spans of base kinds stay whatever their score; others need ``LEAST``, so a kind of a lower score needs one of its words.
+    """
 
     name: str
     pattern: str
     sign: str
-    score: float
+    score: int
     words: str
     base: bool = True
     group: int = 0
 
 
 KINDS = (
-    Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|email|e-mail|contact|write|reply"),
-    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", ".", 0.6, "ip|host|server|address|addr|login|client"),
-    Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++", "", 0.8, "card|visa|mastercard|amex|credit|debit|pay|payment"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|telephone|call|mobile|fax|sms|whatsapp"),
-    Kind("iban", r"(?<![A-Za-z0-9_])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])))[A-Z]{2}[0-9]{2}", "", 0.8, "iban|account|bank|konto|compte|cuenta|transfer", base=False, group=1),
+    Kind("email", rf"(?:(?<![{LOCAL}])|\G)[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 90, "mail|email|e-mail|contact|write|reply"),
+    Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", "[.]", 60, "ip|host|server|address|addr|login|client"),
+    Kind("card", r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++", "", 80, "card|visa|mastercard|amex|credit|debit|pay|payment"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "[+]", 60, "phone|tel|telephone|call|mobile|fax|sms|whatsapp"),
+    Kind("iban", r"(?<![A-Za-z0-9_])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9_])))[A-Z]{2}[0-9]{2}", "", 80, "iban|account|bank|konto|compte|cuenta|transfer", base=False, group=1),
+    Kind("key", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{15,}+", "AKIA|ASIA|gh[pousr]_|AIza|xox[abprs]-", 80, "key|token|aws|access|credential|credentials", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{15,}+", f"(?i){SECRET_WORDS}", 20, SECRET_WORDS, base=False),
+    Kind("ssn", r"(?:(?<![0-9-])|\G)[0-9-]{11,}+", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 20, "ssn|social security|social security number", base=False),
 )
 
 
@@ -70,29 +86,37 @@ def confirmed(kind: Kind, match: Column) -> Column:
         return F.length(digits).between(16, 19) & F.call_function("luhn_check", digits)
     if kind.name == "phone":
         return F.length(digits_of(match)).between(8, 15)
+    if kind.name == "key":
+        return match.rlike(f"^(?:{KEY_FORMS})$")
+    if kind.name == "secret":
+        return match.rlike("[0-9]") & match.rlike("[A-Za-z]")
+    if kind.name == "ssn":
+        return match.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")
     return F.lit(True)
 
 
-def score_of(kind: Kind, before: Column) -> Column:
-    """A kind's score, raised by a word for it nearby and lowered by one against it; ``before`` is what stands there."""
-    near = F.lower(before)
-    raised = F.when(near.rlike(rf"(^|[^a-z])({kind.words})([^a-z]|$)"), F.lit(0.1)).otherwise(F.lit(0.0))
-    return F.lit(kind.score) + raised - F.when(near.rlike(AGAINST), F.lit(0.4)).otherwise(F.lit(0.0))
+def score_of(kind: Kind, before: Column, after: Column) -> Column:
+    """A kind's score, raised by a word for it on either side, up to 100, and lowered by one against it."""
+    sides = F.lower(F.concat(before, F.lit("\n"), after))
+    says = lambda words: sides.rlike(rf"(^|[^a-z0-9])({words})([^a-z0-9]|$)")
+    return F.least(F.lit(100), F.lit(kind.score) + F.when(says(kind.words), RAISED).otherwise(0)) - F.when(says(AGAINST), LOWERED).otherwise(0)
 
 
 def proposed(docs: DataFrame, text: Column, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with a column _m_<kind> of what each pattern matches, left to right; a null text has no match."""
     none = F.array().cast("array<string>")
-    found = {f"_m_{k.name}": F.when(text.contains(k.sign) if k.sign else text.isNotNull(), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))).otherwise(none) for k in kinds}
+    found = {f"_m_{k.name}": F.when(text.rlike(k.sign) if k.sign else text.isNotNull(), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(k.group))).otherwise(none) for k in kinds}
     return docs.withColumns(found)
 
 
 def pieces(kind: Kind, text: Column) -> Column:
-    """gap and match by turns: each match of a kind with the gap before it, and last the rest of the text with no match."""
-    return F.zip_with(F.split(text, kind.pattern, -1), F.col(f"_m_{kind.name}"), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    """gap, match, after: each match of a kind with the gaps before and after it, and last the rest of the text with no match."""
+    gaps = F.split(text, kind.pattern, -1)
+    each = F.zip_with(gaps, F.col(f"_m_{kind.name}"), lambda gap, match: F.struct(gap.alias("gap"), match.alias("match")))
+    return F.zip_with(each, F.slice(gaps, F.lit(2), F.size(gaps)), lambda p, after: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.left(after, F.lit(NEAR)).alias("after")))
 
 
-SPAN = "array<struct<kind:string,start:long,end:long,match:string,score:double>>"
+SPAN = "array<struct<kind:string,start:long,end:long,match:string,score:long>>"
 
 
 def longest(match: Column) -> Column:
@@ -110,8 +134,9 @@ def account_spans(kind: Kind, text: Column) -> Column:
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["gap"]
         end = start + F.length(p["match"])
-        near = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
-        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), p["match"].alias("match"), score_of(kind, near).cast("double").alias("score"))
+        before = F.substring(text, F.greatest(start - NEAR, F.lit(0)) + 1, F.least(start, F.lit(NEAR)))
+        score = score_of(kind, before, F.substring(text, end + 1, F.lit(NEAR)))
+        span = F.struct(F.lit(kind.name).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), p["match"].alias("match"), score.cast("long").alias("score"))
         taken = p["match"].isNotNull() & (start >= acc["end"])
         return F.struct((start + HEAD).alias("at"), F.when(taken, end).otherwise(acc["end"]).alias("end"), F.when(taken, F.concat(acc["spans"], F.array(span).cast(SPAN))).otherwise(acc["spans"]).alias("spans")).cast(state)
 
@@ -120,6 +145,11 @@ def account_spans(kind: Kind, text: Column) -> Column:
     return F.when(F.size(f"_m_{kind.name}") > 0, F.filter(found, lambda s: F.lit(kind.base) | (s["score"] >= LEAST))).otherwise(F.array().cast(SPAN))
 
 
+def scored(kind: Kind, piece: Column) -> Column:
+    """``score_of`` by what stands around a match, no further than the next match of its kind on either side."""
+    return score_of(kind, F.right(piece["gap"], F.lit(NEAR)), F.coalesce(piece["after"], F.lit("")))
+
+
 def spans_of(kind: Kind, text: Column) -> Column:
     """The confirmed spans of a kind in code points; ``proposed`` was applied before."""
     if kind.group:
@@ -128,7 +158,7 @@ def spans_of(kind: Kind, text: Column) -> Column:
 
     def step(acc: Column, p: Column) -> Column:
         at = start(acc, p)
-        span = F.struct(F.lit(kind.name).alias("kind"), at.cast("long").alias("start"), (at + F.length(p["match"])).cast("long").alias("end"), p["match"].alias("match"), score_of(kind, F.right(p["gap"], F.lit(NEAR))).cast("double").alias("score"))
+        span = F.struct(F.lit(kind.name).alias("kind"), at.cast("long").alias("start"), (at + F.length(p["match"])).cast("long").alias("end"), p["match"].alias("match"), scored(kind, p).cast("long").alias("score"))
         return F.concat(acc, F.array(span).cast(SPAN))
 
     ends = F.aggregate(F.filter(pieces(kind, text), lambda p: p["match"].isNotNull()), F.array().cast(SPAN), step)
@@ -140,14 +170,15 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """doc_id, and a column <kind> of the spans of each kind, by start: kind, start, end (code points), match, score.
 
     Spans of one kind don't overlap. A null or empty text has none; repeated rows give repeated results; other columns
-    are ignored. The length of a text and the number of its spans aren't bounded.
+    are ignored, whatever their names; an empty table gives an empty one. The length of a text and the number of its spans
+    aren't bounded. Scores are per cent: a kind's own, raised or lowered by words within ``NEAR`` characters of the span.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return proposed(rows, F.col("text")).select("doc_id", *(spans_of(k, F.col("text")).alias(k.name) for k in KINDS))
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_<base kind>, base_sha256, spans (kind:start:end by kind, then start) and the greatest score (null: none)."""
+    """doc_id, n_<base kind>, base_sha256, spans (kind:start:end by kind, then start) and top_score, the greatest of all (null: none)."""
     found = find_spans(docs)
     base = [k for k in KINDS if k.base]
     text = lambda kinds: F.array_join(F.transform(F.concat(*(F.col(k.name) for k in kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -164,20 +195,23 @@ def replaced(kind: Kind, text: Column) -> Column:
         return F.aggregate(spans_of(kind, text), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state), put_span, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
 
     def put(p: Column) -> Column:
-        goes = p["match"].isNotNull() & confirmed(kind, p["match"]) & (F.lit(kind.base) | (score_of(kind, F.right(p["gap"], F.lit(NEAR))) >= LEAST))
+        goes = p["match"].isNotNull() & confirmed(kind, p["match"]) & (F.lit(kind.base) | (scored(kind, p) >= LEAST))
         return F.concat(p["gap"], F.when(F.coalesce(goes, F.lit(False)), tag).otherwise(F.coalesce(p["match"], F.lit(""))))
 
     return F.array_join(F.transform(pieces(kind, text), put), "")
 
 
+REDACTED = ("email", "iban", "key", "secret", "card", "phone", "ip", "ssn")
+
+
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every confirmed span of ``text_col`` replaced by its kind in brackets, one kind after the other.
 
-    The kinds follow the order email, iban, card, phone, ip. Null texts stay null; columns and their order stay.
+    The kinds follow the order of ``REDACTED``. Null texts stay null; columns and their order stay, an empty table too.
     """
     columns = docs.columns
     name = {k.name: k for k in KINDS}
-    for kind in (name[x] for x in ("email", "iban", "card", "phone", "ip")):
+    for kind in (name[x] for x in REDACTED):
         text = F.col(text_col)
         docs = proposed(docs, text, (kind,)).withColumn(text_col, F.when(F.size(f"_m_{kind.name}") > 0, replaced(kind, text)).otherwise(text)).drop(f"_m_{kind.name}")
     return docs.select(*columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.llm import pii
+
 #: Where SQL can say what a query returns.
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
@@ -43,25 +45,34 @@ DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
 LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({DIGITS}[-i] AS INT) WHEN CAST({DIGITS}[-i] AS INT) > 4 THEN 2 * CAST({DIGITS}[-i] AS INT) - 9 ELSE 2 * CAST({DIGITS}[-i] AS INT) END)) % 10 = 0"
 LETTERS = "replace(m, ' ', '')[5:] || replace(m, ' ', '')[1:4]"
 MOD_97 = f"list_reduce(list_prepend(0, list_transform(string_split({LETTERS}, ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda r, v: CASE WHEN v > 9 THEN (r * 100 + v) % 97 ELSE (r * 10 + v) % 97 END) = 1"
+RUN = "[A-Za-z0-9_-]{15,}"
+#: Kind, pattern, and what holds of a match m; scores and words are the operator's.
 PERSONAL = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     ("ip", r"[0-9]+(?:\.[0-9]+){3}", "len(list_filter(string_split(m, '.'), lambda p: NOT regexp_full_match(p, '0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])'))) = 0"),
     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 16 AND 19 AND {LUHN}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 8 AND 15"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", MOD_97),
+    ("key", RUN, f"regexp_full_match(m, '{pii.KEY_FORMS}')"),
+    ("secret", RUN, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"),
+    ("ssn", "[0-9-]{11,}", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}')"),
 )
 
 
 def personal_data() -> str:
-    """Each kind's matches with their offsets: the text split at the pattern gives the gaps between them."""
+    """Each kind's matches with their offsets and what stands around them: the text split at the pattern gives the gaps."""
     parts = []
-    for i, (kind, pattern, holds) in enumerate(PERSONAL):
-        found = f"SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d"
-        each = f"SELECT doc_id, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({found}))"
-        parts.append(f"SELECT doc_id, {i} AS k, '{kind}' AS kind, a, a + length(m) AS b FROM ({each}) WHERE {holds}")
+    for i, ((kind, pattern, holds), k) in enumerate(zip(PERSONAL, pii.KINDS, strict=True)):
+        found = f"SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS ms, string_split_regex(t, '{pattern}') AS gs FROM d"
+        each = f"SELECT doc_id, t, ms[i] AS m, right(gs[i], {pii.NEAR}) AS before, left(coalesce(gs[i + 1], ''), {pii.NEAR}) AS after, CAST(list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM ({found}))"
+        around = f"substr(t, greatest(a - {pii.NEAR}, 0) + 1, least(a, {pii.NEAR})) || chr(10) || substr(t, a + length(m) + 1, {pii.NEAR})" if k.group else "before || chr(10) || after"
+        says = lambda words: f"regexp_matches(lower({around}), '(^|[^a-z0-9])({words})([^a-z0-9]|$)')"  # noqa: B023, E731
+        score = f"least(100, {k.score} + CASE WHEN {says(k.words)} THEN {pii.RAISED} ELSE 0 END) - CASE WHEN {says(pii.AGAINST)} THEN {pii.LOWERED} ELSE 0 END"
+        least = "" if k.base else f" WHERE score >= {pii.LEAST}"
+        parts.append(f"SELECT * FROM (SELECT doc_id, {i} AS k, '{kind}' AS kind, a, a + length(m) AS b, CAST({score} AS BIGINT) AS score FROM ({each}) WHERE {holds}){least}")
     n = ", ".join(f"count(k) FILTER (k = {i}) AS n_{kind}" for i, (kind, *_) in enumerate(PERSONAL[:4]))
     spans = lambda where: f"coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY k, a){where}, '')"
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {n}, sha256({spans(' FILTER (k < 4)')}) AS base_sha256, {spans('')} AS spans FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
+    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}) SELECT d.doc_id, {n}, sha256({spans(' FILTER (k < 4)')}) AS base_sha256, {spans('')} AS spans, max(score) AS top_score FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id"
 
 
 SQL["op3_pii"] = personal_data()
