@@ -24,7 +24,7 @@ from tessera.llm.common import WordHash, id_and_text, rolling, stored, texts_of
 
 BACKOFF, SEEN = 0.4, 2
 #: Characters of a block's texts (a longer text is a block of its own), n-grams of a part, and n-grams that a character gives at most.
-BLOCK_CHARS, PART_GRAMS, GRAMS_A_CHAR = 24_000_000, 4_000_000, 0.25
+BLOCK_CHARS, PART_GRAMS, GRAMS_A_CHAR = 16_000_000, 4_000_000, 0.25
 ORDERS = (1, 2, 3)
 
 
