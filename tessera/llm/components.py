@@ -9,7 +9,7 @@ from tessera.llm.common import stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, comp (the least node that it reaches) for every node of ``edges`` (a, b: long, direction doesn't matter).
+    """node, comp (the least node that it reaches) for every node of ``edges`` (a, b of any one ordered type, either way round).
 
     Each round takes every node to the least among itself and its neighbours, and that to where it goes itself; edges are
     then drawn between what nodes were taken to, and equal ones and loops fall away, so the graph shrinks until no edge
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     the driver only asks whether any edge is left. Edges of a null end are left out; an empty table gives an empty one.
     """
     ordered = lambda df, a, b: df.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    left = stored(ordered(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "a", "b"), "edges")
+    left = stored(ordered(edges.select("a", "b"), "a", "b"), "edges")
     steps: list[DataFrame] = []
     while not left.isEmpty():
         if len(steps) == most_rounds:

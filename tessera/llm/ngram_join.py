@@ -1,9 +1,10 @@
 """N-gram Jaccard join: documents whose sets of word n-grams overlap enough, found in prefix trees.
 
 Equal sets are one class. A set's n-grams are put in one global order, rarest first as far as a fixed-size count of all
-n-grams tells. If two sets are similar, the first quarter of either, and a little more, has several n-grams in common;
-sets that share too few of theirs with any other are done. For the others those shared n-grams, rarest first, name a
-family each; similar sets are always in one family. A family's sets are stored in a prefix tree, in which runs of n-grams
+n-grams tells. If two sets are similar, the first 37.5 % of either has several n-grams in common; sets that share too few of
+theirs with any other are done. For the others the sets that share an n-gram are a family, named by the least set that
+has it, so that sets whose shared n-grams have one leader meet once; similar sets always have a family in common, and
+families aren't merged, so none grows by chains. A family's sets are stored in a prefix tree, in which runs of n-grams
 that several sets have in common are one edge. Each set walks the tree level by level with the overlap so far, which
 all sets below an edge share, and leaves a subtree when even the longest set below it, or what is left of its own, can't
 reach the overlap needed, or when all of it is linked to the walker already.
@@ -61,7 +62,7 @@ def prefix_length(n: int) -> int:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
-    """doc_id, cls (hash of the set; null: empty), n, light and heavy: the set's prefix in the global order, in two parts.
+    """doc_id, tag, cls (hash of the set; null: empty), n, light and heavy: the set's prefix in the global order, in two parts.
 
     Of the n-grams in ``light`` none is in more than ``sketch.heavy_above`` documents.
     """
@@ -83,9 +84,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
                     order = np.concatenate([np.flatnonzero(~common), (rest := np.flatnonzero(common))[np.argsort(load[rest], kind="stable")]])[: prefix_length(len(grams)) if len(grams) else 0]
                     light.append(grams[order[~common[order]]])
                     heavy.append(grams[order[common[order]]])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), lists(light), lists(heavy)], ["doc_id", "cls", "n", "light", "heavy"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cls, pa.int64()), pa.array(size, pa.int32()), lists(light), lists(heavy)], ["doc_id", "tag", "cls", "n", "light", "heavy"])
 
-    return docs.mapInArrow(run, "doc_id long, cls long, n int, light array<long>, heavy array<long>")
+    return docs.mapInArrow(run, "doc_id long, tag long, cls long, n int, light array<long>, heavy array<long>")
 
 
 def lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -241,36 +242,41 @@ def linked(ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, sets: list[np.
 
 
 def tree_join(sets: DataFrame) -> DataFrame:
-    """a, b: links among sets (grp, cls, comp, n, grams) of one grp, as ``linked`` finds them."""
+    """a, b, a_rep, b_rep: links among sets (grp, cls, comp, n, rep, grams) of one grp, as ``linked`` finds them."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.drop_duplicates("cls")
         grams = [np.frombuffer(g, np.uint64) for g in part["grams"]]
         found = linked(part["cls"].to_numpy(), part["comp"].to_numpy(), part["n"].to_numpy(), grams) if len(part) > 1 else []
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        links = pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+        rep = part.set_index("cls")["rep"].astype("Int64")
+        return links.assign(a_rep=rep.reindex(links["a"]).array, b_rep=rep.reindex(links["b"]).array)
 
-    return sets.groupBy("grp").applyInPandas(run, "a long, b long")
+    return sets.groupBy("grp").applyInPandas(run, "a long, b long, a_rep long, b_rep long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """cls, n, groups, grams (8 bytes each): the whole set of each class in ``wanted`` (cls, n, groups, rep), from a document of id rep."""
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "n", "groups", "text")
+    """cls, n, rep, groups, grams (8 bytes each): the whole set of each class in ``wanted`` (cls, n, rep, rep_tag, groups).
+
+    A class' text is that of a row of id rep and text hash rep_tag, so that rows of one id, or of none, don't all meet.
+    """
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))).select("cls", "n", "rep", "groups", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                take, out = [], []
-                for i, (cls, text) in enumerate(zip(part.column(0).to_pylist(), texts_of(part), strict=True)):
-                    grams = shingles(hashes, text, n)
-                    if len(grams) and int(xxhash.xxh3_64_intdigest(grams.tobytes())) - (1 << 63) == cls:  # rows may repeat an id
-                        take.append(i)
-                        out.append(grams.tobytes())
-                kept = part.take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(3)), pa.array(out, pa.binary())], ["cls", "n", "groups", "grams"])
+                out = [shingles(hashes, text, n).tobytes() for text in texts_of(part)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), pa.array(out, pa.binary())], ["cls", "n", "rep", "groups", "grams"])
 
-    return texts.mapInArrow(run, "cls long, n int, groups array<string>, grams binary")
+    return texts.mapInArrow(run, "cls long, n int, rep long, groups array<string>, grams binary")
+
+
+def representatives(prefix: DataFrame) -> DataFrame:
+    """cls, rep, rep_tag: of the rows of each class the least id, nulls last, and the least text hash that it has."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("r")
+    return prefix.where("cls is not null").groupBy("cls").agg(least).select("cls", F.col("r.doc_id").alias("rep"), F.col("r.tag").alias("rep_tag"))
 
 
 def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -280,20 +286,19 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def links_of(docs: DataFrame, prefix: DataFrame, n: int, family: int) -> DataFrame:
-    """a, b: links between classes that connect all that is similar."""
+    """a, b, a_rep, b_rep: links between classes that connect all that is similar."""
     found = stored(candidates(shared(prefix)), "candidates")
-    edges = found.select(F.col("cls").alias("a"), F.explode("leads").alias("b"))
-    fams = labelled(found.select("cls", "n"), edges).withColumnRenamed("comp", "fam")
+    fams = found.select("cls", "n", F.explode("leads").alias("fam"))
     many = fams.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
     members = stored(fams.join(many, "fam"), "members")
     parts = F.ceil(F.col("m") / family).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
     pivot = (F.col("m") > family) & (F.pmod(F.xxhash64(F.lit("pivot"), "cls"), F.ceil(F.col("m") / PIVOTS)) == 0)
     named = F.transform(F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)), lambda p: F.concat_ws(":", F.col("fam").cast("string"), p.cast("string")))
-    reps = prefix.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    sets = stored(full_sets(docs, members.select("cls", "n", named.alias("groups")).join(reps, "cls"), n), "sets")
-    links = stored(tree_join(sets.select("cls", F.col("cls").alias("comp"), "n", F.explode("groups").alias("grp"), "grams")), "links")
-    large = stored(labelled(members.where(F.col("m") > family).select("cls", "n"), links), "large")
+    groups = members.groupBy("cls", "n").agg(F.flatten(F.collect_list(named)).alias("groups"))  # at most a set's n-grams
+    sets = stored(full_sets(docs, groups.join(representatives(prefix), "cls"), n), "sets")
+    links = stored(tree_join(sets.select("cls", F.col("cls").alias("comp"), "n", "rep", F.explode("groups").alias("grp"), "grams")), "links")
+    large = stored(labelled(members.where(F.col("m") > family).select("cls", "n").distinct(), links.select("a", "b")), "large")
     if large.isEmpty():
         return links
     # What is still apart in large families meets pair by pair of parts, where it shares an n-gram across components.
@@ -302,11 +307,34 @@ def links_of(docs: DataFrame, prefix: DataFrame, n: int, family: int) -> DataFra
     cross = stored(grams.join(across, "gram").select("cls", "n", "comp", "lead").distinct(), "cross")
     if cross.isEmpty():
         return links
-    left = labelled(cross.select("cls", "n", F.col("comp").alias("was")).distinct(), cross.select(F.col("cls").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("comp", "fam")
+    left = cross.select("cls", "n", F.col("comp").alias("was"), F.col("lead").alias("fam"))
     left = left.join(left.groupBy("fam").agg(F.count("*").alias("m")), "fam").withColumns({"part": own, "parts": parts})
     pair = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = pair.select("cls", F.col("was").alias("comp"), "n", F.concat_ws(":", F.col("fam").cast("string"), F.least("part", "with").cast("string"), F.greatest("part", "with").cast("string")).alias("grp"))
-    return links.unionByName(stored(tree_join(pair.join(sets.select("cls", "grams"), "cls")), "links"))
+    return links.unionByName(stored(tree_join(pair.join(sets.select("cls", "rep", "grams"), "cls")), "links"))
+
+
+def grouped_rows(docs: DataFrame, n: int = N, family: int = FAMILY) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, tag, cls, n) of ``docs`` (doc_id, text, tag: a hash of the text), and of each class cls, first and first_id.
+
+    ``first`` is the class of its component that has the least id, nulls last; classes in it agree in it. It comes from
+    the components themselves, whose nodes are named and ordered so, and nothing is joined by component.
+    """
+    counts = sketch.bucket_counts(docs, lambda: (lambda hashes: lambda text: shingles(hashes, text, n))(WordHash()))
+    prefix = stored(prefixes(docs, counts, n), "prefixes")
+    links = links_of(docs, prefix, n, family)
+    node = lambda cls, rep: F.struct(F.col(rep).isNull().alias("none"), F.coalesce(rep, F.lit(0)).cast("long").alias("id"), F.col(cls).alias("cls"))
+    comps = components(links.select(node("a", "a_rep").alias("a"), node("b", "b_rep").alias("b")))
+    joined = comps.select(F.col("node.cls").alias("of"), F.col("comp.cls").alias("first"), F.when(~F.col("comp.none"), F.col("comp.id")).alias("first_id"))
+    classes = representatives(prefix)
+    alone = F.col("of").isNull()
+    classes = classes.join(joined, classes["cls"] == joined["of"], "left").select("cls", F.coalesce("first", "cls").alias("first"), F.when(alone, F.col("rep")).otherwise(F.col("first_id")).alias("first_id"))
+    # Written first, so that the rows of a class of many copies may be split over tasks where they are joined to it.
+    return prefix.select("doc_id", "tag", "cls", "n"), stored(classes, "classes")
+
+
+def with_tag(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("tag", F.xxhash64("text"))
 
 
 def ngram_join(docs: DataFrame, n: int = N, family: int = FAMILY) -> DataFrame:
@@ -316,19 +344,30 @@ def ngram_join(docs: DataFrame, n: int = N, family: int = FAMILY) -> DataFrame:
     as one shingle; one without words, or a null text, none, and its component is itself. ``component_id`` is the least
     doc_id of the component; null ids are never the least unless there is no other. Repeated rows link with themselves
     and return as often as they stand; rows of one id with different texts are linked as their texts are, one by one.
-    Sets and n-grams are compared by 64-bit hashes. Other columns are ignored; an empty table gives an empty one.
+    Sets and n-grams are compared by 64-bit hashes; a text's length isn't bounded. Other columns are ignored; an empty
+    table gives an empty one.
     """
-    docs = id_and_text(docs)
-    counts = sketch.bucket_counts(docs, lambda: (lambda hashes: lambda text: shingles(hashes, text, n))(WordHash()))
-    prefix = stored(prefixes(docs, counts, n), "prefixes")
-    links = links_of(docs, prefix, n, family)
-    classes = prefix.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    comps = components(links)
-    linked_classes = comps.join(classes, comps["node"] == classes["cls"]).select("cls", "comp", "rep")
-    least = linked_classes.groupBy("comp").agg(F.min("rep").alias("least"))
-    joined = linked_classes.join(least, "comp").select(F.col("cls").alias("of"), "least")
-    # Written first, so that the rows of a class of many copies may be split over tasks where they are joined to it.
-    classes = stored(classes.join(joined, classes["cls"] == joined["of"], "left").select("cls", F.coalesce("least", "rep").alias("component_id")), "classes")
-    rows = prefix.select("doc_id", "cls", F.col("n").cast("long").alias("n_shingles"))
-    out = rows.join(classes, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows, classes = grouped_rows(with_tag(id_and_text(docs)), n, family)
+    out = rows.join(classes, "cls", "left").withColumn("n_shingles", F.col("n").cast("long"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = N, family: int = FAMILY) -> DataFrame:
+    """The rows of ``docs`` with one of each component: that of least id, nulls last, then of least text hash.
+
+    Rows without words, or of a null text, belong to no component and stay, as often as they stand. Of rows that are equal
+    in id and text one is one row. All columns are kept.
+    """
+    names = docs.columns
+    keyed = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, classes = grouped_rows(with_tag(id_and_text(docs)), n, family)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    # Copies are one row each before they meet by component.
+    once = rows.where("cls is not null").groupBy("cls", "doc_id", "tag").agg(F.count("*").alias("times")).groupBy("cls").agg(F.min(F.struct(order.alias("o"), "times")).alias("least"))
+    stays = once.join(classes, "cls").groupBy("first").agg(F.min("least").alias("least")).select(F.col("least.o.doc_id").alias("s_id"), F.col("least.o.tag").alias("s_tag"), "least.times")
+    stays = stored(stays, "stays")
+    found = with_tag(keyed).join(stays, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("tag") == F.col("s_tag")))
+    single = found.where("times = 1").select("row")
+    repeated = found.where("times > 1").dropDuplicates(["doc_id", "tag"]).select("row")
+    wordless = keyed.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("row")
+    return single.unionByName(repeated).unionByName(wordless).select("row.*")

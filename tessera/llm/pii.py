@@ -209,9 +209,8 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     The kinds follow the order of ``REDACTED``. Null texts stay null; columns and their order stay, an empty table too.
     """
-    columns = docs.columns
-    name = {k.name: k for k in KINDS}
+    columns, name = docs.columns, {k.name: k for k in KINDS}
+    out, text = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text")), F.col("text")
     for kind in (name[x] for x in REDACTED):
-        text = F.col(text_col)
-        docs = proposed(docs, text, (kind,)).withColumn(text_col, F.when(F.size(f"_m_{kind.name}") > 0, replaced(kind, text)).otherwise(text)).drop(f"_m_{kind.name}")
-    return docs.select(*columns)
+        out = proposed(out, text, (kind,)).select("row", F.when(F.size(f"_m_{kind.name}") > 0, replaced(kind, text)).otherwise(text).alias("text"))
+    return out.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))
