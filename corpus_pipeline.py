@@ -28,15 +28,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of least id; rows without words or id are no group's and stay.
+    """Of each group of similar documents the row of least id, nulls last, then of least text hash; rows without words stay.
 
-    Rows of one id and text are one document; rows of one id and different texts stay or go together.
+    Rows are judged one by one: of rows that share an id each stays or goes with its own text, and rows that are equal in
+    id and text are one. Repeated columns of other names are kept as they are; an empty table gives an empty one.
     """
-    groups = ngram_join.ngram_join(docs)
-    stays = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(F.col("_stays")), "left_semi")
-    named = kept.withColumn("_text", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return named.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*(c if c in ("text", "doc_id") else f"c{i}" for i, c in enumerate(names)))
+    return ngram_join.one_of_each(plain).toDF(*names)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
