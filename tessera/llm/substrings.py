@@ -1,16 +1,17 @@
-"""Substring dedup by relative factoring: words that passages of other documents, or of the same, cover are removed.
-
-A document is factored greedily against reference blocks that hold all the others: from a word on, a factor runs as long
-as every window of ``WINDOW`` words of it also starts somewhere in a block, so factors of fewer words don't arise, and
-at a factor's end the windows that reach over the boundary are looked up one by one, since they may stand in another
-block. What the factors cover is a duplicate span.
-
-Blocks are not texts but windows dealt by fingerprint, so that a document meets just the block that could hold a window,
-not every block. Which windows are worth dealing is found first from a sparse index: of the runs of ``RUN`` words in a
-window the one of least hash is the window's anchor, which equal windows share; one place in 15 is an anchor. Windows
-whose anchor occurs once in the corpus can't repeat. Texts that are equal word by word count as one text that is known
-to repeat. Anchors that occur at most ``LIGHT`` times give bounded groups, which one task looks through; windows of the
-others are salted, and what the salted parts found is put together in a second step of bounded groups.
+"""Substring dedup by relative Lempel-Ziv parsing: what passages of other documents, or of the same, cover is removed.
+
+A text is factored greedily against reference blocks: from a word on, a factor is the longest run of words that also
+starts anywhere else in a block; the parse goes on where the first window of ``WINDOW`` words stands that reaches over
+the factor's end, so that windows across factor boundaries are looked up too. Factors of ``WINDOW`` words or more are
+duplicate spans. A block is indexed by the order of all its suffixes, so the longest match of a place is its neighbour's.
+
+To factor every text against every block would be quadratic. Which blocks can hold a match is known from a sparse index:
+of the runs of ``RUN`` words in a window the one of least hash is the window's anchor, which equal windows share; one
+place in 15 is an anchor. The windows of one anchor's place make a segment of a text, and a block holds the segments of
+some anchors from all texts, so a segment's matches are all in the block of its anchor. Anchors that occur once in the
+corpus can't be in a window that repeats, and have no segment. Texts that are equal word by word count as one that is
+known to repeat. An anchor that occurs more than ``LIGHT`` times doesn't fit a block; its windows are dealt one by one,
+by hash and salt, and what the salted parts found is put together in a second step of bounded groups.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WordHash, id_and_text, rolling, signed, stored, texts_of
 
 WINDOW, RUN = 35, 8
-#: Occurrences of an anchor up to which its windows are looked through in one task, and windows in a task.
-LIGHT, TASK_ROWS = 2_000, 1_500_000
+#: Occurrences of an anchor up to which its segments are in one block, segments of a block, and windows of heavy anchors in a task.
+LIGHT, BLOCK_SEGMENTS, TASK_ROWS = 2_000, 60_000, 1_500_000
 #: Parts into which the windows of other anchors are dealt.
 SALTS = 64
 
@@ -48,7 +49,7 @@ def sha(words: list[bytes]) -> str:
 
 
 def indexed(docs: DataFrame, window: int, run: int) -> DataFrame:
-    """doc_id, cls (hash of the words), n, kept (digest of all words), anchors and times: the sparse index of each text."""
+    """doc_id, tag, cls (hash of the words), n, kept (digest of all words), anchors and times: the sparse index of each text."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -69,55 +70,132 @@ def indexed(docs: DataFrame, window: int, run: int) -> DataFrame:
                     times.append(count.astype(np.int32))
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in ([signed(a) for a in anchors], times)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string()), *lists], ["doc_id", "cls", "n", "kept", "anchors", "times"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cls, pa.int64()), pa.array(n, pa.int64()), pa.array(kept, pa.string()), *lists], ["doc_id", "tag", "cls", "n", "kept", "anchors", "times"])
 
-    return docs.mapInArrow(rows, "doc_id long, cls long, n long, kept string, anchors array<long>, times array<int>")
+    return docs.mapInArrow(rows, "doc_id long, tag long, cls long, n long, kept string, anchors array<long>, times array<int>")
 
 
 def repeated_anchors(index: DataFrame, window: int) -> DataFrame:
-    """cls, rep, copies, light, heavy: classes of equal texts with the anchors of theirs that occur more than once."""
-    classes = stored(index.where(F.col("n") >= window).groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("anchors").alias("anchors"), F.first("times").alias("times")), "classes")
+    """cls, rep, rep_tag, times (rows of that id and text), copies, light, heavy: classes of equal texts with the anchors
+    of theirs that occur more than once; a class is read from the row of least id, nulls last, and least text hash."""
+    rows = index.where(F.col("n") >= window)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("r")
+    classes = rows.groupBy("cls").agg(least, F.count("*").alias("copies"), F.first("anchors").alias("anchors"), F.first("times").alias("times"))
+    classes = stored(classes.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.tag").alias("rep_tag"), "copies", "anchors", "times"), "classes")
     each = classes.select("cls", F.explode(F.arrays_zip("anchors", "times")).alias("a")).select("cls", F.col("a.anchors").alias("anchor"), F.col("a.times").alias("times"))
     often = each.groupBy("anchor").agg(F.sum("times").alias("total")).where("total > 1")
     found = each.join(often, "anchor").groupBy("cls").agg(F.collect_list(F.when(F.col("total") <= LIGHT, F.col("anchor"))).alias("light"), F.collect_list(F.when(F.col("total") > LIGHT, F.col("anchor"))).alias("heavy"))  # at most a text's anchors
-    return classes.select("cls", "rep", "copies").join(found, "cls")
+    return classes.select("cls", "rep", "rep_tag", "copies").join(found, "cls")
 
 
-def windows(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFrame:
-    """cls, copies, text, and of the windows that may repeat the first words' places and the fingerprints, light and heavy."""
-    texts = docs.join(found, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "copies", "light", "heavy", "text")
+def segments(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFrame:
+    """cls, copies, text, its segments (anchor, at: their first word, words) and its windows of heavy anchors (at, print)."""
+    same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
+    texts = docs.join(found, same).select("cls", "copies", "light", "heavy", "text")
+    once = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["cls"]))  # rows may be equal in id and text
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                take, columns = [], [[], [], [], []]
+                out: list[list] = [[], [], [], [], []]
                 for i, text in enumerate(texts_of(part)):
-                    words = hashes.of((text or "").encode("utf-8", "replace").split())
-                    if int(xxhash.xxh3_64_intdigest(words.tobytes())) - (1 << 63) != part.column(0)[i].as_py():
-                        continue  # rows may repeat an id
-                    value, _ = window_anchors(words, window, run)
-                    print_ = rolling(words, window)
-                    take.append(i)
-                    for k, name in enumerate(("light", "heavy")):
-                        wanted = part.column(2 + k)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                        at = np.flatnonzero(np.isin(value, wanted)) if len(wanted) else np.empty(0, np.int64)
-                        columns[2 * k].append(at)
-                        columns[2 * k + 1].append(signed(print_[at]))
-                kept = part.take(pa.array(take, pa.int64()))
-                lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in c])]).astype(np.int32)), pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64())) for c in columns]
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4), *lists], ["cls", "copies", "text", "light_at", "light", "heavy_at", "heavy"])
-
-    out = texts.mapInArrow(rows, "cls long, copies long, text string, light_at array<long>, light array<long>, heavy_at array<long>, heavy array<long>")
+                    words = (text or "").encode("utf-8", "replace").split()
+                    h = hashes.of(words)
+                    value, place = window_anchors(h, window, run)
+                    light, heavy = (np.isin(value, part.column(k)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for k in (2, 3))
+                    first = np.flatnonzero(light & np.concatenate([[True], place[1:] != place[:-1]])[: len(light)])
+                    last = np.searchsorted(place, place[first], side="right") - 1  # places only grow
+                    at = np.flatnonzero(heavy)
+                    row = (signed(value[first]), first, [b" ".join(words[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], at, signed(rolling(h, window)[at]))
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+                columns = [pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), *columns], ["cls", "copies", "text", "anchor", "at", "words", "heavy_at", "heavy"])
+
+    return once.mapInArrow(rows, "cls long, copies long, text string, anchor array<long>, at array<int>, words array<binary>, heavy_at array<int>, heavy array<long>")
+
+
+class Reference:
+    """A block: segments as one array of word numbers, and the order of the places where a window may start."""
+
+    def __init__(self, parts: list[bytes], window: int):
+        numbers: dict[bytes, int] = {}
+        sizes = np.array([p.count(b" ") + 1 for p in parts], np.int64)
+        words = np.fromiter((numbers.setdefault(w, len(numbers) + 1) for p in parts for w in p.split(b" ")), np.int64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        self.begin, self.window = ends - sizes, window
+        self.left = np.repeat(ends, sizes) - np.arange(len(words))  # words from a place to its segment's end
+        #: At each place the number of the 1, 2, 4, … words from it on, in the words' order; 0 stands after a segment's end.
+        self.names, k = {1: words}, 1
+        while k < sizes.max(initial=1):
+            more = np.zeros(len(words), np.int64)
+            inside = np.flatnonzero(self.left > k)
+            more[inside] = self.names[k][inside + k]
+            self.names[2 * k] = np.unique(self.names[k].astype(np.int64) * (int(more.max(initial=0)) + 1) + more, return_inverse=True)[1].astype(np.int32) + 1
+            k *= 2
+        places = np.flatnonzero(self.left >= window)
+        self.order = places[np.argsort(self.names[k][places], kind="stable")]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many words from the places a and b on are the same, within their segments."""
+        n = np.zeros(len(a), np.int64)
+        most = np.minimum(self.left[a], self.left[b])
+        for k in sorted(self.names, reverse=True):
+            inside = n < most
+            i = np.flatnonzero(inside)
+            n[i[self.names[k][a[i] + n[i]] == self.names[k][b[i] + n[i]]]] += k
+        return np.minimum(n, most)
+
+    def longest(self) -> np.ndarray:
+        """For each place the most words from it on that also start at another place where a window may start; else 0."""
+        out = np.zeros(len(self.left), np.int64)
+        near = self.common(self.order[:-1], self.order[1:])
+        out[self.order[:-1]] = near
+        out[self.order[1:]] = np.maximum(out[self.order[1:]], near)
+        return out
+
+
+def parse(longest: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """The factors (from, to) of at least ``window`` words of a segment, given the longest match of each of its places."""
+    found, out, at = np.flatnonzero(longest >= window).tolist(), [], 0
+    for i in found:
+        if i >= at:
+            end = i + int(longest[i])
+            out.append((i, end))
+            at = end - window + 1  # the first window that reaches over the factor's end
     return out
 
 
-def placed(found: DataFrame, kind: str) -> DataFrame:
-    """print, cls, at, copies, salt: one row a window; windows of light anchors have salt 0, others one of ``SALTS`` by text."""
-    salt = F.lit(0) if kind == "light" else 1 + F.pmod(F.xxhash64("cls"), F.lit(SALTS))
-    zipped = found.select("cls", "copies", F.explode(F.arrays_zip(F.col(f"{kind}_at").alias("at"), F.col(kind).alias("print"))).alias("w"))
-    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").cast("int").alias("at"), "copies", salt.cast("int").alias("salt"))
+def factored(rows: DataFrame, tasks: int, window: int) -> DataFrame:
+    """cls, a, b: the factors of segments (anchor, cls, copies, at, words) against the block of their anchor.
+
+    Texts with copies are in blocks for the others' sake; they go as a whole.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, cls, copies, at = [], [], [], []
+        for batch in batches:
+            for column, i in ((cls, 1), (copies, 2), (at, 3), (parts, 4)):
+                column += batch.column(i).to_pylist()
+        if not parts:
+            return
+        block = Reference(parts, window)
+        longest, out = block.longest(), []
+        for i, begin in enumerate(block.begin.tolist()):
+            if copies[i] == 1:
+                out += [(cls[i], at[i] + a, at[i] + b) for a, b in parse(longest[begin : begin + int(block.left[begin])], window)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["cls", "a", "b"])
+
+    return rows.repartition(tasks, "anchor").select("anchor", "cls", "copies", "at", "words").mapInArrow(run, "cls long, a int, b int")
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """print, cls, at, copies, salt: one row a window of heavy anchors, with one of ``SALTS`` by text."""
+    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
+    zipped = found.select("cls", "copies", F.explode(F.arrays_zip(F.col("heavy_at").alias("at"), F.col("heavy").alias("print"))).alias("w"))
+    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").alias("at"), "copies", salt.alias("salt"))
 
 
 def met(rows: DataFrame, tasks: int) -> DataFrame:
@@ -139,8 +217,8 @@ def met(rows: DataFrame, tasks: int) -> DataFrame:
         size = np.diff(np.concatenate([start, [len(print_)]]))
         several = np.add.reduceat(copies, start) > 1
         found = np.repeat(several, size) & (copies == 1)  # texts with copies go as a whole
-        sent = start[salt[start] > 0]
-        alone = ~several[salt[start] > 0]
+        sent = start
+        alone = ~several
         out = [(cls[found], at[found], np.zeros(int(found.sum()), np.int64), np.zeros(int(found.sum()), np.int8)), (cls[sent], at[sent], print_[sent], np.where(alone, 2, 1).astype(np.int8))]
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         for i in range(0, len(columns[0]), 100_000):
@@ -150,16 +228,35 @@ def met(rows: DataFrame, tasks: int) -> DataFrame:
     return rows.repartition(tasks, "print", "salt").mapInArrow(run, "cls long, at int, print long, state byte")
 
 
-def factored(texts: DataFrame, window: int) -> DataFrame:
-    """cls, n_removed, kept: what is left of each text (cls, text, starts of windows that occur elsewhere)."""
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (from, to; in any order) with those that meet or overlap as one, in order."""
+    if not len(spans):
+        return np.empty((0, 2), np.int64)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")].astype(np.int64)
+    reach = np.maximum.accumulate(spans[:, 1])
+    first = np.concatenate([[True], spans[1:, 0] > reach[:-1]])
+    return np.stack([spans[first, 0], reach[np.concatenate([first[1:], [True]])]], axis=1)
+
+
+def spans_of(row) -> np.ndarray:
+    """An Arrow list of structs (a, b) as an array of two columns."""
+    values = row.values
+    return np.stack([values.field(k).to_numpy(zero_copy_only=False) for k in ("a", "b")], axis=1) if values is not None and len(values) else np.empty((0, 2), np.int64)
+
+
+def left_of(words: list[bytes], spans: np.ndarray) -> list[bytes]:
+    return [w for a, b in zip([0, *spans[:, 1].tolist()], [*spans[:, 0].tolist(), len(words)], strict=True) for w in words[a:b]]
+
+
+def cut(texts: DataFrame) -> DataFrame:
+    """cls, n_removed, kept: what is left of each text (cls, text, spans)."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, list, list] = [], [], []
             for i, text in enumerate(texts_of(batch)):
                 words = (text or "").encode("utf-8", "replace").split()
-                covered = factors(len(words), batch.column(2)[i].values.to_numpy(zero_copy_only=False), window)
-                left = words if not len(covered) else [w for a, b in zip([0, *covered[:, 1].tolist()], [*covered[:, 0].tolist(), len(words)], strict=True) for w in words[a:b]]
+                left = left_of(words, merged(spans_of(batch.column(2)[i])))
                 for column, x in zip(out, (batch.column(0)[i].as_py(), len(words) - len(left), sha(left)), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], ["cls", "n_removed", "kept"])
@@ -167,33 +264,20 @@ def factored(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(rows, "cls long, n_removed long, kept string")
 
 
-def factors(n: int, starts: np.ndarray, window: int) -> np.ndarray:
-    """The duplicate spans (from, to) of a text of n words: each factor runs while the next window is found, and factors
-    that meet or overlap at a boundary make one span."""
-    if not len(starts):
-        return np.empty((0, 2), np.int64)
-    starts = np.unique(starts).astype(np.int64)
-    first = np.concatenate([[True], np.diff(starts) > 1])
-    begin = starts[first]
-    end = starts[np.concatenate([first[1:], [True]])] + window
-    apart = np.concatenate([[True], begin[1:] > end[:-1]])
-    last = np.concatenate([apart[1:], [True]])
-    return np.stack([begin[apart], end[last]], axis=1)
-
-
 def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row of ``docs``.
 
     Words are runs of characters other than ASCII white space, compared as they are. Removed is each word in a window of
     ``window`` words that also starts anywhere else; windows are judged on the texts as they come. Null and empty texts
     have no words; a text of fewer words than a window loses none. Rows that repeat a text, under one id or several, are
-    occurrences of their own. Windows are compared by 64-bit hashes. Other columns are ignored; an empty table gives an
-    empty one. ``kept_texts`` has the spans and what is left as text.
+    occurrences of their own; null ids are returned as they are. Windows are compared word by word, those of anchors that
+    occur more than ``LIGHT`` times by 64-bit hashes. A text's length isn't bounded. Other columns are ignored; an empty
+    table gives an empty one. ``kept_texts`` has the spans and what is left as text.
     """
-    docs = id_and_text(docs)
+    docs = tagged(docs)
     index, dup = _duplicates(docs, window, run)
     copies = index.where(F.col("n") >= window).groupBy("cls").agg(F.count("*").alias("copies")).where("copies > 1").select("cls", F.lit(True).alias("whole"))
-    left = stored(factored(dup, window), "factored").select("cls", "n_removed", F.col("kept").alias("left"))
+    left = stored(cut(dup), "cut").select("cls", "n_removed", F.col("kept").alias("left"))
     # Written first, so that the rows of a class of many copies may be split over tasks where they are joined to it.
     per_class = stored(copies.join(left, "cls", "full"), "removed")
     out = index.select("doc_id", "cls", "n", "kept").join(per_class, "cls", "left")
@@ -208,38 +292,42 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> Da
 
 def kept_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, text (the words that are left, joined by one space; null stays null) and spans (from, to in words, removed)."""
-    docs = id_and_text(docs)
+    docs = tagged(docs)
     index, dup = _duplicates(docs, window, run)
     copies = index.where(F.col("n") >= window).groupBy("cls").agg(F.count("*").alias("copies")).where("copies > 1").select("cls", F.lit(True).alias("whole"))
-    starts = stored(dup.select("cls", "starts"), "starts")
-    joined = index.select("doc_id", "cls").join(copies, "cls", "left").join(starts, "cls", "left")
-    per_id = joined.dropDuplicates(["doc_id", "cls"])
-    texts = docs.join(per_id, docs["doc_id"].eqNullSafe(per_id["doc_id"])).select(docs["doc_id"], "text", "cls", "whole", "starts")
+    spans = stored(dup.select("cls", "spans"), "spans")
+    per_class = stored(copies.join(spans, "cls", "full"), "removed")
+    per_text = index.select("doc_id", "tag", "cls").distinct().join(per_class, "cls").select(F.col("doc_id").alias("id"), F.col("tag").alias("of"), "whole", "spans")
+    texts = docs.join(per_text, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("of")), "left").select("doc_id", "text", "whole", "spans")
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                words = (row["text"] or "").encode("utf-8", "replace").split()
-                if int(xxhash.xxh3_64_intdigest(hashes.of(words).tobytes())) - (1 << 63) != row["cls"]:
-                    continue  # of another row of this id
-                gone = [(0, len(words))] if row["whole"] else factors(len(words), np.array(row["starts"] or [], np.int64), window).tolist()
-                left = [w for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(words)], strict=True) for w in words[a:b]]
-                text = None if row["text"] is None else b" ".join(left).decode("utf-8", "replace")
-                out.append({"doc_id": row["doc_id"], "text": text, "spans": [{"from": a, "to": b} for a, b in gone]})
+            for i, text in enumerate(texts_of(batch)):
+                words = (text or "").encode("utf-8", "replace").split()
+                gone = np.array([[0, len(words)]]) if batch.column(2)[i].as_py() else merged(spans_of(batch.column(3)[i]))
+                left = None if text is None else b" ".join(left_of(words, gone)).decode("utf-8", "replace")
+                out.append({"doc_id": batch.column(0)[i].as_py(), "text": left, "spans": [{"from": a, "to": b} for a, b in gone.tolist()]})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))]))
 
     return texts.mapInArrow(rows, "doc_id long, text string, spans array<struct<from:long,to:long>>")
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, text and tag, a hash of the text, by which texts are found again: ids may be null or repeat."""
+    return id_and_text(docs).withColumn("tag", F.xxhash64("text"))
+
+
 def _duplicates(docs: DataFrame, window: int, run: int) -> tuple[DataFrame, DataFrame]:
-    """The index of all texts, and (cls, text, starts) of the texts without copies of which windows occur elsewhere."""
+    """The index of all texts, and (cls, text, spans) of the texts without copies that have duplicate spans."""
     index = stored(indexed(docs, window, run), "index")
-    found = stored(windows(docs, repeated_anchors(index, window), window, run), "windows")
-    total = found.agg(F.sum(F.size("light") + F.size("heavy"))).first()[0] or 0
-    hits = stored(met(placed(found, "light").unionByName(placed(found, "heavy")), max(1, -(-total // TASK_ROWS))), "hits")
+    found = stored(segments(docs, repeated_anchors(index, window), window, run), "segments")
+    light, heavy = found.agg(F.sum(F.size("anchor")), F.sum(F.size("heavy"))).first()
+    each = found.select("cls", "copies", F.explode(F.arrays_zip("anchor", "at", "words")).alias("s")).select("cls", "copies", "s.*")
+    factors = stored(factored(each, max(1, -(-(light or 0) // BLOCK_SEGMENTS)), window), "factors")
+    hits = stored(met(placed(found), max(1, -(-(heavy or 0) // TASK_ROWS))), "hits")
     parts = hits.where("state > 0").groupBy("print").agg(F.count("*").alias("parts"), F.collect_list(F.when(F.col("state") == 2, F.struct("cls", "at"))).alias("alone")).where("parts > 1")  # at most SALTS rows
     late = parts.select(F.explode("alone").alias("w")).select("w.cls", "w.at")
-    starts = hits.where("state = 0").select("cls", "at").unionByName(late).groupBy("cls").agg(F.collect_list("at").alias("starts"))  # at most a text's words
-    return index, found.select("cls", "text").join(starts, "cls")
+    dealt = hits.where("state = 0").select("cls", "at").unionByName(late).select("cls", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+    spans = factors.unionByName(dealt).groupBy("cls").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a text's words
+    return index, found.where("copies = 1").select("cls", "text").join(spans, "cls")

@@ -65,3 +65,47 @@ def test_kept_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"], len((r["text"] or "").split()), sum(s["to"] - s["from"] for s in r["spans"])) for r in substrings.kept_texts(docs).collect())
     assert got == sorted((d, n - gone, gone) for d, n, gone, _ in brute(rows))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_longest_match_and_parse(seed):
+    """Of every place of a block against all other places, and the parse against the windows that repeat."""
+    rng = random.Random(seed)
+    parts = [[rng.choice("ab" if seed % 2 else "abcdefgh") for _ in range(rng.choice([6, 7, 9, 12]))] for _ in range(30)]
+    block = substrings.Reference([" ".join(p).encode() for p in parts], 6)
+    longest = block.longest()
+    starts = [(k, i) for k, p in enumerate(parts) for i in range(len(p) - 5)]
+
+    def common(x, y):
+        a, b = parts[x[0]][x[1] :], parts[y[0]][y[1] :]
+        return next((n for n, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+
+    for k, i in starts:
+        assert longest[block.begin[k] + i] == max(common((k, i), o) for o in starts if o != (k, i))
+    seen = Counter(tuple(p[i : i + 6]) for p in parts for i in range(len(p) - 5))
+    for k, p in enumerate(parts):
+        spans = substrings.parse(longest[block.begin[k] : block.begin[k] + len(p)], 6)
+        covered = {j for a, b in spans for j in range(a, b)}
+        assert covered == {j for i in range(len(p) - 5) if seen[tuple(p[i : i + 6])] > 1 for j in range(i, i + 6)}
+
+
+def test_merged():
+    import numpy as np
+
+    assert substrings.merged(np.array([[5, 9], [0, 3], [3, 4], [6, 7], [20, 22]])).tolist() == [[0, 4], [5, 9], [20, 22]]
+
+
+def test_null_and_repeated_ids_and_equal_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(None, a), (None, a), (None, b), (1, c + " " + b), (1, c + " " + b), (1, a + " x"), (2, "y " + c)] + [(None, f"{i} " + " ".join(f"{i}_{j}" for j in range(40))) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in substrings.substring_dedup(docs).collect()), key=str) == brute(rows)
+    got = sorted((str(r["doc_id"]), len((r["text"] or "").split())) for r in substrings.kept_texts(docs).collect())
+    assert got == sorted((str(d), n - gone) for d, n, gone, _ in brute(rows))
+
+
+def test_a_very_long_text(spark):
+    long = [f"u{i}" for i in range(150_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_100])), (3, " ".join(long[5:40] + ["z"] + long[100:134]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in substrings.substring_dedup(docs).collect()) == brute(rows)
