@@ -1,13 +1,14 @@
 """Discovery, catalogue versions, freshness, measures, event readers and streams."""
 
 import json
+import os
 import subprocess
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tessera.operators import freshness, measure, rollups, telemetry
+from tessera.operators import bm25, freshness, measure, rollups, scan, telemetry, trigrams
 from tessera.operators.catalog import Catalog
 from tessera.sources import discovery, events, lines
 from tessera.streaming import usage
@@ -50,7 +51,7 @@ def rows(df):
 
 def test_publish_update_and_failure(spark, tmp_path):
     store = Catalog(spark, str(tmp_path / "c"))
-    assert store.version() is None and store.read("files").count() == 0
+    assert store.versions() == [] and store.read("files").count() == 0
     first = catalog(spark, SERVICE)
     store.publish(tables(first))
     store.record_usage(spark.createDataFrame([(1, "lookup")], "event_id long, tool string"))
@@ -63,13 +64,103 @@ def test_publish_update_and_failure(spark, tmp_path):
     store.update(part, touched)
     for name, df in tables(second).items():
         assert rows(store.read(name).select(*sorted(df.columns))) == rows(df.select(*sorted(df.columns))), name
-    version = store.version()
+    versions = store.versions()
     with pytest.raises(PySparkException):
         store.publish({"files": first.files.withColumn("size_bytes", F.raise_error(F.lit("no")).cast("long"))})
-    assert store.version() == version and spark.read.parquet(str(tmp_path / "c/usage_events")).count() == 1
+    assert store.versions() == versions and spark.read.parquet(str(tmp_path / "c/usage_events")).count() == 1
     assert store.function_index().count() > 0
 
 
+def test_versions_by_repository(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path / "c"))
+    store.publish(tables(catalog(spark, {"a": SERVICE, "b": {"x.py": "def f(): pass\n"}, "o'dd/r": {"y.py": "Y = 1\n"}})))
+    new = catalog(spark, {"x.py": "def g(): pass\n", "z.py": "Z = 2\n"}, "b")
+    touched = spark.createDataFrame([("b", "x.py"), ("b", "z.py")], "repo string, path string")
+    version = store.update(tables(new), touched)
+    assert {r["repo"] for r in spark.read.parquet(str(tmp_path / "c" / version / "files")).collect()} == {"b"}
+    assert sorted((r["repo"], r["path"]) for r in store.read("files").where("repo <> 'a'").collect()) == [("b", "x.py"), ("b", "z.py"), ("o'dd/r", "y.py")]
+    assert sorted(r["name"] for r in store.read("symbols").where("repo = 'b'").collect()) == ["Z", "g"]
+    grams = {r["gram"] for r in store.read("text_grams").where("repo = 'b'").collect()}
+    assert "g()" in grams and "f()" not in grams
+    assert rows(store.read("text_grams")) == rows(trigrams.postings(store.read("text_lines")))
+    assert rows(store.function_index()) == rows(bm25.postings(bm25.function_documents(store.read("symbols"), store.read("text_lines"))))
+    store.update(tables(new), spark.createDataFrame([("a", p) for p in SERVICE], "repo string, path string"))
+    store.publish({k: store.read(k) for k in ("files", "symbols", "dependencies", "text_lines", "meta")})
+    assert len(store.versions()) == 1 and len(store.vacuum()) >= 2 and store.read("files").where("repo = 'b'").count() >= 2
+
+
+def test_migration(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path / "c"))
+    c = catalog(spark, SERVICE)
+    c.symbols.drop("full_doc").withColumn("doc", F.lit("says")).write.partitionBy("repo").parquet(str(tmp_path / "c/v-old/symbols"))
+    c.files.write.partitionBy("repo").parquet(str(tmp_path / "c/v-old/files"))
+    spark.createDataFrame([(1, "r", "v-old", 1)], "published long, repo string, version string, schema_version int").write.parquet(str(tmp_path / "c/_current"))
+    assert {r["full_doc"] for r in store.read("symbols").collect()} == {""}
+    assert store.migrate() and store.migrate() is None
+    assert {r["full_doc"] for r in store.read("symbols").collect()} == {"says"} and store.function_index().count() > 0
+    spark.createDataFrame([(2, "r", "v-new", 9)], "published long, repo string, version string, schema_version int").write.mode("append").parquet(str(tmp_path / "c/_current"))
+    with pytest.raises(ValueError, match="newer"):
+        store.read("files")
+
+
+def one(report, repo):
+    return {r["repo"]: (r["ok"], r["mode"], r["files"], r["written"], r["reused"], r["changed"], r["removed"]) for r in report.collect()}[repo]
+
+
+def test_scan_and_scan_of_changes(spark, tmp_path):
+    put(tmp_path / "a", SERVICE)
+    put(tmp_path / "b", {"x.py": "def f(): pass\n"})
+    store = Catalog(spark, str(tmp_path / "c"))
+    repos = discovery.repositories(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b"), "gone": str(tmp_path / "no")})
+    report = scan.scan(store, repos, only_changes=True)
+    assert one(report, "a") == (True, "full", 4, 4, 0, 4, 0) and one(report, "b")[:3] == (True, "full", 1)
+    assert not one(report, "gone")[0] and "no" in report.where("repo = 'gone'").first()["error"]
+    edges = {(r["source_path"], r["target_path"]) for r in store.read("dependencies").where("resolved").collect()}
+    assert edges == {("src/app/api.py", "src/app/service.py"), ("tests/test_service.py", "src/app/service.py")}
+    assert one(scan.scan(store, repos, only_changes=True), "a") == (True, "incremental", 4, 0, 4, 0, 0)
+    # One file is touched, one changes, one goes, one comes; those that import what went are read again.
+    service = tmp_path / "a/src/app/service.py"
+    os.utime(tmp_path / "a/src/app/__init__.py", ns=(5, 5))
+    (tmp_path / "a/tests/test_service.py").write_text("def test_other():\n    pass\n")
+    service.unlink()
+    put(tmp_path / "a", {"src/app/more.py": "MORE = 1\n"})
+    report = scan.scan(store, repos, only_changes=True)
+    assert one(report, "a") == (True, "incremental", 4, 3, 1, 3, 1) and one(report, "b") == (True, "incremental", 1, 0, 1, 0, 0)
+    assert sorted(r["path"] for r in store.read("files").where("repo = 'a'").collect()) == ["src/app/__init__.py", "src/app/api.py", "src/app/more.py", "tests/test_service.py"]
+    assert store.read("files").where("path = 'src/app/__init__.py'").first()["modified_ns"] == 5
+    assert {r["name"] for r in store.read("symbols").where("repo = 'a'").collect()} == {"call", "MORE", "test_other"}
+    assert store.read("dependencies").where("repo = 'a' AND resolved").count() == 0
+    other = Catalog(spark, str(tmp_path / "d"))
+    scan.scan(other, repos)
+    for name in ("files", "symbols", "dependencies", "text_lines", "text_grams", "function_terms"):
+        assert rows(store.read(name)) == rows(other.read(name)), name
+
+
+def test_unchanged_worktree_is_not_listed(spark, tmp_path):
+    put(tmp_path / "a", SERVICE)
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=n", "-c", "user.email=e", *a], cwd=tmp_path / "a", check=True, capture_output=True)
+    git("init", "-q"), git("add", "."), git("commit", "-qm", "first")
+    store = Catalog(spark, str(tmp_path / "c"))
+    repos = discovery.repositories(spark, {"a": str(tmp_path / "a")})
+    assert one(scan.scan(store, repos), "a")[1] == "full"
+    assert one(scan.scan(store, repos, only_changes=True), "a") == (True, "unchanged", 4, 0, 4, 0, 0)
+    (tmp_path / "a/src/app/api.py").write_text("def other(): pass\n")
+    assert one(scan.scan(store, repos, only_changes=True), "a") == (True, "incremental", 4, 1, 3, 1, 0)
+    assert one(scan.scan(store, repos, only_changes=True), "a")[1] == "unchanged"
+    meta = {r["key"]: r["value"] for r in store.read("meta").collect()}
+    assert meta["scan_mode"] == "incremental" and meta["reused_file_count"] == "3" and len(meta["git_head"]) == 40
+    store.update_meta(spark.createDataFrame([("a", "analyzer_version", "0")], "repo string, key string, value string"))
+    assert one(scan.scan(store, repos, only_changes=True), "a")[1] == "full"
+
+
+def test_usage_with_savings(spark, tmp_path):
+    store = Catalog(spark, str(tmp_path / "c"))
+    store.publish(tables(catalog(spark, {"a.py": "x = 1\n" * 100, "b.py": "y = 1\n" * 10})))
+    store.record_usage_with_savings("lookup", "catalog", "x", spark.createDataFrame([("r", "b.py"), ("r", "b.py")], "repo string, path string"))
+    got = spark.read.parquet(str(tmp_path / "c/usage_events")).first()
+    assert (got["candidate_files"], got["returned_files"], got["result_count"], got["estimated_saved_tokens"]) == (2, 1, 2, 880 - 80 - 80)
+
+
 def test_lines_and_slices(spark):
     s = spark.createDataFrame([("r", "a.py", "one\r\n\n  \ntwo three\n", None, None), ("r", "b.py", None, None, None)], "repo string, path string, content string, size_bytes long, modified_ns long")
     assert [(r["line"], r["content"]) for r in lines.indexed_lines(s).orderBy("line").collect()] == [(1, "one"), (4, "two"), (5, "three")]
