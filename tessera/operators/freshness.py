@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The reasons for which a catalogue is stale, in the order in which they are told.
@@ -49,8 +49,13 @@ def health(changes: DataFrame, meta: DataFrame, state: DataFrame) -> DataFrame:
     ``meta`` (repo, git_head, analyzer_version, fingerprints, text_index) is what the catalogue says of itself, ``state``
     (repo, git_head, analyzer_version, dirty) what holds now; a repository without a row in ``meta`` has no catalogue.
     """
-    first = lambda s: F.slice(F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("path")))), 1, SAMPLE)
-    sums = changes.groupBy("repo").agg(*(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in ("added", "removed", "changed")), *(first(s).alias(f"{s}_paths") for s in ("added", "removed", "changed")))
+    kinds = ("added", "removed", "changed")
+    first = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("path"))))
+    cut = Window.partitionBy("repo", "status").orderBy("path")
+    sample = changes.where(F.col("status").isin(*kinds)).withColumn("_n", F.row_number().over(cut)).where(F.col("_n") <= SAMPLE)
+    sums = changes.groupBy("repo").agg(*(F.count_if(F.col("status") == s).alias(f"{s}_count") for s in kinds))
+    sums = sums.join(sample.groupBy("repo").agg(*(first(s).alias(f"{s}_paths") for s in kinds)), "repo", "left")
+    sums = sums.withColumns({f"{s}_paths": F.coalesce(f"{s}_paths", F.array().cast("array<string>")) for s in kinds})
     m = meta.select("repo", F.col("git_head").alias("was_head"), F.col("analyzer_version").alias("was_version"), "fingerprints", "text_index", F.lit(True).alias("known"))
     rows = state.join(m, "repo", "left").join(sums, "repo", "left").na.fill(0, ["added_count", "removed_count", "changed_count"])
     rows = rows.withColumn("changed_count", F.when(F.coalesce("fingerprints", F.lit(False)), F.col("changed_count")).otherwise(0))

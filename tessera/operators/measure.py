@@ -105,8 +105,64 @@ def quality_metrics(results: DataFrame) -> DataFrame:
 def scorecard(runs: DataFrame, baseline: str) -> DataFrame:
     """provider, queries, results, median_avg_ms, source_first, test_first and speedup over a provider's median."""
     rows = runs.groupBy("provider").agg(F.count("*").alias("queries"), F.sum("results").cast("long").alias("results"), F.median("avg_ms").alias("median_avg_ms"), F.count_if(~F.col("first_is_test")).alias("source_first"), F.count_if("first_is_test").alias("test_first"))
-    base = rows.where(F.col("provider") == baseline).select(F.col("median_avg_ms").alias("_base"))
-    return rows.join(F.broadcast(base), F.lit(True), "left").withColumn("speedup", F.when(F.col("median_avg_ms") > 0, F.bround(F.col("_base") / F.col("median_avg_ms"), 3))).drop("_base")  # one row
+    base = rows.where(F.col("provider") == baseline).agg(F.max("median_avg_ms").alias("_base"))  # one row
+    return rows.crossJoin(base).withColumn("speedup", F.when(F.col("median_avg_ms") > 0, F.bround(F.col("_base") / F.col("median_avg_ms"), 3))).drop("_base")
+
+
+def symbol_scorecard(runs: DataFrame, baseline: str) -> DataFrame:
+    """A row a provider over a suite's runs (provider, query_no, median_ms, results, source_paths, test_paths, first_path, first_is_test).
+
+    first_paths are the first results' paths in the order of the queries, joined by commas; speedup is a provider's mean
+    of medians over the baseline's, and the deltas tell how much more often the baseline puts source, or this a test, first.
+    """
+    has = F.coalesce(F.col("first_path"), F.lit("")) != ""
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(has, F.struct("query_no", "first_path")))), lambda x: x["first_path"]), ",")  # a suite's queries
+    rows = runs.groupBy("provider").agg(
+        F.count("*").alias("queries"), F.bround(F.sum("median_ms") / F.count("*"), 3).alias("median_ms_avg"), *(F.sum(c).cast("long").alias(c) for c in ("results", "source_paths", "test_paths")),
+        F.count_if(has & ~F.col("first_is_test")).alias("source_first"), F.count_if(has & F.col("first_is_test")).alias("test_first"), first.alias("first_paths"),
+    )
+    base = rows.where(F.col("provider") == baseline).agg(F.max("median_ms_avg").alias("_ms"), F.max("source_first").alias("_source"), F.max("test_first").alias("_test"))  # one row
+    other = F.col("provider") != baseline
+    return rows.crossJoin(base).withColumns({
+        "speedup": F.when(other, F.when(F.col("_ms") > 0, F.bround(F.col("median_ms_avg") / F.col("_ms"), 3)).otherwise(F.lit(0.0))),
+        "source_first_delta": F.when(other, F.col("_source") - F.col("source_first")), "test_first_delta": F.when(other, F.col("test_first") - F.col("_test")),
+    }).drop("_ms", "_source", "_test")
+
+
+WORKFLOW_SUMS = ("source_paths", "test_paths", "selected_files", "selected_lines", "estimated_tokens", "estimated_saved_tokens", "payload_bytes")
+
+
+def workflow_scorecard(runs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each ``by``, over workflow runs (query_no, median_ms, first_path, first_is_test, ``WORKFLOW_SUMS``); of no runs zeros."""
+    has = F.coalesce(F.col("first_path"), F.lit("")) != ""
+    first = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(has, F.struct("query_no", "first_path")))), lambda x: x["first_path"]), ",")  # a suite's queries
+    return runs.groupBy(*by).agg(
+        F.count("*").alias("queries"), F.count_if(has & ~F.col("first_is_test")).alias("source_first"), F.count_if(F.col("first_is_test")).alias("test_first"),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_total") for c in WORKFLOW_SUMS), F.coalesce(F.bround(F.avg("median_ms"), 3), F.lit(0.0)).alias("median_ms_avg"), first.alias("first_paths"),
+    )
+
+
+def payload_bytes(*columns: str) -> Column:
+    """The length in UTF-8 of a row's columns as JSON."""
+    return F.octet_length(F.to_json(F.struct(*columns))).cast("long")
+
+
+def record_run(scorecards: DataFrame, path: str, suite: str, measures: tuple[str, ...]) -> DataFrame:
+    """Append a suite's scorecard (a row a provider) to its history and return it with the deltas against the run before."""
+    spark = scorecards.sparkSession
+    try:
+        old = spark.read.json(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        old = None
+    now = scorecards.withColumns({"suite_name": F.lit(suite), "recorded_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")})
+    now = spark.createDataFrame(now.collect(), now.schema)  # a row a provider
+    both = now if old is None else old.unionByName(now, allowMissingColumns=True).where(F.col("suite_name") == suite)
+    out = deltas(both, measures, ("suite_name", "provider")).join(now.select("recorded_at").distinct(), "recorded_at", "left_semi")
+    out = spark.createDataFrame(out.collect(), out.schema)
+    now.coalesce(1).write.mode("append").json(path)
+    return out
 
 
 def deltas(history: DataFrame, measures: tuple[str, ...], by: tuple[str, ...] = ("suite_name",), order: str = "recorded_at") -> DataFrame:
@@ -132,6 +188,29 @@ def timed(run: Callable[[], DataFrame], repeat: int = 3, warmup: int = 1) -> lis
     return out
 
 
+def benchmark(runs: dict[tuple[str, int, str], Callable[[], DataFrame]], spark, repeat: int = 3, warmup: int = 1) -> DataFrame:
+    """provider, query_no, query, results, avg_ms, median_ms, min_ms, max_ms, first_path, first_is_test, source_paths, test_paths.
+
+    ``runs`` has a plan for each provider and query, whose rows have path and position. Each plan is run ``warmup`` times
+    and then timed ``repeat`` times; what it finds is taken once.
+    """
+    times, found = [], None
+    for (provider, no, query), make in runs.items():
+        times += [(provider, no, query, ms) for ms in timed(make, repeat, warmup)]
+        rows = make().select(F.lit(provider).alias("provider"), F.lit(query).alias("query"), "path", "position")
+        found = rows if found is None else found.unionByName(rows)
+    stats = timing_stats(spark.createDataFrame(times, "provider string, query_no int, query string, elapsed_ms double"), ("provider", "query_no", "query"))
+    return stats.join(quality_metrics(found), ["provider", "query"], "left").na.fill(0, ["results", "source_paths", "test_paths"]).na.fill(False, ["first_is_test"])
+
+
+def hits_at(hits: DataFrame, cases: DataFrame, modes: DataFrame, k: int = 3) -> DataFrame:
+    """mode, queries, hits: of the cases (query_id, expected) how many each mode finds among the first ``k`` hits (mode, query_id, position, label)."""
+    last = F.substring_index(F.substring_index("label", " ", -1), ".", -1)
+    first = hits.where(F.col("position") <= k).select("mode", "query_id", last.alias("expected")).distinct().withColumn("hit", F.lit(1))
+    rows = modes.select("mode").distinct().crossJoin(cases.select("query_id", "expected")).join(first, ["mode", "query_id", "expected"], "left")  # a few modes
+    return rows.groupBy("mode").agg(F.count("*").alias("queries"), F.count("hit").alias("hits"))
+
+
 def hit_at(hits: DataFrame, cases: DataFrame, k: int = 3) -> DataFrame:
     """query_id, hit: whether the expected label is among the first ``k`` hits of each case (query_id, expected)."""
     first = hits.where(F.col("position") <= k).select("query_id", F.substring_index("label", " ", -1).alias("found"))

@@ -35,7 +35,7 @@ def references(lines: DataFrame, symbols: DataFrame, queries: DataFrame, limit:
 
 def workspace_references(lines: DataFrame, symbols: DataFrame, queries: DataFrame, repos: DataFrame, limit: int = 50, per_repo: int = 50, definitions: bool = True, ignore_case: bool = False) -> DataFrame:
     """References over the repositories in ``repos`` (repo, label, repo_index), best of all by score plus index, label, path and line."""
-    each = references(lines, symbols, queries, per_repo, definitions, ignore_case).join(F.broadcast(repos), "repo")  # a row a repository
+    each = references(lines, symbols, queries, per_repo, definitions, ignore_case).join(repos, "repo")
     each = each.withColumn("score", F.col("score") + F.col("repo_index"))
     return search.ranked(each, ["score", "label", "path", "line"], search.clamp(limit, 1, 200), by=("query_id",)).drop("repo_index")
 

@@ -81,7 +81,7 @@ def tree(files: DataFrame, symbols: DataFrame, depth: int = 2, prefix: str = "",
     most = clamp(entries, 1, 1000)
     rows = ranked(folders.unionByName(leaves), ["depth", "path", "type"], most + 1, by=("repo",))
     more = rows.groupBy("repo").agg((F.max("position") > most).alias("truncated"))
-    return rows.where(F.col("position") <= most).join(F.broadcast(more), "repo")  # a row a repository
+    return rows.where(F.col("position") <= most).join(more, "repo")
 
 
 def top_files(files: DataFrame, symbols: DataFrame, limit: int = 10, by: tuple[str, ...] = ("repo",)) -> DataFrame:
@@ -97,6 +97,42 @@ def workspace_outline(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.groupBy("language").agg(F.count("*").alias("files"), F.sum("line_count").cast("long").alias("lines"), F.sum(F.coalesce("symbols", F.lit(0))).cast("long").alias("symbols"), F.count_distinct("repo").alias("repos"))
 
 
+def repo_outline(files: DataFrame, symbols: DataFrame, depth: int = 2, top: int = 20) -> DataFrame:
+    """repo, section, position, name, files, lines, symbols, languages: totals, languages, folders and files of most symbols.
+
+    The sections are total, language, directory and file, each in its own order from position 1.
+    """
+    whole = files.join(symbols_by_file(symbols), ["repo", "path"], "left").groupBy("repo").agg(F.count("*").alias("files"), F.sum("line_count").cast("long").alias("lines"), F.sum(F.coalesce("symbols", F.lit(0))).cast("long").alias("symbols"))
+    none, one = F.lit(None), F.lit(1).cast("long")
+    folders = ranked(directories(files, symbols, depth), ["depth", "directory"], 1_000_000, by=("repo",))
+    row = lambda df, section, position, name, files_, lines, symbols_, languages: df.select("repo", F.lit(section).alias("section"), position.alias("position"), name.cast("string").alias("name"), files_.cast("long").alias("files"), lines.cast("long").alias("lines"), symbols_.cast("long").alias("symbols"), languages.cast("string").alias("languages"))
+    c = F.col
+    return (
+        row(whole, "total", one, none, c("files"), c("lines"), c("symbols"), none)
+        .unionByName(row(language_summary(files), "language", c("position"), c("language"), c("files"), c("lines"), none, none))
+        .unionByName(row(folders, "directory", c("position"), c("directory"), c("files"), c("lines"), c("symbols"), c("languages")))
+        .unionByName(row(top_files(files, symbols, top), "file", c("position"), c("path"), none, c("lines"), c("symbols"), none))
+    )
+
+
+def saved_by_content(files: DataFrame, returned: DataFrame) -> DataFrame:
+    """repo, candidate_files, returned_files, saved: what returning snippets saves (repo, returned_files, tokens, results); every repository counts."""
+    rows = files.groupBy("repo").agg(F.count("*").alias("candidate_files"), F.sum(file_tokens(F.col("line_count"))).cast("long").alias("all_tokens"))
+    rows = rows.join(returned, "repo", "left").na.fill(0, ["returned_files", "tokens", "results"])
+    return rows.select("repo", "candidate_files", F.col("returned_files").cast("long").alias("returned_files"), saved_tokens(F.col("all_tokens"), F.col("tokens"), F.col("results")).alias("saved"))
+
+
+def workspace_savings(files: DataFrame, results: DataFrame) -> DataFrame:
+    """query_id, candidate_files, returned_files, saved: over all repositories, for a query's results (query_id, repo, path, a row each)."""
+    tokens = file_tokens(F.col("line_count"))
+    whole = files.groupBy("repo").agg(F.count("*").alias("candidate_files"), F.sum(tokens).cast("long").alias("all_tokens"))
+    counts = results.groupBy("query_id", "repo").agg(F.count("*").alias("results"), F.count_distinct("path").alias("returned_files"))
+    picked = results.select("query_id", "repo", "path").distinct().join(files.select("repo", "path", tokens.alias("t")), ["repo", "path"]).groupBy("query_id", "repo").agg(F.sum("t").alias("selected"))
+    rows = results.select("query_id").distinct().crossJoin(whole).join(counts, ["query_id", "repo"], "left").join(picked, ["query_id", "repo"], "left").na.fill(0)  # a row a query and repository
+    rows = rows.withColumn("saved", saved_tokens(F.col("all_tokens"), F.col("selected"), F.col("results")))
+    return rows.groupBy("query_id").agg(*(F.sum(c).cast("long").alias(c) for c in ("candidate_files", "returned_files", "saved")))
+
+
 def file_outline(symbols: DataFrame, path: str) -> DataFrame:
     """The symbols of one file by line and name."""
     rows = symbols.where(F.col("path") == path)

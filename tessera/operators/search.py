@@ -1,7 +1,8 @@
 """Ranked search over symbols, files and text lines: many queries over many repositories in one plan.
 
-``queries`` (query_id, query) is a stated set of at most ``MOST_QUERIES`` rows, whose number is checked before it is sent
-to the tasks; every row of the catalogue is then scored against it where it lies. Per (query, repository) only bounded
+``queries`` (query_id, query) is a stated set. If it has at most ``MOST_QUERIES`` rows, which is checked, it is sent to
+the tasks, and every row of the catalogue is scored against it where it lies; a larger one is joined as Spark sees fit.
+Names are met by their first characters, text by trigrams where there are postings. Per (query, repository) only bounded
 top lists are ranked, which Spark cuts before it shuffles.
 """
 
@@ -11,8 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
+from tessera.operators import trigrams
 
 MOST_QUERIES = 10_000
+#: First characters of a name by which it is met.
+HEAD = 3
 GROUP = ("query_id", "repo")
 
 
@@ -21,10 +25,13 @@ def clamp(value: int, low: int, high: int) -> int:
 
 
 def sent(queries: DataFrame) -> DataFrame:
-    """The queries as a broadcast, after a check of how many there are."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries")
-    return F.broadcast(queries)
+    """The queries as a broadcast, after a check that they are few; as they are if they are many.
+
+    Where the plan itself says how many rows there are at most, none are counted.
+    """
+    most = queries._jdf.queryExecution().optimizedPlan().maxRows()
+    few = most.get() <= MOST_QUERIES if most.isDefined() else queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
+    return F.broadcast(queries) if few else queries
 
 
 def ranked(rows: DataFrame, order: list, limit: int | Column, name: str = "position", by: tuple[str, ...] = GROUP) -> DataFrame:
@@ -41,6 +48,19 @@ def variants(queries: DataFrame) -> DataFrame:
     return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal")) - 1)
 
 
+def near(names: DataFrame, asked: DataFrame) -> DataFrame:
+    """Pairs of ``names`` (_name, _qualified_name: folded) and queries (``text.with_patterns``) that may start with them.
+
+    Rows and queries meet by their first characters; only queries that have fewer before a wildcard meet every row.
+    """
+    head = lambda c: F.left(c, F.lit(HEAD))
+    long = F.length("_plain") >= HEAD
+    keyed = names.withColumn("_head", F.explode(F.array_distinct(F.array(head("_name"), head("_qualified_name")))))
+    by_head = keyed.join(sent(asked.where(long).withColumn("_head", head("_plain"))), "_head").drop("_head")
+    start = F.col("_name").startswith(F.col("_plain")) | F.col("_qualified_name").startswith(F.col("_plain"))
+    return by_head.where(start).unionByName(names.join(sent(asked.where(~long)), start))
+
+
 def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy: bool = True) -> DataFrame:
     """The symbols' columns with query_id, stage, rank and position: exact and prefix matches first, then what contains the query.
 
@@ -49,19 +69,19 @@ def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy
     """
     limit = clamp(limit, 1, 500)
     folded = symbols.withColumns({f"_{c}": text.ascii_lower(F.col(c)) for c in ("name", "qualified_name", "signature", "doc")})
-    pairs = folded.join(sent(text.with_patterns(queries.select("query_id", F.trim("query").alias("query")), "query")), F.lit(True))
+    asked = text.with_patterns(queries.select("query_id", F.trim("query").alias("query")), "query")
     name, qualified = F.col("_name"), F.col("_qualified_name")
     same = lambda c: c == F.col("_q")
     starts = lambda c: c.startswith(F.col("_plain")) & F.like(c, F.col("_starts"))
     holds = lambda c: c.contains(F.col("_plain")) & F.like(c, F.col("_holds"))
     kept = [*symbols.columns, "query_id", "stage", "rank"]
-    first = pairs.where(same(name) | same(qualified) | starts(name) | starts(qualified))
+    first = near(folded, asked).where(same(name) | same(qualified) | starts(name) | starts(qualified))
     first = first.withColumns({"stage": F.lit(0), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(5)}).select(*kept)
     order = ["rank", "path", "line", "symbol_id"]
     first = ranked(first, order, limit)
     if not fuzzy:
         return first
-    second = pairs.where(holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc")))
+    second = folded.join(sent(asked), holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc")))
     second = second.withColumns({"stage": F.lit(1), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(3)}).select(*kept)
     both = first.unionByName(ranked(second, order, 2 * limit))
     seen = Window.partitionBy(*GROUP, "symbol_id").orderBy("stage")
@@ -71,11 +91,10 @@ def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy
 
 def symbol_prefixes(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """As the first stage of ``symbol_search`` for every variant of each query; earlier variants go first."""
-    folded = symbols.withColumns({"_name": text.ascii_lower(F.col("name")), "_qualified": text.ascii_lower(F.col("qualified_name"))})
+    folded = symbols.withColumns({"_name": text.ascii_lower(F.col("name")), "_qualified_name": text.ascii_lower(F.col("qualified_name"))})
     starts = lambda c: F.col(c).startswith(F.col("_plain")) & F.like(F.col(c), F.col("_starts"))
-    level = F.when(F.col("_name") == F.col("_q"), 0).when(F.col("_qualified") == F.col("_q"), 1).when(starts("_name"), 2).when(starts("_qualified"), 3)
-    near = F.col("_name").startswith(F.col("_plain")) | F.col("_qualified").startswith(F.col("_plain"))
-    pairs = folded.join(sent(text.with_patterns(variants(queries), "variant")), near).withColumn("level", level).where("level IS NOT NULL")
+    level = F.when(F.col("_name") == F.col("_q"), 0).when(F.col("_qualified_name") == F.col("_q"), 1).when(starts("_name"), 2).when(starts("_qualified_name"), 3)
+    pairs = near(folded, text.with_patterns(variants(queries), "variant")).withColumn("level", level).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in symbols.columns if c != "repo"]).agg(F.min(F.col("ordinal") * 4 + F.col("level")).alias("rank"))
     return ranked(best, ["rank", "path", "line", "symbol_id"], clamp(limit, 1, 500))
 
@@ -89,6 +108,32 @@ def representative_symbols(symbols: DataFrame, limit: int = 20) -> DataFrame:
     return ranked(once, ["rank", "path", "line", "symbol_id"], clamp(limit, 1, 500), by=("repo",))
 
 
+def provider_rows(symbols: DataFrame, provider: str = "catalog") -> DataFrame:
+    """What a search answers of each symbol: its doc is the summary, and the provider is told; all else of the row stays."""
+    return symbols.withColumnRenamed("doc", "summary").withColumn("provider", F.lit(provider)).drop("full_doc", "symbol_id", "exported")
+
+
+def path_search(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+    """The files' columns with query_id, rank and position: 0 the path, 1 a name that ends it, 2 such a name with a suffix, 3 part of it.
+
+    Unlike ``file_search`` the query stands for itself only, its wildcards are live, and shorter paths go first.
+    """
+    q = text.strip_leading_dots(F.trim("query"))
+    name = paths.basename(F.regexp_replace(q, "/+$", ""))
+    asked = sent(queries.select("query_id", q.alias("_q"), name.alias("_base")).where("_q <> ''"))
+    path = F.col("path")
+    at = lambda c, before="%", after="": text.like(path, c, before=before, after=after)
+    in_folder = F.concat(F.lit("/"), F.col("_base"))
+    rank = F.when(text.ascii_lower(path) == text.ascii_lower(F.col("_q")), 0).when(at(in_folder), 1).when(at(F.concat(in_folder, F.lit(".")), after="%"), 2).when(at(F.col("_q"), after="%"), 3)
+    rows = files.join(asked, F.lit(True)).withColumn("rank", rank).where("rank IS NOT NULL").drop("_q", "_base")
+    return ranked(rows, ["rank", F.length("path"), "path"], clamp(limit, 1, 500))
+
+
+def with_language(matches: DataFrame, files: DataFrame) -> DataFrame:
+    """``matches`` (repo, path) with the language of their file."""
+    return matches.join(files.select("repo", "path", "language"), ["repo", "path"])
+
+
 def file_level(path: Column, variant: Column) -> Column:
     """0 the path, 1 its name or stem, 2 the end of it, 3 part of it; null if it doesn't match."""
     v = text.strip_leading_dots(F.lower(variant))
@@ -110,33 +155,38 @@ def file_search(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     return ranked(best, ["rank", F.length("path"), "path"], clamp(limit, 1, 500))
 
 
-def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets: DataFrame | None = None) -> DataFrame:
+def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
     """query_id, query, repo, path, line, content, line_score, position: lines that contain the query.
 
-    ``budgets`` (query_id, repo, budget) sets a limit of its own, at most ``limit``, for each query and repository.
+    ``budgets`` (query_id, repo, budget) sets a limit of its own, at most ``limit``, for each query and repository. With
+    ``grams`` (``trigrams.postings`` of the lines) only files that have all of a query's trigrams are read for it.
 
     Queries of three characters and more are ranked twice: BM25 over the repository's lines, with the query as the one
-    term and trigrams as length, keeps five times the limit; then the kind of line decides. Shorter ones go by path and
-    line, and their wildcards are live. An empty query is an error.
+    term and trigrams as length, keeps five times the limit; then the kind of line decides. How rare the query is counts
+    for all its lines alike, so that factor is left out. Shorter queries go by path and line, and their wildcards are
+    live. An empty query is an error.
     """
     limit = clamp(limit, 1, 500)
     if not queries.where("trim(query) = ''").isEmpty():
         raise ValueError("empty query")
     wide = max(limit, min(5 * limit, 500))
-    grams = F.greatest(F.length("content") - 2, F.lit(0))
-    stats = lines.groupBy("repo").agg(F.count("*").alias("all_lines"), (F.sum(grams) / F.count("*")).alias("mean_length"))
+    length = F.greatest(F.length("content") - 2, F.lit(0))
+    stats = lines.groupBy("repo").agg((F.sum(length) / F.count("*")).alias("mean_length"))
     short = F.length("query") < 3
     test = paths.is_test(F.col("path"), "catalog")
-    asked, folded = sent(queries.withColumn("_q", F.lower("query"))), lines.withColumn("_low", F.lower("content"))
-    found = folded.join(asked, F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(F.col("_low").contains(F.col("_q")))).drop("_low", "_q")
-    counts = found.groupBy(*GROUP).agg(F.count("*").alias("with_it"))
-    found = found.join(F.broadcast(counts), [*GROUP]).join(F.broadcast(stats), "repo")  # a row a repository and query
-    found = found.withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
-    found = found.withColumn("bm25", F.when(short, F.lit(0.0)).otherwise(bm25_of_one(F.col("tf"), grams, F.col("all_lines"), F.col("with_it"), F.col("mean_length"))))
+    asked, folded = queries.withColumn("_q", F.lower("query")), lines.withColumn("_low", F.lower("content"))
+    holds = F.col("_low").contains(F.col("_q"))
+    if grams is None:
+        found = folded.join(sent(asked), F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(holds))
+    else:
+        files = trigrams.candidates(grams, asked.where(~short)).join(asked, "query_id")
+        found = folded.join(files, ["repo", "path"]).where(holds).unionByName(folded.join(sent(asked.where(short)), text.like(F.col("content"), F.col("query"), before="%")))
+    found = found.drop("_low", "_q").join(stats, "repo").withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
+    found = found.withColumn("bm25", F.when(short, F.lit(0.0)).otherwise(-saturated(F.col("tf"), length, F.greatest(F.col("mean_length"), F.lit(1e-9)))))
     kept = ranked(found, ["bm25", "path", "line"], wide)
     most = F.lit(limit)
     if budgets is not None:
-        kept = kept.join(F.broadcast(budgets), [*GROUP])  # a row a repository and query
+        kept = kept.join(budgets, [*GROUP])
         most = F.least(F.col("budget"), F.lit(limit))
         kept = kept.where((most > 0) & (F.col("position") <= F.greatest(most, F.least(most * 5, F.lit(500)))))
     score = F.when(short, F.lit(0)).otherwise(text.text_line_score(F.col("content"), F.col("query"), test))
@@ -154,10 +204,6 @@ def saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))
 
 
-def bm25_of_one(tf: Column, length: Column, rows: Column, with_it: Column, mean: Column) -> Column:
-    return -idf(rows, with_it) * saturated(tf, length, F.greatest(mean, F.lit(1e-9)))
-
-
 def with_context(matches: DataFrame, lines: DataFrame, around: int = 1) -> DataFrame:
     """``matches`` with start_line, end_line and snippet: the indexed lines at most ``around`` away, numbered.
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import bm25, context, freshness, graph, lookup, measure, references, rollups, search, telemetry
+from tessera.operators import bm25, context, freshness, graph, lookup, measure, providers, references, rollups, search, telemetry
 from tessera.plans import oracle
 from tessera.sources import adapters as a
+from tessera.sources import events
 from tessera.sources import extract as x
 from tessera.sources import resolve
 
@@ -85,6 +86,16 @@ def workspace_outline(s, d):
     return rollups.workspace_outline(a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True), a.symbols(s, d))
 
 
+@query
+def repo_outline(s, d):
+    return rollups.repo_outline(a.files(s, d).unionByName(a.symbol_files(s, d), allowMissingColumns=True), a.symbols(s, d), 2, 9)
+
+
+@query
+def workspace_savings(s, d):
+    return rollups.workspace_savings(a.files(s, d), search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10))
+
+
 @query
 def symbols_by_file(s, d):
     return rollups.symbols_by_file(a.symbols(s, d))
@@ -194,6 +205,35 @@ def text_context(s, d):
     return search.with_context(found, a.text_lines(s, d), 2)
 
 
+@query
+def text_search_indexed(s, d):
+    return search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10, grams=a.text_grams(s, d))
+
+
+@query
+def text_language(s, d):
+    return search.with_language(search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10), a.files(s, d))
+
+
+@query
+def path_search(s, d):
+    return search.path_search(a.files(s, d), a.queries(s, FILE_QUERIES), 7).select("query_id", "repo", "path", F.col("rank").cast("long").alias("rank"), "position")
+
+
+@query
+def find_symbols(s, d):
+    return providers.find(a.queries(s, SYMBOL_QUERIES), a.symbols(s, d), provider="catalog", limit=12)
+
+
+@query
+def find_foreign(s, d):
+    """Two foreign indexes, of which only one is a known repository's."""
+    symbols = a.symbols(s, d).selectExpr("concat('s', cast(symbol_id % 2 AS string)) AS source", "path AS file", "name", "qualified_name", "kind", "signature", "doc AS summary", "'' AS docstring", "line")
+    meta = s.createDataFrame([("s0", "source_root", "/work/a/"), ("s1", "source_root", "/work/b"), ("s0", "version", "1")], "source string, key string, value string")
+    repos = s.createDataFrame([("a", "/work/a"), ("c", "/work/c")], "repo string, root string")
+    return providers.find(a.queries(s, SYMBOL_QUERIES), a.symbols(s, d), events.foreign_sources(symbols, meta, repos), "foreign", 15).drop("end_line")
+
+
 @query
 def references_exact(s, d):
     return references.references(a.text_lines(s, d), a.symbols(s, d), a.queries(s, WORD_QUERIES), 20)
@@ -269,7 +309,7 @@ def related_tests_all(s, d):
 
 @query
 def bm25_topk(s, d):
-    index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)), stemmed=False)
+    index = a.function_terms(s, d, stemmed=False)
     terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
     out = bm25.search_documents(index, terms, 15, include_tests=False, stemmed=False)
     return out.select("query_id", "repo", "symbol_id", F.round("bm25", 6).alias("bm25"), "covered", "position")
@@ -277,7 +317,7 @@ def bm25_topk(s, d):
 
 @query
 def bm25_porter(s, d):
-    index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)))
+    index = a.function_terms(s, d)
     terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
     return bm25.search_documents(index, terms, 15)
 
@@ -288,6 +328,23 @@ def keyword_rank(s, d):
     return bm25.keyword_rank(a.symbols(s, d), terms).where("position <= 20")
 
 
+BODY_QUERIES = [(1, "red widget sized jumbo"), (2, "blue bolt jumbo"), (3, "tiny widgets"), (4, "economy tiny"), (5, "large rings of any kind")]
+
+
+def symbol_lines(s, d):
+    """A line below each symbol's first, that says what it comes in."""
+    return a.read(s, d, "part").selectExpr(
+        "concat('r', cast(p_partkey % 4 AS string)) AS repo", "concat(CASE WHEN p_partkey % 11 = 0 THEN 'tests/' ELSE 'src/' END, lower(p_type), '/unit_', cast(floor(p_partkey / 40) AS string), '.py') AS path",
+        "CAST(p_partkey % 40 * 10 + 2 AS bigint) AS line", "concat('    # ', p_name, ' sized ', element_at(array('tiny', 'large', 'jumbo'), cast(p_size % 3 + 1 AS int))) AS content",
+    )
+
+
+@query
+def keyword_rank_bodies(s, d):
+    terms = a.queries(s, BODY_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
+    return bm25.keyword_rank(a.symbols(s, d), terms, symbol_lines(s, d)).where("position <= 20")
+
+
 @query
 def innermost_symbol(s, d):
     places = a.symbols(s, d).select("repo", "path", (F.col("line") + 3).alias("at")).distinct()
@@ -306,9 +363,24 @@ def lookup_blend(s, d):
     return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, LOOKUPS), lookup.Limits(limit=12, recover=False))
 
 
+@query
+def lookup_without_tests(s, d):
+    return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, LOOKUPS), lookup.Limits(limit=12, recover=False, include_tests=False))
+
+
+@query
+def lookup_excerpts(s, d):
+    return lookup.excerpts(lookup_blend(s, d), symbol_lines(s, d))
+
+
+@query
+def lookup_guidance(s, d):
+    return lookup.guidance(a.queries(s, [*LOOKUPS, (99, "qqqqzz")]), lookup_blend(s, d)).select("query_id", "hits", F.col("guidance").isNotNull().alias("advised"))
+
+
 @query
 def lookup_recovery(s, d):
-    index = bm25.postings(bm25.function_documents(a.symbols(s, d), a.text_lines(s, d)))
+    index = a.function_terms(s, d)
     return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, [*LOOKUPS, (11, "red things widgets")]), lookup.Limits(limit=12), index)
 
 
@@ -345,6 +417,36 @@ def snippet_totals(s, d):
     return context.totals(context.context_pack(text_hits(s, d), a.files(s, d), a.symbols(s, d), a.text_lines(s, d), limit=10, max_files=4, around=2, most=20))
 
 
+def workspace_hits(s, d):
+    """Text hits of a query over all repositories: by place in their repository, repository, path and line."""
+    return search.ranked(text_hits(s, d).withColumnRenamed("position", "score"), ["score", "repo", "path", "line"], 30, by=("query_id",)).drop("score")
+
+
+def workspace_snippets(s, d):
+    return context.workspace_pack(workspace_hits(s, d), a.files(s, d), a.symbols(s, d), a.text_lines(s, d), limit=10, max_files=4, around=2, most=20)
+
+
+@query
+def workspace_pack(s, d):
+    return workspace_snippets(s, d).withColumn("hit_lines", F.array_join(F.transform("hit_lines", lambda i: i.cast("string")), ","))
+
+
+@query
+def workspace_pack_totals(s, d):
+    return context.pack_totals(workspace_hits(s, d).where("position <= 10"), workspace_snippets(s, d), a.files(s, d))
+
+
+@query
+def compact_pack(s, d):
+    return context.compact(workspace_snippets(s, d), s.createDataFrame([(f"r{i}", i) for i in range(4)], "repo string, repo_index long"))
+
+
+@query
+def batch_pack(s, d):
+    queries = a.queries(s, [*TEXT_QUERIES, (7, "LICENSE"), (8, "The ")])
+    return context.batch(workspace_snippets(s, d), s.createDataFrame([(f"r{i}", i) for i in range(4)], "repo string, repo_index long"), queries)
+
+
 @query
 def symbol_context(s, d):
     hits = lookup.lookup(a.symbols(s, d), a.symbol_files(s, d), a.text_lines(s, d), a.queries(s, SYMBOL_QUERIES[:3]), lookup.Limits(limit=8))
@@ -418,6 +520,30 @@ def provider_scorecard(s, d):
     return measure.scorecard(runs, "click")
 
 
+SUITE_RUN = "value AS median_ms", "user_id AS results", "user_id % 5 AS source_paths", "user_id % 3 AS test_paths", "CASE WHEN event_id % 4 <> 0 THEN concat('p/', cast(user_id % 7 AS string)) ELSE '' END AS first_path", "event_id % 3 = 0 AS first_is_test"
+
+
+@query
+def symbol_scorecard(s, d):
+    return measure.symbol_scorecard(a.read(s, d, "events").selectExpr("event_type AS provider", "event_id AS query_no", *SUITE_RUN), "click").withColumn("first_paths", F.sha2("first_paths", 256))
+
+
+@query
+def workflow_scorecard(s, d):
+    runs = a.read(s, d, "events").selectExpr("event_type AS suite", "event_id AS query_no", *SUITE_RUN, "user_id % 11 AS selected_files", "user_id % 90 AS selected_lines", "user_id % 800 AS estimated_tokens", "user_id % 9000 AS estimated_saved_tokens", "event_id % 77 AS payload_bytes")
+    return measure.workflow_scorecard(runs, ("suite",)).drop("first_paths")
+
+
+@query
+def retrieval_hits(s, d):
+    """Which expected names two ways of lookup put among the first three."""
+    cases = s.createDataFrame([(1, "Brand17.red_widget_7"), (2, "small_ring_3"), (3, "red_widget_7"), (4, "nothing")], "query_id long, expected string")
+    found = search.symbol_search(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 3).select(F.lit("all").alias("mode"), "query_id", "position", F.concat_ws(" ", "kind", "qualified_name").alias("label"))
+    exact = search.symbol_search(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 3, fuzzy=False).select(F.lit("exact").alias("mode"), "query_id", "position", F.concat_ws(" ", "kind", "qualified_name").alias("label"))
+    expected = cases.withColumn("expected", F.substring_index("expected", ".", -1))
+    return measure.hits_at(found.unionByName(exact), expected, s.createDataFrame([("all",), ("exact",)], "mode string"))
+
+
 @query
 def scorecard_delta(s, d):
     days = a.read(s, d, "events").groupBy(F.col("event_type").alias("suite_name"), F.to_date("ts").alias("day")).agg(F.count("*").alias("runs"), F.sum("user_id").cast("long").alias("total"))
@@ -490,7 +616,7 @@ def import_resolve_all(s, d):
 
 
 class _Literals:
-    SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS
+    SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS, BODY_QUERIES = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS, BODY_QUERIES
 
 
 oracle.build(_Literals)

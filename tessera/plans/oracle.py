@@ -123,6 +123,10 @@ def build(c) -> None:
     sql("top_files", "symbol_files counts_by_file", f"SELECT * FROM (SELECT *, {rn('repo', 'symbols DESC, lines DESC, path')} AS position FROM {top}) WHERE position <= 7")
     sql("workspace_top_files", "symbol_files counts_by_file", f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY symbols DESC, lines DESC, repo, path) AS position FROM {top}) WHERE position <= 15")
     sql("workspace_outline", "all_files counts_by_file", "SELECT language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(symbols) AS BIGINT) AS symbols, count(DISTINCT repo) AS repos FROM r GROUP BY language", joined.format("all_files"))
+    sql("repo_outline", "all_files counts_by_file", f"""SELECT repo, 'total' AS section, CAST(1 AS BIGINT) AS position, CAST(NULL AS VARCHAR) AS name, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines, CAST(sum(symbols) AS BIGINT) AS symbols, CAST(NULL AS VARCHAR) AS languages FROM r GROUP BY repo
+        UNION ALL SELECT repo, 'language', {rn('repo', 'files DESC, language')}, language, files, lines, NULL, NULL FROM (SELECT repo, language, count(*) AS files, CAST(sum(line_count) AS BIGINT) AS lines FROM r GROUP BY ALL)
+        UNION ALL SELECT repo, 'directory', {rn('repo', 'depth, directory')}, directory, files, lines, symbols, languages FROM d
+        UNION ALL SELECT * FROM (SELECT repo, 'file', {rn('repo', 'symbols DESC, line_count DESC, path')} AS position, path, NULL, line_count, symbols, NULL FROM r) WHERE position <= 9""", joined.format("all_files"), f"l AS ({levels(2)})", f"d AS ({folders})")
     sql("symbols_by_file", "counts_by_file", "SELECT * FROM counts_by_file")
     sql("file_outline", "symbols", f"SELECT repo, path, {rn('repo, path', 'line, name, symbol_id')} AS position, name, kind, line, end_line FROM symbols WHERE path LIKE 'src/economy/%'")
     tokens = lambda lang: f"SELECT repo, count(*) AS files, CAST(sum(greatest(1, line_count) * 8) AS BIGINT) AS tokens, count(*) FILTER (language = '{lang}') AS selected_files, CAST(coalesce(sum(greatest(1, line_count) * 8) FILTER (language = '{lang}'), 0) AS BIGINT) AS selected_tokens FROM files GROUP BY repo"
@@ -177,6 +181,10 @@ def build(c) -> None:
     sql("file_search", "files", "SELECT query_id, repo, path, rank, position FROM p WHERE position <= 6", fq, *var,
         f"x AS (SELECT v.query_id, f.repo, f.path, v.ordinal, CASE WHEN lower(path) = {n} THEN 0 WHEN {base} = {n} OR {stem} = {n} THEN 1 WHEN ends_with(lower(path), '/' || regexp_extract({n}, '([^/]*)/*$', 1)) THEN 2 WHEN contains(lower(path), {n}) THEN 3 END AS level FROM files f, v WHERE regexp_replace(trim(variant), '^[./]+', '') <> '')",
         "m AS (SELECT query_id, repo, path, min(ordinal * 4 + level) AS rank FROM x WHERE level IS NOT NULL GROUP BY ALL)", f"p AS (SELECT *, {rn('query_id, repo', 'rank, length(path), path')} AS position FROM m)")
+    pq, pb = low("regexp_replace(trim(query), '^[./]+', '')"), low("regexp_extract(regexp_replace(regexp_replace(trim(query), '^[./]+', ''), '/+$', ''), '([^/]*)$', 1)")
+    sql("path_search", "files", "SELECT query_id, repo, path, rank, position FROM p WHERE position <= 7", fq,
+        f"x AS (SELECT query_id, repo, path, CASE WHEN {low('path')} = {pq} THEN 0 WHEN {low('path')} LIKE '%/' || {pb} THEN 1 WHEN {low('path')} LIKE '%/' || {pb} || '.%' THEN 2 WHEN {low('path')} LIKE '%' || {pq} || '%' THEN 3 END AS rank FROM files, q WHERE {pq} <> '')",
+        f"p AS (SELECT *, {rn('query_id, repo', 'rank, length(path), path')} AS position FROM x WHERE rank IS NOT NULL)")
     sql("path_resolve", "files", "SELECT query_id, repo, coalesce(same, CASE WHEN n = 1 THEN only_ END) AS resolved FROM g", values("q", [(1, "doc_17.txt"), (2, "src/m3/doc_5.txt"), (3, ".txt"), (4, "./tests/m3/doc_10.txt")]),
         "k AS (SELECT query_id, regexp_replace(trim(query), '^[./]+', '') AS query FROM q)", f"g AS (SELECT query_id, repo, max(path) FILTER (path = query) AS same, count(*) FILTER ({low('path')} LIKE '%' || {low('query')}) AS n, max(path) FILTER ({low('path')} LIKE '%' || {low('query')}) AS only_ FROM files, k GROUP BY ALL)")
 
@@ -197,6 +205,11 @@ def build(c) -> None:
 
     xq = values("q", c.TEXT_QUERIES)
     sql("text_search_ranked", "text_lines", "SELECT * FROM ts", xq, *text(10))
+    sql("text_search_indexed", "text_lines", "SELECT * FROM ts", xq, *text(10))
+    sql("text_language", "text_lines files", "SELECT ts.*, language FROM ts JOIN files USING (repo, path)", xq, *text(10))
+    sql("workspace_savings", "text_lines files", "SELECT query_id, CAST(sum(candidate) AS BIGINT) AS candidate_files, CAST(sum(returned) AS BIGINT) AS returned_files, CAST(sum(greatest(0, tokens - selected - 40 * results)) AS BIGINT) AS saved FROM ps GROUP BY query_id", xq, *text(10),
+        "al AS (SELECT repo, count(*) AS candidate, sum(greatest(1, line_count) * 8) AS tokens FROM files GROUP BY repo)",
+        "ps AS (SELECT w.query_id, al.*, (SELECT count(DISTINCT path) FROM ts WHERE ts.query_id = w.query_id AND ts.repo = al.repo) AS returned, (SELECT count(*) FROM ts WHERE ts.query_id = w.query_id AND ts.repo = al.repo) AS results, (SELECT coalesce(sum(greatest(1, line_count) * 8), 0) FROM files f WHERE f.repo = al.repo AND f.path IN (SELECT path FROM ts WHERE ts.query_id = w.query_id AND ts.repo = al.repo)) AS selected FROM (SELECT DISTINCT query_id FROM ts) w, al)")
     sql("text_context", "text_lines", "SELECT ts.*, min(n.line) AS start_line, max(n.line) AS end_line, string_agg(n.line || ': ' || n.content, chr(10) ORDER BY n.line) AS snippet FROM ts JOIN text_lines n ON n.repo = ts.repo AND n.path = ts.path AND n.line BETWEEN ts.line - 2 AND ts.line + 2 GROUP BY ALL", xq, *text(10))
 
     wq = values("q", c.WORD_QUERIES)
@@ -223,25 +236,47 @@ def build(c) -> None:
     fil_tier = tier([(f"lower(path) = {qn}", 400), (f"{lb} = {qn} OR {ls} = {qn}", 500), (f"{keyed} AND ({key(lb)} = {key('query')} OR {key(ls)} = {key('query')})", 520), (f"starts_with({lb}, {qn}) OR starts_with({ls}, {qn})", 600), (f"{keyed} AND (starts_with({key(lb)}, {key('query')}) OR starts_with({key(ls)}, {key('query')}))", 620), (f"{keyed} AND starts_with({key('path')}, {key('query')})", 640), (f"{keyed} AND contains({key('path')}, {key('query')})", 650)], 700)
     marks = lambda e, m: "(" + " OR ".join(f"contains({e}, '{x}')" for x in m) + ")"
     less = f"CASE WHEN contains(lower(content), lower(query)) THEN CASE WHEN {marks('lower(content)', ('label', 'title', 'shortlabel', 'description'))} THEN 90 ELSE 20 END ELSE 0 END + CASE WHEN {marks('lower(path)', ('config/navigation', 'config/routes', 'router', 'routes'))} THEN 180 WHEN {marks('lower(path)', ('/pages/', 'pages/'))} THEN 130 WHEN contains(lower(path), '/config/') OR starts_with(lower(path), 'config/') THEN 80 ELSE 0 END"
-    sql("lookup_blend", "symbols all_files text_lines", "SELECT query_id, repo, position, kind, path, line, label, detail, score, end_line FROM ranked WHERE position <= 12", lq, *var,
+    def blend(n_: int, wide: str, kept: str) -> list[str]:
+        """The parts of a blended lookup: candidates of each kind, how many lines are looked for, and which paths are kept."""
+        return [lq, *var,
         f"m AS (SELECT v.query_id, s.repo, s.symbol_id, s.path, s.line, min(v.ordinal * 4 + CASE WHEN {vs('name')} THEN 0 WHEN {vs('qualified_name')} THEN 1 WHEN {vl('name')} THEN 2 ELSE 3 END) AS rank FROM symbols s, v WHERE {vl('name')} OR {vl('qualified_name')} GROUP BY ALL)",
         f"p AS (SELECT query_id, repo, symbol_id, {rn('query_id, repo', 'rank, path, line, symbol_id')} AS position FROM m)",
-        first(12), f"second AS (SELECT * FROM (SELECT q.query_id, s.*, 1 AS stage, {rank(3)} AS rank, {rn('q.query_id, s.repo', f'{rank(3)}, path, line, symbol_id')} AS position FROM symbols s, q WHERE {holds('name')} OR {holds('qualified_name')} OR {holds('signature')} OR {holds('doc')}) WHERE position <= 24)",
+        first(n_), f"second AS (SELECT * FROM (SELECT q.query_id, s.*, 1 AS stage, {rank(3)} AS rank, {rn('q.query_id, s.repo', f'{rank(3)}, path, line, symbol_id')} AS position FROM symbols s, q WHERE {holds('name')} OR {holds('qualified_name')} OR {holds('signature')} OR {holds('doc')}) WHERE position <= {2 * n_})",
         "both_ AS (SELECT * FROM first UNION ALL SELECT * FROM second)", f"once AS (SELECT * EXCLUDE (position) FROM both_ QUALIFY {rn('query_id, repo, symbol_id', 'stage')} = 1)",
         f"cut AS (SELECT query_id, repo, symbol_id, {rn('query_id, repo', 'stage, rank, path, line, symbol_id')} AS position FROM once)",
-        "fz AS (SELECT cut.* FROM cut JOIN qw USING (query_id) WHERE position <= 12 AND (len(w) < 2 OR regexp_matches(query, '^[A-Za-z_][A-Za-z0-9_:.]*$')) AND (query_id, repo) NOT IN (SELECT (query_id, repo) FROM p))",
-        "sy AS (SELECT x.query_id, q.query, x.position - 1 AS index, s.* FROM (SELECT * FROM p WHERE position <= 12 UNION ALL SELECT * FROM fz) x JOIN symbols s USING (repo, symbol_id) JOIN q USING (query_id))",
+        f"fz AS (SELECT cut.* FROM cut JOIN qw USING (query_id) WHERE position <= {n_} AND (len(w) < 2 OR regexp_matches(query, '^[A-Za-z_][A-Za-z0-9_:.]*$')) AND (query_id, repo) NOT IN (SELECT (query_id, repo) FROM p))",
+        f"sy AS (SELECT x.query_id, q.query, {rn('x.query_id, s.repo', 'x.position')} - 1 AS index, s.* FROM (SELECT * FROM p WHERE position <= {n_} UNION ALL SELECT * FROM fz) x JOIN symbols s USING (repo, symbol_id) JOIN q USING (query_id) WHERE {kept})",
         f"fx AS (SELECT v.query_id, f.repo, f.path, f.language, f.line_count, v.ordinal, CASE WHEN lower(path) = {n} THEN 0 WHEN {base} = {n} OR {stem} = {n} THEN 1 WHEN ends_with(lower(path), '/' || regexp_extract({n}, '([^/]*)/*$', 1)) THEN 2 WHEN contains(lower(path), {n}) THEN 3 END AS level FROM all_files f, v WHERE regexp_replace(trim(variant), '^[./]+', '') <> '')",
         "fm AS (SELECT query_id, repo, path, language, line_count, min(ordinal * 4 + level) AS rank FROM fx WHERE level IS NOT NULL GROUP BY ALL)",
-        f"fi AS (SELECT f.*, q.query, {rn('query_id, repo', 'rank, length(path), path')} - 1 AS index FROM fm f JOIN q USING (query_id))", "fs AS (SELECT * FROM fi WHERE index < 12)",
+        f"fi AS (SELECT f.*, q.query, {rn('query_id, repo', 'rank, length(path), path')} - 1 AS index FROM fm f JOIN q USING (query_id))", f"fs AS (SELECT * REPLACE ({rn('query_id, repo', 'index')} - 1 AS index) FROM fi WHERE index < {n_} AND {kept})",
         f"ex AS (SELECT query_id, repo FROM sy WHERE lower(name) = lower(query) OR lower(qualified_name) = lower(query) UNION SELECT query_id, repo FROM fs WHERE lower(path) = {qn} OR {lb} = {qn} OR {ls} = {qn})",
         *text(100)[:-2], f"wb2 AS (SELECT query_id, query, repo, path, line, content, bm25, CASE WHEN (query_id, repo) IN (SELECT (query_id, repo) FROM ex) THEN 3 ELSE 12 END AS budget, {rn('query_id, repo', 'bm25, path, line')} AS place FROM bm)",
-        f"ws AS (SELECT *, CAST(CASE WHEN length(query) < 3 THEN 0 ELSE {score} END AS BIGINT) AS line_score FROM wb2 WHERE place <= greatest(budget, least(5 * budget, 500)))",
-        f"tx AS (SELECT *, {rn('query_id, repo', 'line_score, path, line')} - 1 AS index FROM ws)",
+        f"ws AS (SELECT * REPLACE ({wide} AS budget), CAST(CASE WHEN length(query) < 3 THEN 0 ELSE {score} END AS BIGINT) AS line_score FROM wb2 WHERE place <= greatest({wide}, least(5 * ({wide}), 500)))",
+        f"ty AS (SELECT *, {rn('query_id, repo', 'line_score, path, line')} - 1 AS index FROM ws)", f"tx AS (SELECT * REPLACE ({rn('query_id, repo', 'index')} - 1 AS index) FROM ty WHERE index < budget AND {kept})",
         f"""hits AS (SELECT query_id, repo, 0 AS branch, index, 'symbol' AS kind, path, line, kind || ' ' || qualified_name AS label, signature AS detail, {sym_tier} + index + CASE WHEN {sym_tier} + index >= 1000 AND {test('path', 'lookup')} THEN 1500 ELSE 0 END AS score, end_line FROM sy
             UNION ALL SELECT query_id, repo, 1, index, 'file', path, 1, path, language || ', ' || line_count || ' lines', {fil_tier} + index, NULL FROM fs
-            UNION ALL SELECT t.query_id, t.repo, 2, index, 'text', t.path, t.line, trim(content), content, greatest(1500, 2000 + index - ({less}) + CASE WHEN {test('t.path', 'lookup')} THEN 300 ELSE 0 END), NULL FROM tx t ANTI JOIN sy ON sy.query_id = t.query_id AND sy.repo = t.repo AND sy.path = t.path AND sy.line = t.line WHERE index < budget)""",
-        f"dedup AS (SELECT * FROM hits QUALIFY {rn('query_id, repo, path, line, kind', 'branch, index')} = 1)", f"ranked AS (SELECT *, {rn('query_id, repo', 'score, path, line, kind')} AS position FROM dedup)")
+            UNION ALL SELECT t.query_id, t.repo, 2, index, 'text', t.path, t.line, trim(content), content, greatest(1500, 2000 + index - ({less}) + CASE WHEN {test('t.path', 'lookup')} THEN 300 ELSE 0 END), NULL FROM tx t ANTI JOIN sy ON sy.query_id = t.query_id AND sy.repo = t.repo AND sy.path = t.path AND sy.line = t.line)""",
+        f"dedup AS (SELECT * FROM hits QUALIFY {rn('query_id, repo, path, line, kind', 'branch, index')} = 1)", f"ranked AS (SELECT *, {rn('query_id, repo', 'score, path, line, kind')} AS position FROM dedup)"]
+
+    shown = "SELECT query_id, repo, position, kind, path, line, label, detail, score, end_line FROM ranked WHERE position <= 12"
+    sql("lookup_blend", "symbols all_files text_lines", shown, *blend(12, "budget", "true"))
+    sql("lookup_without_tests", "symbols all_files text_lines", shown, *blend(70, "least(100, 5 * budget + 10)", f"NOT {test('path', 'lookup')}"))
+    lines_of = f"symbol_lines AS (SELECT 'r' || (p_partkey % 4) AS repo, CASE WHEN p_partkey % 11 = 0 THEN 'tests/' ELSE 'src/' END || lower(p_type) || '/unit_' || (p_partkey // 40) || '.py' AS path, CAST(p_partkey % 40 * 10 + 2 AS BIGINT) AS line, '    # ' || p_name || ' sized ' || ['tiny', 'large', 'jumbo'][p_size % 3 + 1] AS content FROM part)"
+    sql("lookup_excerpts", "symbols all_files text_lines", "SELECT query_id, repo, position, path, a AS start_line, b AS end_line, left(content, 6000) AS content, length(content) > 6000 OR coalesce(more, false) AS truncated FROM et", *blend(12, "budget", "true"), lines_of,
+        "eh AS (SELECT query_id, repo, position, path, greatest(1, line - 2) AS a, least(coalesce(end_line, line), greatest(1, line - 2) + 39) AS b, end_line > least(coalesce(end_line, line), greatest(1, line - 2) + 39) AS more FROM ranked WHERE position <= 3 AND kind = 'symbol')",
+        "et AS (SELECT query_id, repo, position, eh.path, a, b, more, string_agg(coalesce((SELECT max(content) FROM symbol_lines l WHERE l.repo = eh.repo AND l.path = eh.path AND l.line = i), ''), chr(10) ORDER BY i) AS content FROM (SELECT *, unnest(range(a, b + 1)) AS i FROM eh) eh GROUP BY query_id, repo, position, eh.path, a, b, more)")
+    sql("lookup_guidance", "symbols all_files text_lines", "SELECT w.query_id, count(r.query_id) AS hits, count(r.query_id) = 0 AS advised FROM (SELECT query_id FROM q UNION ALL SELECT 99) w LEFT JOIN (SELECT * FROM ranked WHERE position <= 12) r ON r.query_id = w.query_id GROUP BY w.query_id", *blend(12, "budget", "true"))
+    sql("find_symbols", "symbols", "SELECT query_id, repo, name, qualified_name, kind, path, line, end_line, signature, doc AS summary, 'catalog' AS provider, position FROM cut WHERE position <= 12", q, first(12),
+        f"second AS (SELECT * FROM (SELECT q.query_id, s.*, 1 AS stage, {rank(3)} AS rank, {rn('q.query_id, s.repo', f'{rank(3)}, path, line, symbol_id')} AS position FROM symbols s, q WHERE {holds('name')} OR {holds('qualified_name')} OR {holds('signature')} OR {holds('doc')}) WHERE position <= 24)",
+        "both_ AS (SELECT * FROM first UNION ALL SELECT * FROM second)", f"once AS (SELECT * EXCLUDE (position) FROM both_ QUALIFY {rn('query_id, repo, symbol_id', 'stage')} = 1)",
+        f"cut AS (SELECT *, {rn('query_id, repo', 'stage, rank, path, line, symbol_id')} AS position FROM once)")
+    once_of = [first(3), f"second AS (SELECT * FROM (SELECT q.query_id, s.*, 1 AS stage, {rank(3)} AS rank, {rn('q.query_id, s.repo', f'{rank(3)}, path, line, symbol_id')} AS position FROM symbols s, q WHERE {holds('name')} OR {holds('qualified_name')} OR {holds('signature')} OR {holds('doc')}) WHERE position <= 6)",
+        "both_ AS (SELECT * FROM first UNION ALL SELECT * FROM second)", f"once AS (SELECT * EXCLUDE (position) FROM both_ QUALIFY {rn('query_id, repo, symbol_id', 'stage')} = 1)", f"cut AS (SELECT *, {rn('query_id, repo', 'stage, rank, path, line, symbol_id')} AS position FROM once)"]
+    sql("retrieval_hits", "symbols", "SELECT mode, count(*) AS queries, count(*) FILTER (EXISTS (SELECT 1 FROM fd WHERE fd.mode = m.mode AND fd.query_id = c.query_id AND fd.name = c.expected)) AS hits FROM (VALUES ('all'), ('exact')) m(mode), (VALUES (1, 'red_widget_7'), (2, 'small_ring_3'), (3, 'red_widget_7'), (4, 'nothing')) c(query_id, expected) GROUP BY mode", q, *once_of,
+        "fd AS (SELECT 'all' AS mode, query_id, string_split(qualified_name, '.')[-1] AS name FROM cut WHERE position <= 3 UNION ALL SELECT 'exact', query_id, string_split(qualified_name, '.')[-1] FROM first WHERE position <= 3)")
+    f_rank = f"CASE WHEN lower(name) = lower(q.query) THEN 0 WHEN lower(name) LIKE lower(q.query) || '%' THEN 1 WHEN lower(qualified_name) LIKE lower(q.query) || '%' THEN 2 ELSE 3 END"
+    f_holds = " OR ".join(f"lower({k}) LIKE '%' || lower(q.query) || '%'" for k in ("name", "qualified_name", "signature", "doc"))
+    sql("find_foreign", "symbols", "SELECT * FROM p WHERE position <= 15", q, f"p AS (SELECT q.query_id, 'a' AS repo, name, qualified_name, kind, path, line, signature, doc AS summary, 'foreign' AS provider, {rn('q.query_id', f'{f_rank}, path, line, name')} AS position FROM symbols, q WHERE symbol_id % 2 = 0 AND ({f_holds}))")
 
     sql("internal_edges", "internal", "SELECT * FROM internal")
     sql("unresolved_sources", "dependencies", "SELECT DISTINCT repo, source_path AS path FROM dependencies WHERE NOT resolved AND category = 'unresolved'")
@@ -281,6 +316,15 @@ def build(c) -> None:
         "ta AS (SELECT query_id, list(term ORDER BY i) AS terms FROM t GROUP BY query_id)", f"kc AS (SELECT ta.query_id, ta.terms, s.* FROM symbols s, ta WHERE {cover(low('qualified_name || chr(32) || signature || chr(32) || doc'))} > 0 QUALIFY {rn('query_id, repo', cover(low('qualified_name || chr(32) || signature || chr(32) || doc')) + ' DESC, path, line, symbol_id')} <= 128)",
         "kf AS (SELECT *, list_filter(terms, lambda x: contains(lower(qualified_name), x) OR contains(lower(doc), x) OR contains(lower(signature), x)) AS f FROM kc)",
         "ks AS (SELECT query_id, repo, symbol_id, path, line, CAST(len(f) AS BIGINT) AS covered, CAST(1200 - len(f) * 70 - len(list_filter(f, lambda x: contains(lower(qualified_name), x))) * 20 - len(list_filter(f, lambda x: contains(lower(doc), x))) * 10 + CASE WHEN kind = 'class' THEN 35 ELSE 0 END AS BIGINT) AS recovery_score FROM kf WHERE len(f) >= greatest(2, (len(terms) + 2) // 3))")
+    bq = values("q", c.BODY_QUERIES)
+    renamed = [x.replace("q.query_id, q.query, t.*", "z.query_id, z.query, t.*").replace("FROM text_lines t, q WHERE", "FROM text_lines t, z WHERE") for x in text(24)]
+    sql("keyword_rank_bodies", "symbols", f"SELECT * FROM (SELECT query_id, repo, symbol_id, path, line, covered, recovery_score, {rn('query_id, repo', 'recovery_score, path, line, symbol_id')} AS position FROM ks) WHERE position <= 20", bq, *terms,
+        lines_of.replace("symbol_lines AS", "text_lines AS"), "z AS (SELECT term AS query, row_number() OVER (ORDER BY term) AS query_id FROM (SELECT DISTINCT term FROM t))", *renamed,
+        "inn AS (SELECT ts.query AS term, ts.repo, ts.path, ts.line AS at_, arg_min(s.symbol_id, {'w': coalesce(s.end_line, s.line) - s.line, 'i': s.symbol_id}) AS symbol_id FROM ts JOIN symbols s ON s.repo = ts.repo AND s.path = ts.path AND ts.line BETWEEN s.line AND coalesce(s.end_line, s.line) GROUP BY ALL)",
+        "ta AS (SELECT query_id, list(term ORDER BY i) AS terms FROM t GROUP BY query_id)", f"kb AS (SELECT ta.query_id, s.repo, s.symbol_id FROM symbols s, ta WHERE {cover(low('qualified_name || chr(32) || signature || chr(32) || doc'))} > 0 QUALIFY {rn('query_id, repo', cover(low('qualified_name || chr(32) || signature || chr(32) || doc')) + ' DESC, path, line, symbol_id')} <= 128)",
+        "ev AS (SELECT query_id, repo, symbol_id, list(DISTINCT term) FILTER (term IS NOT NULL) AS body FROM (SELECT query_id, repo, symbol_id, NULL AS term FROM kb UNION ALL SELECT t.query_id, inn.repo, inn.symbol_id, inn.term FROM inn JOIN t USING (term)) GROUP BY ALL)",
+        "kf AS (SELECT *, list_filter(terms, lambda x: contains(lower(qualified_name), x) OR contains(lower(doc), x) OR contains(lower(signature), x) OR list_contains(coalesce(body, []), x)) AS f FROM ev JOIN ta USING (query_id) JOIN symbols USING (repo, symbol_id))",
+        "ks AS (SELECT query_id, repo, symbol_id, path, line, CAST(len(f) AS BIGINT) AS covered, CAST(1200 - len(f) * 70 - len(list_filter(f, lambda x: contains(lower(qualified_name), x))) * 20 - len(list_filter(f, lambda x: contains(lower(doc), x))) * 10 + CASE WHEN kind = 'class' THEN 35 ELSE 0 END AS BIGINT) AS recovery_score FROM kf WHERE len(f) >= greatest(2, (len(terms) + 2) // 3))")
     sql("innermost_symbol", "symbols", "SELECT p.repo, p.path, p.at, arg_min(s.symbol_id, {'w': coalesce(s.end_line, s.line) - s.line, 'i': s.symbol_id}) AS symbol_id FROM (SELECT DISTINCT repo, path, line + 3 AS at FROM symbols) p JOIN symbols s ON s.repo = p.repo AND s.path = p.path AND p.at BETWEEN s.line AND coalesce(s.end_line, s.line) GROUP BY ALL")
 
     merge = lambda of, by: [f"wm AS (SELECT *, CASE WHEN max(end_line) OVER (PARTITION BY {by} ORDER BY start_line, end_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 >= start_line THEN 0 ELSE 1 END AS new_ FROM ({of}))",
@@ -293,7 +337,13 @@ def build(c) -> None:
             "hn AS (SELECT w.*, (SELECT string_agg(h.line, ',' ORDER BY h.position) FROM hh h WHERE h.query_id = w.query_id AND h.repo = w.repo AND h.path = w.path AND h.line BETWEEN w.start_line AND w.end_line) AS hit_lines FROM wb w)",
             "hs AS (SELECT n.query_id, n.repo, n.path, n.start_line, n.end_line, coalesce(n.hit_lines, '') AS hit_lines, string_agg(coalesce(t.content, ''), chr(10) ORDER BY n.i) AS content FROM (SELECT *, unnest(range(start_line, end_line + 1)) AS i FROM hn) n LEFT JOIN text_lines t ON t.repo = n.repo AND t.path = n.path AND t.line = n.i GROUP BY ALL)"]
     sql("snippet_pack", "text_lines files", "SELECT * FROM hs", *pack)
-    sql("snippet_totals", "text_lines files", "SELECT query_id, count(DISTINCT repo || path) AS files, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines, CAST(sum((length(content) + 3) // 4) AS BIGINT) AS tokens FROM hs GROUP BY query_id", *pack)
+    sql("snippet_totals", "text_lines files", "SELECT query_id, count(DISTINCT repo || path) AS files, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines, CAST((sum(length(content)) + count(*) - 1 + 3) // 4 AS BIGINT) AS tokens FROM hs GROUP BY query_id", *pack)
+    wpack = [xq, *text(10), f"wh AS (SELECT query_id, repo, path, line, {rn('query_id', 'position, repo, path, line')} AS position FROM ts)", f"hf AS (SELECT query_id, repo, path, min(position) AS first_ FROM wh WHERE position <= 10 GROUP BY query_id, repo, path QUALIFY {rn('query_id', 'min(position)')} <= 4)", "hh AS (SELECT wh.* FROM wh SEMI JOIN hf USING (query_id, repo, path) WHERE position <= 10)", *pack[-len(pack) + pack.index(next(x for x in pack if x.startswith('wm AS'))):]]
+    sql("workspace_pack", "text_lines files", "SELECT * FROM hs", *wpack)
+    sql("workspace_pack_totals", "text_lines files", "SELECT query_id, CAST(sum(results) AS BIGINT) AS hit_count, CAST(sum(candidate) AS BIGINT) AS candidate_files, CAST(sum(greatest(0, all_ - returned - 40 * results)) AS BIGINT) AS estimated_saved_tokens, coalesce(any_value(own.f), 0) AS selected_files, coalesce(any_value(own.l), 0) AS selected_lines, coalesce(any_value(own.t), 0) AS estimated_tokens FROM pr LEFT JOIN own USING (query_id) GROUP BY query_id", *wpack,
+        "al AS (SELECT repo, count(*) AS candidate, sum(greatest(1, line_count) * 8) AS all_ FROM files GROUP BY repo)", "hq AS (SELECT query_id, repo, count(*) AS results FROM wh WHERE position <= 10 GROUP BY ALL)", "tk AS (SELECT query_id, repo, (sum(length(content)) + count(*) + 2) // 4 AS returned FROM hs GROUP BY ALL)",
+        "own AS (SELECT query_id, count(DISTINCT repo || path) AS f, CAST(sum(end_line - start_line + 1) AS BIGINT) AS l, CAST((sum(length(content)) + count(*) + 2) // 4 AS BIGINT) AS t FROM hs GROUP BY query_id)",
+        "pr AS (SELECT w.query_id, al.repo, al.candidate, al.all_, coalesce(hq.results, 0) AS results, coalesce(tk.returned, 0) AS returned FROM (SELECT DISTINCT query_id FROM wh) w CROSS JOIN al LEFT JOIN hq ON hq.query_id = w.query_id AND hq.repo = al.repo LEFT JOIN tk ON tk.query_id = w.query_id AND tk.repo = al.repo)")
     sql("shared_snippets", "text_lines files", "SELECT repo, path, start_line, end_line, (SELECT string_agg(l, ',' ORDER BY CAST(l AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(hit_lines, ','), ',')) AS l)) AS hit_lines, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS queries, dense_rank() OVER (ORDER BY repo, path, start_line, end_line) AS snippet_id FROM hs GROUP BY repo, path, start_line, end_line", *pack)
 
     sql("snapshot_diff", "changes", "SELECT * FROM changes")
@@ -307,6 +357,13 @@ def build(c) -> None:
     sql("quality_metrics", "results", f"SELECT provider, query, count(*) AS results, count(*) FILTER (NOT {test('path', 'benchmark')}) AS source_paths, count(*) FILTER ({test('path', 'benchmark')}) AS test_paths, arg_min(path, position) AS first_path, arg_min({test('path', 'benchmark')}, position) AS first_is_test FROM results GROUP BY provider, query")
     sql("timing_stats", "", "SELECT event_type AS provider, 'q' || (user_id % 10) AS query, round_even(avg(value), 3) AS avg_ms, round_even(median(value), 3) AS median_ms, round_even(min(value), 3) AS min_ms, round_even(max(value), 3) AS max_ms FROM events GROUP BY ALL")
     sql("provider_scorecard", "", "SELECT r.*, CASE WHEN median_avg_ms > 0 THEN round_even((SELECT median_avg_ms FROM r b WHERE b.provider = 'click') / median_avg_ms, 3) END AS speedup FROM r", "r AS (SELECT event_type AS provider, count(*) AS queries, CAST(sum(user_id) AS BIGINT) AS results, median(value) AS median_avg_ms, count(*) FILTER (event_id % 4 <> 0) AS source_first, count(*) FILTER (event_id % 4 = 0) AS test_first FROM events GROUP BY 1)")
+    first_path = "CASE WHEN event_id % 4 <> 0 THEN 'p/' || (user_id % 7) ELSE '' END"
+    sql("symbol_scorecard", "", """SELECT r.*, CASE WHEN r.provider <> 'click' THEN CASE WHEN b.median_ms_avg > 0 THEN round_even(r.median_ms_avg / b.median_ms_avg, 3) ELSE 0 END END AS speedup,
+        CASE WHEN r.provider <> 'click' THEN b.source_first - r.source_first END AS source_first_delta, CASE WHEN r.provider <> 'click' THEN r.test_first - b.test_first END AS test_first_delta FROM r, r b WHERE b.provider = 'click'""",
+        f"""r AS (SELECT event_type AS provider, count(*) AS queries, round_even(sum(value) / count(*), 3) AS median_ms_avg, CAST(sum(user_id) AS BIGINT) AS results, CAST(sum(user_id % 5) AS BIGINT) AS source_paths, CAST(sum(user_id % 3) AS BIGINT) AS test_paths,
+        count(*) FILTER (event_id % 4 <> 0 AND event_id % 3 <> 0) AS source_first, count(*) FILTER (event_id % 4 <> 0 AND event_id % 3 = 0) AS test_first, sha256(coalesce(string_agg({first_path}, ',' ORDER BY event_id) FILTER (event_id % 4 <> 0), '')) AS first_paths FROM events GROUP BY 1)""")
+    wf = {"source_paths": "user_id % 5", "test_paths": "user_id % 3", "selected_files": "user_id % 11", "selected_lines": "user_id % 90", "estimated_tokens": "user_id % 800", "estimated_saved_tokens": "user_id % 9000", "payload_bytes": "event_id % 77"}
+    sql("workflow_scorecard", "", "SELECT event_type AS suite, count(*) AS queries, count(*) FILTER (event_id % 4 <> 0 AND event_id % 3 <> 0) AS source_first, count(*) FILTER (event_id % 3 = 0) AS test_first, " + ", ".join(f"CAST(sum({e}) AS BIGINT) AS {k}_total" for k, e in wf.items()) + ", round_even(avg(value), 3) AS median_ms_avg FROM events GROUP BY 1")
     sql("scorecard_delta", "", "SELECT suite_name, CAST(day AS VARCHAR) AS day, runs, total, CAST(runs - lag(runs) OVER w AS DOUBLE) AS runs_delta, CAST(total - lag(total) OVER w AS DOUBLE) AS total_delta FROM (SELECT event_type AS suite_name, CAST(ts AS DATE) AS day, count(*) AS runs, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY suite_name ORDER BY day)")
     sql("usage_normalise", "", """SELECT event_id, provider, CASE provider WHEN 'anthropic' THEN i + r + w ELSE i END AS input_tokens, o AS output_tokens, CASE provider WHEN 'anthropic' THEN r WHEN 'normalized' THEN 0 END AS cached_input_tokens, CASE provider WHEN 'anthropic' THEN w END AS cache_write_tokens
         FROM (SELECT event_id, ['openai', 'anthropic', 'normalized'][event_id % 3 + 1] AS provider, event_id % 900 AS i, event_id % 90 AS o, CASE WHEN event_id % 5 <> 0 THEN event_id % 40 END AS r, event_id % 30 AS w FROM events)""")

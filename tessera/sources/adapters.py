@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.sources.shared import stored
+
+#: Bytes of texts whose lines one task makes.
+TASK_BYTES = 8 << 20
+
+
+_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def published(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A relation of the catalogue, written once a session into the shared folder, as catalogues are before they are asked."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PUBLISHED:
+        _PUBLISHED[key] = stored(make(), name)
+    return _PUBLISHED[key]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +36,7 @@ def doc_path(doc_id: str = "doc_id") -> str:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, path, language, line_count, size_bytes, content_hash, modified_ns: one file for each document."""
     c = F.col("text")
-    return read(spark, sf_dir, "documents").select(
+    make = lambda: read(spark, sf_dir, "documents").select(
         F.expr("concat('r', cast(doc_id % 4 AS string))").alias("repo"),
         F.expr(doc_path()).alias("path"),
         F.col("lang").alias("language"),
@@ -28,6 +45,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(c, 256).alias("content_hash"),
         F.col("doc_id").alias("modified_ns"),
     )
+    return published(spark, sf_dir, "files", make)
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,12 +57,30 @@ def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """repo, path, line, content: redacted lines that aren't blank."""
     from tessera.sources.lines import indexed_lines
 
-    return indexed_lines(sources(spark, sf_dir))
+    def make() -> DataFrame:
+        total = files(spark, sf_dir).agg(F.sum("size_bytes")).first()[0] or 0
+        return indexed_lines(sources(spark, sf_dir).repartition(max(1, -(-total // TASK_BYTES)), "repo", "path"))
+
+    return published(spark, sf_dir, "text_lines", make)
+
+
+def text_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import trigrams
+
+    return published(spark, sf_dir, "text_grams", lambda: trigrams.postings(text_lines(spark, sf_dir)))
+
+
+def function_terms(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> DataFrame:
+    """The postings of the symbols' documents."""
+    from tessera.operators import bm25
+
+    make = lambda: bm25.postings(bm25.function_documents(symbols(spark, sf_dir), text_lines(spark, sf_dir)), stemmed)
+    return published(spark, sf_dir, f"function_terms_{stemmed}", make)
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol for each part, 40 to a file."""
-    return read(spark, sf_dir, "part").selectExpr(
+    make = lambda: read(spark, sf_dir, "part").selectExpr(
         "concat('r', cast(p_partkey % 4 AS string)) AS repo",
         "p_partkey AS symbol_id",
         "concat(replace(p_name, ' ', '_'), '_', cast(p_partkey % 40 AS string)) AS name",
@@ -58,6 +94,7 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('Makes a ', p_name, ' of kind ', lower(p_type)) AS full_doc",
         "p_size % 2 = 0 AS exported",
     )
+    return published(spark, sf_dir, "symbols", make)
 
 
 def symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +118,7 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", F.explode("to").alias("e"))
     known = docs.select(F.col("doc_id").alias("known"))
     found = edges.join(known, F.col("e.id") == F.col("known"), "left")
-    return found.selectExpr(
+    make = lambda: found.selectExpr(
         "concat('r', cast(doc_id % 4 AS string)) AS repo",
         f"{doc_path()} AS source_path",
         f"coalesce(e.name, {doc_path('e.id')}) AS target_path",
@@ -90,6 +127,7 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "known IS NOT NULL AS resolved",
         "CASE WHEN known IS NOT NULL THEN 'code' WHEN e.name IS NULL THEN 'unresolved' WHEN doc_id % 12 = 0 THEN 'stdlib' ELSE 'external' END AS category",
     )
+    return published(spark, sf_dir, "dependencies", make)
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:

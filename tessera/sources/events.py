@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.functions.text import ascii_lower
 from tessera.operators.search import clamp, ranked, sent
 
@@ -111,22 +112,41 @@ def native_records(usage: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def foreign_symbols(symbols: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, file, line, name, rank, position of another index' symbols (file, name, kind, signature, summary, docstring, line).
+    """Another index' symbols (file, name, qualified_name, kind, signature, summary, docstring, line, maybe repo) with query_id, rank and position.
 
-    Names that equal the query go first, then those that start with it, those that hold it, and other columns that do.
+    Any of the five texts may hold the query, whose wildcards are live; names that equal it go first, then names and
+    qualified names that start with it. ``repo`` is null where the symbols have none.
     """
     q = F.lower(F.trim("query"))
-    pairs = symbols.withColumn("repo", F.lit("foreign")).join(sent(queries), F.lit(True))
-    holds = lambda c: F.lower(F.coalesce(F.col(c), F.lit(""))).contains(q)
-    rank = F.when(F.lower("name") == q, 0).when(F.lower("name").startswith(q), 1).when(holds("name"), 2).when(holds("qualified_name") | holds("signature") | holds("summary") | holds("docstring"), 3)
-    rows = pairs.withColumn("rank", rank).where("rank IS NOT NULL")
-    return ranked(rows, ["rank", "file", "line"], clamp(limit, 1, 100)).drop("repo", "query")
+    if "repo" not in symbols.columns:
+        symbols = symbols.withColumn("repo", F.lit(None).cast("string"))
+    at = lambda c, before="": text.like(F.lower(F.coalesce(F.col(c), F.lit(""))), q, before=before)
+    holds = at("name", "%") | at("qualified_name", "%") | at("signature", "%") | at("summary", "%") | at("docstring", "%")
+    rank = F.when(F.lower("name") == q, 0).when(at("name"), 1).when(at("qualified_name"), 2).otherwise(3)
+    rows = symbols.join(sent(queries.select("query_id", "query")), holds).withColumn("rank", rank).drop("query")
+    return ranked(rows, ["rank", "file", "line", "name"], clamp(limit, 1, 100))
+
+
+def foreign_sources(symbols: DataFrame, meta: DataFrame, repos: DataFrame) -> DataFrame:
+    """``symbols`` (source, …) with the repository that each source is of: the one (repo, root) whose root its meta names.
+
+    ``meta`` has source, key and value; a source of no repository is left out, and of several for one the least.
+    """
+    plain = lambda c: F.regexp_replace(c, "/+$", "")
+    named = meta.where("key = 'source_root'").select("source", plain(F.col("value")).alias("root"))
+    owned = named.join(repos.select("repo", plain(F.col("root")).alias("root")), "root").groupBy("repo").agg(F.min("source").alias("source"))
+    return symbols.join(owned, "source").drop("source")
 
 
 def foreign_stats(symbols: DataFrame, meta: DataFrame) -> DataFrame:
     """symbols, files and a map of the index' own meta data."""
     known = meta.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))  # a few rows
-    return symbols.agg(F.count("*").alias("symbols"), F.count_distinct("file").alias("files")).join(F.broadcast(known), F.lit(True))
+    return symbols.agg(F.count("*").alias("symbols"), F.count_distinct("file").alias("files")).crossJoin(known)  # one row each
+
+
+def normal_queries(c: Column) -> Column:
+    """An array of queries, trimmed, without blank and repeated ones; case counts."""
+    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
 
 
 def suites(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +154,7 @@ def suites(spark: SparkSession, path: str) -> DataFrame:
     schema = "name string, repos array<string>, symbol_queries array<string>, workflow_queries array<string>, limit long, repeat long"
     rows = spark.read.schema(schema).option("multiLine", True).json(path)
     empty = F.array().cast("array<string>")
-    distinct = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), empty), F.trim), lambda x: x != ""))
+    distinct = lambda c: normal_queries(F.coalesce(F.col(c), empty))
     return rows.select("name", distinct("repos").alias("repos"), distinct("symbol_queries").alias("symbol_queries"), distinct("workflow_queries").alias("workflow_queries"), F.coalesce("limit", F.lit(20)).alias("limit"), F.coalesce("repeat", F.lit(3)).alias("repeat"))
 
 
