@@ -31,7 +31,9 @@ from tessera.llm.components import components
 
 N = 5
 #: Sets in one tree, and how many of a larger family are put into each of its trees.
-FAMILY, PIVOTS = 1200, 32
+FAMILY, PIVOTS = 400, 32
+#: Keys over which the sets of one family are dealt where they are joined to its size.
+SALTS = 32
 #: n-grams read by one task while those that several sets share are looked for.
 TASK_ROWS = 1_500_000
 LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
@@ -285,12 +287,18 @@ def labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(comps, nodes["cls"] == comps["node"], "left").withColumn("comp", F.coalesce("comp", "cls")).drop("node")
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """``rows`` (cls, fam, …) with m, the size of their family; no task reads all rows of a large one."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    counts = rows.groupBy("fam").agg(F.count("*").alias("m")).select("fam", "m", each)
+    return rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "cls"), F.lit(SALTS)).cast("int")).join(counts, ["fam", "salt"]).drop("salt")
+
+
 def links_of(docs: DataFrame, prefix: DataFrame, n: int, family: int) -> DataFrame:
     """a, b, a_rep, b_rep: links between classes that connect all that is similar."""
     found = stored(candidates(shared(prefix)), "candidates")
     fams = found.select("cls", "n", F.explode("leads").alias("fam"))
-    many = fams.groupBy("fam").agg(F.count("*").alias("m")).where("m > 1")
-    members = stored(fams.join(many, "fam"), "members")
+    members = stored(sized(fams).where("m > 1"), "members")
     parts = F.ceil(F.col("m") / family).cast("int")
     own = F.pmod(F.xxhash64("cls"), parts).cast("int")
     pivot = (F.col("m") > family) & (F.pmod(F.xxhash64(F.lit("pivot"), "cls"), F.ceil(F.col("m") / PIVOTS)) == 0)
@@ -308,7 +316,7 @@ def links_of(docs: DataFrame, prefix: DataFrame, n: int, family: int) -> DataFra
     if cross.isEmpty():
         return links
     left = cross.select("cls", "n", F.col("comp").alias("was"), F.col("lead").alias("fam"))
-    left = left.join(left.groupBy("fam").agg(F.count("*").alias("m")), "fam").withColumns({"part": own, "parts": parts})
+    left = sized(left).withColumns({"part": own, "parts": parts})
     pair = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     pair = pair.select("cls", F.col("was").alias("comp"), "n", F.concat_ws(":", F.col("fam").cast("string"), F.least("part", "with").cast("string"), F.greatest("part", "with").cast("string")).alias("grp"))
     return links.unionByName(stored(tree_join(pair.join(sets.select("cls", "rep", "grams"), "cls")), "links"))
