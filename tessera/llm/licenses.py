@@ -9,12 +9,10 @@ verified word by word in the text. Phrases of a few words are templates too, of
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +49,10 @@ PASSAGES = (
 K_PHRASE, K_PASSAGE = 2, 4
 #: Diagonals so far apart merge; a merged span needs this share of a template's votes, and then of its words in place.
 GAP, VOTES, COVER = 3, 0.4, 0.7
+#: Texts with candidate spans up to which these are sent to the texts, about 200 bytes each; of more both sides are dealt.
+FEW = 100_000
+#: Rows of one id and text that one task writes.
+CHUNK = 10_000
 #: What stands in the place of a hash in the one row that each document always gives.
 HEAD = -1
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -85,7 +87,7 @@ class Templates:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id, tag (hash of the text), n_words, at2 (how many hashes of phrases' k) and the hashes of all runs of words."""
+    """doc_id, tag, n_words, at2 (how many hashes of phrases' k) and the hashes of all runs of words of ``docs`` (doc_id, text, tag)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -93,17 +95,16 @@ def hashed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                tags, counts, short, arrays = [], [], [], []
+                counts, short, arrays = [], [], []
                 for text in texts_of(part):
                     words = hashes.of(words_of(text))
                     two = signed(rolling(words, K_PHRASE))
-                    tags.append(xxhash.xxh3_64_intdigest(text or "") - (1 << 63))
                     counts.append(len(words))
                     short.append(len(two))
                     arrays.append(np.concatenate([head, two, signed(rolling(words, K_PASSAGE))]))
                 ends = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tags, pa.int64()), pa.array(counts, pa.int64()), pa.array(short, pa.int32()), lists], ["doc_id", "tag", "n_words", "at2", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(short, pa.int32()), lists], ["doc_id", "tag", "n_words", "at2", "hashes"])
 
     return docs.mapInArrow(run, "doc_id long, tag long, n_words long, at2 int, hashes array<long>")
 
@@ -141,7 +142,8 @@ def verified(words: list[bytes], templates: Templates, template: int, diagonals:
     return count / len(want)
 
 
-RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+FOUND = "array<struct<label:string,start:long,end:long,share:double>>"
+RESULT = f"doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans {FOUND}"
 
 
 def license_scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES, passages: Iterable[tuple[str, str]] = PASSAGES) -> DataFrame:
@@ -149,18 +151,23 @@ def license_scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES,
 
     ``n_base`` counts all places of the phrases, overlapping ones too; first_word and last_word are their least and
     greatest start (null: none). ``labels`` has the passages' labels as well. ``score`` is 1 where a phrase stands, else
-    the greatest verified share of a passage, 0 without any. Null and empty texts have no words. Repeated rows return as
-    often as they stand; rows of one id with different texts are texts of their own. Other columns are ignored.
+    the greatest verified share of a passage, 0 without any. ``spans`` are the verified places of phrases and passages
+    (label, first word, word after the last, share of the template's words), by place. Null and empty texts have no words
+    and no spans. Repeated rows return as often as they stand; rows of one id, or of none, with different texts are texts
+    of their own. A text's length isn't bounded, but one text is handled by one task. Other columns are ignored; an empty
+    table gives an empty one.
     """
-    docs = id_and_text(docs)
+    docs = id_and_text(docs).withColumn("tag", F.xxhash64("text"))
     templates = Templates(phrases, passages)
     sent = docs.sparkSession.sparkContext.broadcast(templates)
     found = stored(merged(votes(docs, templates), templates), "licenses")
     plain = found.where(F.size("spans") == 0)
     spans = found.where(F.size("spans") > 0)
-    none = plain.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"), "rows")
+    none = plain.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"), F.array().cast(FOUND).alias("spans"), "rows")
     # One text for each candidate: rows of the same id and text differ in nothing, so any of them will do.
-    texts = spans.alias("s").join(docs.alias("d"), F.col("s.doc_id").eqNullSafe(F.col("d.doc_id"))).select("s.*", "d.text")
+    few = spans.limit(FEW + 1).count() <= FEW
+    same = F.col("s.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("s.tag") == F.col("d.tag"))
+    texts = docs.alias("d").join((F.broadcast(spans) if few else spans).alias("s"), same).select("s.*", "d.text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = sent.value
@@ -168,28 +175,31 @@ def license_scan(docs: DataFrame, phrases: Iterable[tuple[str, str]] = PHRASES,
             out = []
             for row in batch.to_pylist():
                 text = row["text"] or ""
-                if xxhash.xxh3_64_intdigest(text) - (1 << 63) != row["tag"]:
-                    continue
-                words, starts, base, labels, score = words_of(text), [], set(), set(), 0.0
+                words, starts, base, labels, score, places = words_of(text), [], set(), set(), 0.0, []
                 for s in row["spans"]:
                     k = s["template"]
                     if t.base[k]:
                         good = [d for d in s["diagonals"] if words[d : d + len(t.words[k])] == t.words[k] and d >= 0]
                         starts += good
+                        places += [(d, d + len(t.words[k]), t.labels[k], 1.0) for d in good]
                         if good:
                             base.add(t.labels[k])
                             score = 1.0
                     elif (share := verified(words, t, k, s["diagonals"])) >= COVER:
                         labels.add(t.labels[k])
                         score = max(score, share)
-                out.append({"doc_id": row["doc_id"], "n_words": row["n_words"], "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": score, "rows": row["rows"], "tag": row["tag"]})
+                        places.append((s["start"], s["end"], t.labels[k], share))
+                out.append({"doc_id": row["doc_id"], "n_words": row["n_words"], "n_base": len(starts), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(base | labels)), "score": score, "spans": [{"label": x, "start": a, "end": b, "share": y} for a, b, x, y in sorted(places)], "rows": row["rows"], "tag": row["tag"]})
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
 
     checked = texts.mapInArrow(run, RESULT + ", rows long, tag long").dropDuplicates(["doc_id", "tag"]).drop("tag")
     both = none.unionByName(checked)
     once = both.where("rows = 1")
-    more = both.where("rows > 1").withColumn("_", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("_")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / CHUNK)))
+    more = both.where("rows > 1").withColumn("chunk", chunk).repartition("doc_id", "chunk")
+    more = more.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(CHUNK).cast("long"), F.col("rows") - F.col("chunk") * CHUNK)))).drop("_", "chunk")
     return once.unionByName(more).drop("rows")
 
 
-ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for n, t in re.findall(r"(\w+) (\w+)", RESULT + ", rows long, tag long")])
+KINDS = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), FOUND: pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())]))}
+ARROW = pa.schema([(c.split()[0], KINDS[c.split()[1]]) for c in (RESULT + ", rows long, tag long").split(", ")])

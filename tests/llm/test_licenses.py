@@ -44,3 +44,70 @@ def test_passages(spark):
     assert got[7]["labels"] == "mit" and 0.7 <= got[7]["score"] < 1
     assert got[8]["labels"] == "" and got[8]["score"] == 0
     assert licenses.license_scan(docs.limit(0)).count() == 0
+
+
+def passages_by_brute_force(text):
+    """label and share of every passage, by comparing all runs of words with all of every template's."""
+    words, out, k = licenses.words_of(text), [], licenses.K_PASSAGE
+    for source, label in licenses.PASSAGES:
+        want = licenses.words_of(source)
+        most = len(want) - k + 1
+        on = {}
+        for i in range(len(words) - k + 1):
+            for j in range(most):
+                if words[i : i + k] == want[j : j + k]:
+                    on.setdefault(i - j, []).append(i)
+        runs = []
+        for d in sorted(on):
+            if runs and d - runs[-1][-1] <= licenses.GAP and on[d][0] - on[runs[-1][-1]][-1] <= 4 * most:
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            if sum(len(on[d]) for d in run) < licenses.VOTES * most:
+                continue
+            last, count = -1, 0
+            for j, w in enumerate(want):
+                places = [d + j for d in run if last < d + j < len(words) and words[d + j] == w]
+                if places:
+                    last, count = min(places), count + 1
+            if count / len(want) >= licenses.COVER:
+                out.append((label, count / len(want)))
+    return out
+
+
+def test_method_labels_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    texts = list(TEXTS)
+    for _ in range(120):
+        words = [rng.choice(["the", "of", "x", "license"]) for _ in range(rng.randrange(30))]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            passage = rng.choice(licenses.PASSAGES)[0].split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                at = rng.randrange(len(passage) or 1)
+                passage[at : at + rng.choice([0, 1, 2])] = [rng.choice(["the", "new"])] * rng.choice([0, 1])
+            words[(at := rng.randint(0, len(words))) : at] = passage
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
+    for i, text in enumerate(texts):
+        found = passages_by_brute_force(text)
+        base = brute(text)
+        assert got[i]["labels"] == ",".join(sorted({x for x, _ in found} | set(filter(None, base[4].split(","))))), text
+        assert abs(got[i]["score"] - (1.0 if base[1] else max((s for _, s in found), default=0.0))) < 1e-12
+        assert sorted(s["label"] for s in got[i]["spans"] if not (s["share"] == 1.0 and s["end"] - s["start"] <= 4)) == sorted(x for x, _ in found)
+        assert [s["start"] for s in got[i]["spans"]] == sorted(s["start"] for s in got[i]["spans"])
+
+
+def test_many_equal_rows_a_long_text_and_many_without_id(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "CHUNK", 7)
+    long = "word " * 100_000 + "mit license " + "word " * 100_000
+    rows = [(4, "apache license")] * 50 + [(None, f"mit license {i}") for i in range(700)] + [(None, "mit license 0")] * 3 + [(9, long)]
+    for few in (licenses.FEW, 0):
+        monkeypatch.setattr(licenses, "FEW", few)
+        got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        assert len(got) == len(rows) and sum(r["doc_id"] == 4 and r["base_labels"] == "apache" for r in got) == 50
+        assert sum(r["doc_id"] is None and r["n_words"] == 3 and r["n_base"] == 1 for r in got) == 703
+        assert [r["first_word"] for r in got if r["doc_id"] == 9] == [100_000]
