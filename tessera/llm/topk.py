@@ -2,14 +2,17 @@
 
 The stated queries are cut into blocks of a fixed number of vectors; a block is sent to the tasks, so what is sent has a
 proven size. Every row is scored against the block in matrix products, and each task counts its scores in one histogram
-a query; Spark adds the histograms. The bin that holds a query's k-th score becomes its next range, until so few rows
-remain at or above it that they can be returned, or the range is one score. Ties at that score are cut in the same way by
-ranges of vec_id. At last the rows at or above the cut are returned and ranked. Scores are never kept: each round makes
+a query; Spark adds the histograms. The bin that holds a query's k-th score becomes its next range, until at most ``SLACK``
+times k rows are at or above it, among which the k best are (the last steps would only take rows away that the ranking
+takes away too), or the range is one score. Ties at that score are cut in the same way by ranges of vec_id. At last the
+rows at or above the cut are returned and ranked. All blocks' rows go to one table; what a block costs is its products
+with all vectors, beside which starting its jobs is little. Scores are never kept: each round makes
 them anew from the packed vectors, so that memory doesn't depend on the number of rows.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import shared_dir, stored
 
 #: Queries in a block, bins of a histogram, rows of a packed block, and rows scored at once.
 QUERIES, BINS, PACK, STEP = 1024, 256, 8192, 2048
@@ -29,11 +32,12 @@ SCALE = 1024
 def packed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, pack: int = PACK) -> DataFrame:
     """ids, values (int64 as bytes), dimensions: blocks of at most ``pack`` vectors, each component floor(scale * x).
 
-    Vectors that are null, empty or hold null or non-finite components are left out, and so are null ids.
+    Vectors that are null, empty or hold null or non-finite components, or one of 2**53 or more when scaled, are left out,
+    and so are null ids.
     """
     usable = F.size("v").cast("int") > 0
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & usable)
-    rows = rows.where(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
+    rows = rows.where(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) * scale < float(2**53)), F.lit(False))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,6 +59,8 @@ def packed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Integer inner products; by floating-point products where these are exact."""
     most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
+    if most >= 2**63:
+        raise OverflowError("inner products beyond 64 bits")
     if most < 2**53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
     return queries @ rows.T
@@ -201,12 +207,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     A row isn't met by the query of the same id. Rows that repeat an id are each met and may each rank. Vectors of other
     lengths than the query's take no part; unusable ones (see ``packed``) neither, on either side. With fewer than ``k``
-    rows all are returned. Empty tables give an empty result. Other columns are ignored.
+    rows all are returned. Empty tables give an empty result. Other columns are ignored. Inner products beyond 64 bits are
+    an error.
     """
     spark = vectors.sparkSession
     total = max(1, vectors.count())
     rows = stored(packed(vectors.select(id_col, vector_col).repartition(max(1, -(-total // PACK))), id_col, vector_col), "vectors")
-    out = None
+    path = None
     for block in query_blocks(packed(queries.select(id_col, vector_col), id_col, vector_col, pack=64), block_size):
         block.open[:] = False
         few = np.zeros(len(block.ids), bool)
@@ -220,9 +227,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         block.tied, block.cut_ties = same.copy(), same.copy()
         while block.open.any() or block.tied.any():
             narrow(block, histograms(rows, block, bins).collect(), bins, k, slack)  # at most bins rows a query of the block
-        found = stored(selected(rows, block), "selected")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+        path = path or f"{shared_dir(spark)}/tessera/selected-{uuid.uuid4().hex}"
+        selected(rows, block).write.mode("append").parquet(path)
+    if path is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

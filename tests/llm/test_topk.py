@@ -41,3 +41,12 @@ def test_equals_brute_force(spark, kind):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_k(df, df).count() == 0
+
+
+def test_components_and_products_beyond_bounds(spark):
+    df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0**43, 0.0]), (2, [2.0**40, 1.0]), (3, [0.5, 2.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 0"), k=5).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 1024 * (2**50 + 1024)), (3, 1024 * (512 + 2048))]
+    wide = spark.createDataFrame([(i, [2.0**41] * 2) for i in range(2)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(wide, wide).collect()
