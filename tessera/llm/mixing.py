@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-#: Most times that a document is taken, and most patterns and sources that the driver accepts.
-REPEATS, PATTERNS = 3, 20_000
+#: Most times that a document is taken, most patterns and sources that the driver accepts, and most if no document is of two.
+REPEATS, PATTERNS, SINGLE = 3, 20_000, 500_000
 #: Bits of the seeded hash by which each of two histograms cuts.
 BITS = 12
 
@@ -37,12 +37,19 @@ def quotas(sizes: Mapping[str | None, int], weights: Mapping[str | None, float],
     return target
 
 
+def single_sources(patterns: Sequence[tuple[frozenset, int]], targets: Mapping[str | None, float], repeats: int = REPEATS) -> list[int]:
+    """As ``route`` where each pattern is one source, and each source one pattern: every quota has one way to be met."""
+    return [min(round(targets[next(iter(members))]), repeats * size) for members, size in patterns]
+
+
 def route(patterns: Sequence[tuple[frozenset, int]], targets: Mapping[str | None, float], repeats: int = REPEATS) -> list[int]:
     """Words that each pattern gives: a flow of least cost among those that meet most of the quotas.
 
     Successive cheapest paths from patterns' capacity to sources' quotas; the r-th repetition of a word costs r*r, so
     costs grow with each. With one source a pattern this is water filling; with several it moves flow between patterns.
     """
+    if all(len(members) == 1 for members, _ in patterns):
+        return single_sources(patterns, targets, repeats)
     names = sorted(targets, key=by_code_point)
     index = {s: i for i, s in enumerate(names)}
     n_p, n_s = len(patterns), len(names)
@@ -143,20 +150,27 @@ def mix(docs: DataFrame, sources: Column | None = None, size: Column | None = No
     ``size`` a count (default: runs of characters other than ASCII white space in ``text``; null: 0). The target of a
     source is its share of ``total`` (default: all sizes) by weight, at most ``repeats`` times its size. ``copies`` is
     how often a document is taken, 0 to ``repeats``; documents without words are never taken. Rows of the same id, size
-    and sources are taken alike. The result depends on the rows and the seed only. An empty table gives an empty one; more
-    than ``PATTERNS`` patterns or sources raise ValueError.
+    and sources are taken alike. The result depends on the rows and the seed only, not on their order. An
+    empty table gives an empty one. The length of a text isn't bounded. Other columns are ignored. More than ``PATTERNS``
+    patterns or sources raise ValueError, or more than ``SINGLE`` if every document is of one source, since then no flow
+    need be found.
     """
     size = size if size is not None else words_of(F.col("text"))
     sources = sources if sources is not None else F.array("source")
     sized = docs.select(F.struct(*keep).alias("kept"), F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("size"), sources.cast("array<string>").alias("sources"))
     sized = sized.withColumns({"pattern": pattern_key(F.col("sources")), "h": seeded(seed)})
     keys = stored(sized.select("pattern", "size", "sources", "h"), "mix")
-    rows = keys.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(PATTERNS + 1).collect()  # bounded
+    rows = keys.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("size")).limit(SINGLE + 1).collect()  # bounded
+    rows.sort(key=lambda r: r["pattern"])  # ties in the flow go by pattern
     members = [frozenset(r["sources"] or [None]) for r in rows]
     names = set().union(*members) if members else set()
-    if max(len(rows), len(names)) > PATTERNS:
-        raise ValueError(f"more than {PATTERNS} membership patterns or sources")
-    sizes = {s: sum(r["size"] for r, m in zip(rows, members, strict=True) if s in m) for s in names}
+    most = SINGLE if all(len(m) == 1 for m in members) else PATTERNS
+    if max(len(rows), len(names)) > most:
+        raise ValueError(f"more than {most} membership patterns or sources")
+    sizes = dict.fromkeys(names, 0)
+    for r, m in zip(rows, members, strict=True):
+        for s in m:
+            sizes[s] += r["size"]
     weights = weights or default_weights(list(names))
     target = quotas(sizes, weights, sum(r["size"] for r in rows) if total is None else total, repeats)
     flow = route([(m, r["size"]) for r, m in zip(rows, members, strict=True)], target, repeats)

@@ -4,6 +4,7 @@ import itertools
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing
@@ -62,3 +63,32 @@ def test_overlapping_and_empty(spark):
     out = mixing.mix(docs, F.col("of"), F.col("n"), {"a": 1.0, "b": 1.0}, total=1000)
     assert out.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] == 1000
     assert mixing.mix(docs.limit(0), F.col("of"), F.col("n")).count() == 0
+
+
+def test_one_source_a_pattern_needs_no_flow():
+    rng = random.Random(2)
+    patterns = [(frozenset([f"s{i}"]), rng.randrange(50)) for i in range(40)]
+    sizes = {next(iter(m)): n for m, n in patterns}
+    targets = mixing.quotas(sizes, mixing.default_weights(list(sizes)), sum(sizes.values()))
+    direct = mixing.single_sources(patterns, targets)
+    # A pattern of two sources, of no words, makes the flow run.
+    assert mixing.route([*patterns, (frozenset(["s0", "s1"]), 0)], targets)[:-1] == direct
+
+
+def test_more_sources_than_a_flow_takes(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PATTERNS", 20)
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('host', cast(id % 60 AS string)) AS source", "'a b c d e' AS text")
+    out = mixing.mix(docs)
+    assert out.count() == 300 and abs(out.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] - 1500) <= 60 * 5
+    with pytest.raises(ValueError, match="more than 20"):
+        mixing.mix(docs.selectExpr("*", "array(source, 'other') AS of"), F.col("of"))
+
+
+def test_ties_a_long_text_and_order(spark):
+    rows = [(None, "w " * 200_000, "a")] + [(None, "x y", "a")] * 40 + [(None, "x y", "b")] * 40 + [(7, "", "b"), (8, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda r: (r["size"], str(r["sources"]), r["copies"])
+    with_sources = lambda d: mixing.mix(d, keep=("doc_id",)).collect()
+    one = sorted(map(key, with_sources(docs)))
+    assert one == sorted(map(key, with_sources(docs.orderBy(F.desc("source")))))
+    assert len({c for size, s, c in one if size == 2 and "a" in s}) == 1  # equal rows are taken alike
