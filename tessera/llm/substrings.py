@@ -89,32 +89,56 @@ def repeated_anchors(index: DataFrame, window: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFrame:
-    """cls, copies, text, its segments (anchor, at: their first word, words) and its windows of heavy anchors (at, print)."""
+    """cls, copies, text, its segments (anchor, at: their first word, to: behind their last) and its windows of heavy anchors (at, print)."""
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
     texts = docs.join(found, same).select("cls", "copies", "light", "heavy", "text")
-    once = texts.where("copies = 1").unionByName(texts.where("copies > 1").dropDuplicates(["cls"]))  # rows may be equal in id and text
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHash()
+        hashes, last_cls = WordHash(), None
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
                 out: list[list] = [[], [], [], [], []]
-                for i, text in enumerate(texts_of(part)):
-                    words = (text or "").encode("utf-8", "replace").split()
-                    h = hashes.of(words)
+                take = []
+                for i, (cls, text) in enumerate(zip(part.column(0).to_pylist(), texts_of(part), strict=True)):
+                    if cls == last_cls:
+                        continue  # rows that are equal in id and text follow each other
+                    last_cls = cls
+                    take.append(i)
+                    h = hashes.of((text or "").encode("utf-8", "replace").split())
                     value, place = window_anchors(h, window, run)
                     light, heavy = (np.isin(value, part.column(k)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)) for k in (2, 3))
                     first = np.flatnonzero(light & np.concatenate([[True], place[1:] != place[:-1]])[: len(light)])
                     last = np.searchsorted(place, place[first], side="right") - 1  # places only grow
                     at = np.flatnonzero(heavy)
-                    row = (signed(value[first]), first, [b" ".join(words[a : b + window]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], at, signed(rolling(h, window)[at]))
+                    row = (signed(value[first]), first, last + window, at, signed(rolling(h, window)[at]))
+                    for column, x in zip(out, row, strict=True):
+                        column.append(x)
+                columns = [pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                kept = part.take(pa.array(take, pa.int64()))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4), *columns], ["cls", "copies", "text", "anchor", "at", "to", "heavy_at", "heavy"])
+
+    return texts.mapInArrow(rows, "cls long, copies long, text string, anchor array<long>, at array<int>, to array<int>, heavy_at array<int>, heavy array<long>")
+
+
+def with_words(found: DataFrame) -> DataFrame:
+    """anchor, cls, copies, at, words: a row a segment, with its words."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part = batch.slice(start, 128)
+                out: tuple[list, ...] = [], [], [], [], []
+                for i, text in enumerate(texts_of(part)):
+                    words = (text or "").encode("utf-8", "replace").split()
+                    anchor, at, to = (part.column(k)[i].values.to_numpy(zero_copy_only=False) for k in (3, 4, 5))
+                    row = (anchor, np.full(len(at), part.column(0)[i].as_py(), np.int64), np.full(len(at), part.column(1)[i].as_py(), np.int64), at, [b" ".join(words[a:b]) for a, b in zip(at.tolist(), to.tolist(), strict=True)])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                columns = [pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(4), *columns], ["cls", "copies", "text", "anchor", "at", "words", "heavy_at", "heavy"])
+                flat = [pa.array(np.concatenate(c), t) for c, t in zip(out[:4], (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*flat, pa.array([w for c in out[4] for w in c], pa.binary())], ["anchor", "cls", "copies", "at", "words"])
 
-    return once.mapInArrow(rows, "cls long, copies long, text string, anchor array<long>, at array<int>, words array<binary>, heavy_at array<int>, heavy array<long>")
+    return found.select("cls", "copies", "text", "anchor", "at", "to").where(F.size("anchor") > 0).mapInArrow(rows, "anchor long, cls long, copies long, at int, words binary")
 
 
 class Reference:
@@ -171,7 +195,8 @@ def parse(longest: np.ndarray, window: int) -> list[tuple[int, int]]:
 def factored(rows: DataFrame, tasks: int, window: int) -> DataFrame:
     """cls, a, b: the factors of segments (anchor, cls, copies, at, words) against the block of their anchor.
 
-    Texts with copies are in blocks for the others' sake; they go as a whole.
+    Segments of the same words are one in the block, and one factor each. Texts with copies are in blocks for the others'
+    sake; they go as a whole.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +206,16 @@ def factored(rows: DataFrame, tasks: int, window: int) -> DataFrame:
                 column += batch.column(i).to_pylist()
         if not parts:
             return
-        block = Reference(parts, window)
+        own: dict[bytes, int] = {}
+        which = [own.setdefault(p, len(own)) for p in parts]
+        times = np.bincount(which)
+        block = Reference(list(own), window)
         longest, out = block.longest(), []
-        for i, begin in enumerate(block.begin.tolist()):
+        for i, k in enumerate(which):
             if copies[i] == 1:
-                out += [(cls[i], at[i] + a, at[i] + b) for a, b in parse(longest[begin : begin + int(block.left[begin])], window)]
+                begin = int(block.begin[k])
+                size = int(block.left[begin])
+                out += [(cls[i], at[i] + a, at[i] + b) for a, b in ([(0, size)] if times[k] > 1 else parse(longest[begin : begin + size], window))]
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["cls", "a", "b"])
 
     return rows.repartition(tasks, "anchor").select("anchor", "cls", "copies", "at", "words").mapInArrow(run, "cls long, a int, b int")
@@ -323,8 +353,7 @@ def _duplicates(docs: DataFrame, window: int, run: int) -> tuple[DataFrame, Data
     index = stored(indexed(docs, window, run), "index")
     found = stored(segments(docs, repeated_anchors(index, window), window, run), "segments")
     light, heavy = found.agg(F.sum(F.size("anchor")), F.sum(F.size("heavy"))).first()
-    each = found.select("cls", "copies", F.explode(F.arrays_zip("anchor", "at", "words")).alias("s")).select("cls", "copies", "s.*")
-    factors = stored(factored(each, max(1, -(-(light or 0) // BLOCK_SEGMENTS)), window), "factors")
+    factors = stored(factored(with_words(found), max(1, -(-(light or 0) // BLOCK_SEGMENTS)), window), "factors")
     hits = stored(met(placed(found), max(1, -(-(heavy or 0) // TASK_ROWS))), "hits")
     parts = hits.where("state > 0").groupBy("print").agg(F.count("*").alias("parts"), F.collect_list(F.when(F.col("state") == 2, F.struct("cls", "at"))).alias("alone")).where("parts > 1")  # at most SALTS rows
     late = parts.select(F.explode("alone").alias("w")).select("w.cls", "w.at")
