@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the tables that this process has stored.
+WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset a session of one machine gets a
     temporary one; on a cluster that is an error, since executors wouldn't see each other's files."""
@@ -25,4 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove what this process has stored, once nothing is read from it any more; how many tables that were."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while WRITTEN:
+        at = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
+        n += bool(at.getFileSystem(conf).delete(at, True))
+    return n
