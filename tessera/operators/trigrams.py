@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 N = 3
+#: Trigrams of all queries together up to which a scan of postings is told them.
+MOST_GRAMS = 2_000
 
 
 def grams_of(c: Column) -> Column:
@@ -17,8 +19,11 @@ def grams_of(c: Column) -> Column:
 
 
 def postings(lines: DataFrame) -> DataFrame:
-    """repo, path, gram: the distinct trigrams of each file's lines (repo, path, content)."""
-    return lines.select("repo", "path", F.explode(grams_of(F.col("content"))).alias("gram")).distinct()
+    """repo, path, gram: the distinct trigrams of each file's lines (repo, path, content), in order of gram within a task.
+
+    Written so, a reader that wants some grams only skips most pages.
+    """
+    return lines.select("repo", "path", F.explode(grams_of(F.col("content"))).alias("gram")).distinct().sortWithinPartitions("repo", "gram")
 
 
 def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -27,6 +32,9 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
     Such a file may still not hold the query; one that isn't here doesn't.
     """
     each = queries.select("query_id", F.explode(grams_of(F.col("query"))).alias("gram"))
+    wanted = [r[0] for r in each.select("gram").distinct().limit(MOST_GRAMS + 1).collect()]
+    if len(wanted) <= MOST_GRAMS:  # few enough to be part of the scan
+        index = index.where(F.col("gram").isin(wanted))
     need = each.groupBy("query_id").agg(F.count("*").alias("need"))
     met = index.join(each, "gram").groupBy("query_id", "repo", "path").agg(F.count("*").alias("has"))
     return met.join(need, "query_id").where("has = need").select("query_id", "repo", "path")
