@@ -22,8 +22,6 @@ from tessera.llm.grams import WordTable
 
 BUCKETS = 1 << 15
 SMOOTHING = 1.0
-#: Most ids that ``trusted_ids`` brings to the driver.
-TRUSTED = 20_000
 #: Rows of one id are dealt over so many keys.
 SALTS = 8
 #: Mean log-likelihood ratio below which a document goes.
@@ -37,11 +35,6 @@ def all_trusted(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def trusted_ids(labels: DataFrame, bound: int = TRUSTED) -> list[int]:
-    """A sample on the driver of ``all_trusted``: at most ``bound`` ids, of least hash. No query uses it."""
-    return [r[0] for r in all_trusted(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()]
-
-
 def marked(docs: DataFrame, trusted: DataFrame | Iterable[int]) -> DataFrame:
     """trusted (true or null) and text of every row of ``docs`` (doc_id, text); rows of no id match none and are dealt one by one."""
     if not isinstance(trusted, DataFrame):
@@ -135,8 +128,9 @@ def quality_rules(docs: DataFrame, trusted: DataFrame | Iterable[int], threshold
     """doc_id, the statistics, base_failed, kept and llr of every row of ``docs`` (doc_id, text; others are ignored).
 
     A null or empty text has no words, llr 0 and fails the base rules; repeated rows count and return as often as they
-    stand; an empty table gives an empty one. Without trusted documents every llr is 0, so that the base rules decide.
-    A null doc_id is never trusted.
+    stand; an empty table gives an empty one. Without trusted documents every llr is 0, so that the base rules decide; an
+    llr of exactly the threshold is kept. A null doc_id is never trusted. A text's length isn't bounded, but one text is
+    handled by one task.
     """
     docs = id_and_text(docs)
     return judge(docs, log_ratios(gram_counts(docs, trusted, buckets), buckets), threshold)

@@ -55,11 +55,13 @@ def test_equals_brute_force(spark, trusted):
         assert g[:-1] == w[:-1] and abs(g[-1] - w[-1]) < 1e-9
 
 
-def test_trusted_rows_are_bounded(spark):
-    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(1, 1), (None, 1)], "doc_id long, quality int")
-    some = quality.trusted_ids(labels, 10)
-    assert len(set(some)) == 10 and all(i % 2 for i in some) and set(some) <= set(quality.trusted_ids(labels))
-    assert len(quality.trusted_ids(labels)) == 50
+def test_a_very_long_text_and_ties_at_the_threshold(spark):
+    long = " ".join(f"w{i % 30_000}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, GOOD * 8), (2, GOOD * 8)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, {2}).collect()}
+    assert (got[1]["n_words"], got[1]["n_repeat_words"], got[1]["base_failed"]) == (200_000, 200_000, True)
+    even = quality.quality_rules(docs.where("doc_id = 1").selectExpr("doc_id", "substr(text, 1, 3000) AS text"), [], threshold=0.0).first()
+    assert even["llr"] == 0.0 and even["kept"]
 
 
 def test_empty(spark):
@@ -67,7 +69,7 @@ def test_empty(spark):
 
 
 def test_every_trusted_document_counts(spark):
-    n = quality.TRUSTED + 500
+    n = 20_500
     docs = spark.range(n).selectExpr("id AS doc_id", "concat('w', id, ' of it') AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'a b c'"))
     labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality").union(spark.sql("SELECT 7, 1")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 1"))
     raw, target = quality.gram_counts(docs, quality.all_trusted(labels), 512).selectExpr("sum(raw)", "sum(target)").first()
