@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tessera.sources.shared import stored
 GENERIC = "__init__ client config constants endpoints errors models types utils".split()
 PLAIN_PARTS = "__tests__ src test tests unit".split()
 MENTIONED = 50
+#: Bits of all sets of files that a task holds at once while it counts what files lead to.
+MASK_BITS = 1 << 29
 
 
 def internal_edges(dependencies: DataFrame, files: DataFrame) -> DataFrame:
@@ -43,6 +46,90 @@ def dependents(edges: DataFrame, targets: DataFrame, most_rounds: int = 1000) ->
     raise RuntimeError(f"paths of more than {most_rounds} edges")
 
 
+def components_first(near: list[list[int]]) -> list[list[int]]:
+    """Strongly connected components of a graph, each after those that it leads to (Tarjan's, with a stack of its own)."""
+    order, low, out, path, on = [-1] * len(near), [0] * len(near), [], [], [False] * len(near)
+    n = 0
+    for root in range(len(near)):
+        if order[root] >= 0:
+            continue
+        work = [(root, iter(near[root]))]
+        order[root] = low[root] = n
+        n += 1
+        path.append(root)
+        on[root] = True
+        while work:
+            node, rest = work[-1]
+            for other in rest:
+                if order[other] < 0:
+                    order[other] = low[other] = n
+                    n += 1
+                    path.append(other)
+                    on[other] = True
+                    work.append((other, iter(near[other])))
+                    break
+                if on[other]:
+                    low[node] = min(low[node], order[other])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == order[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(path.pop())
+                        on[part[-1]] = False
+                    out.append(part)
+    return out
+
+
+def reach(near: list[list[int]], bits: int = MASK_BITS, least: int = 1024) -> list[tuple[int, int]]:
+    """For each node how many it leads to directly, and how many more further on, itself not counted there.
+
+    Cycles are one; sets are bit masks of a range of nodes at a time, so that all of them take about ``bits`` bits.
+    """
+    parts = components_first(near)
+    of = [0] * len(near)
+    for i, part in enumerate(parts):
+        for node in part:
+            of[node] = i
+    step = max(least, bits // max(1, len(parts)))
+    total = [0] * len(near)
+    for first in range(0, len(near), step):
+        masks: list[int] = []
+        for part in parts:
+            mask = 0
+            for node in part:
+                for other in near[node]:
+                    if first <= other < first + step:
+                        mask |= 1 << (other - first)
+                    if of[other] < len(masks):
+                        mask |= masks[of[other]]
+            masks.append(mask)
+            for node in part:
+                own = first <= node < first + step and mask >> (node - first) & 1
+                total[node] += mask.bit_count() - int(own)
+    return [(len(o), t - len(o) + (node in o)) for node, (o, t) in enumerate(zip(near, total, strict=True))]
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """repo, target, direct, transitive: how many files depend on each target, of which ``dependents`` has the rows.
+
+    A repository's edges (distinct) are one group: files of one repository are a bounded number, pairs of them aren't
+    written anywhere.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        codes, names = pd.factorize(pd.concat([part["source_path"], part["target_path"]]))
+        near: list[list[int]] = [[] for _ in names]
+        for source, target in zip(codes[: len(part)].tolist(), codes[len(part) :].tolist(), strict=True):
+            near[target].append(source)
+        counts = reach(near)
+        return pd.DataFrame({"repo": part["repo"].iloc[0], "target": names, "direct": [d for d, _ in counts], "transitive": [t for _, t in counts]})
+
+    return edges.select("repo", "source_path", "target_path").distinct().groupBy("repo").applyInPandas(run, "repo string, target string, direct long, transitive long")
+
+
 def blast(direct: Column, transitive: Column, tests: Column) -> Column:
     return 2.0 * direct + transitive + 0.5 * tests
 
@@ -89,8 +176,12 @@ def related_tests(files: DataFrame, dependencies: DataFrame, symbols: DataFrame,
 
 
 def change_report(reached: DataFrame, tests: DataFrame, targets: DataFrame) -> DataFrame:
-    """repo, target, direct, transitive, tests, score, label; a file may be both direct and, through a cycle, reached again."""
+    """repo, target, direct, transitive, tests, score, label of the rows of ``dependents`` and ``related_tests``."""
     counts = reached.groupBy("repo", "target").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
+    return scored(counts, tests, targets)
+
+
+def scored(counts: DataFrame, tests: DataFrame, targets: DataFrame) -> DataFrame:
     n = tests.groupBy("repo", "target").agg(F.count("*").alias("tests"))
     rows = targets.join(counts, ["repo", "target"], "left").join(n, ["repo", "target"], "left").na.fill(0, ["direct", "transitive", "tests"])
     score = blast(F.col("direct"), F.col("transitive"), F.col("tests"))
@@ -100,8 +191,8 @@ def change_report(reached: DataFrame, tests: DataFrame, targets: DataFrame) -> D
 def risk(files: DataFrame, dependencies: DataFrame, symbols: DataFrame, sources: DataFrame, limit: int = 20) -> DataFrame:
     """The ``limit`` files of each repository that a change of reaches furthest, tests left out, by score, lines and path."""
     targets = files.where(~paths.is_test(F.col("path"), "risk")).select("repo", F.col("path").alias("target"))
-    reached = dependents(internal_edges(dependencies, files), targets)
-    rows = change_report(reached, related_tests(files, dependencies, symbols, sources, targets), targets)
+    counts = reach_counts(internal_edges(dependencies, files))
+    rows = scored(counts, related_tests(files, dependencies, symbols, sources, targets), targets)
     rows = rows.join(files.select("repo", F.col("path").alias("target"), "line_count"), ["repo", "target"])
     w = Window.partitionBy("repo").orderBy(F.desc("score"), F.desc("line_count"), "target")
     return rows.withColumn("position", F.row_number().over(w).cast("long")).where(F.col("position") <= limit)

@@ -159,3 +159,37 @@ def test_innermost(spark, service):
     places = service.files.select("repo", "path", F.lit(3).cast("long").alias("at"))
     got = bm25.innermost(service.symbols, places).join(service.symbols.select("symbol_id", "name"), "symbol_id").where("path = 'src/app/service.py'")
     assert [r["name"] for r in got.collect()] == ["run"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_reach_equals_a_walk(seed):
+    import random
+
+    from tessera.operators import graph
+
+    rng = random.Random(seed)
+    n = rng.choice([1, 5, 30, 60])
+    near = [sorted({rng.randrange(n) for _ in range(rng.choice([0, 0, 1, 1, 2, 3]))}) for _ in range(n)]
+    want = []
+    for node in range(n):
+        seen, todo = set(near[node]), list(near[node])
+        while todo:
+            for other in near[todo.pop()]:
+                if other not in seen and other != node:
+                    seen.add(other)
+                    todo.append(other)
+        want.append((len(near[node]), len(seen - set(near[node]))))
+    assert graph.reach(near) == want == graph.reach(near, least=7, bits=1)
+
+
+def test_counts_of_reach_equal_the_rows(spark):
+    from tessera.operators import graph
+    from tessera.sources import adapters as a
+
+    sf = "/root/testdata/sf0.001"
+    edges = graph.internal_edges(a.dependencies(spark, sf), a.files(spark, sf)).union(spark.createDataFrame([("x", "a", "a"), ("x", "b", "a"), ("x", "a", "b"), ("x", "c", "b")], "repo string, source_path string, target_path string"))
+    targets = edges.select("repo", edges["target_path"].alias("target")).distinct()
+    rows = graph.dependents(edges, targets).selectExpr("repo", "target", "depth = 1 AS direct").groupBy("repo", "target").pivot("direct", [True, False]).count().na.fill(0)
+    want = {(r["repo"], r["target"]): (r["true"], r["false"]) for r in rows.collect()}
+    got = {(r["repo"], r["target"]): (r["direct"], r["transitive"]) for r in graph.reach_counts(edges).where("direct > 0").collect()}
+    assert got == want
