@@ -29,9 +29,9 @@ from tessera.llm.common import WordHash, id_and_text, rolling, signed, stored, t
 
 WINDOW, RUN = 35, 8
 #: Occurrences of an anchor up to which its segments are in one block, segments of a block, and windows of heavy anchors in a task.
-LIGHT, BLOCK_SEGMENTS, TASK_ROWS = 2_000, 60_000, 1_500_000
+LIGHT, BLOCK_SEGMENTS, TASK_ROWS = 1_000, 60_000, 1_500_000
 #: Parts into which the windows of other anchors are dealt.
-SALTS = 64
+SALTS = 256
 
 
 def window_anchors(words: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
