@@ -263,32 +263,17 @@ def unresolved_sources(s, d):
     return graph.unresolved_sources(a.dependencies(s, d))
 
 
-def some_targets(s, d):
-    """Files of the documents 0 to 99, as in the SQL: a fixed set, which doesn't grow with the table."""
-    return a.files(s, d).where("path RLIKE 'doc_[0-9]{1,2}[.]txt$'").select("repo", F.col("path").alias("target"))
-
-
 def every_target(s, d):
     return a.files(s, d).select("repo", F.col("path").alias("target"))
 
 
 @query
 def direct_dependents(s, d):
-    return graph.direct_dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), some_targets(s, d))
-
-
-@query
-def direct_dependents_all(s, d):
     return graph.direct_dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), every_target(s, d))
 
 
 @query
 def transitive_closure(s, d):
-    return graph.dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), some_targets(s, d))
-
-
-@query
-def transitive_closure_all(s, d):
     return graph.dependents(graph.internal_edges(a.dependencies(s, d), a.files(s, d)), every_target(s, d))
 
 
@@ -299,11 +284,6 @@ def blast_risk_topk(s, d):
 
 @query
 def related_tests(s, d):
-    return graph.related_tests(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), some_targets(s, d))
-
-
-@query
-def related_tests_all(s, d):
     return graph.related_tests(a.files(s, d), a.dependencies(s, d), a.symbols(s, d), a.sources(s, d), every_target(s, d))
 
 
@@ -573,12 +553,11 @@ def paired_tasks(s, d):
     return measure.pairs(measure.task_measures(complete_pairs(s, d))).select("pair_id", *(f"{arm}_{m}" for arm in measure.ARMS for m in ("input_tokens", "output_tokens", "elapsed_ms", "success")))
 
 
-def made_sources(s, d, below: int | None = 600):
-    """A Python, a script or a style file for each part whose key is less than ``below`` (None: each part), so that extractors have something to read."""
+def made_sources(s, d):
+    """A Python, a script or a style file for each part, so that extractors have something to read."""
     parts = a.read(s, d, "part")
-    turn = below or max(parts.count() // 3 * 3, 3)  # Python files are those of keys that 3 divides
+    turn = max(parts.count() // 3 * 3, 3)  # Python files are those of keys that 3 divides
     rows = parts.selectExpr("p_partkey", "replace(p_name, ' ', '_') AS n", "p_partkey % 3 AS k", "p_size")
-    rows = rows.where(F.col("p_partkey") < below) if below else rows
     py = f"concat('import os\\nfrom .part_', cast(p_partkey div 2 * 3 % {turn} AS string), ' import x\\n', upper(n), ' = 1\\n\\nclass C', cast(p_partkey AS string), ':\\n    def run(self):\\n        return 1\\n\\ndef ', n, '(a,\\n        b):\\n    \"\"\"Does ', n, '.\"\"\"\\n    return a\\n')"
     js = "concat('import a from \"./part_', cast(p_partkey div 4 * 3 + 1 AS string), '\";\\nimport b from \"@scope/pkg/x\";\\nexport const ', n, ' = (a) => a;\\nfunction use', initcap(n), '() {}\\n')"
     css = "concat('.', n, ' { color: red }\\n@keyframes k', cast(p_partkey AS string), ' {}\\n')"
@@ -595,26 +574,14 @@ def imports_in(sources):
 
 @query
 def extracted_symbols(s, d):
-    """Of the 599 parts that its SQL takes; ``extracted_symbols_all`` has every part."""
     return symbols_in(made_sources(s, d))
 
 
-@query
-def extracted_symbols_all(s, d):
-    return symbols_in(made_sources(s, d, None))
-
-
 @query
 def import_resolve(s, d):
-    """Of the 599 parts that its SQL takes; ``import_resolve_all`` has every part."""
     return imports_in(made_sources(s, d))
 
 
-@query
-def import_resolve_all(s, d):
-    return imports_in(made_sources(s, d, None))
-
-
 class _Literals:
     SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS, BODY_QUERIES = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS, BODY_QUERIES
 

@@ -36,7 +36,7 @@ RELATIONS = {
         CASE WHEN k.doc_id IS NOT NULL THEN 'code' WHEN e.name IS NULL THEN 'unresolved' WHEN e.doc_id % 12 = 0 THEN 'stdlib' ELSE 'external' END AS category
         FROM edges_raw e LEFT JOIN documents k ON e.id = k.doc_id""",
     "internal": "SELECT DISTINCT d.repo, d.source_path, d.target_path FROM dependencies d SEMI JOIN files f ON f.repo = d.repo AND f.path = d.target_path WHERE d.resolved",
-    "targets": "SELECT repo, path AS target FROM files WHERE regexp_matches(path, 'doc_[0-9]{1,2}[.]txt$')",
+    "targets": "SELECT repo, path AS target FROM files",
     "usage_events": """SELECT event_id, ts AS created_at, event_type AS tool, 'p' || (user_id % 3) AS provider, user_id % 9 AS result_count, user_id % 50 AS candidate_files,
         user_id % 7 AS returned_files, CAST(floor(value * 100) AS BIGINT) AS estimated_saved_tokens FROM events""",
     "old_files": "SELECT * FROM files WHERE modified_ns % 7 <> 0",
@@ -367,28 +367,28 @@ def build(c) -> None:
     sql("scorecard_delta", "", "SELECT suite_name, CAST(day AS VARCHAR) AS day, runs, total, CAST(runs - lag(runs) OVER w AS DOUBLE) AS runs_delta, CAST(total - lag(total) OVER w AS DOUBLE) AS total_delta FROM (SELECT event_type AS suite_name, CAST(ts AS DATE) AS day, count(*) AS runs, CAST(sum(user_id) AS BIGINT) AS total FROM events GROUP BY ALL) WINDOW w AS (PARTITION BY suite_name ORDER BY day)")
     sql("usage_normalise", "", """SELECT event_id, provider, CASE provider WHEN 'anthropic' THEN i + r + w ELSE i END AS input_tokens, o AS output_tokens, CASE provider WHEN 'anthropic' THEN r WHEN 'normalized' THEN 0 END AS cached_input_tokens, CASE provider WHEN 'anthropic' THEN w END AS cache_write_tokens
         FROM (SELECT event_id, ['openai', 'anthropic', 'normalized'][event_id % 3 + 1] AS provider, event_id % 900 AS i, event_id % 90 AS o, CASE WHEN event_id % 5 <> 0 THEN event_id % 40 END AS r, event_id % 30 AS w FROM events)""")
-    pairs = ["t2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)", "tk AS (SELECT user_id, n, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS i, event_id % 97 AS o, event_id * 7 % 5000 AS e, CAST(event_id % 3 <> 0 AS BIGINT) AS s FROM t2 WHERE n <= 2)",
-             "tp AS (SELECT b.user_id, b.i AS bi, b.o AS bo, b.e AS be, b.s AS bs, t.i AS ti, t.o AS \"to\", t.e AS te, t.s AS ts FROM tk b JOIN tk t ON b.user_id = t.user_id AND b.n = 1 AND t.n = 2)"]
-    sql("paired_tasks", "", "SELECT 'u' || user_id AS pair_id, bi AS baseline_input_tokens, bo AS baseline_output_tokens, be AS baseline_elapsed_ms, bs AS baseline_success, ti AS treatment_input_tokens, \"to\" AS treatment_output_tokens, te AS treatment_elapsed_ms, ts AS treatment_success FROM tp", *pairs)
+    pairs = ["t2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n FROM events)", "tk AS (SELECT user_id, n, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(floor(value * 10) AS BIGINT) END AS i, event_id % 97 AS o, event_id * 7 % 5000 AS e, CAST(event_id % 3 <> 0 AS BIGINT) AS s FROM t2)",
+             "tp AS (SELECT b.user_id, b.n // 2 AS turn, b.i AS bi, b.o AS bo, b.e AS be, b.s AS bs, t.i AS ti, t.o AS \"to\", t.e AS te, t.s AS ts FROM tk b JOIN tk t ON b.user_id = t.user_id AND b.n % 2 = 0 AND t.n = b.n + 1)"]
+    sql("paired_tasks", "", "SELECT 'u' || user_id || '-' || turn AS pair_id, bi AS baseline_input_tokens, bo AS baseline_output_tokens, be AS baseline_elapsed_ms, bs AS baseline_success, ti AS treatment_input_tokens, \"to\" AS treatment_output_tokens, te AS treatment_elapsed_ms, ts AS treatment_success FROM tp", *pairs)
     row = lambda m, b, t, less: f"SELECT '{m}' AS measure, CASE WHEN count(*) = count({b}) THEN CAST(sum({b}) AS BIGINT) END AS baseline_total, count({b}) AS baseline_tasks, CASE WHEN count(*) = count({t}) THEN CAST(sum({t}) AS BIGINT) END AS treatment_total, count({t}) AS treatment_tasks, {f'median(CASE WHEN {b} <> 0 AND {t} IS NOT NULL THEN 100.0::DOUBLE * ({b} - {t}) / {b} END)' if less else 'CAST(NULL AS DOUBLE)'} AS median_reduction, {f'count(CASE WHEN {b} <> 0 AND {t} IS NOT NULL THEN 1 END)' if less else '0'} AS reduction_pairs FROM tp"
     none = "CAST(NULL AS BIGINT)"
     sql("paired_report", "", " UNION ALL ".join([row("input_tokens", "bi", "ti", True), row("output_tokens", "bo", '"to"', True), row("elapsed_ms", "be", "te", True), row("success", "bs", "ts", False), row("cached_input_tokens", "0", "0", False), row("cache_write_tokens", none, none, False), row("model_calls", "1", "1", False)]), *pairs)
 
 
-    made = "mp AS (SELECT p_partkey AS p, replace(p_name, ' ', '_') AS n, p_partkey % 3 AS k FROM part WHERE p_partkey < 600)"
+    made = ["mp AS (SELECT p_partkey AS p, replace(p_name, ' ', '_') AS n, p_partkey % 3 AS k FROM part)", "mt AS (SELECT greatest(count(*) // 3 * 3, 3) AS turn FROM part)"]
     target = lambda x, end: f"im AS (SELECT u.p, u.k, {x} AS x, EXISTS (SELECT 1 FROM mp o WHERE o.p = {x}) AS known FROM mp u WHERE u.k = {end})"
     sql("import_resolve", "", """SELECT 'r' AS repo, 'pkg/part_' || p || '.py' AS source_path, 'os' AS target_path, 'os' AS import_name, 'import' AS kind, false AS resolved, 'stdlib' AS category FROM mp WHERE k = 0
         UNION ALL SELECT 'r', 'pkg/part_' || p || '.js', '@scope/pkg', '@scope/pkg/x', 'import', false, 'external' FROM mp WHERE k = 1
         UNION ALL SELECT 'r', 'pkg/part_' || p || '.py', CASE WHEN known THEN 'pkg/part_' || x || '.py' ELSE 'part_' || x END, '.part_' || x, 'import', known, CASE WHEN known THEN 'code' ELSE 'unresolved' END FROM im
         UNION ALL SELECT 'r', 'pkg/part_' || p || '.js', CASE WHEN known THEN 'pkg/part_' || x || '.js' ELSE './part_' || x END, './part_' || x, 'import', known, CASE WHEN known THEN 'code' ELSE 'unresolved' END FROM jm""",
-        made, target("u.p // 2 * 3 % 600", 0), target("u.p // 4 * 3 + 1", 1).replace("im AS", "jm AS"))
+        *made, target("u.p // 2 * 3 % (SELECT turn FROM mt)", 0), target("u.p // 4 * 3 + 1", 1).replace("im AS", "jm AS"))
     sym = lambda path, name, qualified, kind, line, end, signature, doc, k: f"SELECT 'r' AS repo, 'pkg/part_' || p || '{path}' AS path, {name} AS name, {qualified} AS qualified_name, '{kind}' AS kind, CAST({line} AS BIGINT) AS line, CAST({end} AS BIGINT) AS end_line, {signature} AS signature, {doc} AS doc, {doc} AS full_doc, true AS exported FROM mp WHERE k = {k}"
     hook = "'use' || upper(n[1]) || n[2:]"
     sql("extracted_symbols", "", " UNION ALL ".join([
         sym(".py", "upper(n)", "upper(n)", "constant", 3, 3, "upper(n) || ' = 1'", "''", 0), sym(".py", "'C' || p", "'C' || p", "class", 5, 7, "'class C' || p || ':'", "''", 0), sym(".py", "'run'", "'C' || p || '.run'", "method", 6, 7, "'def run(self):'", "''", 0),
         sym(".py", "n", "n", "function", 9, 12, "'def ' || n || '(a,' || chr(10) || '        b):'", "'Does ' || n || '.'", 0), sym(".js", "n", "n", "function", 3, "NULL", "'export const ' || n || ' = (a) =>'", "''", 1), sym(".js", hook, hook, "hook", 4, "NULL", f"'function ' || {hook}", "''", 1),
         sym(".css", "'.' || n", "'.' || n", "selector", 1, "NULL", "'.' || n", "''", 2), sym(".css", "'@keyframes k' || p", "'@keyframes k' || p", "keyframes", 2, "NULL", "'@keyframes k' || p", "''", 2),
-    ]), made)
+    ]), *made)
 
 
 def _stop() -> list[str]:

@@ -139,11 +139,11 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A task for each of the first two events of a user: baseline and treatment with one call each."""
+    """A task for each event, with one call: a user's first and second event are a pair's baseline and treatment, and so on."""
     return read(spark, sf_dir, "events").selectExpr(
-        "event_id", "user_id", "value", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n",
-    ).where("n <= 2").selectExpr(
-        "concat('u', cast(user_id AS string)) AS pair_id", "CASE WHEN n = 1 THEN 'baseline' ELSE 'treatment' END AS arm",
+        "event_id", "user_id", "value", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n",
+    ).selectExpr(
+        "concat('u', cast(user_id AS string), '-', cast(n div 2 AS string)) AS pair_id", "CASE WHEN n % 2 = 0 THEN 'baseline' ELSE 'treatment' END AS arm",
         "'m' AS model", "'r' AS revision", "'p' AS prompt_id", "'c' AS config_id", "event_id % 3 <> 0 AS success", "event_id * 7 % 5000 AS elapsed_ms",
         "array(named_struct('provider', 'normalized', 'usage', map('input_tokens', CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(floor(value * 10) AS bigint) END, 'output_tokens', event_id % 97, 'cached_input_tokens', CAST(0 AS bigint), 'cache_write_tokens', CAST(NULL AS bigint)), 'model_calls', CAST(1 AS bigint))) AS calls",
     )
