@@ -19,8 +19,8 @@ from tessera.llm.common import stored
 
 #: Most times that a document is taken, most patterns and sources that the driver accepts, and most if no document is of two.
 REPEATS, PATTERNS, SINGLE = 3, 20_000, 500_000
-#: Bits of the seeded hash by which each of two histograms cuts.
-BITS = 12
+#: Bits of the seeded hash, and of those by which each of two histograms cuts.
+PLACES, BITS = 60, 12
 
 
 def quotas(sizes: Mapping[str | None, int], weights: Mapping[str | None, float], total: float, repeats: int = REPEATS) -> dict[str | None, float]:
@@ -104,8 +104,9 @@ def route(patterns: Sequence[tuple[frozenset, int]], targets: Mapping[str | None
 
 
 def seeded(seed: int) -> Column:
-    """A document's place in its pattern's order: 64 bits of the seed, its id and its size."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
+    """A document's place in its pattern's order: ``PLACES`` bits of a digest of the seed, its id (null: none) and its size."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")).cast("binary"))
+    return F.conv(F.left(digest, F.lit(PLACES // 4)), 16, 10).cast("long")
 
 
 def cuts(keys: DataFrame, plan: DataFrame) -> DataFrame:
@@ -114,7 +115,7 @@ def cuts(keys: DataFrame, plan: DataFrame) -> DataFrame:
     Two histograms of ``BITS`` bits lead to the bin where the sum passes the rest. Only that bin's hashes, one in
     2**(2 * BITS) of the pattern, are put in order; a hash is within the cut if at least half of its words still fit.
     """
-    place = lambda bits: F.shiftright("h", 64 - bits)  # noqa: E731  signed, so bins are in the order of hashes
+    place = lambda bits: F.shiftright("h", PLACES - bits)  # noqa: E731  bins are in the order of hashes
     upto = lambda by, order: F.sum("s").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     docs = keys.withColumns({"bin1": place(BITS), "bin2": place(2 * BITS)})
     cut, by = plan.select("pattern", "rest").where("rest > 0"), ["pattern"]
@@ -123,7 +124,7 @@ def cuts(keys: DataFrame, plan: DataFrame) -> DataFrame:
         cut, by = sums.where("upto > rest and upto - s <= rest").select(*by, bin_, (F.col("rest") - F.col("upto") + F.col("s")).alias("rest")), [*by, bin_]
     sums = docs.join(F.broadcast(cut), by).groupBy(*by, "rest", "h").agg(F.sum("size").alias("s")).withColumn("upto", upto(by, "h"))
     within = sums.groupBy(*by).agg(F.max(F.when(F.col("upto") - F.col("s") / 2 <= F.col("rest"), F.col("h"))).alias("last"))
-    edge = F.shiftleft("bin2", 64 - 2 * BITS)
+    edge = F.shiftleft("bin2", PLACES - 2 * BITS)
     return within.select("pattern", F.coalesce("last", edge - 1).alias("cut"))
 
 

@@ -76,3 +76,32 @@ def personal_data() -> str:
 
 
 SQL["op3_pii"] = personal_data()
+
+#: Rounds of water filling that the statement has room for; each ends with a full source more, or for good.
+ROUNDS = 12
+
+
+def mixing_quotas() -> str:
+    """Sources weigh 1, 2, 3, …; what a full one can't take is shared again, round by round; then a cut in seeded order."""
+    parts = [
+        r"d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)",
+        "s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM d GROUP BY source)",
+        "q0 AS (SELECT *, true AS open, CAST(0 AS DOUBLE) AS target, CAST((SELECT sum(size) FROM s) AS DOUBLE) AS left_ FROM s)",
+    ]
+    for r in range(ROUNDS):
+        parts.append(f"u{r} AS (SELECT *, left_ / (SELECT sum(weight) FROM q{r} WHERE open) AS unit FROM q{r})")
+        parts.append(f"f{r} AS (SELECT *, open AND left_ > 0 AND weight * unit >= 3 * size AS whole FROM u{r})")
+        parts.append(
+            f"q{r + 1} AS (SELECT source, size, weight, open AND left_ > 0 AND (SELECT bool_or(whole) FROM f{r}) AND NOT whole AS open, CASE WHEN whole THEN CAST(3 * size AS DOUBLE) WHEN open AND left_ > 0 AND NOT (SELECT bool_or(whole) FROM f{r}) THEN weight * unit ELSE target END AS target, "
+            f"CASE WHEN (SELECT bool_or(whole) FROM f{r}) THEN left_ - (SELECT sum(3 * size) FROM f{r} WHERE whole) ELSE 0 END AS left_ FROM f{r})"
+        )
+    parts += [
+        f"t AS (SELECT source, size AS source_size, target, least(CAST(round_even(target, 0) AS BIGINT), 3 * size) AS flow FROM q{ROUNDS})",
+        "h AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.flow // t.source_size ELSE 0 END AS whole, CASE WHEN t.source_size > 0 THEN t.flow % t.source_size ELSE 0 END AS rest, CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || d.size)[1:15] AS BIGINT) AS place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)",
+        "g AS (SELECT source, place, sum(size) AS s FROM h GROUP BY ALL)",
+        "c AS (SELECT source, place, s, sum(s) OVER (PARTITION BY source ORDER BY place) - s AS before FROM g)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT h.doc_id, CAST(h.size AS BIGINT) AS size, source_size, target, CAST(CASE WHEN h.size = 0 THEN 0 ELSE h.size * (whole + CASE WHEN rest > 0 AND before + s / 2 <= rest THEN 1 ELSE 0 END) END AS BIGINT) AS taken FROM h JOIN c ON c.source IS NOT DISTINCT FROM h.source AND c.place = h.place"
+
+
+SQL["op7_mixing"] = mixing_quotas()
