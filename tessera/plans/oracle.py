@@ -261,6 +261,13 @@ def build(c) -> None:
     shown = "SELECT query_id, repo, position, kind, path, line, label, detail, score, end_line FROM ranked WHERE position <= 12"
     sql("lookup_blend", "symbols all_files text_lines", shown, *blend(12, "budget", "true"))
     sql("lookup_without_tests", "symbols all_files text_lines", shown, *blend(70, "least(100, 5 * budget + 10)", f"NOT {test('path', 'lookup')}"))
+    in_files = [x.replace("all_files", "files") for x in blend(8, "CAST(5 AS BIGINT)", "true")]
+    in_files[0] = values("q", [*c.SYMBOL_QUERIES[:3], (8, "license")])
+    sql("workspace_lookup", "symbols files text_lines", "SELECT query_id, repo, kind, path, line, label, detail, score, end_line, label_of_repo, position FROM wr WHERE position <= 12", *in_files,
+        f"by_name AS (SELECT query_id, repo, kind, path, line, label, detail, score, end_line FROM (SELECT *, {rn('query_id, repo', 'score, path, line, kind')} AS place FROM dedup WHERE branch < 2) WHERE place <= 8)",
+        f"by_text AS (SELECT query_id, repo, 'text' AS kind, path, line, trim(content) AS label, content AS detail, greatest(1500, 2000 + index - ({less}) + CASE WHEN {test('path', 'lookup')} THEN 300 ELSE 0 END) AS score, CAST(NULL AS BIGINT) AS end_line FROM tx WHERE query_id NOT IN (SELECT query_id FROM by_name))",
+        "w AS (SELECT query_id, repo, kind, path, line, label, detail, score + CAST(repo[2:] AS BIGINT) AS score, end_line, 'label' || repo[2:] AS label_of_repo FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_text))",
+        f"wr AS (SELECT *, {rn('query_id', 'score, label_of_repo, path, line, kind')} AS position FROM w)")
     lines_of = f"symbol_lines AS (SELECT 'r' || (p_partkey % 4) AS repo, CASE WHEN p_partkey % 11 = 0 THEN 'tests/' ELSE 'src/' END || lower(p_type) || '/unit_' || (p_partkey // 40) || '.py' AS path, CAST(p_partkey % 40 * 10 + 2 AS BIGINT) AS line, '    # ' || p_name || ' sized ' || ['tiny', 'large', 'jumbo'][p_size % 3 + 1] AS content FROM part)"
     sql("lookup_excerpts", "symbols all_files text_lines", "SELECT query_id, repo, position, path, a AS start_line, b AS end_line, left(content, 6000) AS content, length(content) > 6000 OR coalesce(more, false) AS truncated FROM et", *blend(12, "budget", "true"), lines_of,
         "eh AS (SELECT query_id, repo, position, path, greatest(1, line - 2) AS a, least(coalesce(end_line, line), greatest(1, line - 2) + 39) AS b, end_line > least(coalesce(end_line, line), greatest(1, line - 2) + 39) AS more FROM ranked WHERE position <= 3 AND kind = 'symbol')",
