@@ -89,7 +89,11 @@ def repeated_anchors(index: DataFrame, window: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFrame:
-    """cls, copies, text, its segments (anchor, at: their first word, to: behind their last) and its windows of heavy anchors (at, print)."""
+    """cls, copies, text, its segments (anchor, at: their first word, to: behind their last) and its windows of heavy anchors.
+
+    Of the latter each different one is told once (heavy_at, heavy: its hash, heavy_times); those that the text has more
+    than once are found already, and own_a and own_b are the spans that they cover.
+    """
     same = F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("tag") == F.col("rep_tag"))
     texts = docs.join(found, same).select("cls", "copies", "light", "heavy", "text")
 
@@ -98,7 +102,7 @@ def segments(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFr
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128)
-                out: list[list] = [[], [], [], [], []]
+                out: list[list] = [[] for _ in range(8)]
                 take = []
                 for i, (cls, text) in enumerate(zip(part.column(0).to_pylist(), texts_of(part), strict=True)):
                     if cls == last_cls:
@@ -111,14 +115,18 @@ def segments(docs: DataFrame, found: DataFrame, window: int, run: int) -> DataFr
                     first = np.flatnonzero(light & np.concatenate([[True], place[1:] != place[:-1]])[: len(light)])
                     last = np.searchsorted(place, place[first], side="right") - 1  # places only grow
                     at = np.flatnonzero(heavy)
-                    row = (signed(value[first]), first, last + window, at, signed(rolling(h, window)[at]))
+                    prints, which, inverse, times = np.unique(rolling(h, window)[at], return_index=True, return_inverse=True, return_counts=True)
+                    twice = at[times[inverse] > 1]
+                    own = merged(np.stack([twice, twice + window], axis=1))
+                    row = (signed(value[first]), first, last + window, at[which], signed(prints), times, own[:, 0], own[:, 1])
                     for column, x in zip(out, row, strict=True):
                         column.append(x)
-                columns = [pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                columns = [pa.array(c, pa.list_(t)) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
                 kept = part.take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4), *columns], ["cls", "copies", "text", "anchor", "at", "to", "heavy_at", "heavy"])
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(4), *columns], ["cls", "copies", "text", *(c.split()[0] for c in lists)])
 
-    return texts.mapInArrow(rows, "cls long, copies long, text string, anchor array<long>, at array<int>, to array<int>, heavy_at array<int>, heavy array<long>")
+    lists = ["anchor array<long>", "at array<int>", "to array<int>", "heavy_at array<int>", "heavy array<long>", "heavy_times array<int>", "own_a array<int>", "own_b array<int>"]
+    return texts.mapInArrow(rows, ", ".join(["cls long", "copies long", "text string", *lists]))
 
 
 def with_words(found: DataFrame) -> DataFrame:
@@ -222,14 +230,15 @@ def factored(rows: DataFrame, tasks: int, window: int) -> DataFrame:
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """print, cls, at, copies, salt: one row a window of heavy anchors, with one of ``SALTS`` by text."""
+    """print, cls, at, times, salt, single: a row for each different window of heavy anchors of a text, with one of ``SALTS``
+    by text, how often it stands there, copies counted, and whether the text has no copies."""
     salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    zipped = found.select("cls", "copies", F.explode(F.arrays_zip(F.col("heavy_at").alias("at"), F.col("heavy").alias("print"))).alias("w"))
-    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").alias("at"), "copies", salt.alias("salt"))
+    zipped = found.select("cls", "copies", F.explode(F.arrays_zip(F.col("heavy_at").alias("at"), F.col("heavy").alias("print"), F.col("heavy_times").alias("times"))).alias("w"))
+    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").alias("at"), (F.col("w.times") * F.col("copies")).alias("times"), salt.alias("salt"), (F.col("copies") == 1).alias("single"))
 
 
 def met(rows: DataFrame, tasks: int) -> DataFrame:
-    """cls and at of the windows of rows (print, cls, at, copies, salt) that another row has too, or a copy of its text.
+    """cls and at of the windows of rows (print, cls, at, times, salt, single) that another text has too, or a copy of its own.
 
     Windows of heavy anchors are dealt by fingerprint and salt, so that no group is read by one task. Each such part of a
     group then sends on one row: its only window, which may still find its like in another part, or a witness that there
@@ -237,16 +246,16 @@ def met(rows: DataFrame, tasks: int) -> DataFrame:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy() for i in range(5)] for b in batches]
+        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(6)] for b in batches]
         if not parts:
             return
-        print_, cls, at, copies, salt = (np.concatenate(x) for x in zip(*parts, strict=True))
+        print_, cls, at, times, salt, single = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((salt, print_))
-        print_, cls, at, copies, salt = (x[order] for x in (print_, cls, at, copies, salt))
+        print_, cls, at, times, salt, single = (x[order] for x in (print_, cls, at, times, salt, single))
         start = np.flatnonzero(np.concatenate([[True], (print_[1:] != print_[:-1]) | (salt[1:] != salt[:-1])]))
         size = np.diff(np.concatenate([start, [len(print_)]]))
-        several = np.add.reduceat(copies, start) > 1
-        found = np.repeat(several, size) & (copies == 1)  # texts with copies go as a whole
+        several = np.add.reduceat(times, start) > 1
+        found = np.repeat(several, size) & single & (times == 1)  # texts with copies go as a whole, and own spans are known
         sent = start
         alone = ~several
         out = [(cls[found], at[found], np.zeros(int(found.sum()), np.int64), np.zeros(int(found.sum()), np.int8)), (cls[sent], at[sent], print_[sent], np.where(alone, 2, 1).astype(np.int8))]
@@ -358,5 +367,6 @@ def _duplicates(docs: DataFrame, window: int, run: int) -> tuple[DataFrame, Data
     parts = hits.where("state > 0").groupBy("print").agg(F.count("*").alias("parts"), F.collect_list(F.when(F.col("state") == 2, F.struct("cls", "at"))).alias("alone")).where("parts > 1")  # at most SALTS rows
     late = parts.select(F.explode("alone").alias("w")).select("w.cls", "w.at")
     dealt = hits.where("state = 0").select("cls", "at").unionByName(late).select("cls", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
-    spans = factors.unionByName(dealt).groupBy("cls").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a text's words
+    own = found.select("cls", F.explode(F.arrays_zip(F.col("own_a").alias("a"), F.col("own_b").alias("b"))).alias("s")).select("cls", "s.*")
+    spans = factors.unionByName(dealt).unionByName(own).groupBy("cls").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a text's words
     return index, found.where("copies = 1").select("cls", "text").join(spans, "cls")
