@@ -203,6 +203,23 @@ def benchmark(runs: dict[tuple[str, int, str], Callable[[], DataFrame]], spark,
     return stats.join(quality_metrics(found), ["provider", "query"], "left").na.fill(0, ["results", "source_paths", "test_paths"]).na.fill(False, ["first_is_test"])
 
 
+def run_suite(spark, name: str, queries: list[str], providers: dict[str, Callable[[str], DataFrame]], history: str | None = None, repeat: int = 3, warmup: int = 1) -> DataFrame:
+    """The scorecard of a suite: every provider's plan for every query timed, the first provider the baseline.
+
+    With ``history`` the scorecard is appended there and returned with the deltas against the suite's run before.
+    """
+    runs = {(p, i, q): (lambda make=make, q=q: make(q)) for p, make in providers.items() for i, q in enumerate(queries)}
+    card = symbol_scorecard(benchmark(runs, spark, repeat, warmup), next(iter(providers)))
+    return card if history is None else record_run(card, history, name, ("queries", "median_ms_avg", "results", "source_first", "test_first"))
+
+
+def workflow_runs(times: DataFrame, hits: DataFrame, totals: DataFrame, payloads: DataFrame) -> DataFrame:
+    """What ``workflow_scorecard`` reads, a row a query: times (query_id, elapsed_ms), hits (query_id, path, position), ``pack_totals`` and payload sizes."""
+    found = quality_metrics(hits.withColumns({"provider": F.lit(""), "query": F.col("query_id")})).drop("provider", "results").withColumnRenamed("query", "query_id")
+    rows = timing_stats(times, ("query_id",)).join(found, "query_id", "left").join(totals, "query_id", "left").join(payloads.select("query_id", F.col("bytes").alias("payload_bytes")), "query_id", "left")
+    return rows.withColumnRenamed("query_id", "query_no").na.fill(0).na.fill(False, ["first_is_test"])
+
+
 def hits_at(hits: DataFrame, cases: DataFrame, modes: DataFrame, k: int = 3) -> DataFrame:
     """mode, queries, hits: of the cases (query_id, expected) how many each mode finds among the first ``k`` hits (mode, query_id, position, label)."""
     last = F.substring_index(F.substring_index("label", " ", -1), ".", -1)

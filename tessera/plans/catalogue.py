@@ -96,6 +96,12 @@ def workspace_savings(s, d):
     return rollups.workspace_savings(a.files(s, d), search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10))
 
 
+@query
+def saved_tokens_snippets(s, d):
+    packs = context.context_pack(text_hits(s, d).where("query_id = 2"), a.files(s, d), a.symbols(s, d), a.text_lines(s, d), limit=10, max_files=4, around=2, most=20)
+    return rollups.saved_by_content(a.files(s, d), packs.groupBy("repo").agg(F.count_distinct("path").alias("returned_files"), context.joined_tokens().alias("tokens"), F.count("*").alias("results")))
+
+
 @query
 def symbols_by_file(s, d):
     return rollups.symbols_by_file(a.symbols(s, d))

@@ -345,6 +345,7 @@ def build(c) -> None:
             "hs AS (SELECT n.query_id, n.repo, n.path, n.start_line, n.end_line, coalesce(n.hit_lines, '') AS hit_lines, string_agg(coalesce(t.content, ''), chr(10) ORDER BY n.i) AS content FROM (SELECT *, unnest(range(start_line, end_line + 1)) AS i FROM hn) n LEFT JOIN text_lines t ON t.repo = n.repo AND t.path = n.path AND t.line = n.i GROUP BY ALL)"]
     sql("snippet_pack", "text_lines files", "SELECT * FROM hs", *pack)
     sql("snippet_totals", "text_lines files", "SELECT query_id, count(DISTINCT repo || path) AS files, CAST(sum(end_line - start_line + 1) AS BIGINT) AS lines, CAST((sum(length(content)) + count(*) - 1 + 3) // 4 AS BIGINT) AS tokens FROM hs GROUP BY query_id", *pack)
+    sql("saved_tokens_snippets", "text_lines files", "SELECT f.repo, candidate_files, coalesce(p.returned_files, 0) AS returned_files, greatest(0, all_ - coalesce(tokens, 0) - 40 * coalesce(results, 0)) AS saved FROM (SELECT repo, count(*) AS candidate_files, CAST(sum(greatest(1, line_count) * 8) AS BIGINT) AS all_ FROM files GROUP BY repo) f LEFT JOIN (SELECT repo, count(DISTINCT path) AS returned_files, CAST((sum(length(content)) + count(*) + 2) // 4 AS BIGINT) AS tokens, count(*) AS results FROM hs WHERE query_id = 2 GROUP BY repo) p ON p.repo = f.repo", *pack)
     wpack = [xq, *text(10), f"wh AS (SELECT query_id, repo, path, line, {rn('query_id', 'position, repo, path, line')} AS position FROM ts)", f"hf AS (SELECT query_id, repo, path, min(position) AS first_ FROM wh WHERE position <= 10 GROUP BY query_id, repo, path QUALIFY {rn('query_id', 'min(position)')} <= 4)", "hh AS (SELECT wh.* FROM wh SEMI JOIN hf USING (query_id, repo, path) WHERE position <= 10)", *pack[-len(pack) + pack.index(next(x for x in pack if x.startswith('wm AS'))):]]
     sql("workspace_pack", "text_lines files", "SELECT * FROM hs", *wpack)
     sql("workspace_pack_totals", "text_lines files", "SELECT query_id, CAST(sum(results) AS BIGINT) AS hit_count, CAST(sum(candidate) AS BIGINT) AS candidate_files, CAST(sum(greatest(0, all_ - returned - 40 * results)) AS BIGINT) AS estimated_saved_tokens, coalesce(any_value(own.f), 0) AS selected_files, coalesce(any_value(own.l), 0) AS selected_lines, coalesce(any_value(own.t), 0) AS estimated_tokens FROM pr LEFT JOIN own USING (query_id) GROUP BY query_id", *wpack,

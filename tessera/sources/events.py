@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import paths, text
 from tessera.functions.text import ascii_lower
 from tessera.operators.search import clamp, ranked, sent
 
@@ -146,16 +146,54 @@ def foreign_stats(symbols: DataFrame, meta: DataFrame) -> DataFrame:
 
 def normal_queries(c: Column) -> Column:
     """An array of queries, trimmed, without blank and repeated ones; case counts."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
+
+
+CONFIG_VERSION = 1
+
+
+def configs(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """name, repos, file and ``fields`` of each JSON file in a folder; a file without a name is named by its own.
+
+    A file without schema_version is of version 0 and read as one of the present version is, defaults filled in; one of a
+    later version, or without repositories, is an error. Files stay as they are.
+    """
+    rows = spark.read.schema(f"name string, repos array<string>, schema_version long, {fields}").option("multiLine", True).json(path)
+    rows = rows.withColumn("file", F.col("_metadata.file_path"))
+    stem = F.regexp_replace(F.regexp_extract("file", r"([^/]*)$", 1), r"\.json$", "")
+    version = F.coalesce("schema_version", F.lit(0))
+    told = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), F.col("file"))).cast("array<string>")
+    repos = normal_queries(F.coalesce("repos", F.array().cast("array<string>")))
+    checked = F.when(~version.between(0, CONFIG_VERSION), told("unsupported configuration schema")).when(F.size(repos) == 0, told("no repositories")).otherwise(repos)
+    return rows.select(F.lower(F.trim(F.coalesce("name", stem))).alias("name"), checked.alias("repos"), "file", *(f.split()[0] for f in fields.split(", ")))
+
+
+def workspaces(spark: SparkSession, path: str) -> DataFrame:
+    """name, repos, file of each named group of repositories in a folder."""
+    return configs(spark, path, "description string").drop("description")
+
+
+def workspace_repos(spark: SparkSession, path: str | None = None, name: str | None = None, roots: list[str] | None = None) -> DataFrame:
+    """repo (a label), root, repo_index of a named workspace's repositories and then of further ones, each once, in order."""
+    found = list(roots or [])
+    if name is not None:
+        row = workspaces(spark, path).where(F.col("name") == name.strip().lower()).first()
+        if row is None:
+            raise FileNotFoundError(f"no workspace {name} in {path}")
+        found = [*row["repos"], *found]
+    found = list(dict.fromkeys(r.rstrip("/") for r in found))
+    if not found:
+        raise ValueError("no repositories")
+    rows = spark.createDataFrame(list(enumerate(found)), "repo_index long, root string")
+    return rows.select(paths.label(F.col("root")).alias("label"), "root", "repo_index")
 
 
 def suites(spark: SparkSession, path: str) -> DataFrame:
-    """name, repos, symbol_queries, workflow_queries and limits of each suite or workspace file in a folder."""
-    schema = "name string, repos array<string>, symbol_queries array<string>, workflow_queries array<string>, limit long, repeat long"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    """name, repos, symbol_queries, workflow_queries and limits of each suite in a folder."""
+    rows = configs(spark, path, "symbol_queries array<string>, workflow_queries array<string>, limit long, repeat long")
     empty = F.array().cast("array<string>")
     distinct = lambda c: normal_queries(F.coalesce(F.col(c), empty))
-    return rows.select("name", distinct("repos").alias("repos"), distinct("symbol_queries").alias("symbol_queries"), distinct("workflow_queries").alias("workflow_queries"), F.coalesce("limit", F.lit(20)).alias("limit"), F.coalesce("repeat", F.lit(3)).alias("repeat"))
+    return rows.select("name", "repos", distinct("symbol_queries").alias("symbol_queries"), distinct("workflow_queries").alias("workflow_queries"), F.coalesce("limit", F.lit(20)).alias("limit"), F.coalesce("repeat", F.lit(3)).alias("repeat"))
 
 
 def lower_key(c: str):

@@ -202,3 +202,22 @@ def test_stored_tables_are_removed(spark, tmp_path):
             made.count()
     finally:
         shared.WRITTEN.extend(before)
+
+
+def test_suite_run_and_workflow(spark, tmp_path):
+    from tessera.operators import measure, providers
+
+    make = lambda fuzzy: lambda q: providers.find(a.queries(spark, [(1, q)]), a.symbols(spark, SF), provider="catalog", fuzzy=fuzzy)
+    run = lambda: {r["provider"]: r for r in measure.run_suite(spark, "s", ["red_w", "zzz"], {"exact": make(False), "all": make(True)}, str(tmp_path / "h"), 1, 0).collect()}
+    first, second = run(), run()
+    assert first["all"]["queries"] == 2 and first["all"]["results_delta"] is None and second["all"]["results_delta"] == 0.0
+    hits = catalogue.workspace_hits(spark, SF).where("position <= 10")
+    snippets = catalogue.workspace_snippets(spark, SF)
+    repos = spark.createDataFrame([(f"r{i}", i) for i in range(4)], "repo string, repo_index long")
+    times = hits.select("query_id").distinct().withColumn("elapsed_ms", F.col("query_id") * 2.0)
+    runs = measure.workflow_runs(times, hits, context.pack_totals(hits, snippets, a.files(spark, SF)), context.compact(snippets, repos))
+    card = measure.workflow_scorecard(runs).first()
+    totals = catalogue.workspace_pack_totals(spark, SF).collect()
+    assert card["queries"] == len(totals) and card["selected_lines_total"] == sum(r["selected_lines"] for r in totals)
+    assert card["payload_bytes_total"] == sum(r["bytes"] for r in catalogue.compact_pack(spark, SF).collect()) and card["first_paths"].count(",") == len(totals) - 1
+    assert measure.workflow_scorecard(runs.limit(0)).first()["queries"] == 0

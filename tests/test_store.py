@@ -262,3 +262,21 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     assert spark.sql("select sum(events) from w").first()[0] == batch.count()
     total = telemetry.usage_summary(e).where("total").first()
     assert spark.sql("select sum(estimated_saved_tokens) from w").first()[0] == total["estimated_saved_tokens"]
+
+
+def test_configurations(spark, tmp_path):
+    put(tmp_path, {"w/Team.json": json.dumps({"repos": ["/a/src/", " /b ", "/b"]}), "w/x.json": json.dumps({"name": " Two ", "repos": ["/c"], "schema_version": 1, "other": 5})})
+    assert sorted((r["name"], r["repos"]) for r in events.workspaces(spark, str(tmp_path / "w")).collect()) == [("team", ["/a/src/", "/b"]), ("two", ["/c"])]
+    got = events.workspace_repos(spark, str(tmp_path / "w"), "TEAM", ["/d", "/b/"]).orderBy("repo_index").collect()
+    assert [(r["label"], r["root"], r["repo_index"]) for r in got] == [("a/src", "/a/src", 0), ("b", "/b", 1), ("d", "/d", 2)]
+    with pytest.raises(FileNotFoundError):
+        events.workspace_repos(spark, str(tmp_path / "w"), "none")
+    with pytest.raises(ValueError):
+        events.workspace_repos(spark)
+    put(tmp_path, {"s/one.json": json.dumps({"repos": ["/a"], "symbol_queries": ["x", " x ", "", "X"]})})
+    suite = events.suites(spark, str(tmp_path / "s")).first()
+    assert (suite["name"], suite["symbol_queries"], suite["limit"], suite["repeat"]) == ("one", ["x", "X"], 20, 3)
+    for wrong in ({"repos": ["/a"], "schema_version": 9}, {"repos": []}):
+        put(tmp_path, {"bad/one.json": json.dumps(wrong)})
+        with pytest.raises(PySparkException):
+            events.suites(spark, str(tmp_path / "bad")).collect()
