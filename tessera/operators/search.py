@@ -24,14 +24,16 @@ def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(value, high))
 
 
-def sent(queries: DataFrame) -> DataFrame:
-    """The queries as a broadcast, after a check that they are few; as they are if they are many.
+def sent(rows: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Queries as a broadcast, after a check that they are few; as they are if they are many.
 
-    Where the plan itself says how many rows there are at most, none are counted.
+    ``rows`` may be made of ``queries``, a bounded number of each (variants, terms); these are counted then. Where the plan
+    itself says how many rows there are at most, none are counted.
     """
+    queries = rows if queries is None else queries
     most = queries._jdf.queryExecution().optimizedPlan().maxRows()
     few = most.get() <= MOST_QUERIES if most.isDefined() else queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
-    return F.broadcast(queries) if few else queries
+    return F.broadcast(rows) if few else rows
 
 
 def ranked(rows: DataFrame, order: list, limit: int | Column, name: str = "position", by: tuple[str, ...] = GROUP) -> DataFrame:
@@ -48,17 +50,17 @@ def variants(queries: DataFrame) -> DataFrame:
     return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal")) - 1)
 
 
-def near(names: DataFrame, asked: DataFrame) -> DataFrame:
-    """Pairs of ``names`` (_name, _qualified_name: folded) and queries (``text.with_patterns``) that may start with them.
+def near(names: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of ``names`` (_name, _qualified_name: folded) and what is asked (``text.with_patterns`` of ``queries``) that may start with them.
 
     Rows and queries meet by their first characters; only queries that have fewer before a wildcard meet every row.
     """
     head = lambda c: F.left(c, F.lit(HEAD))
     long = F.length("_plain") >= HEAD
     keyed = names.withColumn("_head", F.explode(F.array_distinct(F.array(head("_name"), head("_qualified_name")))))
-    by_head = keyed.join(sent(asked.where(long).withColumn("_head", head("_plain"))), "_head").drop("_head")
+    by_head = keyed.join(sent(asked.where(long).withColumn("_head", head("_plain")), queries), "_head").drop("_head")
     start = F.col("_name").startswith(F.col("_plain")) | F.col("_qualified_name").startswith(F.col("_plain"))
-    return by_head.where(start).unionByName(names.join(sent(asked.where(~long)), start))
+    return by_head.where(start).unionByName(names.join(sent(asked.where(~long), queries), start))
 
 
 def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy: bool = True) -> DataFrame:
@@ -75,13 +77,13 @@ def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy
     starts = lambda c: c.startswith(F.col("_plain")) & F.like(c, F.col("_starts"))
     holds = lambda c: c.contains(F.col("_plain")) & F.like(c, F.col("_holds"))
     kept = [*symbols.columns, "query_id", "stage", "rank"]
-    first = near(folded, asked).where(same(name) | same(qualified) | starts(name) | starts(qualified))
+    first = near(folded, asked, queries).where(same(name) | same(qualified) | starts(name) | starts(qualified))
     first = first.withColumns({"stage": F.lit(0), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(5)}).select(*kept)
     order = ["rank", "path", "line", "symbol_id"]
     first = ranked(first, order, limit)
     if not fuzzy:
         return first
-    second = folded.join(sent(asked), holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc")))
+    second = folded.join(sent(asked, queries), holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc")))
     second = second.withColumns({"stage": F.lit(1), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(3)}).select(*kept)
     both = first.unionByName(ranked(second, order, 2 * limit))
     seen = Window.partitionBy(*GROUP, "symbol_id").orderBy("stage")
@@ -94,7 +96,7 @@ def symbol_prefixes(symbols: DataFrame, queries: DataFrame, limit: int = 20) ->
     folded = symbols.withColumns({"_name": text.ascii_lower(F.col("name")), "_qualified_name": text.ascii_lower(F.col("qualified_name"))})
     starts = lambda c: F.col(c).startswith(F.col("_plain")) & F.like(F.col(c), F.col("_starts"))
     level = F.when(F.col("_name") == F.col("_q"), 0).when(F.col("_qualified_name") == F.col("_q"), 1).when(starts("_name"), 2).when(starts("_qualified_name"), 3)
-    pairs = near(folded, text.with_patterns(variants(queries), "variant")).withColumn("level", level).where("level IS NOT NULL")
+    pairs = near(folded, text.with_patterns(variants(queries), "variant"), queries).withColumn("level", level).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in symbols.columns if c != "repo"]).agg(F.min(F.col("ordinal") * 4 + F.col("level")).alias("rank"))
     return ranked(best, ["rank", "path", "line", "symbol_id"], clamp(limit, 1, 500))
 
@@ -120,7 +122,7 @@ def path_search(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     """
     q = text.strip_leading_dots(F.trim("query"))
     name = paths.basename(F.regexp_replace(q, "/+$", ""))
-    asked = sent(queries.select("query_id", q.alias("_q"), name.alias("_base")).where("_q <> ''"))
+    asked = sent(queries.select("query_id", q.alias("_q"), name.alias("_base")).where("_q <> ''"), queries)
     path = F.col("path")
     at = lambda c, before="%", after="": text.like(path, c, before=before, after=after)
     in_folder = F.concat(F.lit("/"), F.col("_base"))
@@ -149,7 +151,7 @@ def file_search(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFr
     Queries without anything but dots and slashes find nothing.
     """
     each = variants(queries).where(text.strip_leading_dots(F.trim("variant")) != "")
-    pairs = files.join(sent(each), F.lit(True)).withColumn("level", file_level(F.col("path"), F.col("variant"))).where("level IS NOT NULL")
+    pairs = files.join(sent(each, queries), F.lit(True)).withColumn("level", file_level(F.col("path"), F.col("variant"))).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in files.columns if c != "repo"]).agg(F.min(F.struct("ordinal", "level")).alias("best"))
     best = best.withColumn("rank", F.col("best.ordinal") * 4 + F.col("best.level")).drop("best")
     return ranked(best, ["rank", F.length("path"), "path"], clamp(limit, 1, 500))
@@ -177,10 +179,10 @@ def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets:
     asked, folded = queries.withColumn("_q", F.lower("query")), lines.withColumn("_low", F.lower("content"))
     holds = F.col("_low").contains(F.col("_q"))
     if grams is None:
-        found = folded.join(sent(asked), F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(holds))
+        found = folded.join(sent(asked, queries), F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(holds))
     else:
         files = trigrams.candidates(grams, asked.where(~short)).join(asked, "query_id")
-        found = folded.join(files, ["repo", "path"]).where(holds).unionByName(folded.join(sent(asked.where(short)), text.like(F.col("content"), F.col("query"), before="%")))
+        found = folded.join(files, ["repo", "path"]).where(holds).unionByName(folded.join(sent(asked.where(short), queries), text.like(F.col("content"), F.col("query"), before="%")))
     found = found.drop("_low", "_q").join(stats, "repo").withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
     found = found.withColumn("bm25", F.when(short, F.lit(0.0)).otherwise(-saturated(F.col("tf"), length, F.greatest(F.col("mean_length"), F.lit(1e-9)))))
     kept = ranked(found, ["bm25", "path", "line"], wide)
