@@ -149,12 +149,6 @@ def test_workspace_falls_back_to_text(spark):
     assert [(r["query_id"], r["kind"], r["repo"]) for r in rows] == [(1, "text", "one"), (2, "symbol", "two")]
 
 
-def test_limit_on_queries(spark, monkeypatch):
-    monkeypatch.setattr(search, "MOST_QUERIES", 1)
-    with pytest.raises(ValueError):
-        search.sent(queries(spark, "a", "b"))
-
-
 def test_innermost(spark, service):
     places = service.files.select("repo", "path", F.lit(3).cast("long").alias("at"))
     got = bm25.innermost(service.symbols, places).join(service.symbols.select("symbol_id", "name"), "symbol_id").where("path = 'src/app/service.py'")
