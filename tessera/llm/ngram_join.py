@@ -31,7 +31,7 @@ from tessera.llm.components import components
 
 N = 5
 #: Sets in one tree, and how many of a larger family are put into each of its trees.
-FAMILY, PIVOTS = 400, 32
+FAMILY, PIVOTS = 128, 32
 #: Keys over which the sets of one family are dealt where they are joined to its size.
 SALTS = 32
 #: n-grams read by one task while those that several sets share are looked for.
