@@ -24,7 +24,7 @@ from tessera.llm.common import WordHash, id_and_text, rolling, stored, texts_of
 
 BACKOFF, SEEN = 0.4, 2
 #: Characters of a block's texts (a longer text is a block of its own), n-grams of a part, and n-grams that a character gives at most.
-BLOCK_CHARS, PART_GRAMS, GRAMS_A_CHAR = 16_000_000, 4_000_000, 0.25
+BLOCK_CHARS, PART_GRAMS, GRAMS_A_CHAR = 12_000_000, 3_000_000, 0.25
 ORDERS = (1, 2, 3)
 
 
@@ -53,7 +53,7 @@ def blocks(docs: DataFrame, chars: int) -> DataFrame:
         count, size, ids, texts = 0, 0, [], []
 
         def made() -> pa.RecordBatch:
-            row = [[first + count], [ids], [[len(t) for t in texts]], [zstandard.compress(b"".join(texts), 3)]]
+            row = [[first + count], [ids], [[len(t) for t in texts]], [zstandard.compress(b"".join(texts), 6)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["block", "ids", "lengths", "texts"])
 
         for batch in batches:
@@ -81,8 +81,8 @@ class Words:
         self.counts = np.array([len(w) for w in words], np.int64)
         self.words = np.concatenate(words) if words else np.empty(0, np.uint64)
         ends = np.cumsum(self.counts)
-        #: How many words stand before each in its text.
-        self.before = np.arange(len(self.words)) - np.repeat(ends - self.counts, self.counts)
+        #: How many words stand before each in its text, as far as n-grams reach.
+        self.before = np.minimum(np.arange(len(self.words)) - np.repeat(ends - self.counts, self.counts), ORDERS[-1]).astype(np.int8)
 
     def ends(self, order: int) -> np.ndarray:
         """Places of the words that end an n-gram of this order."""
@@ -152,6 +152,7 @@ def summed(packed: DataFrame, counts: DataFrame) -> DataFrame:
                 raise RuntimeError("the rows of a block changed while it was counted")
             count[order] = np.zeros(n, np.int64)  # by the place of the last word; 0: there is no such n-gram
             count[order][words.ends(order)] = table[at]
+            del grams, at, table
         one, two, three = (count[k] for k in ORDERS)
         previous = lambda c: np.concatenate([np.zeros(min(1, n), np.int64), c[:-1]])  # noqa: E731  the context's count
         with np.errstate(divide="ignore", invalid="ignore"):
