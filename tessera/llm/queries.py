@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, classifier, licenses, lm, mixing, ngram_join, pii, quality, substrings, topk
+from tessera.llm import bpe, classifier, collocations, decontamination, licenses, lm, manifest, mixing, ngram_join, pii, quality, substrings, topk
 from tessera.llm.common import table
 from tessera.llm.sql import SQL
 
@@ -55,6 +55,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii, op4_exact_top_k, op5_bpe, op6_lm_scores, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_quality_classifier)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hit_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_pii, op4_exact_top_k, op5_bpe, op6_lm_scores, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_quality_classifier, op11_collocations, op12_decontamination, op13_merkle_manifest)}
 
 __all__ = ["QUERIES", "SQL"]

@@ -105,3 +105,67 @@ def mixing_quotas() -> str:
 
 
 SQL["op7_mixing"] = mixing_quotas()
+
+FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+CUT_WORDS = "string_split(phrase, ' ')"
+SQL["op11_collocations"] = rf"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex({FOLDED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+    s AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+    f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, range(1, 6) AS r(k) WHERE len(w) >= k) GROUP BY ALL),
+    c AS MATERIALIZED (SELECT lang, k, phrase, f AS a FROM f WHERE k >= 2 AND f >= 100),
+    x AS (SELECT c.*, j, array_to_string({CUT_WORDS}[1:j], ' ') AS head, array_to_string({CUT_WORDS}[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c),
+    v AS (SELECT x.lang, x.phrase, x.a, l.f AS l, r.f AS r, s.n, x.j, CAST(1000 AS HUGEINT) * x.a * s.n // (CAST(l.f AS HUGEINT) * r.f) AS score FROM x JOIN f l ON l.lang = x.lang AND l.phrase = x.head JOIN f r ON r.lang = x.lang AND r.phrase = x.tail JOIN s ON s.lang = x.lang),
+    low AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+    inner_ AS (SELECT lang, array_to_string({CUT_WORDS}[i:i + m - 1], ' ') AS phrase, max(a) AS most FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM c, range(2, 5) AS q(m) WHERE m < k) GROUP BY ALL),
+    o AS (SELECT lang, phrase, a, l, r, n, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low ANTI JOIN (SELECT lang, phrase, most FROM inner_) i ON i.lang = low.lang AND i.phrase = low.phrase AND 100 * i.most >= 100 * low.a)
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
+
+NORMAL_WORDS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL["op12_decontamination"] = f"""
+    WITH d AS (SELECT row_number() OVER () AS row, doc_id, {NORMAL_WORDS} AS w FROM documents),
+    b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {NORMAL_WORDS} AS w FROM benchmark),
+    i AS (SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+    r AS (SELECT row, i, k, array_to_string(w[i:i + k - 1], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM i) WHERE len(w) >= k)),
+    h AS MATERIALIZED (SELECT r.row, r.i, r.k, i.item FROM r JOIN i USING (k, run)),
+    n AS (SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(i, i + k)) AS j FROM h) GROUP BY row),
+    t AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, item FROM h) GROUP BY row)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)"""
+
+#: Levels that the statement has room for: 3 ** 13 rows of a source, 3 ** 6 sources.
+LEAF_LEVELS, GROUP_LEVELS = 13, 6
+#: The low bit of the CRC-32 of a decimal number is that of the register's complement.
+CRC_STEP = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+EVEN_CRC = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))), lambda c, b: {CRC_STEP}) & 1 = 1"
+
+
+def manifest_levels() -> str:
+    """Nodes of each level by group and place; then every leaf walks up, with what stands beside it; groups likewise."""
+    value = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(value(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))} || {value(text)})"
+    parts = [
+        f"d AS MATERIALIZED (SELECT *, CASE WHEN {EVEN_CRC} THEN replace(text, chr(10), '') ELSE text END AS cut FROM documents)",
+        f"e AS MATERIALIZED (SELECT doc_id, source AS g, {leaf('text')} AS leaf, {leaf('cut')} AS seen FROM d)",
+        "a0 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM e)",
+        "n0 AS MATERIALIZED (SELECT g, p, n, leaf AS h FROM a0)",
+        "w0 AS MATERIALIZED (SELECT doc_id, g, leaf, p, seen AS f, '' AS s FROM a0)",
+    ]
+
+    def climb(n: str, w: str, kept: str, count: int) -> None:
+        for i in range(count):
+            parts.append(f"r{n}{i} AS MATERIALIZED (SELECT g, p // 3 AS run, any_value(n) AS n, list(h ORDER BY p) AS hs FROM {n}{i} WHERE n > 1 GROUP BY g, p // 3)")
+            parts.append(f"{n}{i + 1} AS MATERIALIZED (SELECT g, run AS p, (n + 2) // 3 AS n, sha256(array_to_string(hs, '')) AS h FROM r{n}{i} UNION ALL SELECT g, p, n, h FROM {n}{i} WHERE n = 1)")
+            left, right = "array_to_string(hs[1:p % 3], '')", "array_to_string(hs[p % 3 + 2:], '')"
+            parts.append(
+                f"{w}{i + 1} AS MATERIALIZED (SELECT {kept}, w.g, CASE WHEN hs IS NULL THEN p ELSE p // 3 END AS p, CASE WHEN hs IS NULL THEN f ELSE sha256({left} || f || {right}) END AS f, s || CASE WHEN hs IS NULL THEN '' ELSE {left} || {right} END AS s "
+                f"FROM {w}{i} w LEFT JOIN r{n}{i} r ON r.g IS NOT DISTINCT FROM w.g AND r.run = w.p // 3)"
+            )
+
+    climb("n", "w", "doc_id, leaf", LEAF_LEVELS)
+    parts.append(f"m0 AS MATERIALIZED (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS p, count(*) OVER () AS n, h, g AS source FROM n{LEAF_LEVELS})")
+    parts.append(f"v0 AS MATERIALIZED (SELECT w.doc_id, w.leaf, m.h AS subroot, 0 AS g, m.p, w.f, w.s FROM w{LEAF_LEVELS} w JOIN m0 m ON m.source IS NOT DISTINCT FROM w.g)")
+    climb("m", "v", "doc_id, leaf, subroot", GROUP_LEVELS)
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, m.h AS root, sha256(s) AS proof_sha256, f AS folded_root, f = m.h AS verified FROM v{GROUP_LEVELS}, m{GROUP_LEVELS} m"
+
+
+SQL["op13_merkle_manifest"] = manifest_levels()
