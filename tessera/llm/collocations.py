@@ -25,15 +25,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHash, rolling, scramble, stored
+from tessera.llm.common import WordHash, grouped, rolling, scramble, stored
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 #: Counters of a sketch as powers of two: one for about 16 characters, within these; and of a slab, whose counters one task adds.
 FEWEST_BITS, MOST_BITS, SLAB_BITS, CHARS_A_COUNTER = 18, 28, 18, 16
 #: Tasks among which the rows of one slab are dealt first, n-grams that are held before they are counted, characters taken at once.
 LANES, HELD, CHARS = 16, 4_000_000, 1 << 20
-#: Bytes of candidates in the automata of one scan.
-SCAN_BYTES = 24_000_000
+#: Bytes of candidates in the automata of one scan, and patterns whose counts travel in one row.
+SCAN_BYTES, COUNTED = 24_000_000, 1024
 #: Languages whose sizes are broadcast; of more they are joined by language.
 FEW = 10_000
 #: What ends a piece, and the name of rows without language.
@@ -183,34 +183,69 @@ def sketch(docs: DataFrame, bits: int, least: int, longest: int, pairs: Bits | N
     return Bits(bits, out.reshape(-1))
 
 
+def parts_of(bits: int) -> int:
+    """Into how many parts the candidates of a language are dealt: more with a wider sketch."""
+    return 1 << max(4, bits - SLAB_BITS)
+
+
 def candidates(docs: DataFrame, pairs: Bits, more: Bits, longest: int) -> DataFrame:
-    """lang, phrase and n: phrases whose bounds reach the threshold, once each; '' has the number of the language's words."""
+    """lang, phrase and n: phrases whose bounds reach the threshold, once each; '' has the number of the language's words.
+
+    Tasks tell a phrase once, in blocks by language and part of the hash space; a part of the tasks' blocks becomes one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(((pairs.bits, pairs.packed), (more.bits, more.packed)))
+    parts = parts_of(pairs.bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, rest = (Bits(*x) for x in sent.value)
-        hashes, met, words = WordHash(), np.empty(0, np.uint64), {}
+        hashes, met, words, held, size = WordHash(), np.empty(0, np.uint64), {}, {}, 0
         for lang, pieces in chunks(batches):
             grams = Grams(hashes, lang, pieces)
             words[lang] = words.get(lang, 0) + len(grams.words)
+            h, _ = grams.of(2)
             at = np.flatnonzero(pairs_held(grams, two))
-            found = [(2, grams.of(2)[0][at], at)] + [(k, h[ok], places[ok]) for k, h, places in longer(grams, two, longest) for ok in (rest.has(h),)]
-            new, phrases = [], []
-            for order, h, places in found:
+            found = [(2, h[at], at)]
+            for order, h, at in longer(grams, two, longest):
+                ok = rest.has(h)
+                found.append((order, h[ok], at[ok]))
+            new = []
+            for order, h, at in found:
                 h, first = np.unique(h ^ np.uint64(order), return_index=True)
                 fresh = ~np.isin(h, met, assume_unique=True)
                 new.append(h[fresh])
-                phrases += [b" ".join(grams.words[i : i + order]) for i in places[first[fresh]].tolist()]
+                for x, i in zip((h[fresh] % np.uint64(parts)).tolist(), at[first[fresh]].tolist(), strict=True):
+                    held.setdefault((lang, x), []).append(phrase := b" ".join(grams.words[i : i + order]))
+                    size += len(phrase)
             met = np.union1d(met, np.concatenate(new))
-            if len(met) > HELD:  # phrases may be told twice, but what is held is bounded
-                met = np.empty(0, np.uint64)
-            if phrases:
-                n = len(phrases)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([0] * n, pa.int64())], ["lang", "phrase", "n"])
-        if words:
-            yield pa.RecordBatch.from_arrays([pa.array(list(words)), pa.array([""] * len(words)), pa.array(list(words.values()), pa.int64())], ["lang", "phrase", "n"])
+            if len(met) > HELD or size > SCAN_BYTES:  # a phrase may be told twice, but what is held is bounded
+                yield from blocks(held)
+                met, held, size = np.empty(0, np.uint64), {}, 0
+        yield from blocks(held)
+        yield from blocks({(lang, -1): [b"%d" % n] for lang, n in words.items()})
+
+    def blocks(held: dict[tuple[str, int], list[bytes]]) -> Iterator[pa.RecordBatch]:
+        for some in grouped(held.items(), 256):
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in some], pa.string()), pa.array([k[1] for k, _ in some], pa.int32()), pa.array([zstandard.compress(b"\n".join(sorted(v)), 1) for _, v in some], pa.binary())], ["lang", "part", "block"])
+
+    def once(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, seen = None, set()
+        for batch in batches:
+            for lang, part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (lang, part):
+                    yield from told(key, seen)
+                    key, seen = (lang, part), set()
+                lines = zstandard.decompress(block).split(b"\n")
+                seen = {sum(map(int, [*seen, *lines]))} if part < 0 else seen.union(lines)
+        yield from told(key, seen)
+
+    def told(key: tuple[str, int] | None, seen: set) -> Iterator[pa.RecordBatch]:
+        for some in grouped(seen, 50_000):
+            n = len(some)
+            phrases = [""] * n if key[1] < 0 else [x.decode("utf-8", "replace") for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.string()), pa.array(phrases, pa.string()), pa.array(some if key[1] < 0 else [0] * n, pa.int64())], ["lang", "phrase", "n"])
 
-    return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(run, "lang string, part int, block binary")
+    return rows.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(once, "lang string, phrase string, n long")
 
 
 class Automata:
@@ -259,15 +294,30 @@ def occurrences(docs: DataFrame, patterns: DataFrame, scan_bytes: int = SCAN_BYT
                 if lang not in automata.patterns:
                     continue
                 text = b"\n".join(b" %b " % b" ".join(w) for w in pieces).decode("utf-8", "replace")
-                n = len(automata.patterns[lang])
                 found = np.fromiter((i for _, i in automata[lang].iter(text)), np.int64)
-                totals[lang] = totals.get(lang, 0) + np.bincount(found, minlength=n)
+                totals[lang] = totals.get(lang, 0) + np.bincount(found, minlength=len(automata.patterns[lang]))
             for lang, total in totals.items():
-                for part in np.array_split(np.flatnonzero(total), 1 + len(total) // 100_000):
-                    names = automata.patterns[lang]
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array([names[i] for i in part.tolist()], pa.string()), pa.array(total[part], pa.int64())], ["lang", "phrase", "f"])
-
-        found = docs.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+                slabs = [(k, total[k * COUNTED : (k + 1) * COUNTED]) for k in range(-(-len(total) // COUNTED))]
+                slabs = [(k, zstandard.compress(c.astype("<i8").tobytes(), 1)) for k, c in slabs if c.any()]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slabs), pa.string()), pa.array([k for k, _ in slabs], pa.int32()), pa.array([c for _, c in slabs], pa.binary())], ["lang", "slab", "counts"])
+
+        def added(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            key, total = None, 0
+            for batch in batches:
+                for lang, slab, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if key not in (None, (lang, slab)):
+                        yield named(sent, *key, total)
+                        total = 0
+                    key, total = (lang, slab), total + np.frombuffer(zstandard.decompress(counts), "<i8")
+            if key:
+                yield named(sent, *key, total)
+
+        def named(sent, lang: str, slab: int, total: np.ndarray) -> pa.RecordBatch:
+            names, at = sent.value[1][lang], np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([names[slab * COUNTED + i] for i in at.tolist()], pa.string()), pa.array(total[at], pa.int64())], ["lang", "phrase", "f"])
+
+        sums = docs.mapInArrow(run, "lang string, slab int, counts binary").repartition("lang", "slab").sortWithinPartitions("lang", "slab")
+        found = sums.mapInArrow(added, "lang string, phrase string, f long")
         found = stored(found, "occurrences")
         counted = found if counted is None else counted.unionByName(found)
     return counted
