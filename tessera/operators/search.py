@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import trigrams
+from tessera.operators import positions, trigrams
 
 MOST_QUERIES = 10_000
 #: First characters of a name by which it is met.
@@ -30,6 +30,9 @@ def sent(rows: DataFrame, queries: DataFrame | None = None) -> DataFrame:
     ``rows`` may be made of ``queries``, a bounded number of each (variants, terms); these are counted then. Where the plan
     itself says how many rows there are at most, none are counted.
     """
+    most = rows._jdf.queryExecution().optimizedPlan().maxRows()
+    if most.isDefined() and most.get() <= MOST_QUERIES:
+        return F.broadcast(rows)
     queries = rows if queries is None else queries
     most = queries._jdf.queryExecution().optimizedPlan().maxRows()
     few = most.get() <= MOST_QUERIES if most.isDefined() else queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES
@@ -43,11 +46,22 @@ def ranked(rows: DataFrame, order: list, limit: int | Column, name: str = "posit
 
 
 def variants(queries: DataFrame) -> DataFrame:
-    """query_id, query, variant, ordinal (from 0); empty ones and repeats, whatever their case, left out."""
-    each = queries.select("query_id", "query", F.posexplode(text.query_variants(F.trim("query"))).alias("ordinal", "variant")).where("trim(variant) <> ''")
-    first = Window.partitionBy("query_id", F.lower("variant")).orderBy("ordinal")
-    kept = each.withColumn("_", F.row_number().over(first)).where("_ = 1").drop("_")
-    return kept.withColumn("ordinal", F.row_number().over(Window.partitionBy("query_id").orderBy("ordinal")) - 1)
+    """query_id, query, variant, ordinal (from 0); empty ones and repeats, whatever their case, left out.
+
+    A query's variants are an array of at most six, so nothing has to be moved.
+    """
+    forms = F.filter(text.query_variants(F.trim("query")), lambda v: F.trim(v) != "")
+    fresh = F.filter("_forms", lambda v, i: ~F.array_contains(F.transform(F.slice("_forms", F.lit(1), i), F.lower), F.lower(v)))
+    return queries.withColumn("_forms", forms).select("query_id", "query", F.posexplode(fresh).alias("ordinal", "variant")).select("query_id", "query", "ordinal", "variant")
+
+
+def known(asked: DataFrame) -> DataFrame:
+    """What is made of a stated set of queries, as a table that plans hold themselves if it is small enough; else as it is.
+
+    Then branches that no query takes aren't part of the plan.
+    """
+    rows = asked.limit(MOST_QUERIES + 1).collect()
+    return trigrams.local(rows, asked) if len(rows) <= MOST_QUERIES else asked
 
 
 def near(names: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
@@ -63,15 +77,30 @@ def near(names: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
     return by_head.where(start).unionByName(names.join(sent(asked.where(~long), queries), start))
 
 
-def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy: bool = True) -> DataFrame:
+#: Columns in which a symbol search looks for a part.
+SEARCHED = ("name", "qualified_name", "signature", "doc")
+
+
+def symbol_grams(symbols: DataFrame) -> DataFrame:
+    """repo, symbol_id, gram: the trigrams of what ``symbol_search`` looks through, as catalogues hold them."""
+    return trigrams.name_grams(symbols, ("repo", "symbol_id"), *(text.ascii_lower(F.col(c)) for c in SEARCHED))
+
+
+def path_grams(files: DataFrame) -> DataFrame:
+    """repo, path, gram: the trigrams of paths, for ``file_search``."""
+    return trigrams.name_grams(files.select("repo", "path").distinct(), ("repo", "path"), F.lower("path"))
+
+
+def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy: bool = True, grams: DataFrame | None = None) -> DataFrame:
     """The symbols' columns with query_id, stage, rank and position: exact and prefix matches first, then what contains the query.
 
     The second stage is cut to twice the limit before symbols of the first are left out, so there may be fewer than
-    ``limit`` results though more match.
+    ``limit`` results though more match. It meets symbols by ``grams`` (``symbol_grams``, made here if not given); only
+    queries with fewer than three characters before a wildcard meet every symbol.
     """
     limit = clamp(limit, 1, 500)
-    folded = symbols.withColumns({f"_{c}": text.ascii_lower(F.col(c)) for c in ("name", "qualified_name", "signature", "doc")})
-    asked = text.with_patterns(queries.select("query_id", F.trim("query").alias("query")), "query")
+    folded = symbols.withColumns({f"_{c}": text.ascii_lower(F.col(c)) for c in SEARCHED})
+    asked = known(text.with_patterns(queries.select("query_id", F.trim("query").alias("query")), "query"))
     name, qualified = F.col("_name"), F.col("_qualified_name")
     same = lambda c: c == F.col("_q")
     starts = lambda c: c.startswith(F.col("_plain")) & F.like(c, F.col("_starts"))
@@ -83,7 +112,10 @@ def symbol_search(symbols: DataFrame, queries: DataFrame, limit: int = 20, fuzzy
     first = ranked(first, order, limit)
     if not fuzzy:
         return first
-    second = folded.join(sent(asked, queries), holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc")))
+    part = holds(name) | holds(qualified) | holds(F.col("_signature")) | holds(F.col("_doc"))
+    long = F.length("_plain") >= trigrams.N
+    met = trigrams.holders(symbol_grams(symbols) if grams is None else grams, sent(asked.where(long), queries), "_plain")
+    second = folded.join(met, ["repo", "symbol_id"]).where(part).select(*folded.columns, *asked.columns).unionByName(folded.join(sent(asked.where(~long), queries), part))
     second = second.withColumns({"stage": F.lit(1), "rank": F.when(same(name), 0).when(same(qualified), 1).when(starts(name), 2).otherwise(3)}).select(*kept)
     both = first.unionByName(ranked(second, order, 2 * limit))
     seen = Window.partitionBy(*GROUP, "symbol_id").orderBy("stage")
@@ -96,7 +128,7 @@ def symbol_prefixes(symbols: DataFrame, queries: DataFrame, limit: int = 20) ->
     folded = symbols.withColumns({"_name": text.ascii_lower(F.col("name")), "_qualified_name": text.ascii_lower(F.col("qualified_name"))})
     starts = lambda c: F.col(c).startswith(F.col("_plain")) & F.like(F.col(c), F.col("_starts"))
     level = F.when(F.col("_name") == F.col("_q"), 0).when(F.col("_qualified_name") == F.col("_q"), 1).when(starts("_name"), 2).when(starts("_qualified_name"), 3)
-    pairs = near(folded, text.with_patterns(variants(queries), "variant"), queries).withColumn("level", level).where("level IS NOT NULL")
+    pairs = near(folded, known(text.with_patterns(variants(queries), "variant")), queries).withColumn("level", level).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in symbols.columns if c != "repo"]).agg(F.min(F.col("ordinal") * 4 + F.col("level")).alias("rank"))
     return ranked(best, ["rank", "path", "line", "symbol_id"], clamp(limit, 1, 500))
 
@@ -145,23 +177,34 @@ def file_level(path: Column, variant: Column) -> Column:
     return F.when(p == v, 0).when((name == v) | (stem == v), 1).when(p.endswith(F.concat(F.lit("/"), paths.basename(v))), 2).when(p.contains(v), 3)
 
 
-def file_search(files: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+def file_search(files: DataFrame, queries: DataFrame, limit: int = 20, grams: DataFrame | None = None) -> DataFrame:
     """The files' columns with query_id, rank and position: by the first variant that matches, its level, length and path.
 
-    Queries without anything but dots and slashes find nothing.
+    Queries without anything but dots and slashes find nothing. Whatever matches a variant holds its last part, so files
+    are met by that part's trigram in ``grams`` (``path_grams``, made here if not given); only variants whose last part has
+    fewer than three characters meet every file.
     """
     each = variants(queries).where(text.strip_leading_dots(F.trim("variant")) != "")
-    pairs = files.join(sent(each, queries), F.lit(True)).withColumn("level", file_level(F.col("path"), F.col("variant"))).where("level IS NOT NULL")
+    each = known(each.withColumn("_last", paths.basename(text.strip_leading_dots(F.lower("variant")))))
+    long = F.length("_last") >= trigrams.N
+    met = trigrams.holders(path_grams(files) if grams is None else grams, sent(each.where(long), queries), "_last")
+    pairs = files.join(met, ["repo", "path"]).select(*files.columns, *each.columns).unionByName(files.join(sent(each.where(~long), queries), F.length("_last") < trigrams.N))
+    pairs = pairs.withColumn("level", file_level(F.col("path"), F.col("variant"))).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in files.columns if c != "repo"]).agg(F.min(F.struct("ordinal", "level")).alias("best"))
     best = best.withColumn("rank", F.col("best.ordinal") * 4 + F.col("best.level")).drop("best")
     return ranked(best, ["rank", F.length("path"), "path"], clamp(limit, 1, 500))
 
 
-def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets: DataFrame | None = None, grams: DataFrame | None = None) -> DataFrame:
+#: Rows of top lists up to which they are broadcast to the text that they are read from.
+MOST_TOP = 1_000_000
+
+
+def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets: DataFrame | None = None, grams: DataFrame | None = None, index: positions.Index | None = None) -> DataFrame:
     """query_id, query, repo, path, line, content, line_score, position: lines that contain the query.
 
     ``budgets`` (query_id, repo, budget) sets a limit of its own, at most ``limit``, for each query and repository. With
-    ``grams`` (``trigrams.postings`` of the lines) only files that have all of a query's trigrams are read for it.
+    ``grams`` (``trigrams.postings`` of the lines) only files that have all of a query's trigrams are read for it; with
+    ``index`` (``positions.Index`` of the lines) only the lines of the top lists are.
 
     Queries of three characters and more are ranked twice: BM25 over the repository's lines, with the query as the one
     term and trigrams as length, keeps five times the limit; then the kind of line decides. How rare the query is counts
@@ -169,33 +212,68 @@ def text_search(lines: DataFrame, queries: DataFrame, limit: int = 20, budgets:
     live. An empty query is an error.
     """
     limit = clamp(limit, 1, 500)
-    if not queries.where("trim(query) = ''").isEmpty():
-        raise ValueError("empty query")
     wide = max(limit, min(5 * limit, 500))
-    length = F.greatest(F.length("content") - 2, F.lit(0))
-    stats = lines.groupBy("repo").agg((F.sum(length) / F.count("*")).alias("mean_length"))
-    short = F.length("query") < 3
-    test = paths.is_test(F.col("path"), "catalog")
-    asked, folded = queries.withColumn("_q", F.lower("query")), lines.withColumn("_low", F.lower("content"))
-    holds = F.col("_low").contains(F.col("_q"))
-    if grams is None:
-        found = folded.join(sent(asked, queries), F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(holds))
+    if index is not None:
+        found = found_by_places(index, queries, wide, budgets)
     else:
-        files = trigrams.candidates(grams, asked.where(~short)).join(asked, "query_id")
-        found = folded.join(files, ["repo", "path"]).where(holds).unionByName(folded.join(sent(asked.where(short), queries), text.like(F.col("content"), F.col("query"), before="%")))
-    found = found.drop("_low", "_q").join(stats, "repo").withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
-    found = found.withColumn("bm25", F.when(short, F.lit(0.0)).otherwise(-saturated(F.col("tf"), length, F.greatest(F.col("mean_length"), F.lit(1e-9)))))
+        if not queries.where("trim(query) = ''").isEmpty():
+            raise ValueError("empty query")
+        found = found_by_scan(lines, queries, grams)
     kept = ranked(found, ["bm25", "path", "line"], wide)
     most = F.lit(limit)
     if budgets is not None:
         kept = kept.join(budgets, [*GROUP])
         most = F.least(F.col("budget"), F.lit(limit))
         kept = kept.where((most > 0) & (F.col("position") <= F.greatest(most, F.least(most * 5, F.lit(500)))))
-    score = F.when(short, F.lit(0)).otherwise(text.text_line_score(F.col("content"), F.col("query"), test))
+    score = F.when(F.length("query") < 3, F.lit(0)).otherwise(text.text_line_score(F.col("content"), F.col("query"), paths.is_test(F.col("path"), "catalog")))
     kept = kept.drop("position").withColumn("line_score", score.cast("long"))
     return ranked(kept, ["line_score", "path", "line"], limit).where(F.col("position") <= most).select("query_id", "query", "repo", "path", "line", "content", "line_score", "position")
 
 
+def line_rank(query: Column, tf: Column, length: Column, mean: Column) -> Column:
+    """A matching line's BM25, the more negative the better; 0 for queries that are too short to be ranked."""
+    return F.when(F.length(query) < 3, F.lit(0.0)).otherwise(-saturated(tf, F.greatest(length - 2, F.lit(0)), F.greatest(mean, F.lit(1e-9))))
+
+
+def found_by_scan(lines: DataFrame, queries: DataFrame, grams: DataFrame | None) -> DataFrame:
+    """query_id, query, repo, path, line, content and bm25 of every line that holds a query, by reading all lines or those of ``grams``' files."""
+    short = F.length("query") < 3
+    asked, folded = queries.withColumn("_q", F.lower("query")), lines.withColumn("_low", F.lower("content"))
+    holds = F.col("_low").contains(F.col("_q"))
+    if grams is None:
+        found = folded.join(sent(asked, queries), F.when(short, text.like(F.col("content"), F.col("query"), before="%")).otherwise(holds))
+    else:
+        files = trigrams.candidates(grams, asked.where(~short)).join(asked, "query_id")
+        found = folded.join(files, ["repo", "path"]).where(holds).unionByName(folded.join(sent(asked.where(short), queries), text.like(F.col("content"), F.col("query"), before="%")))
+    found = found.drop("_low", "_q").join(positions.mean_lengths(lines), "repo").withColumn("tf", text.occurrences(F.col("content"), F.col("query")))
+    return found.withColumn("bm25", line_rank(F.col("query"), F.col("tf"), F.length("content"), F.col("mean_length"))).drop("tf", "mean_length")
+
+
+def found_by_places(index: positions.Index, queries: DataFrame, wide: int, budgets: DataFrame | None) -> DataFrame:
+    """As ``found_by_scan`` for the first ``wide`` lines of each query and repository, which are ranked by postings alone.
+
+    Short queries with wildcards or other characters than ASCII have no postings and read all lines.
+    """
+    known = queries.select("query_id", "query", positions.served(F.col("query")).alias("_served")).limit(MOST_QUERIES + 1).collect()
+    if any(r["query"] is not None and not r["query"].strip(" ") for r in known):
+        raise ValueError("empty query")
+    few = len(known) <= MOST_QUERIES
+    own = trigrams.local([r[:2] for r in known if r["_served"]], queries.select("query_id", "query")) if few else queries.where(positions.served(F.col("query")))
+    where = None if budgets is None else budgets.where("budget > 0").select(*GROUP)
+    short = not few or any(r["_served"] and len(r["query"]) < 3 for r in known)
+    top = positions.places_of(index, own, short, repos=where)
+    top = top.join(F.broadcast(own) if few else own, "query_id").join(index.means, "repo")
+    top = ranked(top.withColumn("bm25", line_rank(F.col("query"), F.col("tf"), F.col("length"), F.col("mean_length"))), ["bm25", "segment", "at"], wide)
+    top = top.select("query_id", "query", "bm25", "repo", "segment", "at", positions.shard_of(F.col("segment")).alias("shard"))
+    top = F.broadcast(top) if few and len(known) * index.repos * wide <= MOST_TOP else top
+    found = index.lines.join(top, ["repo", "shard", "segment", "at"]).drop("shard", "segment", "at")
+    rest = [r[:2] for r in known if not r["_served"]]
+    if few and not rest:
+        return found
+    others = trigrams.local(rest, own) if few else queries.where(~positions.served(F.col("query")))
+    return found.unionByName(found_by_scan(index.lines.drop("shard", "segment", "at"), others, None))
+
+
 def idf(rows: Column, with_it: Column) -> Column:
     value = F.ln((rows - with_it + 0.5) / (with_it + 0.5))
     return F.when(value > 0, value).otherwise(F.lit(1e-6))

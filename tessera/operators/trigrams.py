@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 N = 3
 #: Trigrams of all queries together up to which a scan of postings is told them.
@@ -12,7 +14,11 @@ MOST_GRAMS = 2_000
 
 def grams_of(c: Column) -> Column:
     """The distinct runs of three characters of a text in lower case; none of a shorter one."""
-    low = F.lower(c)
+    return grams_of_folded(F.lower(c))
+
+
+def grams_of_folded(low: Column) -> Column:
+    """As ``grams_of``, of a text that is folded already, by whatever rule."""
     n = F.length(low)
     each = F.transform(F.sequence(F.lit(1), F.greatest(n - (N - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(N)))
     return F.when(n >= N, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
@@ -40,6 +46,30 @@ def candidates(index: DataFrame, queries: DataFrame) -> DataFrame:
     return met.join(need, "query_id").where("has = need").select("query_id", "repo", "path")
 
 
+def name_grams(rows: DataFrame, keys: tuple[str, ...], *folded: Column) -> DataFrame:
+    """keys and gram: the distinct trigrams of short texts of each row, in order of gram, so that few pages hold any one."""
+    each = F.array_distinct(F.flatten(F.array(*(grams_of_folded(F.coalesce(c, F.lit(""))) for c in folded))))
+    return rows.select(*keys, F.explode(each).alias("gram")).repartitionByRange("gram", *keys).sortWithinPartitions("gram", *keys)
+
+
+def holders(names: DataFrame, asked: DataFrame, held: str) -> DataFrame:
+    """``names``' keys with the columns of each of ``asked`` whose text ``held`` they may contain: they have its first trigram.
+
+    ``asked`` is a broadcast or not, as it is; each text has three characters and more.
+    """
+    asked = asked.withColumn("gram", F.left(F.col(held), F.lit(N)))
+    wanted = [r[0] for r in asked.select("gram").limit(MOST_GRAMS + 1).collect()]
+    if len(wanted) <= MOST_GRAMS:
+        names = names.where(F.col("gram").isin(sorted(set(wanted))))
+    return names.join(asked, "gram").drop("gram")
+
+
+def local(rows: list, like: DataFrame) -> DataFrame:
+    """A few rows of the driver's as a table that plans hold themselves, so that reading it takes no job."""
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in like.columns]
+    return like.sparkSession.createDataFrame(pa.table([pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, like.schema, strict=True)], like.columns))
+
+
 def update(old: DataFrame, lines: DataFrame, touched: DataFrame) -> DataFrame:
     """``old`` postings with those of touched files (repo, path) replaced by what ``lines`` hold of them."""
     kept = old.join(touched.select("repo", "path").distinct(), ["repo", "path"], "left_anti")

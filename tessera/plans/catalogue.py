@@ -157,7 +157,7 @@ def symbol_exact_prefix(s, d):
 
 @query
 def symbol_fuzzy(s, d):
-    return search.symbol_search(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 12).select("query_id", "repo", "symbol_id", "stage", "rank", "position")
+    return search.symbol_search(a.symbols(s, d), a.queries(s, SYMBOL_QUERIES), 12, grams=a.symbol_grams(s, d)).select("query_id", "repo", "symbol_id", "stage", "rank", "position")
 
 
 @query
@@ -192,7 +192,7 @@ def test_paths(s, d):
 
 @query
 def file_search(s, d):
-    return search.file_search(a.files(s, d), a.queries(s, FILE_QUERIES), 6).select("query_id", "repo", "path", F.col("rank").cast("long").alias("rank"), "position")
+    return search.file_search(a.files(s, d), a.queries(s, FILE_QUERIES), 6, a.path_grams(s, d)).select("query_id", "repo", "path", F.col("rank").cast("long").alias("rank"), "position")
 
 
 @query
@@ -213,7 +213,7 @@ def text_context(s, d):
 
 @query
 def text_search_indexed(s, d):
-    return search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10, grams=a.text_grams(s, d))
+    return search.text_search(a.text_lines(s, d), a.queries(s, TEXT_QUERIES), 10, index=a.line_index(s, d))
 
 
 @query
@@ -346,7 +346,7 @@ def all_files(s, d):
 
 @query
 def lookup_blend(s, d):
-    return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, LOOKUPS), lookup.Limits(limit=12, recover=False))
+    return lookup.lookup(a.symbols(s, d), all_files(s, d), a.text_lines(s, d), a.queries(s, LOOKUPS), lookup.Limits(limit=12, recover=False), places=a.line_index(s, d), names=lookup.Names(a.symbol_grams(s, d), a.path_grams(s, d)))
 
 
 @query

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.sources.shared import stored
+from tessera.sources.shared import FORGOTTEN, new_folder, stored
 
 #: Bytes of texts whose lines one task makes.
 TASK_BYTES = 8 << 20
 
 
-_PUBLISHED: dict[tuple[str, str, str], DataFrame] = {}
+_PUBLISHED: dict[tuple, object] = {}
+FORGOTTEN.append(_PUBLISHED)
+
+
+def state_of(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The folder and when the last of its tables was written, so that what replaces a table isn't answered from an older one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    return sf_dir, max((f.getModificationTime() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)), default=0)
 
 
 def published(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
     """A relation of the catalogue, written once a session into the shared folder, as catalogues are before they are asked."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (spark.sparkContext.applicationId, *state_of(spark, sf_dir), name)
     if key not in _PUBLISHED:
         _PUBLISHED[key] = stored(make(), name)
     return _PUBLISHED[key]
@@ -70,6 +78,32 @@ def text_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return published(spark, sf_dir, "text_grams", lambda: trigrams.postings(text_lines(spark, sf_dir)))
 
 
+def symbol_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.operators import search
+
+    return published(spark, sf_dir, "symbol_grams", lambda: search.symbol_grams(symbols(spark, sf_dir)))
+
+
+def path_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the files of documents and of symbols alike."""
+    from tessera.operators import search
+
+    both = lambda: files(spark, sf_dir).select("repo", "path").union(symbol_files(spark, sf_dir).select("repo", "path"))
+    return published(spark, sf_dir, "path_grams", lambda: search.path_grams(both()))
+
+
+def line_index(spark: SparkSession, sf_dir: str):
+    """The lines' ``positions.Index``, written once a session."""
+    from tessera.operators import positions
+
+    key = (spark.sparkContext.applicationId, *state_of(spark, sf_dir), "line_index")
+    if key not in _PUBLISHED:
+        folder = new_folder(spark, "line_index")
+        positions.write(text_lines(spark, sf_dir), folder)
+        _PUBLISHED[key] = positions.read(spark, folder)
+    return _PUBLISHED[key]
+
+
 def function_terms(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> DataFrame:
     """The postings of the symbols' documents."""
     from tessera.operators import bm25
@@ -150,4 +184,5 @@ def task_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, rows: list[tuple[int, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "query_id long, query string")
+    """A stated set, as a table that plans hold themselves: how many rows there are is known without a job."""
+    return spark.createDataFrame(pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "query": pa.array([r[1] for r in rows], pa.string())}))

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders of the tables that this process has stored.
+#: Folders of the tables that this process has stored, and what remembers tables that are read from there.
 WRITTEN: list[str] = []
+FORGOTTEN: list[dict] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,18 +25,26 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder for several tables, which ``clear`` removes."""
+    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below spark.checkpoint.dir and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def clear(spark: SparkSession) -> int:
     """Remove what this process has stored, once nothing is read from it any more; how many tables that were."""
     jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    for memory in FORGOTTEN:
+        memory.clear()
     while WRITTEN:
         at = jvm.org.apache.hadoop.fs.Path(WRITTEN.pop())
         n += bool(at.getFileSystem(conf).delete(at, True))
