@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from tessera.sources.shared import stored
 GENERIC = "__init__ client config constants endpoints errors models types utils".split()
 PLAIN_PARTS = "__tests__ src test tests unit".split()
 MENTIONED = 50
+#: Bytes of bodies that one task takes, and of names in one automaton.
+BODY_BYTES, NAME_BYTES = 16 << 20, 4 << 20
 #: Bits of all sets of files that a task holds at once while it counts what files lead to.
 MASK_BITS = 1 << 29
 
@@ -28,22 +31,57 @@ def direct_dependents(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return edges.join(targets, (edges["repo"] == targets["repo"]) & (edges["target_path"] == targets["target"])).select(edges["repo"], "target", F.col("source_path").alias("path"))
 
 
-def dependents(edges: DataFrame, targets: DataFrame, most_rounds: int = 1000) -> DataFrame:
+#: Breadth-first rounds for a part of all targets before distances are doubled.
+SHALLOW = 16
+
+
+def dependents(edges: DataFrame, targets: DataFrame, most_rounds: int = 40) -> DataFrame:
     """repo, target, path, depth: all files that depend on a target, 1 for direct ones; a target isn't its own unless directly.
 
-    A breadth-first walk of all targets at once: each round joins the frontier to the edges and drops what was reached
-    before, so cycles end it. Rounds are written to the shared folder.
+    Files are numbered, and distances double: what is at most k away is known for all files, and what is at most 2 k away
+    goes over a file that is exactly k away. So a chain of n files takes log2(n) rounds, each a join of numbers and a table
+    in the shared folder. For few of all targets the first rounds go breadth-first from these alone, which mostly ends it.
     """
-    edges = stored(edges.select("repo", "source_path", "target_path").distinct(), "edges")
-    seen = frontier = stored(direct_dependents(edges, targets).distinct().withColumn("depth", F.lit(1).cast("long")), "reached")
-    for depth in range(2, most_rounds):
-        step = frontier.alias("f").join(edges.alias("e"), (F.col("f.repo") == F.col("e.repo")) & (F.col("f.path") == F.col("e.target_path")))
-        step = step.select("f.repo", "target", F.col("e.source_path").alias("path")).where("path <> target").distinct()
-        frontier = stored(step.join(seen, ["repo", "target", "path"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "reached")
+    edges = edges.select("repo", "source_path", "target_path").distinct()
+    ends = edges.select("repo", F.col("source_path").alias("path")).union(edges.select("repo", F.col("target_path").alias("path"))).distinct()
+    names = stored(ends.withColumn("id", F.monotonically_increasing_id()), "names")
+    of = lambda column, to: names.select("repo", F.col("path").alias(column), F.col("id").alias(to))
+    near = stored(edges.join(of("source_path", "s"), ["repo", "source_path"]).join(of("target_path", "t"), ["repo", "target_path"]).select("t", "s", F.lit(1).cast("long").alias("depth")), "edges")
+    wanted = stored(targets.select("repo", F.col("target").alias("path")).distinct().join(names, ["repo", "path"]).select(F.col("id").alias("t")), "targets")
+    some = 4 * wanted.count() < names.count()
+    found = breadth_first(near, wanted) if some else None
+    if found is None:
+        found = doubled(near, most_rounds).join(wanted, "t", "left_semi")
+    path = lambda key, name: names.select(F.col("id").alias(key), F.col("path").alias(name))
+    return found.join(names.select(F.col("id").alias("t"), "repo", F.col("path").alias("target")), "t").join(path("s", "path"), "s").select("repo", "target", "path", "depth")
+
+
+def breadth_first(near: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """t, s, depth for the wanted t, or nothing if there is more after ``SHALLOW`` rounds."""
+    step = near.select(F.col("t").alias("m"), F.col("s").alias("s2"))
+    seen = frontier = stored(near.join(wanted, "t", "left_semi"), "reached")
+    for depth in range(2, SHALLOW + 2):
+        new = frontier.join(step, F.col("s") == F.col("m")).select("t", F.col("s2").alias("s")).where("t <> s").distinct()
+        frontier = stored(new.join(seen, ["t", "s"], "left_anti").withColumn("depth", F.lit(depth).cast("long")), "reached")
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.unionByName(frontier), "seen") if depth % 8 == 0 else seen.unionByName(frontier)
-    raise RuntimeError(f"paths of more than {most_rounds} edges")
+        seen = seen.unionByName(frontier)
+    return None
+
+
+def doubled(near: DataFrame, most_rounds: int) -> DataFrame:
+    """t, s, depth of all pairs of which s leads to t, by the shortest way."""
+    known = last = near
+    reach = 1
+    for _ in range(most_rounds):
+        far = last.where((F.col("depth") == reach) & (F.col("t") != F.col("s"))).select("t", F.col("s").alias("m"))
+        on = known.where("t <> s").select(F.col("t").alias("m"), "s", "depth")
+        new = far.join(on, "m").where("t <> s").groupBy("t", "s").agg((F.min("depth") + reach).alias("depth"))
+        last = stored(new.join(known, ["t", "s"], "left_anti"), "reached")
+        if last.isEmpty():
+            return known
+        known, reach = known.unionByName(last), 2 * reach
+    raise RuntimeError(f"paths of more than 2 ** {most_rounds} edges")
 
 
 def components_first(near: list[list[int]]) -> list[list[int]]:
@@ -168,13 +206,43 @@ def related_tests(files: DataFrame, dependencies: DataFrame, symbols: DataFrame,
     by_import = edges.join(t.select("repo", "target"), ["repo", "target"], "left_semi").join(tests, ["repo", "path"], "left_semi").select("repo", "target", "path", F.lit("imports source file").alias("reason"))
     first = Window.partitionBy("repo", "path").orderBy("line", "name", "symbol_id")
     public = symbols.where("name <> '' AND NOT startswith(name, '_')").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MENTIONED)
-    names = public.select("repo", F.col("path").alias("target"), "name").join(t.select("repo", "target"), ["repo", "target"], "left_semi").groupBy("repo", "target").agg(F.collect_set("name").alias("names"))
+    names = public.select("repo", F.col("path").alias("target"), "name").join(t.select("repo", "target"), ["repo", "target"], "left_semi").distinct()
     bodies = sources.join(tests, ["repo", "path"], "left_semi").select("repo", "path", "content")
-    by_mention = bodies.join(names, "repo").where(F.exists("names", lambda n: F.col("content").contains(n))).select("repo", "target", "path", F.lit("mentions source symbol").alias("reason"))
+    by_mention = mentions(bodies, names.select("repo", "name")).join(names, ["repo", "name"]).select("repo", "target", "path", F.lit("mentions source symbol").alias("reason"))
     reasons = by_name.unionByName(by_import).unionByName(by_mention).groupBy("repo", "target", "path")
     return reasons.agg(F.array_join(F.sort_array(F.collect_set("reason")), ", ").alias("reason"))
 
 
+def mentions(bodies: DataFrame, names: DataFrame, body_bytes: int = BODY_BYTES, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """repo, path, name: which of a repository's ``names`` (repo, name) stand anywhere in which ``bodies`` (repo, path, content).
+
+    A repository's names are dealt to blocks of bounded size and its bodies to lanes; each block is an automaton that runs
+    over a lane's bodies once, so work grows with text and matches, not with bodies times names.
+    """
+    pieces = lambda c, most: F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length(c) + 16) / most))
+    names, keys = names.distinct(), ["repo", "block", "lane"]
+    sizes = bodies.groupBy("repo").agg(pieces("content", body_bytes).alias("lanes")).join(names.groupBy("repo").agg(pieces("name", name_bytes).alias("blocks")), "repo")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    looked_for = names.join(sizes, "repo").select("repo", F.pmod(F.xxhash64("name"), "blocks").alias("block"), up_to("lanes").alias("lane"), "name")
+    looked_in = bodies.join(sizes, "repo").select("repo", up_to("blocks").alias("block"), F.pmod(F.xxhash64("path"), "lanes").alias("lane"), "path", "content")
+
+    def run(block: pa.Table, lane: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        automaton, out = ahocorasick.Automaton(), []
+        for name in block["name"].to_pylist():
+            automaton.add_word(name, name)
+        if len(automaton) and lane.num_rows:
+            automaton.make_automaton()
+            repo = block["repo"][0].as_py()
+            for path, content in zip(lane["path"].to_pylist(), lane["content"], strict=True):
+                out += [(repo, path, name) for name in {name for _, name in automaton.iter(content.as_py() or "")}]
+        columns = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table([pa.array(c, pa.string()) for c in columns], ["repo", "path", "name"])
+
+    return looked_for.groupBy(*keys).cogroup(looked_in.groupBy(*keys)).applyInArrow(run, "repo string, path string, name string")
+
+
 def change_report(reached: DataFrame, tests: DataFrame, targets: DataFrame) -> DataFrame:
     """repo, target, direct, transitive, tests, score, label of the rows of ``dependents`` and ``related_tests``."""
     counts = reached.groupBy("repo", "target").agg(F.count_if(F.col("depth") == 1).alias("direct"), F.count_if(F.col("depth") > 1).alias("transitive"))
