@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
 from tessera.operators import rollups, search
+from tessera.sources.lines import meet
 from tessera.sources.shared import stored
 
 FILE = ("query_id", "repo", "path")
@@ -85,7 +86,7 @@ def workspace_pack(hits: DataFrame, files: DataFrame, symbols: DataFrame, lines:
 def with_content(snippets: DataFrame, lines: DataFrame) -> DataFrame:
     """``snippets`` with content: their lines by number, blank where none is indexed."""
     at = lines.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("line").alias("_l"), F.col("content").alias("_c"))
-    met = snippets.join(at, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & F.col("_l").between(F.col("start_line"), F.col("end_line")), "left")
+    met = meet(snippets, at, F.col("start_line"), F.col("end_line"), "_l", "left")
     held = met.groupBy(*snippets.columns).agg(F.map_from_entries(F.collect_list(F.when(F.col("_l").isNotNull(), F.struct("_l", "_c")))).alias("m"))
     whole = F.array_join(F.transform(F.sequence(F.col("start_line").cast("long"), F.col("end_line").cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(""))), "\n")
     return held.withColumn("content", whole).drop("m")

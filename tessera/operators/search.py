@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
 from tessera.operators import positions, trigrams
+from tessera.sources.lines import meet
 
 MOST_QUERIES = 10_000
 #: First characters of a name by which it is met.
@@ -291,7 +292,7 @@ def with_context(matches: DataFrame, lines: DataFrame, around: int = 1) -> DataF
     """
     around = clamp(around, 0, 10)
     near = lines.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.col("line").alias("near"), F.col("content").alias("near_content"))
-    at = matches.join(near, (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & F.col("near").between(F.col("line") - around, F.col("line") + around))
+    at = meet(matches, near, F.greatest(F.lit(0), F.col("line") - around), F.col("line") + around, "near")
     keys = matches.columns
     grouped = at.groupBy(*keys).agg(F.min("near").alias("start_line"), F.max("near").alias("end_line"), F.array_sort(F.collect_list(F.struct("near", "near_content"))).alias("s"))
     joined = F.array_join(F.transform("s", lambda x: F.concat(x["near"].cast("string"), F.lit(": "), x["near_content"])), "\n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text
@@ -19,6 +19,26 @@ def indexed_lines(sources: DataFrame) -> DataFrame:
     return lines.select("repo", "path", (F.col("pos") + 1).cast("long").alias("line"), "content").where(F.col("content").rlike(r"\S"))
 
 
+#: Lines of a bin, by which spans and lines of a file meet.
+BIN = 64
+
+
+def binned(rows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """``rows`` with _bin, once for each bin of lines that its span (start to end) touches; a span that ends before it starts has none."""
+    low, high = F.floor(start / BIN), F.floor(end / BIN)
+    return rows.withColumn("_bin", F.explode_outer(F.when(high >= low, F.sequence(low, high))))
+
+
+def meet(spans: DataFrame, places: DataFrame, start: Column, end: Column, at: str, how: str = "inner") -> DataFrame:
+    """``spans`` (repo, path and others) joined to ``places`` (_r, _p and others) whose line ``at`` is in the span.
+
+    They meet by bins of a file, so a file's spans and lines are never all put together.
+    """
+    left, right = binned(spans, start, end), places.withColumn("_at_bin", F.floor(F.col(at) / BIN))
+    same = (F.col("repo") == F.col("_r")) & (F.col("path") == F.col("_p")) & (F.col("_bin") == F.col("_at_bin"))
+    return left.join(right, same & F.col(at).between(start, end), how).drop("_bin", "_at_bin")
+
+
 def file_rows(sources: DataFrame, language: dict[str, str]) -> DataFrame:
     """repo, path, language, line_count, size_bytes, content_hash, modified_ns of sources (repo, path, content, size, time)."""
     names = F.create_map(*[F.lit(x) for pair in language.items() for x in pair])

@@ -187,3 +187,15 @@ def test_counts_of_reach_equal_the_rows(spark):
     want = {(r["repo"], r["target"]): (r["true"], r["false"]) for r in rows.collect()}
     got = {(r["repo"], r["target"]): (r["direct"], r["transitive"]) for r in graph.reach_counts(edges).where("direct > 0").collect()}
     assert got == want
+
+
+def test_lines_and_spans_of_one_large_file_meet_by_bins(spark):
+    """A million lines and 100,000 symbols in a file: each line meets the few symbols around it."""
+    places = spark.range(1, 1_000_001).select(F.lit("r").alias("repo"), F.lit("big.py").alias("path"), F.col("id").alias("at"))
+    symbols = spark.range(100_000).select(F.lit("r").alias("repo"), F.lit("big.py").alias("path"), F.col("id").alias("symbol_id"), (F.col("id") * 10 + 1).alias("line"), (F.col("id") * 10 + F.when(F.col("id") % 3 == 0, 25).otherwise(8)).alias("end_line"))
+    got = bm25.innermost(symbols, places).agg(F.count("*").alias("n"), F.sum(F.when(F.col("symbol_id") == F.floor((F.col("at") - 1) / 10), 1)).alias("own")).first()
+    lines = spark.range(1, 1_000_001)
+    around = lambda i: [k for k in range(max(0, (i - 1) // 10 - 3), (i - 1) // 10 + 1) if k * 10 + 1 <= i <= k * 10 + (25 if k % 3 == 0 else 8)]
+    first = {r["at"]: r["symbol_id"] for r in bm25.innermost(symbols, places.where("at <= 200")).collect()}
+    assert first == {i: min(k, key=lambda x: (24 if x % 3 == 0 else 7, x)) for i in range(1, 201) if (k := around(i))}
+    assert 0 < got["own"] <= got["n"] <= lines.count()

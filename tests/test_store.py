@@ -9,7 +9,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25, freshness, measure, rollups, scan, telemetry, trigrams
-from tessera.operators.catalog import Catalog
+from tessera.operators.catalog import Catalog, ConflictError
 from tessera.sources import discovery, events, lines
 from tessera.streaming import usage
 from tests.repos import SERVICE, catalog
@@ -89,6 +89,41 @@ def test_versions_by_repository(spark, tmp_path):
     assert len(store.versions()) == 1 and len(store.vacuum()) >= 2 and store.read("files").where("repo = 'b'").count() >= 2
 
 
+def test_two_publishers_at_a_time(spark, tmp_path, monkeypatch):
+    """A publication that another overtakes keeps the other's repositories, and is refused where both hold the same."""
+    root = str(tmp_path / "c")
+    one, two = Catalog(spark, root), Catalog(spark, root)
+    one.publish(tables(catalog(spark, {"a": SERVICE, "b": {"x.py": "X = 1\n"}})))
+    new = lambda repo, text: tables(catalog(spark, {"x.py": text}, repo))
+    repos = lambda repo: spark.createDataFrame([(repo,)], "repo string")
+    index = Catalog._index
+
+    def overtaken(by):
+        def run(self, version, name):
+            if self is one and name == "function_terms":
+                monkeypatch.setattr(Catalog, "_index", index)
+                by()
+            return index(self, version, name)
+
+        monkeypatch.setattr(Catalog, "_index", run)
+
+    overtaken(lambda: two.publish(new("c", "C = 1\n"), repos("c")))
+    one.publish(new("b", "B = 2\n"), repos("b"))
+    assert {r["repo"] for r in one.read("files").collect()} == {"a", "b", "c"}
+    assert {r["name"] for r in one.read("symbols").where("repo <> 'a'").collect()} == {"B", "C"}
+    overtaken(lambda: two.publish(new("b", "B = 3\n"), repos("b")))
+    with pytest.raises(ConflictError, match="b"):
+        one.publish(new("b", "B = 4\n"), repos("b"))
+    assert {r["name"] for r in one.read("symbols").where("repo = 'b'").collect()} == {"B"} and one.read("text_lines").where("content = 'B = 3'").count() == 1
+    overtaken(lambda: two.publish(new("d", "D = 1\n"), repos("d")))
+    with pytest.raises(ConflictError):
+        one.publish(tables(catalog(spark, {"a": SERVICE})))
+    claimed = one._latest()[0] + 1
+    assert one._claim(claimed) and not two._claim(claimed)
+    one.vacuum()
+    assert len([p for p in (tmp_path / "c/_current").iterdir() if p.is_dir()]) == 1 and {r["repo"] for r in two.read("files").collect()} == {"a", "b", "c", "d"}
+
+
 def test_migration(spark, tmp_path):
     store = Catalog(spark, str(tmp_path / "c"))
     c = catalog(spark, SERVICE)
