@@ -172,12 +172,15 @@ def representative_symbols(s, d):
 
 @query
 def query_variants(s, d):
-    return search.variants(a.queries(s, [*SYMBOL_QUERIES, (7, "Hardware Capacity Planner"), (8, "x")])).select("query_id", "variant", F.col("ordinal").cast("long").alias("ordinal"))
+    """Of each part's name, and its brand for every fifth."""
+    names = a.read(s, d, "part").selectExpr("p_partkey AS query_id", "CASE WHEN p_partkey % 5 = 0 THEN concat(p_name, ' of ', p_brand) ELSE p_name END AS query")
+    return search.variants(names).select("query_id", "variant", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query
 def query_terms(s, d):
-    return a.queries(s, TERM_QUERIES).select("query_id", F.array_join(text.query_terms(F.col("query")), ",").alias("terms"))
+    asked = a.read(s, d, "part").selectExpr("p_partkey AS query_id", "concat('where are ', p_name, 's of ', lower(p_type), CASE WHEN p_partkey % 3 = 0 THEN ' boxes mostly' ELSE ' classes, automatically' END) AS query")
+    return asked.select("query_id", F.array_join(text.query_terms(F.col("query")), ",").alias("terms"))
 
 
 @query
@@ -481,7 +484,7 @@ def reanalysis_set(s, d):
 
 
 def results(s, d):
-    return a.symbols(s, d).selectExpr("concat('q', cast(symbol_id % 20 AS string)) AS query", "concat('p', cast(symbol_id % 3 AS string)) AS provider", "path", "symbol_id AS position").where("position % 7 < 5")
+    return a.symbols(s, d).selectExpr("concat('q', cast(symbol_id % 20 AS string)) AS query", "concat('p', cast(symbol_id % 3 AS string)) AS provider", "path", "symbol_id AS position")
 
 
 @query

@@ -46,7 +46,7 @@ RELATIONS = {
         CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.size_bytes = n.size_bytes AND o.modified_ns = n.modified_ns THEN 'reused'
              WHEN o.content_hash <> '' AND o.content_hash = n.content_hash THEN 'touched' ELSE 'changed' END AS status
         FROM old_files o FULL JOIN new_files n ON o.repo = n.repo AND o.path = n.path""",
-    "results": """SELECT 'q' || (symbol_id % 20) AS query, 'p' || (symbol_id % 3) AS provider, path, symbol_id AS position FROM symbols WHERE symbol_id % 7 < 5""",
+    "results": """SELECT 'q' || (symbol_id % 20) AS query, 'p' || (symbol_id % 3) AS provider, path, symbol_id AS position FROM symbols""",
 }
 NEEDS = {
     "redacted": ["sources"], "split": ["redacted"], "text_lines": ["split"], "symbol_files": ["symbols"], "all_files": ["files", "symbol_files"], "counts_by_file": ["symbols"], "dependencies": ["edges_raw"], "internal": ["dependencies", "files"],
@@ -155,7 +155,7 @@ def build(c) -> None:
     var = [f"qw AS (SELECT query_id, trim(query) AS query, {words('query')} AS w FROM q)", f"qf AS (SELECT query_id, query, {forms} AS f FROM qw)",
            f"qe AS (SELECT query_id, query, i, f[i] AS variant FROM (SELECT *, unnest(range(1, len(f) + 1)) AS i FROM qf) WHERE trim(f[i]) <> '' QUALIFY {rn('query_id, f[i]', 'i')} = 1)",
            f"qc AS (SELECT * FROM qe QUALIFY {rn('query_id', 'i')} <= 6)", f"qd AS (SELECT * FROM qc QUALIFY {rn('query_id, lower(variant)', 'i')} = 1)", f"v AS (SELECT query_id, query, variant, {rn('query_id', 'i')} - 1 AS ordinal FROM qd)"]
-    sql("query_variants", "", "SELECT query_id, variant, ordinal FROM v", values("q", [*c.SYMBOL_QUERIES, (7, "Hardware Capacity Planner"), (8, "x")]), *var)
+    sql("query_variants", "", "SELECT query_id, variant, ordinal FROM v", "q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 5 = 0 THEN p_name || ' of ' || p_brand ELSE p_name END AS query FROM part)", *var)
     vs = lambda k: f"{low(k)} = {low('v.variant')}"
     vl = lambda k: f"{low(k)} LIKE {low('v.variant')} || '%'"
     sql("symbol_variants", "symbols", "SELECT query_id, repo, symbol_id, rank, position FROM p WHERE position <= 9", q, *var,
@@ -169,7 +169,7 @@ def build(c) -> None:
              f"tt AS (SELECT query_id, min(i) AS i, {trim_} AS term FROM tw WHERE NOT list_contains({stop}, w) AND length(w) BETWEEN 3 AND 48 GROUP BY query_id, term)",
              f"t8 AS (SELECT query_id, term, i FROM tt QUALIFY {rn('query_id', 'i')} <= 8)", "t AS (SELECT * FROM t8 WHERE query_id IN (SELECT query_id FROM t8 GROUP BY 1 HAVING count(*) >= 2))"]
     tq = values("q", c.TERM_QUERIES)
-    sql("query_terms", "", "SELECT q.query_id, coalesce(string_agg(t.term, ',' ORDER BY t.i), '') AS terms FROM q LEFT JOIN t USING (query_id) GROUP BY q.query_id", tq, *terms)
+    sql("query_terms", "", "SELECT q.query_id, coalesce(string_agg(t.term, ',' ORDER BY t.i), '') AS terms FROM q LEFT JOIN t USING (query_id) GROUP BY q.query_id", "q AS (SELECT p_partkey AS query_id, 'where are ' || p_name || 's of ' || lower(p_type) || CASE WHEN p_partkey % 3 = 0 THEN ' boxes mostly' ELSE ' classes, automatically' END AS query FROM part)", *terms)
     ident = lambda e: f"replace(regexp_replace(regexp_replace({e}, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '_', ' ')"
     kept = lambda e: f"CASE WHEN {ident(e)} = {e} THEN {e} ELSE {e} || ' ' || {ident(e)} END"
     sql("identifier_words", "", f"SELECT c_custkey, {kept('n')} AS words FROM (SELECT c_custkey, c_name || '_getHTTPValue' || c_mktsegment AS n FROM customer)")
