@@ -12,6 +12,7 @@ them anew from the packed vectors, so that memory doesn't depend on the number o
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, stored
+from tessera.llm.common import WRITTEN, shared_dir, stored
 
 #: Queries in a block, bins of a histogram, rows of a packed block, and rows scored at once.
 QUERIES, BINS, PACK, STEP = 1024, 256, 8192, 2048
@@ -29,15 +30,33 @@ SLACK = 8
 SCALE = 1024
 
 
+#: Components of this size and more, when scaled, are kept as digits; all others are 64-bit integers that doubles hold exactly.
+EXACT = float(2**53)
+VALUES = "ids binary, values binary, dimensions int, large boolean"
+
+
+def scaled(x: float, scale: int) -> int:
+    """floor(scale * x), also where that is beyond what a double holds; scale is a power of two."""
+    return math.floor(x * scale) if abs(x) < EXACT else int(x) * scale
+
+
+def unpacked(ids: bytes, values: bytes, d: int, large: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a pack; large components are Python's integers."""
+    ids_ = np.frombuffer(ids, "<i8")
+    rows = np.array([int(v) for v in values.split()], object) if large else np.frombuffer(values, "<i8")
+    return ids_, rows.reshape(-1, d)
+
+
 def packed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, pack: int = PACK) -> DataFrame:
-    """ids, values (int64 as bytes), dimensions: blocks of at most ``pack`` vectors, each component floor(scale * x).
+    """ids, values, dimensions, large: blocks of at most ``pack`` vectors, each component floor(scale * x).
 
-    Vectors that are null, empty or hold null or non-finite components, or one of 2**53 or more when scaled, are left out,
-    and so are null ids.
+    Values are 64-bit integers as bytes; vectors with a component of 2**53 or more when scaled stand in blocks of their own,
+    whose values are digits. Vectors that are null, empty or hold null or non-finite components are left out, and so are
+    null ids.
     """
     usable = F.size("v").cast("int") > 0
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & usable)
-    rows = rows.where(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) * scale < float(2**53)), F.lit(False))))
+    rows = rows.where(F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -45,25 +64,42 @@ def packed(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             lengths = np.diff(column.offsets.to_numpy())
             flat, ids = column.flatten().to_numpy(zero_copy_only=False), batch.column(0).to_numpy()
             ends = np.cumsum(lengths)
-            for d in np.unique(lengths):  # vectors of one length meet only each other
-                rows_of = np.flatnonzero(lengths == d)
+            large = np.maximum.reduceat(np.abs(flat), ends - lengths) >= EXACT / scale if len(flat) else np.empty(0, bool)
+            for d, big in np.unique(np.stack([lengths, large]), axis=1).T.tolist():  # vectors of one length meet only each other
+                rows_of = np.flatnonzero((lengths == d) & (large == big))
                 for at in range(0, len(rows_of), pack):
                     part = rows_of[at : at + pack]
                     index = (ends[part] - d)[:, None] + np.arange(d)
-                    values = np.floor(flat[index] * scale).astype("<i8")
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].astype("<i8").tobytes()]), pa.array([values.tobytes()]), pa.array([int(d)], pa.int32())], ["ids", "values", "dimensions"])
+                    values = " ".join(str(scaled(x, scale)) for x in flat[index].ravel().tolist()).encode() if big else np.floor(flat[index] * scale).astype("<i8").tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[part].astype("<i8").tobytes()]), pa.array([values]), pa.array([int(d)], pa.int32()), pa.array([bool(big)])], ["ids", "values", "dimensions", "large"])
 
-    return rows.mapInArrow(run, "ids binary, values binary, dimensions int")
+    return rows.mapInArrow(run, VALUES)
 
 
-def products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floating-point products where these are exact."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
-    if most >= 2**63:
-        raise OverflowError("inner products beyond 64 bits")
-    if most < 2**53:
-        return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    return queries @ rows.T
+def products(queries: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Integer inner products; by floating-point products where these are exact, by Python's integers where 64 bits may not do.
+
+    Only a product of a pair that counts (``counts``) and doesn't fit in 64 bits is an error.
+    """
+    most_query, d = int(np.abs(queries).max(initial=0)), queries.shape[1]
+    wide = np.array([int(m) * most_query * d >= 2**63 for m in np.abs(rows).max(axis=1, initial=0).tolist()], bool) if len(rows) else np.empty(0, bool)
+    out = np.zeros((len(queries), len(rows)), np.int64)
+    plain = rows[~wide].astype(np.int64) if not wide.all() else np.empty((0, d), np.int64)
+    if len(plain):
+        own = queries.astype(np.int64) if most_query < 2**63 else None
+        if own is None:  # such queries meet plain rows of zeros only
+            out[:, ~wide] = 0
+        elif most_query * int(np.abs(plain).max(initial=0)) * d < 2**53:
+            out[:, ~wide] = (own.astype(np.float64) @ plain.astype(np.float64).T).astype(np.int64)
+        else:
+            out[:, ~wide] = own @ plain.T
+    for at in np.flatnonzero(wide).tolist():
+        exact = queries.astype(object) @ rows[at].astype(object)
+        fits = np.array([-(2**63) <= x < 2**63 for x in exact.tolist()], bool)
+        if (counts[:, at] & ~fits).any():
+            raise OverflowError("an inner product beyond 64 bits")
+        out[fits, at] = exact[fits].astype(np.int64)
+    return out
 
 
 class Block:
@@ -84,13 +120,14 @@ class Block:
         """ids, scores (a row for each query) and whether a pair counts (a query doesn't meet its own row)."""
         d = self.vectors.shape[1]
         for batch in blocks:
-            for ids, values, dims in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for ids, values, dims, large in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if dims != d:
                     continue
-                row_ids, rows = np.frombuffer(ids, "<i8"), np.frombuffer(values, "<i8").reshape(-1, d)
+                row_ids, rows = unpacked(ids, values, d, large)
                 for at in range(0, len(rows), STEP):
                     part = row_ids[at : at + STEP]
-                    yield part, products(self.vectors, rows[at : at + STEP]), self.ids[:, None] != part[None, :]
+                    meets = self.ids[:, None] != part[None, :]
+                    yield part, products(self.vectors, rows[at : at + STEP], meets), meets
 
 
 def widths(low: np.ndarray, high: np.ndarray, bins: int) -> np.ndarray:
@@ -189,17 +226,17 @@ def selected(vectors: DataFrame, block: Block) -> DataFrame:
 
 def query_blocks(queries: DataFrame, size: int) -> Iterator[Block]:
     """The stated queries, a bounded number at a time."""
-    ids: dict[int, list] = {}
-    rows: dict[int, list] = {}
+    ids: dict[tuple[int, bool], list] = {}
+    rows: dict[tuple[int, bool], list] = {}
     for r in queries.toLocalIterator():
-        d = r["dimensions"]
-        for i, v in zip(np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["values"], "<i8").reshape(-1, d), strict=True):
-            ids.setdefault(d, []).append(i)
-            rows.setdefault(d, []).append(v)
-            if len(ids[d]) == size:
-                yield Block(np.array(ids.pop(d)), np.array(rows.pop(d)))
-    for d in sorted(ids):
-        yield Block(np.array(ids[d]), np.array(rows[d]))
+        key = r["dimensions"], r["large"]
+        for i, v in zip(*unpacked(r["ids"], r["values"], *key), strict=True):
+            ids.setdefault(key, []).append(i)
+            rows.setdefault(key, []).append(v)
+            if len(ids[key]) == size:
+                yield Block(np.array(ids.pop(key)), np.array(rows.pop(key)))
+    for key in sorted(ids):
+        yield Block(np.array(ids[key]), np.array(rows[key]))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bins: int = BINS, block_size: int = QUERIES, slack: int = SLACK) -> DataFrame:
@@ -207,8 +244,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     A row isn't met by the query of the same id. Rows that repeat an id are each met and may each rank. Vectors of other
     lengths than the query's take no part; unusable ones (see ``packed``) neither, on either side. With fewer than ``k``
-    rows all are returned. Empty tables give an empty result. Other columns are ignored. Inner products beyond 64 bits are
-    an error.
+    rows all are returned. Empty tables give an empty result. Other columns are ignored. Components may have any finite
+    size; only a product that doesn't fit in 64 bits, of a query and a row that it meets, is an error.
     """
     spark = vectors.sparkSession
     total = max(1, vectors.count())
@@ -232,5 +269,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     if path is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     out = spark.read.schema("query_id long, vec_id long, score long").parquet(path)
+    WRITTEN.append(path)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
