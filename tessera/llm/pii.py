@@ -186,31 +186,45 @@ def span_digests(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base), F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(KINDS).alias("spans"), top.alias("top_score"))
 
 
-def replaced(kind: Kind, text: Column) -> Column:
-    """A text with the confirmed spans of a kind replaced by its name; ``proposed`` was applied before."""
-    tag = F.lit(f"[{kind.name.upper()}]")
-    if kind.group:
-        state = "struct<at:int,out:string>"
-        put_span = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"].cast("int") - acc["at"]), tag).alias("out")).cast(state)
-        return F.aggregate(spans_of(kind, text), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state), put_span, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+#: Code points of the parts in which a text is cut before spans are taken out, so that no cut reads more than its own parts.
+PART = 1024
+
 
-    def put(p: Column) -> Column:
-        goes = p["match"].isNotNull() & confirmed(kind, p["match"]) & (F.lit(kind.base) | (scored(kind, p) >= LEAST))
-        return F.concat(p["gap"], F.when(F.coalesce(goes, F.lit(False)), tag).otherwise(F.coalesce(p["match"], F.lit(""))))
+def replaced(text: Column, spans: Column) -> tuple[Column, Column]:
+    """The parts of a text, to be held as _parts, and the text with its ``spans`` of all kinds replaced by their kinds.
+
+    What overlapping spans cover is one, of the first of them.
+    """
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    state = "struct<at:long,out:array<string>>"
 
-    return F.array_join(F.transform(pieces(kind, text), put), "")
+    def between(a: Column, b: Column) -> Column:
+        first = F.floor(a / PART)
+        joined = F.array_join(F.slice("_parts", (first + 1).cast("int"), (F.floor((b - 1) / PART) - first + 1).cast("int")), "")
+        return F.when(b > a, F.substring(joined, (a - first * PART + 1).cast("int"), (b - a).cast("int"))).otherwise(F.lit(""))
 
+    def step(acc: Column, s: Column) -> Column:
+        new = s["start"] >= acc["at"]
+        tag = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        out = F.when(new, F.concat(acc["out"], F.array(between(acc["at"], s["start"]), tag))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out")).cast(state)
 
-REDACTED = ("email", "iban", "key", "secret", "card", "phone", "ip", "ssn")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+    whole = F.aggregate(ordered, none, step, lambda acc: F.array_join(F.concat(acc["out"], F.array(between(acc["at"], F.length(text).cast("long")))), ""))
+    return parts, whole
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with every confirmed span of ``text_col`` replaced by its kind in brackets, one kind after the other.
+    """``docs`` with every confirmed span of ``text_col``, those of ``find_spans``, replaced by its kind in brackets.
 
-    The kinds follow the order of ``REDACTED``. Null texts stay null; columns and their order stay, an empty table too.
+    Spans are all found in the text as it is. Where spans of several kinds overlap, what they cover together is replaced by
+    the kind of the one that starts first, of several the longest, then the first by name. Null texts stay null; columns
+    and their order stay, an empty table too.
     """
-    columns, name = docs.columns, {k.name: k for k in KINDS}
-    out, text = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text")), F.col("text")
-    for kind in (name[x] for x in REDACTED):
-        out = proposed(out, text, (kind,)).select("row", F.when(F.size(f"_m_{kind.name}") > 0, replaced(kind, text)).otherwise(text).alias("text"))
+    columns, text = docs.columns, F.col("text")
+    rows = docs.select(F.struct(*columns).alias("row"), F.col(text_col).cast("string").alias("text"))
+    found = proposed(rows, text).select("row", "text", F.concat(*(spans_of(k, text) for k in KINDS)).alias("_spans"))
+    parts, whole = replaced(text, F.col("_spans"))
+    out = found.withColumn("_parts", F.when(F.size("_spans") > 0, parts)).select("row", F.when(F.size("_spans") > 0, whole).otherwise(text).alias("text"))
     return out.select(*(text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))

@@ -12,7 +12,7 @@ from tessera.llm import mixing, pii, quality
 from tessera.llm.grams import WordTable
 from tests.llm import test_quality as q
 from tests.llm.test_ngram_join import shingle_set
-from tests.llm.test_pii import PATTERNS, holds
+from tests.llm.test_pii import PATTERNS, holds, put_out
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,20 +65,21 @@ ADDED = {
 def without_personal_data(text):
     kinds = {k.name: k for k in pii.KINDS}
     assert not re.search(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", text)  # account numbers have a test of their own
+    spans = []
     for name in ("email", "key", "secret", "card", "phone", "ip", "ssn"):
         kind = kinds[name]
         pattern, good = (PATTERNS[name], lambda m: holds(name, m)) if name in PATTERNS else ADDED[name]  # noqa: B023
         matches = list(re.finditer(pattern, text))
-        out, at = [], 0
+        at = 0
         for i, m in enumerate(matches):
             before, after = text[at : m.start()], text[m.end() : matches[i + 1].start() if i + 1 < len(matches) else len(text)]
             near = (before[-pii.NEAR :] + "\n" + after[: pii.NEAR]).lower()
             says = lambda words: re.search(rf"(^|[^a-z0-9])({words})([^a-z0-9]|$)", near)  # noqa: B023, E731
             score = min(100, kind.score + (pii.RAISED if says(kind.words) else 0)) - (pii.LOWERED if says(pii.AGAINST) else 0)
-            out += [before, f"[{name.upper()}]" if good(m.group()) and (kind.base or score >= pii.LEAST) else m.group()]
+            if good(m.group()) and (kind.base or score >= pii.LEAST):
+                spans.append((m.start(), m.end(), name))
             at = m.end()
-        text = "".join([*out, text[at:]])
-    return text
+    return put_out(text, spans)
 
 
 def mixed(spark, docs):
