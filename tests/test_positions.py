@@ -88,3 +88,14 @@ def test_any_text(spark, tmp_path_factory, contents, asked):
     index = index_of(spark, lines, tmp_path_factory)
     q = queries(spark, *asked)
     assert found(search.text_search(lines, q, 3)) == found(search.text_search(lines, q, 3, index=index))
+
+
+def test_published_tables_are_made_anew_once_removed(spark):
+    from tessera.plans import catalogue
+    from tessera.sources import shared
+
+    sf = "/root/testdata/sf0.001"
+    names = ("catalog_counts", "text_search_indexed", "file_search")
+    before = {n: found(catalogue.QUERIES[n](spark, sf)) for n in names}
+    assert shared.clear(spark) > 0
+    assert {n: found(catalogue.QUERIES[n](spark, sf)) for n in names} == before
