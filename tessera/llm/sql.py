@@ -84,7 +84,7 @@ ROUNDS = 12
 def mixing_quotas() -> str:
     """Sources weigh 1, 2, 3, …; what a full one can't take is shared again, round by round; then a cut in seeded order."""
     parts = [
-        r"d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents)",
+        r"d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS told FROM documents)",
         "s AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, CAST(1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS DOUBLE) AS weight FROM d GROUP BY source)",
         "q0 AS (SELECT *, true AS open, CAST(0 AS DOUBLE) AS target, CAST((SELECT sum(size) FROM s) AS DOUBLE) AS left_ FROM s)",
     ]
@@ -97,7 +97,7 @@ def mixing_quotas() -> str:
         )
     parts += [
         f"t AS (SELECT source, size AS source_size, target, least(CAST(round_even(target, 0) AS BIGINT), 3 * size) AS flow FROM q{ROUNDS})",
-        "h AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.flow // t.source_size ELSE 0 END AS whole, CASE WHEN t.source_size > 0 THEN t.flow % t.source_size ELSE 0 END AS rest, CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || d.size)[1:15] AS BIGINT) AS place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)",
+        "h AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.flow // t.source_size ELSE 0 END AS whole, CASE WHEN t.source_size > 0 THEN t.flow % t.source_size ELSE 0 END AS rest, CAST('0x' || md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || d.size || ':' || told)[1:15] AS BIGINT) AS place FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source)",
         "g AS (SELECT source, place, sum(size) AS s FROM h GROUP BY ALL)",
         "c AS (SELECT source, place, s, sum(s) OVER (PARTITION BY source ORDER BY place) - s AS before FROM g)",
     ]

@@ -65,14 +65,31 @@ def test_overlapping_and_empty(spark):
     assert mixing.mix(docs.limit(0), F.col("of"), F.col("n")).count() == 0
 
 
-def test_one_source_a_pattern_needs_no_flow():
+def test_each_group_of_patterns_has_its_flow(monkeypatch):
     rng = random.Random(2)
     patterns = [(frozenset([f"s{i}"]), rng.randrange(50)) for i in range(40)]
     sizes = {next(iter(m)): n for m, n in patterns}
     targets = mixing.quotas(sizes, mixing.default_weights(list(sizes)), sum(sizes.values()))
-    direct = mixing.single_sources(patterns, targets)
-    # A pattern of two sources, of no words, makes the flow run.
-    assert mixing.route([*patterns, (frozenset(["s0", "s1"]), 0)], targets)[:-1] == direct
+    runs, flow = [], mixing.flow
+    monkeypatch.setattr(mixing, "flow", lambda own, *rest: runs.append(len(own)) or flow(own, *rest))
+    assert mixing.route(patterns, targets) == [min(round(targets[s]), 3 * n) for s, n in sizes.items()] and runs == [1] * 40
+    # Groups don't change what one flow over all patterns gives.
+    chained = [*patterns, *((frozenset([f"s{i}", f"s{i + 1}"]), rng.randrange(90)) for i in range(0, 12, 3)), (frozenset(["s3", "s30"]), 17)]
+    runs.clear()
+    words = mixing.route(chained, targets)
+    assert sorted(runs) == [1] * 31 + [3] * 3 + [5] and sum(words) == sum(flow(chained, targets))
+    price = lambda given: sum(min(max(f - r * n, 0), n) * r * r for f, (_, n) in zip(given, chained, strict=True) for r in range(3))
+    assert price(words) == price(flow(chained, targets))
+
+
+def test_the_query_runs_the_flow(spark, monkeypatch):
+    from tessera.llm.queries import QUERIES
+
+    runs, flow = [], mixing.flow
+    monkeypatch.setattr(mixing, "flow", lambda own, *rest: runs.append(flow(own, *rest)) or runs[-1])
+    rows = QUERIES["op7_mixing"](spark, "/root/testdata/sf0.001").collect()
+    target = {r["target"] for r in rows}
+    assert sum(map(sum, runs)) > 0 and len(runs) >= len(target)
 
 
 def test_more_sources_than_a_flow_takes(spark, monkeypatch):
@@ -87,8 +104,25 @@ def test_more_sources_than_a_flow_takes(spark, monkeypatch):
 def test_ties_a_long_text_and_order(spark):
     rows = [(None, "w " * 200_000, "a")] + [(None, "x y", "a")] * 40 + [(None, "x y", "b")] * 40 + [(7, "", "b"), (8, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    key = lambda r: (r["size"], str(r["sources"]), r["copies"])
+    key = lambda r: (r["doc_id"] is None, r["size"], str(r["sources"]), r["copies"])
     with_sources = lambda d: mixing.mix(d, keep=("doc_id",)).collect()
     one = sorted(map(key, with_sources(docs)))
     assert one == sorted(map(key, with_sources(docs.orderBy(F.desc("source")))))
-    assert len({c for size, s, c in one if size == 2 and "a" in s}) == 1  # equal rows are taken alike
+    assert {c for _, size, s, c in one if size == 2 and "a" in s} <= {0, 1}
+
+
+@pytest.mark.parametrize("run", [10_000, 3])
+def test_rows_without_id_come_near_the_target(spark, monkeypatch, run):
+    """Equal rows are taken one by one, whatever their number, and others of the same hash by their columns."""
+    monkeypatch.setattr(mixing, "RUN", run)
+    rows = [(None, "x y", "a", "en")] * 40 + [(None, "x y z", "b", lang) for lang in ("en", "de", None) for _ in range(7)] + [(3, "w", "c", "en"), (3, "w", "c", "en"), (3, "v", "c", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for keep in (("doc_id",), ("doc_id", "lang", "text")):
+        out = mixing.mix(docs, keep=keep, weights={"a": 4.0, "b": 1.0, "c": 1.0}).collect()
+        assert sorted(str(tuple(r[k] for k in keep)) for r in out) == sorted(str(tuple(dict(zip(docs.columns, row, strict=True))[k] for k in keep)) for row in rows)
+        for s, longest in (("a", 2), ("b", 3), ("c", 1)):
+            own = [r for r in out if r["sources"] == [s]]
+            assert abs(sum(r["size"] * r["copies"] for r in own) - own[0]["target"]) <= longest
+            assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+        again = mixing.mix(docs.repartition(5).orderBy(F.desc("text")), keep=keep, weights={"a": 4.0, "b": 1.0, "c": 1.0}).collect()
+        assert sorted(map(str, again)) == sorted(map(str, out))

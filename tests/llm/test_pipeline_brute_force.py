@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tessera.llm import mixing, pii, quality
@@ -84,7 +85,7 @@ def without_personal_data(text):
 
 def mixed(spark, docs):
     size = {d["doc_id"]: len(d["text"].encode().split()) for d in docs}
-    rows = spark.createDataFrame(list(size.items()), "doc_id long, size long").select("doc_id", mixing.seeded(7).alias("h")).collect()
+    rows = spark.createDataFrame([(d["doc_id"], size[d["doc_id"]], d["text"]) for d in docs], "doc_id long, size long, text string").select("doc_id", mixing.seeded(7, F.col("text")).alias("h")).collect()
     place = {r["doc_id"]: r["h"] for r in rows}
     of = defaultdict(list)
     for d in docs:
