@@ -55,8 +55,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it, 0 to 3 times; rows without words are never taken.
 
-    A null source is a source. Rows that are equal in id, size and source are taken alike, and so are ties of the seeded
-    hash; null ids are ids of their own value. Columns keep their names and nulls; an empty table gives an empty one.
+    A null source is a source. Equal rows may be taken a different number of times, one apart, so that sums come near the
+    targets; null ids are ids of their own value. Columns keep their names and nulls; an empty table gives an empty one.
     """
     mixed = mixing.mix(docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row")), keep=("row",))
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
