@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+import statistics
 import subprocess
 
 import pytest
@@ -315,3 +317,19 @@ def test_configurations(spark, tmp_path):
         put(tmp_path, {"bad/one.json": json.dumps(wrong)})
         with pytest.raises(PySparkException):
             events.suites(spark, str(tmp_path / "bad")).collect()
+
+
+@pytest.mark.parametrize("accuracy", [10_000, 50])
+def test_medians_are_exact_for_any_accuracy(spark, monkeypatch, accuracy):
+    """Many values, ties, few values, nulls as key and as value, groups without values, infinities."""
+    monkeypatch.setattr(measure, "ACCURACY", accuracy)
+    rng = random.Random(4)
+    values = {"many": [rng.gauss(0, 9) for _ in range(9001)], "even": [rng.random() for _ in range(4000)], "tied": [1.5] * 3000 + [2.5] * 2999, "two": [1.0, 4.0], "one": [7.0], None: [3.0, 1.0, 2.0], "none": [None, None], "gap": [0.0] * 500 + [1.0] * 500, "far": [float("-inf"), 2.0, float("inf")]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("two", None)]
+    runs = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: (r["n"], r["m"]) for r in measure.with_medians(runs.groupBy("k").agg(F.count("v").alias("n")), runs, ("k",), F.col("v"), "m").collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        known = [v for v in vs if v is not None]
+        assert got[k] == (len(known), pytest.approx(statistics.median(known)) if known else None)
+    assert measure.with_medians(runs.limit(0).groupBy("k").agg(F.count("v").alias("n")), runs.limit(0), ("k",), F.col("v"), "m").count() == 0
