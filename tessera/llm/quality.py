@@ -1,10 +1,10 @@
 """Quality rules: text statistics, and a log-likelihood ratio between two multinomials of hashed n-grams.
 
 Every document adds its n-gram counts to the raw corpus' multinomial, and every trusted one adds its to the target's.
-Trusted ids are joined to the documents, which is the one shuffle of texts. Tasks sum the counts in one array each; Spark
-adds the arrays by bucket, so the driver gets one row for each of a fixed number of buckets, however large the corpus. In
-a second pass, without a shuffle, each document's score is the mean, over its n-grams, of log p_target - log p_raw, and a
-fixed threshold decides.
+Trusted ids are joined to the documents: Spark sends them to the tasks while they are small by its own measure, and beyond
+that shuffles and sorts texts, which may spill. Tasks sum the counts in one array each; Spark adds the arrays by bucket, so
+the driver gets one row for each of a fixed number of buckets, however large the corpus. In a second pass, without a
+shuffle, each document's score is the mean, over its n-grams, of log p_target - log p_raw, and a fixed threshold decides.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ def marked(docs: DataFrame, trusted: DataFrame | Iterable[int]) -> DataFrame:
     row = F.monotonically_increasing_id()
     salted = docs.withColumn("salt", F.when(F.col("doc_id").isNull(), row).otherwise(row % SALTS))
     every = trusted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("trusted"))
-    return salted.join(every.hint("shuffle_hash"), ["doc_id", "salt"], "left").select("trusted", "text")
+    return salted.join(every, ["doc_id", "salt"], "left").select("trusted", "text")
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame | Iterable[int], buckets: int = BUCKETS) -> DataFrame:
