@@ -430,16 +430,33 @@ def compact_pack(s, d):
     return context.compact(workspace_snippets(s, d), s.createDataFrame([(f"r{i}", i) for i in range(4)], "repo string, repo_index long"))
 
 
+#: Some differ in case or spaces only from queries of ``TEXT_QUERIES``.
+BATCH = [*TEXT_QUERIES, (7, "LICENSE"), (8, "The ")]
+
+
 @query
 def batch_pack(s, d):
-    queries = a.queries(s, [*TEXT_QUERIES, (7, "LICENSE"), (8, "The ")])
-    return context.batch(workspace_snippets(s, d), s.createDataFrame([(f"r{i}", i) for i in range(4)], "repo string, repo_index long"), queries)
+    return context.batch(workspace_snippets(s, d), s.createDataFrame([(f"r{i}", i) for i in range(4)], "repo string, repo_index long"), a.queries(s, BATCH))
 
 
 @query
 def symbol_context(s, d):
     hits = lookup.lookup(a.symbols(s, d), a.symbol_files(s, d), a.text_lines(s, d), a.queries(s, SYMBOL_QUERIES[:3]), lookup.Limits(limit=8))
-    return context.context_pack(hits, a.symbol_files(s, d), a.symbols(s, d), a.text_lines(s, d))
+    return shown_pack(context.context_pack(hits, a.symbol_files(s, d), a.symbols(s, d), symbol_lines(s, d)))
+
+
+def shown_pack(pack):
+    return pack.withColumn("hit_lines", F.array_join(F.transform("hit_lines", lambda i: i.cast("string")), ","))
+
+
+FILE_CONTEXTS = [(1, "unit_3.py"), (2, "unit_4"), (3, "red_widget_7"), (4, "tests")]
+
+
+@query
+def file_context(s, d):
+    """Windows of files that are hit by name: around the symbols that stand for them."""
+    hits = lookup.lookup(a.symbols(s, d), a.symbol_files(s, d), a.text_lines(s, d), a.queries(s, FILE_CONTEXTS), lookup.Limits(limit=8, recover=False))
+    return shown_pack(context.context_pack(hits, a.symbol_files(s, d), a.symbols(s, d), symbol_lines(s, d)))
 
 
 @query
@@ -593,6 +610,7 @@ def import_resolve(s, d):
 
 class _Literals:
     SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS, BODY_QUERIES = SYMBOL_QUERIES, FILE_QUERIES, TEXT_QUERIES, WORD_QUERIES, TERM_QUERIES, LOOKUPS, BODY_QUERIES
+    BATCH, FILE_CONTEXTS = BATCH, FILE_CONTEXTS
 
 
 oracle.build(_Literals)

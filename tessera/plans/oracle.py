@@ -352,6 +352,30 @@ def build(c) -> None:
         "al AS (SELECT repo, count(*) AS candidate, sum(greatest(1, line_count) * 8) AS all_ FROM files GROUP BY repo)", "hq AS (SELECT query_id, repo, count(*) AS results FROM wh WHERE position <= 10 GROUP BY ALL)", "tk AS (SELECT query_id, repo, (sum(length(content)) + count(*) + 2) // 4 AS returned FROM hs GROUP BY ALL)",
         "own AS (SELECT query_id, count(DISTINCT repo || path) AS f, CAST(sum(end_line - start_line + 1) AS BIGINT) AS l, CAST((sum(length(content)) + count(*) + 2) // 4 AS BIGINT) AS t FROM hs GROUP BY query_id)",
         "pr AS (SELECT w.query_id, al.repo, al.candidate, al.all_, coalesce(hq.results, 0) AS results, coalesce(tk.returned, 0) AS returned FROM (SELECT DISTINCT query_id FROM wh) w CROSS JOIN al LEFT JOIN hq ON hq.query_id = w.query_id AND hq.repo = al.repo LEFT JOIN tk ON tk.query_id = w.query_id AND tk.repo = al.repo)")
+    quoted = lambda e: f"CAST(to_json({e}) AS VARCHAR)"
+    place = f"""'"repo_index":' || substr(repo, 2) || ',"path":' || {quoted('path')} || ',"start_line":' || start_line || ',"end_line":' || end_line || ',"hit_lines":[' || hit_lines || '],"content":' || {quoted('content')}"""
+    whole = lambda item, by: f"'[' || string_agg({item}, ',' ORDER BY {by}) || ']'"
+    sql("compact_pack", "text_lines files", "SELECT *, CAST(strlen(payload) AS BIGINT) AS bytes FROM (SELECT query_id, " + whole("'{' || " + place + " || '}'", "repo, path, start_line") + " AS payload FROM hs GROUP BY query_id)", *wpack)
+    sql("batch_pack", "text_lines files", "SELECT form, payload, CAST(strlen(payload) AS BIGINT) AS bytes FROM forms ORDER BY bytes, form LIMIT 1", *wpack, values("z", c.BATCH),
+        "zs AS (SELECT query_id, first_value(query_id) OVER (PARTITION BY lower(trim(query)) ORDER BY query_id) AS own FROM z)", "us AS (SELECT zs.query_id, hs.* EXCLUDE (query_id) FROM hs JOIN zs ON zs.own = hs.query_id)",
+        "uo AS (SELECT repo, path, start_line, end_line, (SELECT string_agg(l, ',' ORDER BY CAST(l AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(hit_lines, ','), ',')) AS l)) AS hit_lines, any_value(content) AS content, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS queries FROM us GROUP BY ALL)",
+        "forms AS (SELECT 'plain' AS form, " + whole("""'{"query_id":' || query_id || ',' || """ + place + " || '}'", "query_id, repo, path, start_line") + " AS payload FROM us UNION ALL SELECT 'shared', " + whole("'{' || " + place + """ || ',"queries":[' || queries || ']}'""", "repo, path, start_line") + " FROM uo)")
+    around = lambda e: f"least(line_count, {e} + 4)"
+    windows = [
+        "own AS (SELECT repo, path, line, first(end_line ORDER BY name, symbol_id) AS own_end FROM symbols GROUP BY ALL)",
+        f"cf AS (SELECT query_id, repo, path FROM ranked WHERE position <= 8 GROUP BY query_id, repo, path QUALIFY {rn('query_id, repo', 'min(position)')} <= 5)",
+        "hh AS (SELECT r.*, 500 AS line_count FROM ranked r SEMI JOIN cf USING (query_id, repo, path) WHERE position <= 8)",
+        "lv AS (SELECT *, CASE WHEN bool_or(starts_with(ltrim(signature), 'export ')) OVER f THEN starts_with(ltrim(signature), 'export ') WHEN bool_or(exported) OVER f THEN exported ELSE true END AS stands FROM symbols WINDOW f AS (PARTITION BY repo, path))",
+        "pf AS (SELECT * FROM lv WHERE stands QUALIFY kind <> 'constant' OR row_number() OVER (PARTITION BY repo, path, kind = 'constant' ORDER BY line, name, symbol_id) <= 4)",
+        f"wt AS (SELECT query_id, repo, path, greatest(1, line - 4) AS a, {around('line')} AS b FROM hh WHERE kind = 'text')",
+        f"wsy AS (SELECT query_id, repo, path, a, greatest(a, CASE WHEN o IS NULL THEN {around('line')} ELSE least(line_count, greatest(o, line), a + 79) END) AS b FROM (SELECT hh.*, greatest(1, hh.line - 2) AS a, coalesce(hh.end_line, own_end, CASE WHEN own.line IS NOT NULL THEN hh.line + 4 END) AS o FROM hh LEFT JOIN own ON own.repo = hh.repo AND own.path = hh.path AND own.line = hh.line WHERE kind = 'symbol'))",
+        f"wf AS (SELECT query_id, repo, path, coalesce(line, 1) AS a, greatest(coalesce(line, 1), CASE WHEN line IS NULL THEN least(line_count, 80) WHEN end_line IS NULL THEN {around('line')} ELSE least(line_count, greatest(end_line, line), line + 79) END) AS b FROM (SELECT DISTINCT query_id, repo, path, line_count FROM hh WHERE kind = 'file') h LEFT JOIN (SELECT repo, path, line, end_line FROM pf) p USING (repo, path))",
+        *merge("SELECT query_id, repo, path, CAST(a AS BIGINT) AS start_line, CAST(b AS BIGINT) AS end_line FROM (FROM wt UNION ALL FROM wsy UNION ALL FROM wf)", "query_id, repo, path"), budget(80, "query_id, repo, path"),
+        lines_of, pack[-2], pack[-1].replace("text_lines", "symbol_lines"),
+    ]
+    for name, asked in (("symbol_context", c.SYMBOL_QUERIES[:3]), ("file_context", c.FILE_CONTEXTS)):
+        eight = [x.replace("all_files", "symbol_files").replace("ELSE 12 END AS budget", "ELSE 8 END AS budget") for x in blend(8, "budget", "true")]
+        sql(name, "symbols symbol_files text_lines", "SELECT * FROM hs", values("q", asked), *eight[1:], *windows)
     sql("shared_snippets", "text_lines files", "SELECT repo, path, start_line, end_line, (SELECT string_agg(l, ',' ORDER BY CAST(l AS BIGINT)) FROM (SELECT DISTINCT unnest(string_split(string_agg(hit_lines, ','), ',')) AS l)) AS hit_lines, string_agg(DISTINCT query_id, ',' ORDER BY query_id) AS queries, dense_rank() OVER (ORDER BY repo, path, start_line, end_line) AS snippet_id FROM hs GROUP BY repo, path, start_line, end_line", *pack)
 
     sql("snapshot_diff", "changes", "SELECT * FROM changes")
