@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text
-from tessera.operators import bm25, context, freshness, graph, lookup, measure, providers, references, rollups, search, telemetry
+from tessera.operators import bm25, context, freshness, graph, impacts, lookup, measure, providers, references, rollups, search, telemetry
 from tessera.plans import oracle
 from tessera.sources import adapters as a
 from tessera.sources import events
@@ -298,17 +298,17 @@ def related_tests(s, d):
 
 @query
 def bm25_topk(s, d):
-    index = a.function_terms(s, d, stemmed=False)
+    index = a.function_blocks(s, d, stemmed=False)
     terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
-    out = bm25.search_documents(index, terms, 15, include_tests=False, stemmed=False)
+    out = impacts.search_documents(index, terms, 15, include_tests=False, stemmed=False)
     return out.select("query_id", "repo", "symbol_id", F.round("bm25", 6).alias("bm25"), "covered", "position")
 
 
 @query
 def bm25_porter(s, d):
-    index = a.function_terms(s, d)
+    index = a.function_blocks(s, d)
     terms = a.queries(s, TERM_QUERIES).select("query_id", text.query_terms(F.col("query")).alias("terms"))
-    return bm25.search_documents(index, terms, 15)
+    return impacts.search_documents(index, terms, 15)
 
 
 @query

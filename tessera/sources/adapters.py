@@ -112,6 +112,16 @@ def function_terms(spark: SparkSession, sf_dir: str, stemmed: bool = True) -> Da
     return published(spark, sf_dir, f"function_terms_{stemmed}", make)
 
 
+def function_blocks(spark: SparkSession, sf_dir: str, stemmed: bool = True):
+    """The ``impacts.Index`` of those postings, written once a session."""
+    from tessera.operators import impacts
+
+    key = (spark.sparkContext.applicationId, *state_of(spark, sf_dir), f"function_blocks_{stemmed}")
+    if key not in _PUBLISHED:
+        _PUBLISHED[key] = impacts.write(function_terms(spark, sf_dir, stemmed), new_folder(spark, "function_blocks"))
+    return _PUBLISHED[key]
+
+
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol for each part, 40 to a file."""
     make = lambda: read(spark, sf_dir, "part").selectExpr(
