@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WordHash, id_and_text, rolling, stored, texts_of
 
 BACKOFF, SEEN = 0.4, 2
-#: Characters of a block's texts (a longer text is a block of its own), n-grams of a part, and n-grams that a character gives at most.
-BLOCK_CHARS, PART_GRAMS, GRAMS_A_CHAR = 12_000_000, 3_000_000, 0.25
+#: Characters of a block's texts (a longer text is a block of its own), and n-grams that all blocks send to a part.
+BLOCK_CHARS, PART_GRAMS = 12_000_000, 3_000_000
 ORDERS = (1, 2, 3)
+#: A block's distinct n-grams are counted in this share of the hash space, 1 in 2 to the power of it; a smaller block's in all of it.
+COUNTED_SHARE, COUNTED_WHOLE = 4, 100_000
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -46,15 +48,16 @@ def from_deltas(data: bytes) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, chars: int) -> DataFrame:
-    """block, ids, lengths (bytes of each text) and texts (compressed): neighbouring rows of ``docs``, about ``chars`` characters."""
+    """block, ids, lengths (bytes of each text), texts (compressed) and grams (how many n-grams it sends): neighbouring rows of ``docs``, about ``chars`` characters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
+        first, hashes = TaskContext.get().partitionId() << 32, WordHash()
         count, size, ids, texts = 0, 0, [], []
 
         def made() -> pa.RecordBatch:
-            row = [[first + count], [ids], [[len(t) for t in texts]], [zstandard.compress(b"".join(texts), 6)]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()), strict=True)], ["block", "ids", "lengths", "texts"])
+            lengths, packed = np.array([len(t) for t in texts], np.int32), zstandard.compress(b"".join(texts), 6)
+            row = [[first + count], [ids], [lengths], [packed], [sent_by(Words(hashes, lengths, packed))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "lengths", "texts", "grams"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
@@ -67,7 +70,7 @@ def blocks(docs: DataFrame, chars: int) -> DataFrame:
         if ids:
             yield made()
 
-    return docs.mapInArrow(run, "block long, ids array<long>, lengths array<int>, texts binary")
+    return docs.mapInArrow(run, "block long, ids array<long>, lengths array<int>, texts binary, grams long")
 
 
 class Words:
@@ -93,6 +96,16 @@ class Words:
         return rolling(self.words, order)[self.ends(order) - (order - 1)]
 
 
+def sent_by(words: Words) -> int:
+    """How many distinct n-grams of all orders a block has; of many they are counted in a share of the hash space, times its inverse."""
+    n = 0
+    for order in ORDERS:
+        grams = words.grams(order)
+        share = COUNTED_SHARE if len(grams) > COUNTED_WHOLE else 0
+        n += len(np.unique(grams[grams <= np.uint64((1 << (64 - share)) - 1)])) << share
+    return n
+
+
 def part_bounds(grams: np.ndarray, parts: int) -> np.ndarray:
     """Where each part's range of the hash space begins among sorted hashes, and the end."""
     edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
@@ -176,11 +189,12 @@ def lm_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS, part_grams: int =
     N-grams are told apart by 64-bit hashes.
     """
     docs = id_and_text(docs)
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, int(-(-chars * GRAMS_A_CHAR // part_grams)))
-    tasks = max(1, -(-2 * chars // block_chars))
-    packed = blocks(docs, block_chars).repartition(tasks, "block")
-    sums = stored(summed(packed, counted(asked(packed, parts), parts).repartition(tasks, "block")), "lm")
+    # Blocks depend on the order of rows in a task, so they are written before they are read twice.
+    packed = stored(blocks(docs, block_chars), "blocks")
+    n, grams = packed.agg(F.count("*"), F.sum("grams")).first()
+    parts, tasks = max(1, -(-(grams or 0) // part_grams)), max(1, 2 * n)
+    counts = counted(asked(packed.select("block", "ids", "lengths", "texts"), parts), parts)
+    sums = stored(summed(packed.drop("grams").repartition(tasks, "block"), counts.repartition(tasks, "block")), "lm")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
     score = F.when(F.col("n_words") > 0, (F.col("known") - F.col("open") * F.log(F.lit(float(max(1, total))))) / F.col("n_words"))
     return sums.select("doc_id", "n_words", F.round(score, 6).alias("score"))

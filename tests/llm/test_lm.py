@@ -4,9 +4,13 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 
 from tessera.llm import lm
+from tessera.llm.common import WordHash
 
 
 def expected(texts):
@@ -66,3 +70,24 @@ def test_one_word_everywhere_and_copies(spark):
     texts = ["the the the the"] * 300 + ["the end"]
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
     same(lm.lm_scores(docs, 2_000, 500).collect(), range(len(texts)), texts)
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3_000, 300_000])
+def test_parts_are_sized_by_what_blocks_send(n):
+    """Words of one or two letters give more than an n-gram a character; what a block sends is counted, not taken from its length."""
+    rng = random.Random(n)
+    texts = [" ".join(str(rng.randrange(100)) for _ in range(n)).encode()]
+    words = lm.Words(WordHash(), np.array([len(t) for t in texts], np.int32), zstandard.compress(b"".join(texts)))
+    sent = sum(len(np.unique(words.grams(k))) for k in lm.ORDERS)
+    assert abs(lm.sent_by(words) - sent) <= 0.02 * sent
+    if n == 300_000:
+        edges = lm.part_bounds(np.unique(words.grams(3)), 20)
+        assert max(np.diff(edges)) < 1.05 * edges[-1] / 20
+
+
+def test_rows_in_another_order_each_time(spark):
+    """Rows come out of a shuffle in an order that isn't fixed: blocks are written once, and both readers see the same."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(30))) for _ in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3, F.rand()).sortWithinPartitions(F.rand())
+    same(lm.lm_scores(docs, 150, 300).collect(), range(len(texts)), texts)
