@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -47,37 +48,52 @@ def from_deltas(data: bytes) -> np.ndarray:
     return np.cumsum(from_planes(data), dtype=np.uint64)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], chars: int) -> Iterator[tuple[list, list[bytes]]]:
+    """ids and texts of neighbouring rows, about ``chars`` characters at a time."""
+    size, ids, texts = 0, [], []
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+            if size and size + len(text or "") > chars:
+                yield ids, texts
+                size, ids, texts = 0, [], []
+            ids.append(doc_id)
+            texts.append((text or "").encode("utf-8", "replace"))
+            size += max(1, len(text or ""))
+    if ids:
+        yield ids, texts
+
+
 def blocks(docs: DataFrame, chars: int) -> DataFrame:
-    """block, ids, lengths (bytes of each text), texts (compressed) and grams (how many n-grams it sends): neighbouring rows of ``docs``, about ``chars`` characters."""
+    """block, ids, lengths (bytes of each text), texts (compressed) and digest (of all): neighbouring rows of ``docs``, about ``chars`` characters."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, hashes = TaskContext.get().partitionId() << 32, WordHash()
-        count, size, ids, texts = 0, 0, [], []
+        first = TaskContext.get().partitionId() << 32
+        for i, (ids, texts) in enumerate(gathered(batches, chars)):
+            lengths, packed = [len(t) for t in texts], zstandard.compress(b"".join(texts), 6)
+            digest = xxhash.xxh3_64_intdigest(repr((ids, lengths)).encode() + packed) - (1 << 63)
+            row = [[first + i], [ids], [lengths], [packed], [digest]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "lengths", "texts", "digest"])
 
-        def made() -> pa.RecordBatch:
-            lengths, packed = np.array([len(t) for t in texts], np.int32), zstandard.compress(b"".join(texts), 6)
-            row = [[first + count], [ids], [lengths], [packed], [sent_by(Words(hashes, lengths, packed))]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "lengths", "texts", "grams"])
+    return docs.mapInArrow(run, "block long, ids array<long>, lengths array<int>, texts binary, digest long")
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                if size and size + len(text or "") > chars:
-                    yield made()
-                    count, size, ids, texts = count + 1, 0, [], []
-                ids.append(doc_id)
-                texts.append((text or "").encode("utf-8", "replace"))
-                size += max(1, len(text or ""))
-        if ids:
-            yield made()
 
-    return docs.mapInArrow(run, "block long, ids array<long>, lengths array<int>, texts binary, grams long")
+def sent(docs: DataFrame, chars: int) -> int:
+    """How many n-grams the blocks of ``docs`` send in all."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = WordHash(), 0
+        for _, texts in gathered(batches, chars):
+            n += sent_by(Words(hashes, np.array([len(t) for t in texts]), b"".join(texts)))
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return docs.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 class Words:
     """The words of a block's texts, as hashes in one array, and its n-grams."""
 
-    def __init__(self, hashes: WordHash, lengths: np.ndarray, texts: bytes):
-        data, at, words = zstandard.decompress(texts) if len(lengths) else b"", 0, []
+    def __init__(self, hashes: WordHash, lengths: np.ndarray, data: bytes):
+        at, words = 0, []
         for n in lengths.tolist():
             words.append(hashes.of(data[at : at + n].split()))
             at += n
@@ -113,30 +129,30 @@ def part_bounds(grams: np.ndarray, parts: int) -> np.ndarray:
 
 
 def asked(packed: DataFrame, parts: int) -> DataFrame:
-    """part, block and, for each order, grams (distinct, sorted) and times: what a block has in a part of the hash space."""
+    """part, block, digest and, for each order, grams (distinct, sorted) and times: what a block has in a part of the hash space."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for batch in batches:
             for i in range(batch.num_rows):
-                words = Words(hashes, batch.column(2)[i].values.to_numpy(), batch.column(3)[i].as_py())
+                words = Words(hashes, batch.column(2)[i].values.to_numpy(), zstandard.decompress(batch.column(3)[i].as_py()))
                 columns = []
                 for order in ORDERS:
                     grams, times = np.unique(words.grams(order), return_counts=True)
                     cuts = part_bounds(grams, parts)
                     columns.append([deltas(grams[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
                     columns.append([planes(times[a:b] - 1) for a, b in zip(cuts, cuts[1:], strict=False)])
-                block = batch.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([block] * parts, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], ["part", "block", *(f"{c}{k}" for k in ORDERS for c in ("grams", "times"))])
+                block, digest = (pa.array([batch.column(k)[i].as_py()] * parts, pa.int64()) for k in (0, 4))
+                yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), block, digest, *(pa.array(c, pa.binary()) for c in columns)], ["part", "block", "digest", *(f"{c}{k}" for k in ORDERS for c in ("grams", "times"))])
 
-    return packed.mapInArrow(run, "part int, block long, " + ", ".join(f"grams{k} binary, times{k} binary" for k in ORDERS))
+    return packed.mapInArrow(run, "part int, block long, digest long, " + ", ".join(f"grams{k} binary, times{k} binary" for k in ORDERS))
 
 
 def counted(rows: DataFrame, parts: int) -> DataFrame:
-    """block, part and, for each order, how often the corpus has each n-gram that the block asked the part for."""
+    """block, digest, part and, for each order, how often the corpus has each n-gram that the block asked the part for."""
 
     def run(table: pa.Table) -> pa.Table:
-        out = [table.column("block"), table.column("part")]
+        out = [table.column(c) for c in ("block", "digest", "part")]
         for order in ORDERS:
             asked_ = [from_deltas(g.as_py()) for g in table.column(f"grams{order}")]
             times = np.concatenate([from_planes(t.as_py()) for t in table.column(f"times{order}")]).astype(np.int64) + 1
@@ -145,9 +161,9 @@ def counted(rows: DataFrame, parts: int) -> DataFrame:
             np.add.at(sums, at, times)
             ends = np.cumsum([len(a) for a in asked_])
             out.append(pa.array([planes(c - 1) for c in np.split(sums[at], ends[:-1])], pa.binary()))
-        return pa.table(out, ["block", "part", *(f"counts{k}" for k in ORDERS)])
+        return pa.table(out, ["block", "digest", "part", *(f"counts{k}" for k in ORDERS)])
 
-    return rows.repartition(parts, "part").groupBy("part").applyInArrow(run, "block long, part int, " + ", ".join(f"counts{k} binary" for k in ORDERS))
+    return rows.repartition(parts, "part").groupBy("part").applyInArrow(run, "block long, digest long, part int, " + ", ".join(f"counts{k} binary" for k in ORDERS))
 
 
 def summed(packed: DataFrame, counts: DataFrame) -> DataFrame:
@@ -155,14 +171,14 @@ def summed(packed: DataFrame, counts: DataFrame) -> DataFrame:
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
-        words = Words(WordHash(), block.column("lengths")[0].values.to_numpy(), block.column("texts")[0].as_py())
+        if answers.column("digest").unique().to_pylist() != block.column("digest").to_pylist():
+            raise RuntimeError("the rows of a block changed while it was counted: write the documents to a table first")
+        words = Words(WordHash(), block.column("lengths")[0].values.to_numpy(), zstandard.decompress(block.column("texts")[0].as_py()))
         n = len(words.words)
         count = {}
         for order in ORDERS:
             grams, at = np.unique(words.grams(order), return_inverse=True)
             table = np.concatenate([from_planes(c.as_py()) for c in answers.column(f"counts{order}")]).astype(np.int64) + 1
-            if len(table) != len(grams):
-                raise RuntimeError("the rows of a block changed while it was counted")
             count[order] = np.zeros(n, np.int64)  # by the place of the last word; 0: there is no such n-gram
             count[order][words.ends(order)] = table[at]
             del grams, at, table
@@ -186,15 +202,15 @@ def lm_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS, part_grams: int =
     times ``BACKOFF`` twice. N-grams don't reach over texts. Null and empty texts have no words; rows that repeat an id, a
     text or both count in the corpus and return as often as they stand; a null id is returned as it is; an empty table
     gives an empty one. Other columns are ignored. A text's length isn't bounded, but one text is handled by one task.
-    N-grams are told apart by 64-bit hashes.
+    N-grams are told apart by 64-bit hashes. Blocks follow the order of rows in a task: where that isn't fixed and a lost
+    task makes other blocks than those counted, their digests differ and it is an error, never another score.
     """
     docs = id_and_text(docs)
-    # Blocks depend on the order of rows in a task, so they are written before they are read twice.
-    packed = stored(blocks(docs, block_chars), "blocks")
-    n, grams = packed.agg(F.count("*"), F.sum("grams")).first()
-    parts, tasks = max(1, -(-(grams or 0) // part_grams)), max(1, 2 * n)
-    counts = counted(asked(packed.select("block", "ids", "lengths", "texts"), parts), parts)
-    sums = stored(summed(packed.drop("grams").repartition(tasks, "block"), counts.repartition(tasks, "block")), "lm")
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-sent(docs, block_chars) // part_grams))
+    tasks = max(1, -(-2 * chars // block_chars))
+    packed = blocks(docs, block_chars).repartition(tasks, "block")
+    sums = stored(summed(packed, counted(asked(packed, parts), parts).repartition(tasks, "block")), "lm")
     total = sums.agg(F.sum("n_words")).first()[0] or 0
     score = F.when(F.col("n_words") > 0, (F.col("known") - F.col("open") * F.log(F.lit(float(max(1, total))))) / F.col("n_words"))
     return sums.select("doc_id", "n_words", F.round(score, 6).alias("score"))

@@ -6,8 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import zstandard
-from pyspark.sql import functions as F
+from pyspark.errors import PythonException
 
 from tessera.llm import lm
 from tessera.llm.common import WordHash
@@ -77,7 +76,7 @@ def test_parts_are_sized_by_what_blocks_send(n):
     """Words of one or two letters give more than an n-gram a character; what a block sends is counted, not taken from its length."""
     rng = random.Random(n)
     texts = [" ".join(str(rng.randrange(100)) for _ in range(n)).encode()]
-    words = lm.Words(WordHash(), np.array([len(t) for t in texts], np.int32), zstandard.compress(b"".join(texts)))
+    words = lm.Words(WordHash(), np.array([len(t) for t in texts], np.int32), b"".join(texts))
     sent = sum(len(np.unique(words.grams(k))) for k in lm.ORDERS)
     assert abs(lm.sent_by(words) - sent) <= 0.02 * sent
     if n == 300_000:
@@ -85,9 +84,9 @@ def test_parts_are_sized_by_what_blocks_send(n):
         assert max(np.diff(edges)) < 1.05 * edges[-1] / 20
 
 
-def test_rows_in_another_order_each_time(spark):
-    """Rows come out of a shuffle in an order that isn't fixed: blocks are written once, and both readers see the same."""
-    rng = random.Random(3)
-    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randrange(30))) for _ in range(80)]
-    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3, F.rand()).sortWithinPartitions(F.rand())
-    same(lm.lm_scores(docs, 150, 300).collect(), range(len(texts)), texts)
+def test_a_block_that_changes_is_an_error(spark):
+    """Blocks of the same number and size, but of other rows than those counted, give no scores."""
+    one, two = (lm.blocks(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 1_000) for rows in ([(1, "a b c"), (2, "c b a")], [(2, "c b a"), (1, "a b c")]))
+    assert lm.summed(one, lm.counted(lm.asked(one, 2), 2)).count() == 2
+    with pytest.raises(PythonException, match="changed while it was counted"):
+        lm.summed(one, lm.counted(lm.asked(two, 2), 2)).collect()
