@@ -16,6 +16,8 @@ from tessera.llm.common import MIX, scramble
 
 MOST_WORDS = 400_000
 EDGES = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
+#: The same edges where all is ASCII.
+MARKS = bytes(i for i in range(128) if not chr(i).isalnum())
 #: Salts that keep the kinds of features apart.
 CORE, SHAPE, CORES, SHAPES, SAME = (np.uint64(0x100000001B3 * (2 * i + 1)) for i in range(5))
 
@@ -30,6 +32,15 @@ def case_of(core: str) -> str:
     return "Aa" if core[0].isupper() else "a" if core.islower() else "mixed"
 
 
+def edges(word: bytes) -> tuple[str, str, str]:
+    """What stands before a word's first letter or digit, from there to its last, and after; all in front if it has none."""
+    if not word.isascii():
+        return EDGES.match(word.decode("utf-8", "replace")).groups()
+    left = word.lstrip(MARKS)
+    core = left.rstrip(MARKS)
+    return word[: len(word) - len(left)].decode(), core.decode(), left[len(core) :].decode()
+
+
 class WordTable(dict):
     """A row for each word met: its core's and its shape's hash; rows are dropped all at once when there are too many."""
 
@@ -43,7 +54,7 @@ class WordTable(dict):
         if row == len(self.core):
             self.core = np.concatenate([self.core, np.empty_like(self.core)])
             self.shape = np.concatenate([self.shape, np.empty_like(self.shape)])
-        before, core, after = EDGES.match(word.decode("utf-8", "replace")).groups()
+        before, core, after = edges(word)
         self.core[row] = xxhash.xxh3_64_intdigest(core.lower())
         self.shape[row] = xxhash.xxh3_64_intdigest(f"{before[:8]} {case_of(core)} {after[:8]}")
         self[word] = row

@@ -1,10 +1,11 @@
 """Quality rules: text statistics, and a log-likelihood ratio between two multinomials of hashed n-grams.
 
 Every document adds its n-gram counts to the raw corpus' multinomial, and every trusted one adds its to the target's.
-Trusted ids are joined to the documents: Spark sends them to the tasks while they are small by its own measure, and beyond
-that shuffles and sorts texts, which may spill. Tasks sum the counts in one array each; Spark adds the arrays by bucket, so
-the driver gets one row for each of a fixed number of buckets, however large the corpus. In a second pass, without a
-shuffle, each document's score is the mean, over its n-grams, of log p_target - log p_raw, and a fixed threshold decides.
+Which documents may be trusted is told by a table of bits of fixed size, set by hashes of trusted ids and sent to the tasks;
+only those are shuffled, sorted and joined to the ids, at any size alike, so that what is moved grows in proportion. Tasks
+sum the counts in one array each; the arrays are added in blocks of buckets, of neighbouring tasks first, so the driver gets
+one row for each of a fixed number of buckets, however large the corpus. In a second pass, without a shuffle, each document's score is the mean, over its n-grams,
+of log p_target - log p_raw, and a fixed threshold decides.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,10 @@ BUCKETS = 1 << 15
 SMOOTHING = 1.0
 #: Rows of one id are dealt over so many keys.
 SALTS = 8
+#: Buckets of a row of counts, and tasks whose rows are added first, so that no group grows with the input alone.
+BLOCK, NEIGHBOURS = 1 << 10, 64
+#: Words of 64 bits that tell which ids may be trusted.
+BIT_WORDS = 1 << 18
 #: Mean log-likelihood ratio below which a document goes.
 THRESHOLD = -0.25
 SYMBOLS = b"#*$%&|<>"
@@ -35,14 +41,23 @@ def all_trusted(labels: DataFrame) -> DataFrame:
     return labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
 
 
-def marked(docs: DataFrame, trusted: DataFrame | Iterable[int]) -> DataFrame:
-    """trusted (true or null) and text of every row of ``docs`` (doc_id, text); rows of no id match none and are dealt one by one."""
+def marked(docs: DataFrame, trusted: DataFrame | Iterable[int], bit_words: int = BIT_WORDS) -> DataFrame:
+    """trusted (true or null) and text of every row of ``docs`` (doc_id, text); rows of no id match none.
+
+    Rows whose id sets a bit that no trusted id sets stay where they are; ids are compared for the others.
+    """
     if not isinstance(trusted, DataFrame):
         trusted = docs.sparkSession.createDataFrame([(i,) for i in trusted], "doc_id long").distinct()
-    row = F.monotonically_increasing_id()
-    salted = docs.withColumn("salt", F.when(F.col("doc_id").isNull(), row).otherwise(row % SALTS))
+    word = F.pmod(F.xxhash64("doc_id"), F.lit(bit_words)).alias("word")
+    bit = F.pmod(F.xxhash64("doc_id", F.lit("bit")), F.lit(64)).cast("int").alias("bit")
+    bits = trusted.select(word, bit).groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))  # at most bit_words rows
+    asked = docs.select("*", word, bit).join(F.broadcast(bits), "word", "left")
+    may = F.col("doc_id").isNotNull() & F.coalesce(F.expr("(shiftrightunsigned(bits, bit) & 1L) = 1L"), F.lit(False))
+    others = asked.where(~may).select(F.lit(None).cast("boolean").alias("trusted"), "text")
+    salted = asked.where(may).select("doc_id", "text", (F.monotonically_increasing_id() % SALTS).alias("salt"))
     every = trusted.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.lit(True).alias("trusted"))
-    return salted.join(every, ["doc_id", "salt"], "left").select("trusted", "text")
+    # Sorted and merged whatever their size: neither side's is bounded, and a merge may spill.
+    return others.unionByName(salted.join(every.hint("merge"), ["doc_id", "salt"], "left").select("trusted", "text"))
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame | Iterable[int], buckets: int = BUCKETS) -> DataFrame:
@@ -59,10 +74,22 @@ def gram_counts(docs: DataFrame, trusted: DataFrame | Iterable[int], buckets: in
                         sums += count
                     elif wanted:
                         np.add.at(sums, at, 1)
-        met = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (met, raw[met], target[met])], ["bucket", "raw", "target"])
-
-    return marked(id_and_text(docs), trusted).mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        starts = range(0, buckets, BLOCK)
+        task = TaskContext.get().partitionId() // NEIGHBOURS
+        lists = [pa.array([x[i : i + BLOCK] for i in starts], pa.list_(pa.int64())) for x in (raw, target)]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([task] * len(starts), pa.int64()), *lists], ["start", "tasks", "raw", "target"])
+
+    rows = marked(id_and_text(docs), trusted).mapInArrow(run, "start long, tasks long, raw array<long>, target array<long>")
+    near = rows.groupBy("start", "tasks").applyInArrow(added, rows.schema)
+    every = near.groupBy("start").applyInArrow(added, rows.schema)
+    counts = every.select("start", F.posexplode(F.arrays_zip("raw", "target")).alias("at", "n"))
+    return counts.select((F.col("start") + F.col("at")).alias("bucket"), "n.raw", "n.target").where("raw > 0")
+
+
+def added(rows: pa.Table) -> pa.Table:
+    """One row: arrays of the same length, added."""
+    sums = [pa.array([c.combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(axis=0)], pa.list_(pa.int64())) for c in (rows["raw"], rows["target"])]
+    return pa.table([rows["start"][:1], rows["tasks"][:1], *sums], rows.column_names)
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> np.ndarray:

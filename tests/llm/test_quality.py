@@ -87,3 +87,31 @@ def test_query_and_pipeline_take_all_labels(spark, monkeypatch):
     corpus_pipeline.quality_rules(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
     want = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id").distinct().count()
     assert [t.count() for t in seen] == [want, want]
+
+
+@pytest.mark.parametrize("bit_words", [1, 4, quality.BIT_WORDS])
+def test_only_texts_that_may_be_trusted_are_moved_at_any_size(spark, bit_words):
+    docs = spark.range(400).selectExpr("id % 300 AS doc_id", "concat('text ', id) AS text").union(spark.sql("SELECT CAST(NULL AS BIGINT), 'none'"))
+    trusted = spark.range(0, 300, 3).selectExpr("id AS doc_id")
+    rows = quality.marked(docs, trusted, bit_words)
+    got = sorted((r["text"], r["trusted"]) for r in rows.collect())
+    assert got == sorted([(f"text {i}", True if i % 300 % 3 == 0 else None) for i in range(400)] + [("none", None)])
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Union" in plan  # the same join for few ids as for many
+
+
+def test_edges_of_words():
+    from tessera.llm.grams import EDGES, edges
+
+    for word in (b"", b"a", b"--", b"*a.b*", b"9%", b"\x1fx\x00", b"_a_", "é,".encode(), "«日本»".encode(), b"\xff"):
+        assert edges(word) == EDGES.match(word.decode("utf-8", "replace")).groups()
+
+
+def test_tasks_send_blocks_of_counts(spark):
+    docs = spark.range(130).selectExpr("id AS doc_id", f"concat('{GOOD}', id) AS text").repartition(130)
+    counts = quality.gram_counts(docs, range(10))
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "[start#" in plan and "FlatMapGroupsInArrow" in plan
+    raw, target, n, distinct = counts.selectExpr("sum(raw)", "sum(target)", "count(*)", "count(DISTINCT bucket)").first()
+    words = 19
+    assert (raw, target) == (130 * (4 * words - 2), 10 * (4 * words - 2)) and n == distinct
