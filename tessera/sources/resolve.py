@@ -58,7 +58,8 @@ def resolve(imports: DataFrame, files: DataFrame, assets: DataFrame | None = Non
     """repo, source_path, target_path, import_name, kind, resolved, category of imports (repo, path, ordinal, name, kind).
 
     ``files`` (repo, path) are the sources known; ``assets`` (repo, path) all files there are, among which a script's
-    import may be an asset. The joins are by repository and path, and nothing is sent to every task.
+    import may be an asset. The joins are by repository and path, and nothing is sent to every task: tables of paths are
+    compressed well, so Spark would take them for small and build them in the driver.
     """
     script = F.col("path").rlike(r"\.(?:js|mjs|cjs|jsx|ts|tsx)$")
     rows = imports.withColumns({"script": script, "target": F.when(script, script_target(F.col("path"), F.col("name")))})
@@ -66,12 +67,12 @@ def resolve(imports: DataFrame, files: DataFrame, assets: DataFrame | None = Non
     keys = ["repo", "path", "ordinal"]
     tried = rows.select(*keys, F.posexplode("candidates").alias("place", "candidate"))
     known = files.select("repo", F.col("path").alias("candidate")).distinct()
-    hit = tried.join(known, ["repo", "candidate"]).groupBy(*keys).agg(F.min_by("candidate", "place").alias("found"))
-    rows = rows.join(hit, keys, "left")
+    hit = tried.join(known.hint("merge"), ["repo", "candidate"]).groupBy(*keys).agg(F.min_by("candidate", "place").alias("found"))
+    rows = rows.join(hit.hint("merge"), keys, "left")
     if assets is not None:
         there = assets.select("repo", F.col("path").alias("target"), F.lit(True).alias("there")).distinct()
         suffix = F.lower(F.regexp_extract("target", r"[^/](\.[^./]+)$", 1))
-        rows = rows.join(there, ["repo", "target"], "left").withColumn("asset", F.when(F.col("there") & suffix.isin(*ASSETS), F.col("target")))
+        rows = rows.join(there.hint("merge"), ["repo", "target"], "left").withColumn("asset", F.when(F.col("there") & suffix.isin(*ASSETS), F.col("target")))
     else:
         rows = rows.withColumn("asset", F.lit(None).cast("string"))
     name = F.col("name")
