@@ -165,7 +165,12 @@ def redact(c: Column) -> Column:
     return c
 
 
+ANY_SIGN = re.compile("|".join(f"(?:{s})" if not s.startswith("(?i)") else f"(?i:{s[4:]})" for s in SIGNS))
+
+
 def redact_text(text: str) -> str:
+    if not ANY_SIGN.search(text):
+        return text
     for pattern, mark in SECRETS:
         text = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", mark), text)
     return text
