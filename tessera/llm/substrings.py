@@ -10,8 +10,8 @@ of the runs of ``RUN`` words in a window the one of least hash is the window's a
 place in 15 is an anchor. The windows of one anchor's place make a segment of a text, and a block holds the segments of
 some anchors from all texts, so a segment's matches are all in the block of its anchor. Anchors that occur once in the
 corpus can't be in a window that repeats, and have no segment. Texts that are equal word by word count as one that is
-known to repeat. An anchor that occurs more than ``LIGHT`` times doesn't fit a block; its windows are dealt one by one,
-by hash and salt, and what the salted parts found is put together in a second step of bounded groups.
+known to repeat. An anchor that occurs more than ``LIGHT`` times doesn't fit a block; its windows meet by hash. Tasks put
+equal windows of their own texts together first, so that each sends a window once, in arrays for the parts of the hashes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from tessera.llm.common import WordHash, id_and_text, rolling, signed, stored, t
 WINDOW, RUN = 35, 8
 #: Occurrences of an anchor up to which its segments are in one block, segments of a block, and windows of heavy anchors in a task.
 LIGHT, BLOCK_SEGMENTS, TASK_ROWS = 1_000, 60_000, 1_500_000
-#: Parts into which the windows of other anchors are dealt.
-SALTS = 256
+#: Windows of heavy anchors that a task puts together before it sends them.
+HELD_WINDOWS = 500_000
 
 
 def window_anchors(words: np.ndarray, window: int = WINDOW, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
@@ -229,42 +230,81 @@ def factored(rows: DataFrame, tasks: int, window: int) -> DataFrame:
     return rows.repartition(tasks, "anchor").select("anchor", "cls", "copies", "at", "words").mapInArrow(run, "cls long, a int, b int")
 
 
-def placed(found: DataFrame) -> DataFrame:
-    """print, cls, at, times, salt, single: a row for each different window of heavy anchors of a text, with one of ``SALTS``
-    by text, how often it stands there, copies counted, and whether the text has no copies."""
-    salt = F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")
-    zipped = found.select("cls", "copies", F.explode(F.arrays_zip(F.col("heavy_at").alias("at"), F.col("heavy").alias("print"), F.col("heavy_times").alias("times"))).alias("w"))
-    return zipped.select(F.col("w.print").alias("print"), "cls", F.col("w.at").alias("at"), (F.col("w.times") * F.col("copies")).alias("times"), salt.alias("salt"), (F.col("copies") == 1).alias("single"))
+def joined(cls: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cls, a, b: the windows that start at the places ``at`` of texts, those of a text that meet or overlap as one span."""
+    order = np.lexsort((at, cls))
+    cls, a = cls[order], at[order].astype(np.int64)
+    new = np.concatenate([[True], (cls[1:] != cls[:-1]) | (a[1:] > a[:-1] + window)])[: len(a)]
+    last = np.concatenate([new[1:], [True]])[: len(a)]
+    return cls[new], a[new], a[last] + window
 
 
-def met(rows: DataFrame, tasks: int) -> DataFrame:
-    """cls and at of the windows of rows (print, cls, at, times, salt, single) that another text has too, or a copy of its own.
+def packed(part: np.ndarray, *columns: np.ndarray) -> tuple[list[int], list[pa.ListArray]]:
+    """Columns in order of part as one row for each part, of lists."""
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    ends = pa.array(np.concatenate([first, [len(part)]]).astype(np.int32))
+    return part[first].tolist(), [pa.ListArray.from_arrays(ends, pa.array(c)) for c in columns]
 
-    Windows of heavy anchors are dealt by fingerprint and salt, so that no group is read by one task. Each such part of a
-    group then sends on one row: its only window, which may still find its like in another part, or a witness that there
-    are several. Those meet by fingerprint, at most ``SALTS`` of them for each.
+
+def combined(found: DataFrame, parts: int, window: int) -> DataFrame:
+    """part, print, cls, a, b (lists): the windows of heavy anchors, of which a task sends each different one once.
+
+    What several texts of about ``HELD_WINDOWS`` windows share is known there, and goes as spans (part -1). Of each
+    fingerprint one entry is left for its part: its only window, which may still find its like elsewhere, or a witness
+    that there are several (b is 0).
     """
 
+    def flush(held: list[tuple]) -> pa.RecordBatch:
+        print_, cls, at, times, single = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(print_, kind="stable")
+        print_, cls, at, times, single = (x[order] for x in (print_, cls, at, times, single))
+        start = np.flatnonzero(np.concatenate([[True], print_[1:] != print_[:-1]]))
+        several = np.add.reduceat(times, start) > 1
+        hit = np.repeat(several, np.diff(np.concatenate([start, [len(print_)]]))) & single & (times == 1)  # texts with copies go as a whole, and own spans are known
+        known = joined(cls[hit], at[hit], window)
+        at = at[start].astype(np.int64)
+        rows = [(np.full(len(known[0]), -1), np.zeros(len(known[0]), np.int64), *known)]
+        part = ((print_[start].view(np.uint64) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        rows.append(tuple(x[order] for x in (part, print_[start], cls[start], at, np.where(several, 0, at + window))))
+        part, *columns = (np.concatenate(x) for x in zip(*rows, strict=True))
+        names, lists = packed(part, *columns[:2], *(c.astype(np.int32) for c in columns[2:]))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), *lists], ["part", "print", "cls", "a", "b"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(6)] for b in batches]
-        if not parts:
-            return
-        print_, cls, at, times, salt, single = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((salt, print_))
-        print_, cls, at, times, salt, single = (x[order] for x in (print_, cls, at, times, salt, single))
-        start = np.flatnonzero(np.concatenate([[True], (print_[1:] != print_[:-1]) | (salt[1:] != salt[:-1])]))
+        held, n = [], 0
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 128):
+                rows = batch.slice(begin, 128)
+                size = pc.list_value_length(rows.column(2)).to_numpy(zero_copy_only=False)
+                cls, copies = (np.repeat(rows.column(i).to_numpy(), size) for i in (0, 1))
+                at, print_, times = (rows.column(i).flatten().to_numpy() for i in (2, 3, 4))
+                held.append((print_, cls, at, times * copies, copies == 1))
+                n += len(cls)
+                if n >= HELD_WINDOWS:
+                    yield flush(held)
+                    held, n = [], 0
+        if n:
+            yield flush(held)
+
+    rows = found.where(F.size("heavy") > 0).select("cls", "copies", "heavy_at", "heavy", "heavy_times")
+    return rows.mapInArrow(run, "part int, print array<long>, cls array<long>, a array<int>, b array<int>")
+
+
+def met(rows: DataFrame, window: int) -> DataFrame:
+    """cls, a, b: spans of the only windows of ``combined`` rows that another task has too; a fingerprint is all in one part."""
+
+    def run(group: pa.Table) -> pa.Table:
+        print_, cls, at, end = (group[c].combine_chunks().flatten().to_numpy() for c in ("print", "cls", "a", "b"))
+        order = np.argsort(print_, kind="stable")
+        print_, cls, at, end = (x[order] for x in (print_, cls, at, end))
+        start = np.flatnonzero(np.concatenate([[True], print_[1:] != print_[:-1]]))
         size = np.diff(np.concatenate([start, [len(print_)]]))
-        several = np.add.reduceat(times, start) > 1
-        found = np.repeat(several, size) & single & (times == 1)  # texts with copies go as a whole, and own spans are known
-        sent = start
-        alone = ~several
-        out = [(cls[found], at[found], np.zeros(int(found.sum()), np.int64), np.zeros(int(found.sum()), np.int8)), (cls[sent], at[sent], print_[sent], np.where(alone, 2, 1).astype(np.int8))]
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        for i in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], ["cls", "at", "print", "state"])
+        hit = np.repeat((size > 1) | np.logical_or.reduceat(end == 0, start), size) & (end > 0)
+        found = joined(cls[hit], at[hit], window)
+        return pa.table([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["cls", "a", "b"])
 
-    # state: 0 found, 1 a witness, 2 alone in its part
-    return rows.repartition(tasks, "print", "salt").mapInArrow(run, "cls long, at int, print long, state byte")
+    return rows.where("part >= 0").groupBy("part").applyInArrow(run, "cls long, a int, b int")
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -363,10 +403,9 @@ def _duplicates(docs: DataFrame, window: int, run: int) -> tuple[DataFrame, Data
     found = stored(segments(docs, repeated_anchors(index, window), window, run), "segments")
     light, heavy = found.agg(F.sum(F.size("anchor")), F.sum(F.size("heavy"))).first()
     factors = stored(factored(with_words(found), max(1, -(-(light or 0) // BLOCK_SEGMENTS)), window), "factors")
-    hits = stored(met(placed(found), max(1, -(-(heavy or 0) // TASK_ROWS))), "hits")
-    parts = hits.where("state > 0").groupBy("print").agg(F.count("*").alias("parts"), F.collect_list(F.when(F.col("state") == 2, F.struct("cls", "at"))).alias("alone")).where("parts > 1")  # at most SALTS rows
-    late = parts.select(F.explode("alone").alias("w")).select("w.cls", "w.at")
-    dealt = hits.where("state = 0").select("cls", "at").unionByName(late).select("cls", F.col("at").alias("a"), (F.col("at") + window).alias("b"))
+    sent = stored(combined(found, max(1, -(-(heavy or 0) // TASK_ROWS)), window), "windows")
+    known = sent.where("part < 0").select(F.explode(F.arrays_zip("cls", "a", "b")).alias("s")).select("s.*")
+    dealt = known.unionByName(met(sent, window))
     own = found.select("cls", F.explode(F.arrays_zip(F.col("own_a").alias("a"), F.col("own_b").alias("b"))).alias("s")).select("cls", "s.*")
     spans = factors.unionByName(dealt).unionByName(own).groupBy("cls").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # at most a text's words
     return index, found.where("copies = 1").select("cls", "text").join(spans, "cls")

@@ -109,3 +109,18 @@ def test_a_very_long_text(spark):
     rows = [(1, " ".join(long)), (2, " ".join(long[70_000:70_100])), (3, " ".join(long[5:40] + ["z"] + long[100:134]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(tuple(r) for r in substrings.substring_dedup(docs).collect()) == brute(rows)
+
+
+@pytest.mark.parametrize("held", [1, 90, 500_000])
+def test_near_copies_send_each_window_once(spark, monkeypatch, held):
+    monkeypatch.setattr(substrings, "LIGHT", 3)
+    monkeypatch.setattr(substrings, "HELD_WINDOWS", held)
+    monkeypatch.setattr(substrings, "TASK_ROWS", 100)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(m, " ".join([*base[: m % 7 * 15], f"own{m}", *base[m % 7 * 15 :]])) for m in range(60)] + [(100, " ".join(base)), (101, " ".join(base))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert sorted((tuple(r) for r in substrings.substring_dedup(docs).collect()), key=str) == brute(rows)
+    found = spark.createDataFrame([(m, 1, list(range(80)), list(range(80)), [1] * 80) for m in range(60)], "cls long, copies long, heavy_at array<int>, heavy array<long>, heavy_times array<int>").coalesce(1)
+    sent = substrings.combined(found, 4, substrings.WINDOW).selectExpr("part", "size(print) AS n").collect()
+    if held == 500_000:  # all in one go: 80 different windows, and a span for each text
+        assert (sum(r["n"] for r in sent if r["part"] >= 0), sum(r["n"] for r in sent if r["part"] < 0)) == (80, 60)
