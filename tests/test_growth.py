@@ -56,3 +56,8 @@ def test_extracted_columns_keep_their_types(spark):
     sources = spark.createDataFrame([("r", "a.py", "def f():\n    pass\n"), ("r", "b.css", ".c {}"), ("r", "d.py", None), ("r", "e.bin", "x")], "repo string, path string, content string")
     made = extract.extract(sources)
     assert sorted((r["path"], len(r["symbols"]), len(r["imports"])) for r in made.collect()) == [("a.py", 1, 0), ("b.css", 1, 0), ("d.py", 0, 0), ("e.bin", 0, 0)]
+
+
+def test_each_step_of_redaction_is_evaluated_once(spark):
+    made = spark.createDataFrame([("a",)], "t string").select(text.redact(F.upper("t")).alias("r"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
