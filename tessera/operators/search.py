@@ -195,6 +195,7 @@ def file_search(files: DataFrame, queries: DataFrame, limit: int = 20, grams: Da
     own = sent(each.where(long), queries)
     met = trigrams.holding(files, own, "_last", F.lower("path")) if grams is None else files.join(trigrams.holders(grams, own, "_last"), ["repo", "path"])
     pairs = met.select(*files.columns, *each.columns).unionByName(files.join(sent(each.where(~long), queries), F.length("_last") < trigrams.N))
+    pairs = pairs.where(F.lower("path").contains(F.col("_last")))
     pairs = pairs.withColumn("level", file_level(F.col("path"), F.col("variant"))).where("level IS NOT NULL")
     best = pairs.groupBy(*GROUP, *[c for c in files.columns if c != "repo"]).agg(F.min(F.struct("ordinal", "level")).alias("best"))
     best = best.withColumn("rank", F.col("best.ordinal") * 4 + F.col("best.level")).drop("best")

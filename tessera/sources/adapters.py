@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.sources.shared import FORGOTTEN, new_folder, stored
 
-#: Bytes of texts whose lines one task makes.
-TASK_BYTES = 8 << 20
+#: Bytes of texts whose lines one task makes, and symbols or files of a task.
+TASK_BYTES, TASK_ROWS = 8 << 20, 20_000
 
 
 _PUBLISHED: dict[tuple, object] = {}
@@ -37,6 +37,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by their keys, a bounded number to a task: small rows of which a task of Spark's own reads millions, while
+    it makes a hundred trigrams or more of each."""
+    return rows.repartition(max(1, -(-rows.count() // TASK_ROWS)), *keys)
+
+
 def doc_path(doc_id: str = "doc_id") -> str:
     return f"concat(CASE WHEN {doc_id} % 10 = 0 THEN 'tests/' ELSE 'src/' END, 'm', cast({doc_id} % 7 AS string), '/doc_', cast({doc_id} AS string), '.txt')"
 
@@ -81,7 +87,7 @@ def text_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import search
 
-    return published(spark, sf_dir, "symbol_grams", lambda: search.symbol_grams(symbols(spark, sf_dir)))
+    return published(spark, sf_dir, "symbol_grams", lambda: search.symbol_grams(dealt(symbols(spark, sf_dir), "symbol_id")))
 
 
 def path_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +95,7 @@ def path_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.operators import search
 
     both = lambda: files(spark, sf_dir).select("repo", "path").union(symbol_files(spark, sf_dir).select("repo", "path"))
-    return published(spark, sf_dir, "path_grams", lambda: search.path_grams(both()))
+    return published(spark, sf_dir, "path_grams", lambda: search.path_grams(dealt(both(), "repo", "path")))
 
 
 def line_index(spark: SparkSession, sf_dir: str):
@@ -124,7 +130,7 @@ def function_blocks(spark: SparkSession, sf_dir: str, stemmed: bool = True):
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A symbol for each part, 40 to a file."""
-    make = lambda: read(spark, sf_dir, "part").selectExpr(
+    make = lambda: dealt(read(spark, sf_dir, "part"), "p_partkey").selectExpr(
         "concat('r', cast(p_partkey % 4 AS string)) AS repo",
         "p_partkey AS symbol_id",
         "concat(replace(p_name, ' ', '_'), '_', cast(p_partkey % 40 AS string)) AS name",
@@ -143,7 +149,8 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def symbol_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that the symbols are in, of 500 lines each."""
-    return symbols(spark, sf_dir).select("repo", "path", F.lit("python").alias("language"), F.lit(500).cast("long").alias("line_count")).distinct()
+    make = lambda: symbols(spark, sf_dir).select("repo", "path", F.lit("python").alias("language"), F.lit(500).cast("long").alias("line_count")).distinct()
+    return published(spark, sf_dir, "symbol_files", make)
 
 
 def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import search, trigrams
 from tessera.plans import catalogue
-from tessera.sources import extract, resolve
+from tessera.sources import adapters, extract, resolve
 
 
 def plan(df):
@@ -61,3 +61,23 @@ def test_extracted_columns_keep_their_types(spark):
 def test_each_step_of_redaction_is_evaluated_once(spark):
     made = spark.createDataFrame([("a",)], "t string").select(text.redact(F.upper("t")).alias("r"))
     assert made._jdf.queryExecution().optimizedPlan().toString().count("upper(") == 1
+
+
+def test_symbols_are_dealt_and_their_files_made_once(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(adapters, "TASK_ROWS", 50)
+    monkeypatch.setattr(adapters, "_PUBLISHED", {})
+    parts = adapters.read(spark, sf, "part")
+    assert adapters.dealt(parts, "p_partkey").rdd.getNumPartitions() == -(-parts.count() // 50)
+    assert len(adapters.symbols(spark, sf).inputFiles()) > 1
+    assert "Exchange" not in plan(adapters.symbol_files(spark, sf))
+
+
+def test_names_that_hold_no_asked_text_make_no_trigrams(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "brand17.red"), (2, "brand9.blue"), (3, None), (4, "a red ring")], "k int, t string")
+    asked = spark.createDataFrame([(7, "brand17."), (8, "red r")], "query_id long, q string")
+    key = lambda df: sorted((r["k"], r["query_id"]) for r in df.collect())
+    few = trigrams.holding(rows, asked, "q", F.col("t"))
+    assert key(few) == [(1, 7), (1, 8), (4, 8)]  # not the other brand, though it has the same first trigram
+    monkeypatch.setattr(trigrams, "FEW_TEXTS", 1)
+    assert set(key(trigrams.holding(rows, asked, "q", F.col("t")))) >= {(1, 7), (4, 8)}
