@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators import trigrams
 
-#: Characters and lines of a segment (a longer line is one by itself), and segments of a task that are one shard of the text.
-SEGMENT_CHARS, SEGMENT_LINES, SHARD = 1 << 20, 4096, 64
+#: Characters and lines of a segment (a longer line is one by itself), segments of a task that are one shard of the text, and
+#: segments whose postings one task makes.
+SEGMENT_CHARS, SEGMENT_LINES, SHARD, TASK_SEGMENTS = 1 << 20, 4096, 64, 16
 #: The trigram whose "places" are the starts of a segment's lines and the end of the last, followed by the lines' lengths.
 STARTS = ""
 #: Distances that say: any of the query's trigrams will do; these are the bounds of lines.
@@ -65,35 +66,55 @@ def numbered(lines: DataFrame, chars: int = SEGMENT_CHARS, most: int = SEGMENT_L
     return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, LINES)
 
 
-def postings(lines: DataFrame) -> DataFrame:
-    """repo, segment, gram, n and places of every trigram of the numbered ``lines``; a line of fewer characters is one gram."""
+def by_gram(c: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters ``c``: the distinct trigrams (a row of three) that begin at the places ``at``, these in order of trigram
+    and place, and where each trigram's end."""
+    held = np.bincount(c.astype(np.int64)) > 0
+    chars, of = np.flatnonzero(held), (np.cumsum(held) - 1)[c]
+    base = len(chars)
+    if base**3 < 1 << 31:  # trigram and place are one number, which sorts several times faster than an index does
+        key = (((of[at] * base + of[at + 1]) * base + of[at + 2]) << 32) | at
+        key.sort()
+        code, places = key >> 32, key & 0xFFFFFFFF
+    else:
+        code = (of[at] * base + of[at + 1]) * base + of[at + 2]
+        order = np.argsort(code, kind="stable")
+        code, places = code[order], at[order]
+    ends = np.append(np.flatnonzero(np.diff(code)) + 1, len(code)) if len(code) else np.empty(0, np.int64)
+    names = code[ends - 1]
+    return np.stack([chars[names // base**2], chars[names // base % base], chars[names % base]], axis=1), places, ends
+
+
+def postings(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """repo, segment, gram, n and places of every trigram of the numbered ``lines``; a line of fewer characters is one gram.
+
+    They are in order of gram within a task, so that few pages of each file hold any one, and aren't shuffled: they are several
+    times the text, and to range them by gram would make all of them twice. Segments are dealt to ``tasks``, or as Spark sees fit.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("at")
         texts = rows["low"].to_pylist()
         starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        grams = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) > 2 else np.empty(0, np.int64)
+        c = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
         inside = np.ones(len(c), bool)
         for back in (1, 2):
             inside[np.maximum(starts[1:] - back, 0)] = False  # no gram begins so near a line's end
-        at = np.flatnonzero(inside[: len(grams)])
-        names, which = np.unique(grams[at], return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        ends = np.searchsorted(which[order], np.arange(len(names) + 1))
+        names, places, ends = by_gram(c, np.flatnonzero(inside[: max(len(c) - 2, 0)]))
         short: dict[str, list[int]] = {}
         for i, t in zip(starts.tolist(), texts, strict=False):
             if len(t) < trigrams.N:
                 short.setdefault(t, []).append(i)
-        text_of = ["".join(map(chr, ((g >> 42), (g >> 21) & 0x1FFFFF, g & 0x1FFFFF))) for g in names.tolist()]
-        lists = [*np.split(at[order].astype(np.int32), ends[1:-1]), *(np.array(v, np.int32) for v in short.values())] if len(names) else [np.array(v, np.int32) for v in short.values()]
-        lists.append(np.concatenate([starts, rows["length"].to_numpy()]).astype(np.int32))  # of the lines as they are: folding may change a length
-        n = len(lists)
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        return pa.table([pa.array([key[0].as_py()] * n), pa.array([key[1].as_py()] * n, pa.int64()), pa.array([*text_of, *short, STARTS]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists)))], ["repo", "segment", "gram", "n", "places"])
+        text_of = ["".join(map(chr, g)) for g in names.tolist()]
+        rest = [*short.values(), np.concatenate([starts, rows["length"].to_numpy()])]  # of the lines as they are: folding may change a length
+        n = len(text_of) + len(rest)
+        offsets = np.concatenate([[0], ends, len(places) + np.cumsum([len(x) for x in rest])]).astype(np.int32)
+        values = np.concatenate([places, *rest]).astype(np.int32)
+        return pa.table([pa.array([key[0].as_py()] * n), pa.array([key[1].as_py()] * n, pa.int64()), pa.array([*text_of, *short, STARTS]), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["repo", "segment", "gram", "n", "places"])
 
-    made = lines.select("repo", "segment", "at", F.lower("content").alias("low"), F.length("content").alias("length")).groupBy("repo", "segment").applyInArrow(run, POSTINGS)
-    return made.repartitionByRange("gram", "repo", "segment").sortWithinPartitions("gram", "repo", "segment")
+    rows = lines.select("repo", "segment", "at", F.lower("content").alias("low"), F.length("content").alias("length"))
+    rows = rows if tasks is None else rows.repartition(tasks, "repo", "segment")
+    return rows.groupBy("repo", "segment").applyInArrow(run, POSTINGS).sortWithinPartitions("gram", "repo", "segment")
 
 
 def mean_lengths(lines: DataFrame) -> DataFrame:
@@ -110,7 +131,8 @@ def write(lines: DataFrame, folder: str) -> None:
     """Write the index of ``lines`` (repo, path, line, content) below ``folder``; lists of places are stored as differences."""
     numbered(lines).withColumn("shard", shard_of(F.col("segment"))).write.partitionBy("repo", "shard").parquet(f"{folder}/lines")
     own = lines.sparkSession.read.schema(LINES).parquet(f"{folder}/lines")
-    postings(own).write.option("parquet.writer.version", "PARQUET_2_0").parquet(f"{folder}/postings")
+    segments = own.select("repo", "segment").distinct().count()
+    postings(own, max(1, -(-segments // TASK_SEGMENTS))).write.option("parquet.writer.version", "PARQUET_2_0").parquet(f"{folder}/postings")
     lines.sparkSession.read.schema(POSTINGS).parquet(f"{folder}/postings").where(F.col("gram") != STARTS).select("gram").distinct().write.parquet(f"{folder}/grams")
     mean_lengths(own).coalesce(1).write.parquet(f"{folder}/means")
 

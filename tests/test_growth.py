@@ -1,9 +1,10 @@
 """Steps whose cost must grow no faster than their input."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import search, trigrams
+from tessera.operators import positions, search, trigrams
 from tessera.plans import catalogue
 from tessera.sources import adapters, extract, resolve
 
@@ -81,3 +82,23 @@ def test_names_that_hold_no_asked_text_make_no_trigrams(spark, monkeypatch):
     assert key(few) == [(1, 7), (1, 8), (4, 8)]  # not the other brand, though it has the same first trigram
     monkeypatch.setattr(trigrams, "FEW_TEXTS", 1)
     assert set(key(trigrams.holding(rows, asked, "q", F.col("t")))) >= {(1, 7), (4, 8)}
+
+
+def test_postings_are_made_once_and_not_shuffled(spark):
+    lines = spark.createDataFrame([("r", "p", i, f"line {i} of abcabc") for i in range(20)], "repo string, path string, line long, content string")
+    own = positions.numbered(lines, chars=60, most=4)
+    made = positions.postings(own, 3)
+    assert "rangepartitioning(gram" not in plan(made) and made.rdd.getNumPartitions() == 3
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, positions.postings(own).collect()))
+
+
+def test_trigrams_of_few_and_of_many_characters():
+    many = "".join(map(chr, range(32, 1700)))
+    for t in ("", "ab", "abcabc", "a\0\0a\0\0", "日本語ß日本語", many + many):
+        c = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+        want = {}
+        for i in range(len(t) - 2):
+            want.setdefault(t[i : i + 3], []).append(i)
+        names, places, ends = positions.by_gram(c, np.arange(max(len(c) - 2, 0)))
+        got = {"".join(map(chr, g)): p.tolist() for g, p in zip(names.tolist(), np.split(places, ends[:-1]), strict=False)}
+        assert got == want and list(got) == sorted(got)
