@@ -7,6 +7,7 @@ from tessera.functions import text
 from tessera.operators import positions, search, trigrams
 from tessera.plans import catalogue
 from tessera.sources import adapters, extract, resolve
+from tessera.sources.lines import indexed_lines
 
 
 def plan(df):
@@ -102,3 +103,16 @@ def test_trigrams_of_few_and_of_many_characters():
         names, places, ends = positions.by_gram(c, np.arange(max(len(c) - 2, 0)))
         got = {"".join(map(chr, g)): p.tolist() for g, p in zip(names.tolist(), np.split(places, ends[:-1]), strict=False)}
         assert got == want and list(got) == sorted(got)
+
+
+def test_parts_are_held_by_what_signs_match(spark):
+    for texts, parts in zip((["-----BEGIN "], ["sk-", "ghs_", "xoxr-", "AKIA", "AIza"], ["bearer", "BEARER"], ["Secret", "TOKEN", "passw", "API_key", "apikey"]), text.PARTS, strict=True):
+        assert all(any(p in (t if t in parts else t.lower()) for p in parts) for t in texts)
+
+
+def test_lines_are_cut_without_a_search_for_the_last_end(spark):
+    texts = ["a\n", "a\r\n", "a\r\nb\u2028\n", "\n\na", "", "a\n\n"]
+    sources = spark.createDataFrame([("r", str(i), t) for i, t in enumerate(texts)], "repo string, path string, content string")
+    made = indexed_lines(sources)
+    assert sorted((r["path"], r["line"], r["content"]) for r in made.collect()) == [("0", 1, "a"), ("1", 1, "a"), ("2", 1, "a"), ("2", 2, "b"), ("3", 3, "a"), ("5", 1, "a")]
+    assert "\\z" not in made._jdf.queryExecution().optimizedPlan().toString()
