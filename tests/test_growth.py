@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import positions, search, trigrams
+from tessera.operators import bm25, positions, search, trigrams
 from tessera.plans import catalogue
 from tessera.sources import adapters, extract, resolve
 from tessera.sources.lines import indexed_lines
@@ -116,3 +116,44 @@ def test_lines_are_cut_without_a_search_for_the_last_end(spark):
     made = indexed_lines(sources)
     assert sorted((r["path"], r["line"], r["content"]) for r in made.collect()) == [("0", 1, "a"), ("1", 1, "a"), ("2", 1, "a"), ("2", 2, "b"), ("3", 3, "a"), ("5", 1, "a")]
     assert "\\z" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def code(spark):
+    symbols = spark.createDataFrame(
+        [("r", i, f"red_widget_{i}", f"q.red_widget_{i}", "function" if i % 2 else "class", f"src/{i % 3}.py", i * 10, i * 10 + 4, "red ring", "Makes rings, thé widgets" if i % 5 else None, None) for i in range(40)],
+        "repo string, symbol_id long, name string, qualified_name string, kind string, path string, line long, end_line long, signature string, doc string, full_doc string",
+    )
+    lines = spark.createDataFrame([("r", f"src/{p}.py", n, f"ringing widget_{n} things" if n % 3 else "thing") for p in (0, 1, 9) for n in range(0, 400, 2)], "repo string, path string, line long, content string")
+    return symbols, lines
+
+
+def test_postings_are_counted_where_documents_lie(spark):
+    documents = spark.createDataFrame([("r", 1, "p", "Rings ring", "a", None, ""), ("r", 2, "p", "", None, "", "ringing ringed, é")], "repo string, symbol_id long, path string, name string, signature string, doc string, body string")
+    made = bm25.postings(documents)
+    assert "Exchange" not in plan(made)
+    assert sorted(map(tuple, made.collect())) == [("r", 1, "p", "name", "ring", 2), ("r", 1, "p", "signature", "a", 1), ("r", 2, "p", "body", "e", 1), ("r", 2, "p", "body", "ring", 2)]
+    assert sorted(r["term"] for r in bm25.postings(documents, stemmed=False).collect()) == ["a", "ring", "ringed", "ringing", "rings", "é"]
+
+
+def test_lines_of_files_without_symbols_are_not_moved(spark, monkeypatch):
+    symbols, lines = code(spark)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    some = rows(bm25.function_documents(symbols, lines))
+    assert any(r[-1] for r in some)
+    assert "Exchange" not in plan(bm25.function_documents(symbols, lines.where("path = 'src/9.py'")))
+    monkeypatch.setattr(bm25, "MOST_FILES", 0)
+    assert rows(bm25.function_documents(symbols, lines)) == some
+
+
+def test_a_scan_of_documents_finds_what_postings_do(spark, monkeypatch):
+    documents = bm25.function_documents(*code(spark))
+    queries = spark.createDataFrame([(1, ["red", "thing"]), (2, ["widget", "ringing", "the"]), (3, ["no", "such"]), (4, ["red"])], "query_id long, terms array<string>")
+    index = bm25.postings(documents)
+    rows = lambda index, *how: sorted(map(tuple, bm25.search_documents(index, queries, 9, *how).collect()))
+    for how in ((True, True), (False, True), (True, False)):
+        want = rows(index, *how)
+        assert rows(bm25.Documents(documents), *how) == want and {r[0] for r in want} >= {2}
+    assert [r["stem"] for r in bm25.scan(documents, bm25.asked(queries, True)[0].where("query_id = 4"))[0].select("stem").distinct().collect()] == ["red"]
+    monkeypatch.setattr(bm25, "MOST_TERMS", 0)
+    monkeypatch.setattr(bm25, "MOST_KNOWN", 0)
+    assert rows(bm25.Documents(documents)) == rows(index)
