@@ -157,3 +157,17 @@ def test_a_scan_of_documents_finds_what_postings_do(spark, monkeypatch):
     monkeypatch.setattr(bm25, "MOST_TERMS", 0)
     monkeypatch.setattr(bm25, "MOST_KNOWN", 0)
     assert rows(bm25.Documents(documents)) == rows(index)
+
+
+def test_other_line_ends_are_met_without_a_class_of_characters(spark):
+    texts = ["a\nb", "", "\n", "a\r\nb\rc", "a\vb\fc", "a\x1cb\x1dc\x1ed", "é\x85b\u2028c\u2029", "[]|", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(text.split_lines(F.col("t")), F.split("t", text.LINE_END, -1)).collect()
+    assert [r[0] for r in rows] == [r[1] for r in rows] and len(text.OTHER_ENDS) == 9
+    assert "RLIKE" not in spark.createDataFrame([("a",)], "t string").select(text.split_lines(F.upper("t")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ascii_is_folded_without_a_table(spark):
+    texts = ["ABCxyz-09", "", "ÀÉ İA", "Kelvin \u212a", "日本A", None]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select(text.ascii_lower(F.col("t")).alias("a"), F.translate("t", text.UPPER, text.LOWER).alias("b"))
+    assert all(r["a"] == r["b"] for r in made.collect())
+    assert "octet_length" in made._jdf.queryExecution().optimizedPlan().toString()
