@@ -23,7 +23,7 @@ from tessera.llm.common import id_and_text, per_group, per_row
 
 #: The word pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Words are encoded in groups of so many symbols at most, or one word that is longer.
 GROUP_SYMBOLS = 1 << 18
 #: A text is cut into words in slices of so many words, so a very long one isn't held as one list.

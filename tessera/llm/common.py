@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 #: The six ASCII white-space characters, \x20 and \x09-\x0D: what ``bytes.split()`` splits on.
 SPACE = b" \t\n\v\f\r"
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: A task sends on what it has made of so many characters, so that results of a whole batch of long texts aren't held.
+SENT_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +67,7 @@ def clear(spark: SparkSession) -> int:
 class WordHash(dict):
     """64-bit hash of each word, remembered up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -119,7 +121,9 @@ def per_row(docs: DataFrame, make: Callable[[], Callable[[str | None], tuple]],
 
 
 def per_group(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]], fields: list[tuple[str, T.DataType]], keep: tuple[str, ...] = ("doc_id",), chars: int = 1 << 20) -> DataFrame:
-    """As ``per_row``, but ``make()(texts)`` takes neighbouring texts of about ``chars`` characters in all, or one that is longer."""
+    """As ``per_row``, but ``make()(texts)`` takes neighbouring texts of about ``chars`` characters in all, or one that is longer.
+
+    Results are sent on in batches of about ``SENT_CHARS`` characters of text, in the order of the rows."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(n, t) for n, t in fields])
     kinds = [pa_type(t) for _, t in fields]
     names = [*keep, *(n for n, _ in fields)]
@@ -129,17 +133,25 @@ def per_group(docs: DataFrame, make: Callable[[], Callable[[list], list[tuple]]]
         for batch in batches:
             columns: list[list] = [[] for _ in kinds]
             part: list[str | None] = []
-            size = 0
+            size = first = held = 0
             for i, text in enumerate(texts_of(batch)):
                 part.append(text)
                 size += len(text or "")
-                if size >= chars or i == batch.num_rows - 1:
+                last = i == batch.num_rows - 1
+                if size >= chars or last:
                     for values in of(part):
                         for column, value in zip(columns, values, strict=True):
                             column.append(value)
+                    held += size
                     part, size = [], 0
-            kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+                    if held >= SENT_CHARS or last:
+                        kept = [batch.column(batch.schema.get_field_index(c)).slice(first, i + 1 - first) for c in keep]
+                        made = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                        columns = [[] for _ in kinds]
+                        yield pa.RecordBatch.from_arrays([*kept, *made], names)
+                        first, held = i + 1, 0
+                        del kept, made
+            del batch  # else it is held while the next one is read
 
     return docs.mapInArrow(run, schema)
 

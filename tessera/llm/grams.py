@@ -14,7 +14,7 @@ import xxhash
 
 from tessera.llm.common import MIX, scramble
 
-MOST_WORDS = 400_000
+MOST_WORDS = 200_000
 EDGES = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
 #: The same edges where all is ASCII.
 MARKS = bytes(i for i in range(128) if not chr(i).isalnum())

@@ -74,6 +74,7 @@ def gram_counts(docs: DataFrame, trusted: DataFrame | Iterable[int], buckets: in
                         sums += count
                     elif wanted:
                         np.add.at(sums, at, 1)
+            del batch  # else it is held while the next one is read
         starts = range(0, buckets, BLOCK)
         task = TaskContext.get().partitionId() // NEIGHBOURS
         lists = [pa.array([x[i : i + BLOCK] for i in starts], pa.list_(pa.int64())) for x in (raw, target)]
