@@ -3,9 +3,10 @@
 1. A sketch, one row of counters, counts all word pairs by hash: a counter is an upper bound of how often any of its pairs
    occurs. Longer phrases are counted in a second one, if each pair in them may be frequent.
 2. Phrases whose bound reaches the threshold are the candidates. A bound is never too low, so none is missed.
-3. Candidates and the words in them become patterns with a blank at either end, in automata that hold a bounded number of
-   bytes; tasks scan their texts, written as `` a b c `` with a line for each piece, and count all matches, overlapping ones
-   too. Counts are added, and only then do thresholds, scores and the dropping of parts of longer phrases apply.
+3. Candidates and the words in them become patterns in automata whose letters are whole words, as arrays; the patterns of a
+   scan hold a bounded number of bytes. Tasks put their pieces through, many at a time, and count the states that are met; a
+   state's matches are its own and those of all that fail to it, so overlapping ones count too. Counts are added, and only
+   then do thresholds, scores and the dropping of parts of longer phrases apply.
 
 The sketch only saves work: its width follows the corpus up to a bound, beyond which more false candidates are counted.
 """
@@ -13,12 +14,11 @@ The sketch only saves work: its width follows the corpus up to a bound, beyond w
 from __future__ import annotations
 
 import itertools
-import uuid
 from collections.abc import Iterable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -32,8 +32,9 @@ LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
 FEWEST_BITS, MOST_BITS, SLAB_BITS, CHARS_A_COUNTER = 18, 28, 18, 16
 #: Tasks among which the rows of one slab are dealt first, n-grams that are held before they are counted, characters taken at once.
 LANES, HELD, CHARS = 16, 4_000_000, 1 << 20
-#: Bytes of candidates in the automata of one scan, and patterns whose counts travel in one row.
-SCAN_BYTES, COUNTED = 24_000_000, 1024
+#: Bytes of candidates that a task holds before it sends them and of those in the automata of one scan, patterns whose counts
+#: travel in one row, words of a piece that are put through an automaton at a time.
+HELD_BYTES, SCAN_BYTES, COUNTED, RUN = 24_000_000, 96_000_000, 1024, 64
 #: Languages whose sizes are broadcast; of more they are joined by language.
 FEW = 10_000
 #: What ends a piece, and the name of rows without language.
@@ -183,6 +184,32 @@ def sketch(docs: DataFrame, bits: int, least: int, longest: int, pairs: Bits | N
     return Bits(bits, out.reshape(-1))
 
 
+class Met:
+    """A growing set of hashes in sorted arrays, each over twice as long as the next: what is added is merged with shorter ones
+    only, so that a chunk's hashes don't cost as much as all that were met before."""
+
+    def __init__(self):
+        self.runs: list[np.ndarray] = []
+
+    def __len__(self) -> int:
+        return sum(map(len, self.runs))
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Of sorted hashes."""
+        out = np.zeros(len(h), bool)
+        for run in self.runs:
+            out |= run[np.minimum(np.searchsorted(run, h), len(run) - 1)] == h
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Hashes that aren't in the set, in any order."""
+        if len(h):
+            self.runs.append(np.unique(h))
+        while len(self.runs) > 1 and len(self.runs[-2]) <= 2 * len(self.runs[-1]):
+            last = self.runs.pop()
+            self.runs[-1] = np.sort(np.concatenate([self.runs[-1], last]), kind="stable")
+
+
 def parts_of(bits: int) -> int:
     """Into how many parts the candidates of a language are dealt: more with a wider sketch."""
     return 1 << max(4, bits - SLAB_BITS)
@@ -198,7 +225,7 @@ def candidates(docs: DataFrame, pairs: Bits, more: Bits, longest: int) -> DataFr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, rest = (Bits(*x) for x in sent.value)
-        hashes, met, words, held, size = WordHash(), np.empty(0, np.uint64), {}, {}, 0
+        hashes, met, words, held, size = WordHash(), Met(), {}, {}, 0
         for lang, pieces in chunks(batches):
             grams = Grams(hashes, lang, pieces)
             words[lang] = words.get(lang, 0) + len(grams.words)
@@ -211,15 +238,15 @@ def candidates(docs: DataFrame, pairs: Bits, more: Bits, longest: int) -> DataFr
             new = []
             for order, h, at in found:
                 h, first = np.unique(h ^ np.uint64(order), return_index=True)
-                fresh = ~np.isin(h, met, assume_unique=True)
+                fresh = ~met.has(h)
                 new.append(h[fresh])
                 for x, i in zip((h[fresh] % np.uint64(parts)).tolist(), at[first[fresh]].tolist(), strict=True):
                     held.setdefault((lang, x), []).append(phrase := b" ".join(grams.words[i : i + order]))
                     size += len(phrase)
-            met = np.union1d(met, np.concatenate(new))
-            if len(met) > HELD or size > SCAN_BYTES:  # a phrase may be told twice, but what is held is bounded
+            met.add(np.concatenate(new))
+            if len(met) > HELD or size > HELD_BYTES:  # a phrase may be told twice, but what is held is bounded
                 yield from blocks(held)
-                met, held, size = np.empty(0, np.uint64), {}, 0
+                met, held, size = Met(), {}, 0
         yield from blocks(held)
         yield from blocks({(lang, -1): [b"%d" % n] for lang, n in words.items()})
 
@@ -248,29 +275,77 @@ def candidates(docs: DataFrame, pairs: Bits, more: Bits, longest: int) -> DataFr
     return rows.repartition("lang", "part").sortWithinPartitions("lang", "part").mapInArrow(once, "lang string, phrase string, n long")
 
 
-class Automata:
-    """An automaton for each language over patterns of one scan; the last made is kept for the tasks that follow in a worker."""
-
-    last: tuple[str, Automata] | None = None
-
-    def __init__(self, patterns: dict[str, list[str]]):
-        self.patterns, self.made = patterns, {}
-
-    @classmethod
-    def of(cls, sent) -> Automata:
-        key = sent.value[0]
-        if cls.last is None or cls.last[0] != key:
-            cls.last = (key, cls(sent.value[1]))
-        return cls.last[1]
-
-    def __getitem__(self, lang: str):
-        if lang not in self.made:
-            a = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, phrase in enumerate(self.patterns[lang]):
-                a.add_word(f" {phrase} ", i)
-            a.make_automaton()
-            self.made[lang] = a
-        return self.made[lang]
+class Places(dict):
+    """The number of each word; -1 of others."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
+class Automaton:
+    """An Aho-Corasick automaton over words, as arrays: the states after one word are the words' numbers, those after more are in
+    the order of ``keys``, each the state before and the word read. -1 is the start, and what a state of one word fails to."""
+
+    def __init__(self, patterns: pa.Array):
+        lists = pc.split_pattern(patterns, " ")
+        each, size = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        read, first = each.indices.to_numpy(zero_copy_only=False).astype(np.uint64), np.cumsum(size) - size
+        self.words, self.longest, keys = each.dictionary, int(size.max(initial=1)), []
+        state, n = read[first].astype(np.int64), len(self.words)
+        for k in range(1, self.longest):
+            more = np.flatnonzero(size > k)
+            made, at = np.unique(state[more].astype(np.uint64) << np.uint64(32) | read[first[more] + k], return_inverse=True)
+            keys.append(made)
+            state[more] = n + at
+            n += len(made)
+        #: The states in which patterns end, which of ``keys`` have the same number of words, and what each state fails to.
+        self.ends, self.depths, self.keys = state, np.cumsum([0, *map(len, keys)]), np.concatenate([np.empty(0, np.uint64), *keys])
+        self.fail = np.full(n, -1, np.int64)
+        for a, b in itertools.pairwise(self.depths):
+            key = self.keys[a:b]
+            self.fail[len(self.words) + a : len(self.words) + b] = self.after(self.fail[(key >> np.uint64(32)).astype(np.int64)], (key & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
+    def after(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The state after each of some has read a word (-1: one in no pattern)."""
+        out, left = word.copy(), np.flatnonzero((state >= 0) & (word >= 0) & (len(self.keys) > 0))
+        state, word = state[left], word[left].astype(np.uint64)
+        while len(left):
+            key = state.astype(np.uint64) << np.uint64(32) | word
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[at] == key
+            out[left[found]] = len(self.words) + at[found]
+            state = self.fail[state]
+            rest = ~found & (state >= 0)
+            left, state, word = left[rest], state[rest], word[rest]
+        return out
+
+    def states(self, word: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The state at each word of pieces of ``sizes`` words. Pieces are cut into runs, which all advance together; a run begins
+        so many words earlier that whatever ends in it is known."""
+        n = -(-sizes // RUN)
+        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        first, end = np.repeat(np.cumsum(sizes) - sizes, n), np.repeat(np.cumsum(sizes), n)
+        at, end = first + k * RUN, np.minimum(first + (k + 1) * RUN, end)
+        begin = np.maximum(first, at - (self.longest - 1))
+        order = np.argsort(begin - end, kind="stable")
+        at, begin, end = at[order], begin[order], end[order]
+        longer = len(end) - np.searchsorted(np.sort(end - begin), np.arange(RUN + self.longest), side="right")  # than so many words
+        out, state = np.full(len(word), -1, np.int64), np.full(len(at), -1, np.int64)
+        for t, m in enumerate(longer.tolist()):
+            if not m:
+                break
+            place = begin[:m] + t
+            state = self.after(state[:m], word[place])
+            own = place >= at[:m]
+            out[place[own]] = state[own]
+        return out
+
+    def counts(self, visits: np.ndarray) -> np.ndarray:
+        """How often each pattern occurs, of how often each state was met."""
+        total = visits.copy()
+        for a, b in reversed(list(itertools.pairwise(self.depths + len(self.words)))):
+            np.add.at(total, self.fail[a:b][self.fail[a:b] >= 0], total[a:b][self.fail[a:b] >= 0])
+        return total[self.ends]
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame, scan_bytes: int = SCAN_BYTES) -> DataFrame:
@@ -283,38 +358,50 @@ def occurrences(docs: DataFrame, patterns: DataFrame, scan_bytes: int = SCAN_BYT
     counted = None
     for s in range(scans):
         rows = patterns.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(scans)) == s).toArrow()  # scan_bytes in all
-        of: dict[str, list[str]] = {}
-        for lang, phrase in zip(rows["lang"].to_pylist(), rows["phrase"].to_pylist(), strict=True):
-            of.setdefault(lang, []).append(phrase)
-        sent = session.broadcast((uuid.uuid4().hex, of))
+        of = {x: rows.filter(pc.equal(rows["lang"], x))["phrase"].combine_chunks() for x in pc.unique(rows["lang"]).to_pylist()}
+        sent, told = session.broadcast({lang: Automaton(phrases) for lang, phrases in of.items()}), session.broadcast(of)
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automata, totals = Automata.of(sent), {}
+            automata, places, visits, met, size = sent.value, {}, {}, {}, 0
+
+            def added() -> None:
+                for lang, states in met.items():
+                    visits[lang] = visits.get(lang, 0) + np.bincount(np.concatenate(states), minlength=len(automata[lang].fail))
+
             for lang, pieces in chunks(batches):
-                if lang not in automata.patterns:
+                if lang not in automata:
                     continue
-                text = b"\n".join(b" %b " % b" ".join(w) for w in pieces).decode("utf-8", "replace")
-                found = np.fromiter((i for _, i in automata[lang].iter(text)), np.int64)
-                totals[lang] = totals.get(lang, 0) + np.bincount(found, minlength=len(automata.patterns[lang]))
-            for lang, total in totals.items():
+                if lang not in places:
+                    places[lang] = Places(zip((w.encode() for w in automata[lang].words.to_pylist()), itertools.count()))
+                n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                word = np.fromiter(map(places[lang].__getitem__, itertools.chain.from_iterable(pieces)), np.int64, n.sum())
+                states = automata[lang].states(word, n)
+                met.setdefault(lang, []).append(states[states >= 0])
+                size += len(states)
+                if size > HELD:
+                    added()
+                    met, size = {}, 0
+            added()
+            for lang, seen in visits.items():
+                total = automata[lang].counts(seen)
                 slabs = [(k, total[k * COUNTED : (k + 1) * COUNTED]) for k in range(-(-len(total) // COUNTED))]
                 slabs = [(k, zstandard.compress(c.astype("<i8").tobytes(), 1)) for k, c in slabs if c.any()]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slabs), pa.string()), pa.array([k for k, _ in slabs], pa.int32()), pa.array([c for _, c in slabs], pa.binary())], ["lang", "slab", "counts"])
 
-        def added(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def added(batches: Iterable[pa.RecordBatch], told=told) -> Iterator[pa.RecordBatch]:
             key, total = None, 0
             for batch in batches:
                 for lang, slab, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if key not in (None, (lang, slab)):
-                        yield named(sent, *key, total)
+                        yield named(told, *key, total)
                         total = 0
                     key, total = (lang, slab), total + np.frombuffer(zstandard.decompress(counts), "<i8")
             if key:
-                yield named(sent, *key, total)
+                yield named(told, *key, total)
 
-        def named(sent, lang: str, slab: int, total: np.ndarray) -> pa.RecordBatch:
-            names, at = sent.value[1][lang], np.flatnonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([names[slab * COUNTED + i] for i in at.tolist()], pa.string()), pa.array(total[at], pa.int64())], ["lang", "phrase", "f"])
+        def named(told, lang: str, slab: int, total: np.ndarray) -> pa.RecordBatch:
+            at = np.flatnonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), told.value[lang].take(pa.array(slab * COUNTED + at)).cast(pa.string()), pa.array(total[at], pa.int64())], ["lang", "phrase", "f"])
 
         sums = docs.mapInArrow(run, "lang string, slab int, counts binary").repartition("lang", "slab").sortWithinPartitions("lang", "slab")
         found = sums.mapInArrow(added, "lang string, phrase string, f long")

@@ -108,3 +108,32 @@ def test_share_of_longer_phrases(spark):
     rows = [(i, "red big house" if i % 5 else "red big", "en") for i in range(50)]
     got = {r["phrase"] for r in collocations.collocations(spark.createDataFrame(rows, SCHEMA), least=5, share=70).collect()}
     assert got == {"red big house"}
+
+
+def test_automata_of_words_count_what_stands(monkeypatch):
+    """Patterns that are parts of others, that overlap, and pieces longer than what is put through at a time."""
+    rng = random.Random(9)
+    for run in (1, 4, 64):
+        monkeypatch.setattr(collocations, "RUN", run)
+        for _ in range(20):
+            pieces_ = [rng.choices(["a", "b", "é", "other"], k=rng.choice([1, 2, 5, 64, 65, 200])) for _ in range(rng.randrange(1, 5))]
+            patterns = sorted({" ".join(rng.choices(["a", "b", "é"], k=rng.randrange(1, 6))) for _ in range(rng.randrange(1, 30))})
+            made = collocations.Automaton(collocations.pa.array(patterns))
+            places = collocations.Places(zip(made.words.to_pylist(), range(9), strict=False))
+            met = made.states(collocations.np.array([places[w] for p in pieces_ for w in p]), collocations.np.array([len(p) for p in pieces_]))
+            got = made.counts(collocations.np.bincount(met[met >= 0], minlength=len(made.fail)))
+            f = Counter(" ".join(p[i : i + k]) for p in pieces_ for k in range(1, 6) for i in range(len(p) - k + 1))
+            assert got.tolist() == [f[p] for p in patterns]
+
+
+def test_hashes_met_before_are_not_merged_with_each_chunk():
+    met, all_of, moved = collocations.Met(), set(), 0
+    for i in range(300):
+        h = collocations.np.arange(i * 10, i * 10 + 10, dtype=collocations.np.uint64)
+        assert met.has(h).sum() == 0
+        longest = met.runs[0] if met.runs else None
+        met.add(h[::-1])
+        moved += longest is not None and met.runs[0] is not longest
+        all_of.update(h.tolist())
+    assert moved < 20 and len(met) == len(all_of) and met.has(collocations.np.array(sorted(all_of), collocations.np.uint64)).all()
+    assert len(met.runs) < 12 and not met.has(collocations.np.array([3000, 2**63], collocations.np.uint64)).any()
