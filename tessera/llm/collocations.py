@@ -1,5 +1,6 @@
 """Phrase collocation mining: candidates from a sketch, counted exactly by Aho-Corasick automata, then scored relationally.
 
+0. Texts are cut into words once and written as numbers of their words, which all passes read.
 1. A sketch, one row of counters, counts all word pairs by hash: a counter is an upper bound of how often any of its pairs
    occurs. Longer phrases are counted in a second one, if each pair in them may be frequent.
 2. Phrases whose bound reaches the threshold are the candidates. A bound is never too low, so none is missed.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WordHash, grouped, rolling, scramble, stored
 
 LONGEST, LEAST, TOP, SHARE = 5, 100, 2000, 100
-#: Counters of a sketch as powers of two: one for about 16 characters, within these; and of a slab, whose counters one task adds.
-FEWEST_BITS, MOST_BITS, SLAB_BITS, CHARS_A_COUNTER = 18, 28, 18, 16
+#: Counters of a sketch as powers of two: one for about 16 bytes of words, within these; and of a slab, whose counters one task adds.
+FEWEST_BITS, MOST_BITS, SLAB_BITS, BYTES_A_COUNTER = 18, 28, 18, 16
 #: Tasks among which the rows of one slab are dealt first, n-grams that are held before they are counted, characters taken at once.
 LANES, HELD, CHARS = 16, 4_000_000, 1 << 20
 #: Bytes of candidates that a task holds before it sends them and of those in the automata of one scan, patterns whose counts
@@ -65,15 +66,69 @@ def chunks(batches: Iterable[pa.RecordBatch], chars: int = CHARS) -> Iterator[tu
     yield from held.items()
 
 
+class Numbered(dict):
+    """Words by number, in the order in which they are asked for first."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class Words:
+    """A chunk's different words, the place in them of each word that stands in it, and how many words each piece has."""
+
+    def __init__(self, words: list[bytes], at: np.ndarray, sizes: np.ndarray):
+        self.words, self.at, self.sizes = words, at, sizes
+
+    @classmethod
+    def of(cls, pieces: list[list[bytes]]) -> Words:
+        numbers, sizes = Numbered(), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        at = np.fromiter(map(numbers.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, sizes.sum())
+        return cls(list(numbers), at, sizes)
+
+    def phrases(self, at: np.ndarray, order: int) -> Iterator[bytes]:
+        """Those of ``order`` words that begin at some places."""
+        return map(b" ".join, zip(*(map(self.words.__getitem__, self.at[at + i].tolist()) for i in range(order)), strict=True))
+
+
+def worded(docs: DataFrame) -> DataFrame:
+    """lang, words, at, sizes and bytes: each chunk's ``Words``, so that texts are cut into words once and not in every pass."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, pieces in chunks(batches):
+            if pieces:
+                w = Words.of(pieces)
+                size = int(np.fromiter(map(len, w.words), np.int64, len(w.words))[w.at].sum()) + len(w.at)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), *(pa.array([x], pa.binary()) for x in (zstandard.compress(b"\n".join(w.words), 1), packed(w.at), packed(w.sizes))), pa.array([size], pa.int64())], ["lang", "words", "at", "sizes", "bytes"])
+
+    return docs.mapInArrow(run, "lang string, words binary, at binary, sizes binary, bytes long")
+
+
+def words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, Words]]:
+    """Language and words of the chunks of texts (lang, text), or of those that ``worded`` has made of them."""
+
+    def texts(first: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield first.pop()
+        yield from batches
+
+    batches = iter(batches)
+    for batch in batches:
+        if batch.num_columns == 2:
+            yield from ((lang, Words.of(pieces)) for lang, pieces in chunks(texts([batch])))
+            return
+        for lang, words, at, sizes in zip(*batch.columns[:4], strict=True):
+            yield lang.as_py(), Words(zstandard.decompress(words.as_py()).split(b"\n"), unpacked(at.as_py()).astype(np.int64), unpacked(sizes.as_py()).astype(np.int64))
+
+
 class Grams:
     """Hashes of the n-grams within the pieces of a chunk."""
 
-    def __init__(self, hashes: WordHash, lang: str, pieces: list[list[bytes]]):
-        self.words = list(itertools.chain.from_iterable(pieces))
-        self.hash, self.salt = hashes.of(self.words), np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace")))
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    def __init__(self, hashes: WordHash, lang: str, pieces: Words | list[list[bytes]]):
+        self.words = pieces if isinstance(pieces, Words) else Words.of(pieces)
+        self.hash, self.salt = hashes.of(self.words.words)[self.words.at], np.uint64(xxhash.xxh3_64_intdigest(lang.encode("utf-8", "replace")))
+        counts = self.words.sizes
         #: How many words of its piece each word has from itself on.
-        self.room = np.repeat(np.cumsum(counts), counts) - np.arange(len(self.words)) if pieces else np.empty(0, np.int64)
+        self.room = np.repeat(np.cumsum(counts), counts) - np.arange(len(self.hash))
 
     def of(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """The hash of the n-gram that begins at each place, and whether there is one in its piece."""
@@ -136,8 +191,8 @@ def sketch(docs: DataFrame, bits: int, least: int, longest: int, pairs: Bits | N
             rows = [(s, packed(np.diff(at[a:b] - np.uint64(s << SLAB_BITS), prepend=np.uint64(0))), packed(times[a:b])) for s, (a, b) in enumerate(itertools.pairwise(cuts)) if a < b]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([lane] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["slab", "lane", "at", "times"])
 
-        for lang, pieces in chunks(batches):
-            grams = Grams(hashes, lang, pieces)
+        for lang, words in words_of(batches):
+            grams = Grams(hashes, lang, words)
             if filter_:
                 found = [h for _, h, _ in longer(grams, filter_, longest)]
             else:
@@ -226,9 +281,9 @@ def candidates(docs: DataFrame, pairs: Bits, more: Bits, longest: int) -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two, rest = (Bits(*x) for x in sent.value)
         hashes, met, words, held, size = WordHash(), Met(), {}, {}, 0
-        for lang, pieces in chunks(batches):
-            grams = Grams(hashes, lang, pieces)
-            words[lang] = words.get(lang, 0) + len(grams.words)
+        for lang, chunk in words_of(batches):
+            grams = Grams(hashes, lang, chunk)
+            words[lang] = words.get(lang, 0) + len(chunk.at)
             h, _ = grams.of(2)
             at = np.flatnonzero(pairs_held(grams, two))
             found = [(2, h[at], at)]
@@ -240,8 +295,8 @@ def candidates(docs: DataFrame, pairs: Bits, more: Bits, longest: int) -> DataFr
                 h, first = np.unique(h ^ np.uint64(order), return_index=True)
                 fresh = ~met.has(h)
                 new.append(h[fresh])
-                for x, i in zip((h[fresh] % np.uint64(parts)).tolist(), at[first[fresh]].tolist(), strict=True):
-                    held.setdefault((lang, x), []).append(phrase := b" ".join(grams.words[i : i + order]))
+                for x, phrase in zip((h[fresh] % np.uint64(parts)).tolist(), chunk.phrases(at[first[fresh]], order), strict=True):
+                    held.setdefault((lang, x), []).append(phrase)
                     size += len(phrase)
             met.add(np.concatenate(new))
             if len(met) > HELD or size > HELD_BYTES:  # a phrase may be told twice, but what is held is bounded
@@ -368,14 +423,13 @@ def occurrences(docs: DataFrame, patterns: DataFrame, scan_bytes: int = SCAN_BYT
                 for lang, states in met.items():
                     visits[lang] = visits.get(lang, 0) + np.bincount(np.concatenate(states), minlength=len(automata[lang].fail))
 
-            for lang, pieces in chunks(batches):
+            for lang, words in words_of(batches):
                 if lang not in automata:
                     continue
                 if lang not in places:
                     places[lang] = Places(zip((w.encode() for w in automata[lang].words.to_pylist()), itertools.count()))
-                n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                word = np.fromiter(map(places[lang].__getitem__, itertools.chain.from_iterable(pieces)), np.int64, n.sum())
-                states = automata[lang].states(word, n)
+                known = np.fromiter(map(places[lang].__getitem__, words.words), np.int64, len(words.words))
+                states = automata[lang].states(known[words.at], words.sizes)
                 met.setdefault(lang, []).append(states[states >= 0])
                 size += len(states)
                 if size > HELD:
@@ -432,9 +486,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     which the query fails. N-grams are told apart by 64-bit hashes when candidates are gathered, by letters when counted.
     """
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string").alias("text"))
+    cut = stored(worded(docs), "words")
+    docs = cut.drop("bytes")
     if bits is None:
-        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-        bits = min(MOST_BITS, max(FEWEST_BITS, (chars // CHARS_A_COUNTER).bit_length()))
+        size = cut.agg(F.sum("bytes")).first()[0] or 0
+        bits = min(MOST_BITS, max(FEWEST_BITS, (size // BYTES_A_COUNTER).bit_length()))
     pairs = sketch(docs, bits, least, longest)
     more = sketch(docs, bits, least, longest, pairs)
     met = stored(candidates(docs, pairs, more, longest), "candidates")

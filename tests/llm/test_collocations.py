@@ -137,3 +137,20 @@ def test_hashes_met_before_are_not_merged_with_each_chunk():
         all_of.update(h.tolist())
     assert moved < 20 and len(met) == len(all_of) and met.has(collocations.np.array(sorted(all_of), collocations.np.uint64)).all()
     assert len(met.runs) < 12 and not met.has(collocations.np.array([3000, 2**63], collocations.np.uint64)).any()
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """What all passes read are numbers of words, of which the texts' pieces can be made again."""
+    rows = made(11, 40)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce(lang, 'und') AS lang", "text")
+    got, want = Counter(), Counter()
+    for lang, w in collocations.words_of(iter(collocations.worded(docs.repartition(3)).toArrow().to_batches())):
+        at = iter(w.at.tolist())
+        got.update((lang, *(w.words[next(at)] for _ in range(n))) for n in w.sizes.tolist())
+    for _, text, lang in rows:
+        want.update(("und" if lang is None else lang, *(x.encode() for x in p)) for p in pieces(text))
+    assert got == want
+    read = []
+    monkeypatch.setattr(collocations, "sketch", lambda docs, *a, f=collocations.sketch: read.append(docs.columns) or f(docs, *a))
+    same(spark, rows, 3)
+    assert read == [["lang", "words", "at", "sizes"]] * 2
