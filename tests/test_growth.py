@@ -145,6 +145,15 @@ def test_lines_of_files_without_symbols_are_not_moved(spark, monkeypatch):
     assert rows(bm25.function_documents(symbols, lines)) == some
 
 
+def test_files_with_lines_and_symbols_are_found_without_a_broadcast(spark, tmp_path):
+    symbols, lines = code(spark)
+    symbols.write.parquet(str(tmp_path / "s"))  # small enough for a broadcast by its size on disk
+    lines = lines.union(spark.createDataFrame([(None, "src/0.py", 1, "x")], lines.schema))
+    found = bm25.in_both(lines, spark.read.parquet(str(tmp_path / "s")))
+    assert "Broadcast" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [("r", "src/0.py"), ("r", "src/1.py")]
+
+
 def test_a_scan_of_documents_finds_what_postings_do(spark, monkeypatch):
     documents = bm25.function_documents(*code(spark))
     queries = spark.createDataFrame([(1, ["red", "thing"]), (2, ["widget", "ringing", "the"]), (3, ["no", "such"]), (4, ["red"])], "query_id long, terms array<string>")
